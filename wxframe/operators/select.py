@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -62,17 +62,15 @@ def within_box_or_all(df: DataFrame, box=C.WA_GRID_BOX, lat: str = "latitude",
     """Grid box mask whose two axes are applied separably; if either axis has
     no value inside the box, no mask is applied at all.
 
-    The per-axis emptiness test is a one-row aggregate (partial aggregation on
-    every task), joined back as a broadcast scalar row.
+    The per-axis emptiness test is a scalar subquery (one partial aggregate
+    per task, merged into a single subquery by the optimizer).
     """
     la0, la1, lo0, lo1 = box
     in_lat = F.col(lat).between(la0, la1)
     in_lon = F.col(lon).between(lo0, lo1)
-    flags = df.agg(F.bool_or(in_lat).alias("_any_lat"), F.bool_or(in_lon).alias("_any_lon"))
-    apply_mask = F.coalesce(F.col("_any_lat"), F.lit(False)) & F.coalesce(F.col("_any_lon"), F.lit(False))
-    return (df.crossJoin(F.broadcast(flags))
-            .where(~apply_mask | (in_lat & in_lon))
-            .drop("_any_lat", "_any_lon"))
+    any_lat = df.agg(F.coalesce(F.bool_or(in_lat), F.lit(False))).scalar()
+    any_lon = df.agg(F.coalesce(F.bool_or(in_lon), F.lit(False))).scalar()
+    return df.where(~(any_lat & any_lon) | (in_lat & in_lon))
 
 
 def extent(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -83,12 +81,12 @@ def extent(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
 
 def filter_by_extent(points: DataFrame, grid: DataFrame, lat: str = "lat", lon: str = "lon",
                      grid_lat: str = "latitude", grid_lon: str = "longitude") -> DataFrame:
-    """Points inside the (inclusive) bounding box of another table."""
-    box = extent(grid, grid_lat, grid_lon)
-    return (points.crossJoin(F.broadcast(box))
-            .where(F.col(lat).between(F.col("lat_min"), F.col("lat_max"))
-                   & F.col(lon).between(F.col("lon_min"), F.col("lon_max")))
-            .drop("lat_min", "lat_max", "lon_min", "lon_max"))
+    """Points inside the (inclusive) bounding box of another table (scalar subqueries)."""
+    lat_min = grid.agg(F.min(grid_lat)).scalar()
+    lat_max = grid.agg(F.max(grid_lat)).scalar()
+    lon_min = grid.agg(F.min(grid_lon)).scalar()
+    lon_max = grid.agg(F.max(grid_lon)).scalar()
+    return points.where(F.col(lat).between(lat_min, lat_max) & F.col(lon).between(lon_min, lon_max))
 
 
 def station_filter(df: DataFrame, station: str, station_col: str = "station") -> DataFrame:
@@ -128,8 +126,8 @@ def day_of(df: DataFrame, marks: DataFrame, time_col: str = "time", by=("station
 def frame_axis(df: DataFrame, axis_col: str, ascending: bool = True) -> DataFrame:
     """Distinct values of an axis with their 0-based position.
 
-    The window runs over the *distinct* axis table (a handful of values per
-    run), never over the data itself.
+    The window runs over the *distinct* axis table (one row per run time or
+    lead step), never over the data itself.
     """
     o = F.col(axis_col).asc() if ascending else F.col(axis_col).desc()
     return (df.select(axis_col).distinct()
@@ -140,26 +138,28 @@ def clamp_index(i: int, n: int) -> int:
     return max(0, min(int(i), n - 1))
 
 
+def _clamped(i, n: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(F.lit(int(i)), n - 1))
+
+
 def frame_range(df: DataFrame, start: int, end: int, axis_col: str = "time") -> DataFrame:
-    """Rows whose axis position lies in [start, end] after clamping; end >= start."""
+    """Rows whose axis position lies in [start, end] after clamping (end >= start),
+    with that position attached."""
     ax = frame_axis(df, axis_col)
-    n = F.max(f"{axis_col}_idx").over(Window.partitionBy()) + 1
-    lo = F.greatest(F.lit(0), F.least(F.lit(int(start)), n - 1))
-    hi = F.greatest(lo, F.greatest(F.lit(0), F.least(F.lit(int(end)), n - 1)))
-    sel = (ax.withColumn("_lo", lo).withColumn("_hi", hi)
-           .where(F.col(f"{axis_col}_idx").between(F.col("_lo"), F.col("_hi")))
-           .select(axis_col, f"{axis_col}_idx"))
+    n = ax.agg(F.count(F.lit(1))).scalar()
+    lo = _clamped(start, n)
+    hi = F.greatest(lo, _clamped(end, n))
+    sel = ax.where(F.col(f"{axis_col}_idx").between(lo, hi))
     return df.join(sel, axis_col, "inner")
 
 
 def slice_field(df: DataFrame, time_index: int, step_index: int,
                 time_col: str = "time", step_col: str = "step") -> DataFrame:
-    """The 2-D field at (time_index, step_index), both clamped into range."""
-    sel = None
+    """Rows of the 2-D field at (time_index, step_index), both clamped into range."""
+    out = df
     for axis_col, i in ((time_col, time_index), (step_col, step_index)):
         ax = frame_axis(df, axis_col)
-        n = F.max(f"{axis_col}_idx").over(Window.partitionBy()) + 1
-        pick = (ax.where(F.col(f"{axis_col}_idx") == F.greatest(F.lit(0), F.least(F.lit(int(i)), n - 1)))
-                .select(axis_col))
-        sel = pick if sel is None else sel.crossJoin(pick)
-    return df.join(F.broadcast(sel), [time_col, step_col], "left_semi")
+        n = ax.agg(F.count(F.lit(1))).scalar()
+        pick = ax.where(F.col(f"{axis_col}_idx") == _clamped(i, n)).agg(F.max(axis_col)).scalar()
+        out = out.where(F.col(axis_col) == pick)
+    return out
