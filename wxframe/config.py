@@ -101,3 +101,19 @@ STATION_TZ = "Australia/Perth"
 STRIDE_MIN, STRIDE_MAX = 1, 8
 AUTO_STRIDE_DIVISOR = 30
 RUN_FILE_SPAN_DAYS = 7
+
+# --- fixed values: variables kept by the forecast clean job, in this order ---
+FORECAST_VARS = [
+    "t2m", "d2m", "msl", "tcc", "lcc", "i10fg", "u10", "v10", "cp", "lsp", "tp", "swvl1", "sh2",
+    "t250", "t500", "t850", "t1000",
+    "z250", "z500", "z850", "z1000",
+    "q250", "q500", "q850", "q1000",
+    "w250", "w500", "w850", "w1000",
+    "u250", "u500", "u850", "u1000",
+    "v250", "v500", "v850", "v1000",
+]
+# --- fixed values: variables kept by the reanalysis clean job, in this order ---
+REANALYSIS_VARS = [
+    "t2m", "d2m", "sp", "msl", "tcc", "lcc", "mcc", "hcc", "u10", "v10", "tp", "cp", "lsp",
+    "w500", "w850", "w1000", "q500", "q850", "q1000", "r500", "r850", "r1000",
+]

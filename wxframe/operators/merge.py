@@ -102,3 +102,8 @@ def dedupe_runs(runs: DataFrame, file_date: str = "file_date", time_col: str = "
     """
     first = runs.groupBy(time_col).agg(F.min(file_date).alias(file_date))
     return runs.join(first, [time_col, file_date], "left_semi")
+
+
+def available_dates(runs: DataFrame, file_date: str = "file_date") -> DataFrame:
+    """Distinct run dates as ``yyyy-MM-dd`` labels (sort only for presentation)."""
+    return runs.select(F.date_format(file_date, "yyyy-MM-dd").alias("run_date")).distinct()
