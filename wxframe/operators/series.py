@@ -44,7 +44,8 @@ def valid_time(df: DataFrame, time_col: str = "time", step_col: str = "step") ->
     """
     vt = add_hours(time_col, F.col(step_col))
     lead = F.col(step_col).cast("long")
-    label = F.format_string("%s (T=%s +%dh)", F.date_format(vt, "yyyy-MM-dd HH:mm"),
+    vt_whole = F.col(time_col) + F.make_dt_interval(hours=lead.cast("int"))
+    label = F.format_string("%s (T=%s +%dh)", F.date_format(vt_whole, "yyyy-MM-dd HH:mm"),
                             F.date_format(time_col, "HH:mm"), lead)
     return df.withColumns({
         "valid_time": vt,
