@@ -33,7 +33,10 @@ def is_bare_date(value) -> bool:
 
 
 def round6(c) -> Column:
-    return F.round(col(c), 6)
+    """Round to 1e-6 as round(x * 1e6) / 1e6 (the scaled product is rounded
+    half away from zero, which SQL engines agree on; rounding the decimal
+    string form instead differs on exact binary ties)."""
+    return F.round(col(c) * 1e6) / 1e6
 
 
 def null_nonfinite(c) -> Column:

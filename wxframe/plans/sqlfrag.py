@@ -24,7 +24,7 @@ def wind_angle(u: str, v: str) -> str:
 
 
 def r6(x: str) -> str:
-    return f"round({x}, 6)"
+    return f"(round(({x}) * 1e6) / 1e6)"
 
 
 def lit(v: float) -> str:
