@@ -152,29 +152,24 @@ def albers_xy(lat, lon) -> tuple[Column, Column]:
     return x, y
 
 
-def albers_latlon_steps(x, y, iterations: int = 5):
-    """Inverse projection as a list of (name, expression) steps.
-
-    The latitude is refined by fixed-point iteration; each step refers to the
-    previous one by column name, so callers add them with one ``withColumn``
-    per step (the expression tree stays linear instead of growing
-    exponentially with the iteration count).
-    """
+def albers_latlon(x, y, iterations: int = 5) -> tuple[Column, Column]:
+    """Inverse projection.  The latitude is refined by a fixed number of
+    fixed-point steps written as one ``aggregate`` over a short array, so the
+    expression stays linear in size (an unrolled loop would repeat the
+    previous step several times per step and grow exponentially)."""
     k = ALBERS_K
     n, a, e, e2 = k["n"], k["a"], k["e"], k["e2"]
     dx = col(x) - k["fe"]
     dy = k["rho0"] - (col(y) - k["fn"])
     sgn = 1.0 if n > 0 else -1.0
-    rho = sgn * F.sqrt(dx * dx + dy * dy)
-    steps = [("_aq", (k["C"] - (rho * rho) * (n * n) / (a * a)) / n),
-             ("_ath", F.atan2(sgn * dx, sgn * dy)),
-             ("_aphi", F.asin(F.col("_aq") / 2.0))]
-    for _ in range(iterations):
-        phi = F.col("_aphi")
+    rho2 = dx * dx + dy * dy
+    q = (k["C"] - rho2 * (n * n) / (a * a)) / n
+    theta = F.atan2(sgn * dx, sgn * dy)
+
+    def step(phi, _):
         s = F.sin(phi)
-        q = F.col("_aq")
-        steps.append(("_aphi", phi + ((1 - e2 * s * s) ** 2) / (2 * F.cos(phi)) * (
-            q / (1 - e2) - s / (1 - e2 * s * s) + (1 / (2 * e)) * F.log((1 - e * s) / (1 + e * s)))))
-    steps.append(("_alat", F.degrees(F.col("_aphi"))))
-    steps.append(("_alon", F.degrees(k["lon0"] + F.col("_ath") / n)))
-    return steps
+        return phi + ((1 - e2 * s * s) ** 2) / (2 * F.cos(phi)) * (
+            q / (1 - e2) - s / (1 - e2 * s * s) + (1 / (2 * e)) * F.log((1 - e * s) / (1 + e * s)))
+
+    phi = F.aggregate(F.array_repeat(F.lit(0), iterations), F.asin(q / 2.0), step)
+    return F.degrees(phi), F.degrees(k["lon0"] + theta / n)

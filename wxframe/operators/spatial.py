@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import add_hours, albers_latlon_steps, albers_xy, null_nonfinite
+from ..functions.columns import add_hours, albers_latlon, albers_xy, null_nonfinite
 from . import select as S
 
 
@@ -68,9 +68,8 @@ def project(df: DataFrame, lat: str = "lat", lon: str = "lon", x: str = "x", y:
 
 
 def unproject(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", lon: str = "lon") -> DataFrame:
-    for name, expr in albers_latlon_steps(x, y):
-        df = df.withColumn(name, expr)
-    return df.withColumnsRenamed({"_alat": lat, "_alon": lon}).drop("_aq", "_ath", "_aphi")
+    la, lo = albers_latlon(x, y)
+    return df.withColumns({lat: la, lon: lo})
 
 
 def idw_weights(points: DataFrame, stations: DataFrame, power: float = C.IDW_POWER,
