@@ -242,3 +242,13 @@ def test_albers_known_point(spark):
 def test_angle_flip(spark):
     df = spark.createDataFrame([(200.0,)], "a double")
     assert df.select(flip_angle("a").alias("b")).collect()[0].b == 20.0
+
+
+def test_densify_blocks_match_whole_series(spark):
+    rows = [("S", "v", T("2024-01-01 00:00") + dt.timedelta(minutes=15 * i), math.cos(i / 4.0) + (i % 5) * 0.1)
+            for i in range(120) if i % 9 != 4]
+    df = spark.createDataFrame(rows, "station string, variable string, time timestamp_ntz, value double")
+    a = sorted(tuple(r) for r in TG.densify_pchip(df, ["station", "variable"]).collect())
+    b = sorted(tuple(r) for r in TG.densify_pchip(df, ["station", "variable"], block=10).collect())
+    assert a == b
+    assert len(a) == (119 * 15) // 5 + 1

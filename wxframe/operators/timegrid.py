@@ -230,33 +230,37 @@ def interpolate_grid(df: DataFrame, by, time_col: str = "time", period_col: str
 
 
 def densify_pchip(long: DataFrame, by, step_minutes: int = 5, time_col: str = "time",
-                  value: str = "value") -> DataFrame:
+                  value: str = "value", block: int | None = None) -> DataFrame:
     """Refine irregular series onto a finer grid by PCHIP.
 
     Per series (``by``, e.g. station and variable): nulls are dropped, the
     grid runs from the first to the last sample floored to the step, only
     samples exactly on the grid are kept as knots, grid instants before the
     first knot stay null and the curve is extended after the last one.
+
+    Long series are not sent to one task: knots get their exact position in
+    the series and are processed in position blocks with a 3-knot halo (every
+    slope and segment reaches at most three knots either way), so a station
+    holding most of the data still spreads over many tasks.
     """
+    from .windows import DEFAULT_BLOCK, series_positions, with_halo
     by = list(by)
     step_s = 60.0 * step_minutes
-    x = epoch_seconds(time_col)
-    s = long.where(F.col(value).isNotNull()).withColumn("_x", x)
-    Wall = Window.partitionBy(*by)
-    s = s.withColumns({"_g0": F.floor(F.min("_x").over(Wall) / step_s) * step_s,
-                       "_g1": F.floor(F.max("_x").over(Wall) / step_s) * step_s})
-    knots = s.where(F.col("_x") == F.floor(F.col("_x") / step_s) * step_s)
-    # the grid starts at the floored first sample; a label there (even null) anchors it
-    return _pchip_knots(knots, by, time_col, value, step_s)
-
-
-def _pchip_knots(knots: DataFrame, by, time_col: str, value: str, step_s: float) -> DataFrame:
-    W = Window.partitionBy(*by).orderBy("_x")
-    Wall = Window.partitionBy(*by)
+    s = long.where(F.col(value).isNotNull()).withColumn("_x", epoch_seconds(time_col))
+    bounds = s.groupBy(*by).agg((F.floor(F.min("_x") / step_s) * step_s).alias("_g0"),
+                                (F.floor(F.max("_x") / step_s) * step_s).alias("_g1"))
+    knots = s.where(F.col("_x") == F.floor(F.col("_x") / step_s) * step_s).select(*by, time_col, value, "_x")
+    counts = knots.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    k = series_positions(knots, by, time_col).join(counts, by, "inner").join(bounds, by, "inner")
+    k = with_halo(k, 3, block or DEFAULT_BLOCK)
+    return _pchip_knots(k, by + ["_blk"], time_col, value, step_s, by)
+
+
+def _pchip_knots(knots: DataFrame, part, time_col: str, value: str, step_s: float, out_by) -> DataFrame:
+    W = Window.partitionBy(*part).orderBy("_pos")
     k = knots.withColumns({"_x1": F.lead("_x").over(W), "_xm1": F.lag("_x").over(W),
                            "_y1": F.lead(value).over(W), "_ym1": F.lag(value).over(W),
-                           "_k": F.row_number().over(W), "_n": F.count(F.lit(1)).over(Wall),
-                           "_kmin": F.min("_x").over(Wall)})
+                           "_k": F.col("_pos") + 1})
     k = k.withColumn("_h", F.col("_x1") - F.col("_x"))
     k = k.withColumn("_m", (F.col("_y1") - F.col(value)) / F.col("_h"))
     k = k.withColumns({"_hm1": F.lag("_h").over(W), "_hm2": F.lag("_h", 2).over(W), "_hp1": F.lead("_h").over(W),
@@ -271,6 +275,7 @@ def _pchip_knots(knots: DataFrame, by, time_col: str, value: str, step_s: float)
          .otherwise(_interior_slope(hm1, h, mm1, m)))
     k = k.withColumn("_d", d)
     k = k.withColumns({"_d1": F.lead("_d").over(W), "_dm1": F.lag("_d").over(W)})
+    k = k.where("_core")
     g0, g1 = F.col("_g0"), F.col("_g1")
     # leading grid instants (before the first knot) belong to the first knot, value null
     lo = F.when(kk == 1, F.lit(0)).otherwise(F.round((F.col("_x") - g0) / step_s))
@@ -288,4 +293,4 @@ def _pchip_knots(knots: DataFrame, by, time_col: str, value: str, step_s: float)
            .when(F.col("_x1").isNull(), prev)
            .otherwise(here))
     fine_t = F.timestamp_seconds(t).cast("timestamp_ntz")
-    return k.select(*by, fine_t.alias(time_col), val.alias(value))
+    return k.select(*out_by, fine_t.alias(time_col), val.alias(value))
