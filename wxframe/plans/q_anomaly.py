@@ -101,3 +101,14 @@ def day_of(spark, sf_dir):
     v = Views(spark, sf_dir)
     marks = A.classify_solar(A.anomaly_frame(v.series15), mode="explained").select("station", "time")
     return S.day_of(v.series15, marks)
+
+
+@register("temp_zone", """
+SELECT station, time, CASE WHEN hour(time) + minute(time) / 60.0e0 >= 6 AND hour(time) + minute(time) / 60.0e0 < 12 THEN 1
+                           WHEN hour(time) + minute(time) / 60.0e0 >= 16 AND hour(time) + minute(time) / 60.0e0 < 21 THEN -1
+                           ELSE 0 END AS zone
+FROM v_series15
+""")
+def temp_zone(spark, sf_dir):
+    from ..functions.columns import temp_zone as zone
+    return Views(spark, sf_dir).series15.select("station", "time", zone("time").alias("zone"))

@@ -159,3 +159,58 @@ def available_dates_limit(spark, sf_dir):
     # first few dates, as listed in an error message (the limit is the feature)
     v = Views(spark, sf_dir)
     return M.available_dates(v.runs).orderBy("run_date").limit(5)
+
+
+RE_PL_VARS = ["r", "q", "w"]
+
+
+def reanalysis_clean(accum, instant, pressure, keys=("valid_time", "latitude", "longitude"),
+                     targets=C.NEAREST_TARGET_LEVELS, level_col="level"):
+    """Reanalysis month clean chain: nearest-level flatten of the pressure
+    member -> inner align of the three members -> units -> drop -> select."""
+    keys = list(keys)
+    flat = L.flatten_levels_nearest(pressure, keys, RE_PL_VARS, targets, level_col)
+    merged = M.align_merge([accum, instant, flat], keys)
+    conv, _units = U.convert_units(merged, C.REANALYSIS_UNIT_GROUPS, match="exact")
+    conv = S.drop_coords(conv, C.REANALYSIS_DROP_COORDS)
+    return S.select_variables(conv, keys, C.REANALYSIS_VARS)
+
+
+def _era_pressure(v):
+    from ..functions.columns import add_hours
+    p = v.fc_pl
+    return p.select(add_hours("time", F.col("step")).alias("valid_time"), "level", "latitude", "longitude",
+                    F.col("t").alias("r"), F.col("u").alias("q"), F.col("v").alias("w"))
+
+
+def _reanalysis_sql() -> str:
+    targets = C.NEAREST_TARGET_LEVELS
+    near = ", ".join(
+        f"(SELECT arg_min(level, abs(level - {t}) * 100000 + level) FROM (SELECT DISTINCT level FROM pt)) AS n{t}"
+        for t in targets)
+    flat_cols = ",\n  ".join(f"max(p.{v}) FILTER (WHERE p.level = n.n{t}) AS {v}{t}" for v in RE_PL_VARS for t in targets)
+    order = [c for c in C.REANALYSIS_VARS if c in {"t2m", "tcc", "u10", "v10", "tp"} | {f"{v}{t}" for v in RE_PL_VARS for t in targets}]
+    conv = {"t2m": "i.t2m - 273.15e0", "u10": "i.u10 * 3.6e0", "v10": "i.v10 * 3.6e0", "tp": "a.tp * 1000.0e0",
+            "tcc": "i.tcc"}
+    sel = ", ".join(f"{conv.get(c, 'f.' + c)} AS {c}" for c in order)
+    return f"""
+WITH pt AS (SELECT time + to_microseconds(CAST(round(step * 3600e6) AS BIGINT)) AS valid_time, level, latitude, longitude,
+                   t AS r, u AS q, v AS w FROM v_fc_pl),
+f AS (SELECT p.valid_time, p.latitude, p.longitude,
+  {flat_cols}
+  FROM pt p, (SELECT {near}) n GROUP BY 1, 2, 3)
+SELECT a.valid_time, a.latitude, a.longitude, {sel}
+FROM (SELECT valid_time, latitude, longitude, tp FROM v_era5) a
+JOIN (SELECT valid_time, latitude, longitude, t2m, u10, v10, tcc FROM v_era5) i
+  ON a.valid_time = i.valid_time AND a.latitude = i.latitude AND a.longitude = i.longitude
+JOIN f ON a.valid_time = f.valid_time AND a.latitude = f.latitude AND a.longitude = f.longitude
+"""
+
+
+@register("reanalysis_clean", _reanalysis_sql())
+def reanalysis_clean_q(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    e = v.era5
+    accum = e.select(*ERA_KEYS, "tp")
+    instant = e.select(*ERA_KEYS, "t2m", "u10", "v10", "tcc")
+    return reanalysis_clean(accum, instant, _era_pressure(v))

@@ -229,3 +229,14 @@ FROM (SELECT valid_time, row_number() OVER (ORDER BY valid_time) - 1 AS i FROM {
 def date_groups(spark, sf_dir):
     v = Views(spark, sf_dir)
     return ST.date_groups(SR.valid_time(v.fc).select("valid_time"))
+
+
+@register("step_hours", """
+SELECT time, step AS step_raw, CAST(round(step * 3600e9) AS BIGINT) / 3600e9 AS step FROM v_fc
+""")
+def step_hours(spark, sf_dir):
+    # lead times arrive as nanoseconds in decoded files; decode them back to hours
+    from ..functions.columns import step_hours_from_ns
+    fc = Views(spark, sf_dir).fc.select("time", F.col("step").alias("step_raw"),
+                                        F.round(F.col("step") * 3600e9).cast("long").alias("step_ns"))
+    return fc.select("time", "step_raw", step_hours_from_ns("step_ns").alias("step"))
