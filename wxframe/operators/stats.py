@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import null_nonfinite, ts_lit, wind_speed
+from ..functions.columns import null_nonfinite, round6, ts_lit, wind_speed
 from . import select as S
 
 
@@ -129,7 +129,7 @@ def compare_resolution(a: DataFrame, b: DataFrame, by: str = "station", time_col
                       F.count(F.lit(1)).alias(f"points_{tag}"))
     sa, sb = summary(a, "a"), summary(b, "b")
     out = sa.select("*", *[sb.select(c).scalar().alias(c) for c in sb.columns])
-    return out.withColumn("growth", F.round(F.col("points_b") / F.col("points_a"), 6))
+    return out.withColumn("growth", round6(F.col("points_b") / F.col("points_a")))
 
 
 def ui_meta(obs_long: DataFrame, by: str = "station", time_col: str = "time") -> DataFrame:

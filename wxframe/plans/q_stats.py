@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import round6
 from ..operators import catalog as CT
 from ..operators import reshape as R
 from ..operators import select as S
@@ -39,13 +40,13 @@ SELECT g.station, g.bin AS time, {r6('b.mean')} AS mean FROM g LEFT JOIN b ON g.
 @register("daily_mean", _resample_sql("day", "2024-01-03 00:00:00", "2024-01-13 00:00:00", "2024-01-12 00:00:00"))
 def daily_mean(spark, sf_dir):
     out = ST.resample_mean(Views(spark, sf_dir).obs, "airTemperature", "1 day", "2024-01-03", "2024-01-12")
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", round6("mean"))
 
 
 @register("hourly_mean", _resample_sql("hour", "2024-01-05 00:00:00", "2024-01-07 00:00:00", "2024-01-06 23:00:00"))
 def hourly_mean(spark, sf_dir):
     out = ST.resample_mean(Views(spark, sf_dir).obs, "airTemperature", "1 hour", "2024-01-05", "2024-01-06")
-    return out.withColumn("mean", F.round("mean", 6))
+    return out.withColumn("mean", round6("mean"))
 
 
 @register("extent", "SELECT min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max FROM v_stations")

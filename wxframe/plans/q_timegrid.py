@@ -204,7 +204,7 @@ WITH a AS (SELECT count(DISTINCT time) AS steps_a, count(DISTINCT station) AS st
            FROM v_series15),
 b AS (SELECT count(DISTINCT time) AS steps_b, count(DISTINCT station) AS stations_b, count(*) AS points_b
       FROM ({_densify_sql()}) WHERE variable = 'airTemperature')
-SELECT *, round(points_b / points_a, 6) AS growth FROM a, b
+SELECT *, round(points_b / points_a * 1e6) / 1e6 AS growth FROM a, b
 """)
 def compare_resolution(spark, sf_dir):
     v = Views(spark, sf_dir)
