@@ -104,13 +104,6 @@ def add_minutes(t, minutes) -> Column:
     return col(t) + F.make_dt_interval(mins=m.cast("int"))
 
 
-def floor_minutes(t, minutes: int) -> Column:
-    """Floor a TIMESTAMP_NTZ to a multiple of ``minutes`` (from midnight)."""
-    secs = epoch_seconds(t)
-    step = 60.0 * minutes
-    return F.timestamp_seconds(F.floor(secs / step) * step).cast("timestamp_ntz")
-
-
 # --- Albers equal-area conic (Snyder 1987, ellipsoidal form) ---
 
 def _albers_constants():

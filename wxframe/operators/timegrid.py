@@ -292,5 +292,5 @@ def _pchip_knots(knots: DataFrame, part, time_col: str, value: str, step_s: floa
            .when(n < 2, F.lit(None).cast("double"))
            .when(F.col("_x1").isNull(), prev)
            .otherwise(here))
-    fine_t = F.timestamp_seconds(t).cast("timestamp_ntz")
+    fine_t = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=t.cast("decimal(18,6)"))
     return k.select(*out_by, fine_t.alias(time_col), val.alias(value))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
 from ..sources import fixtures
 from .views_sql import with_views
 
@@ -47,9 +49,24 @@ def _load():
                 raise
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings every query relies on, applied to whatever session runs it:
+    naive timestamps are UTC wall clock, and a checkpoint folder exists."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
+def _prepared(fn):
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(prepare(spark), sf_dir)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return {k: v[0] for k, v in REGISTRY.items()}
+    return {k: _prepared(v[0]) for k, v in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
