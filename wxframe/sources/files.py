@@ -146,10 +146,18 @@ def _writer(df: DataFrame, mode: str):
 
 
 def write_monthly(df: DataFrame, path: str, time_col: str = "valid_time", mode: str = "overwrite",
-                  compression: str = "zstd") -> None:
+                  compression: str = "zstd", skip_existing: bool = False) -> None:
     """Partition by year/month of ``time_col``; overwrite replaces only the
-    months present in ``df`` (dynamic partition overwrite)."""
+    months present in ``df`` (dynamic partition overwrite).  With
+    ``skip_existing`` months already in ``path`` are left untouched (an
+    anti-join on the existing partition values, read from the listing)."""
     out = df.withColumns({"year": F.year(time_col), "month": F.month(time_col)})
+    if skip_existing:
+        try:
+            have = df.sparkSession.read.parquet(path).select("year", "month").distinct()
+            out = out.join(have, ["year", "month"], "left_anti")
+        except Exception:  # noqa: BLE001 - nothing written yet
+            pass
     _writer(out, mode).partitionBy("year", "month").option("compression", compression).parquet(path)
 
 

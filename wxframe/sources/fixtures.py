@@ -8,7 +8,7 @@ projection and filters of the query that uses it reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH_NTZ = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
@@ -62,13 +62,15 @@ def v_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_series15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense 15-minute series per station with planted solar nulls.
 
-    Positions come from a row number per (group, event type); that is the
-    fixture's definition (five groups), not an operator of the library.
+    Positions are the row number per (group, event type) in (ts, event_id)
+    order.  With only five groups a plain row_number window would run in
+    five tasks, so positions come from per-day counts and a prefix sum
+    (``operators.windows.series_positions``) instead.
     """
+    from ..operators.windows import series_positions
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "signup"))
-    g = (F.col("user_id") % 5)
-    w = Window.partitionBy(g, F.col("event_type")).orderBy("ts", "event_id")
-    e = e.select(g.alias("g"), "event_type", "value", F.row_number().over(w).alias("n"))
+    e = e.select((F.col("user_id") % 5).alias("g"), "event_type", "value", "ts", "event_id")
+    e = series_positions(e, ["g", "event_type"], "ts", tie_col="event_id").withColumn("n", F.col("_pos") + 1)
     t = e.where(F.col("event_type") == "click").select("g", "n", F.col("value").alias("t_value"))
     s = e.where(F.col("event_type") == "signup").select("g", "n", F.col("value").alias("s_value"))
     j = t.join(s, ["g", "n"], "left")
