@@ -29,7 +29,11 @@ def display_vars(variables: DataFrame, unpaired: str = "keep") -> DataFrame:
     the display order: u-derived entries first (in u order), then the rest
     in column order.  ``unpaired='keep'`` keeps an unpaired ``u*`` as a
     scalar in the u block; ``'drop'`` drops it.
+
+    The variable table (one row per variable) is used by several branches,
+    so its lineage (a pass over the data) is cut once with ``checkpoint()``.
     """
+    variables = variables.checkpoint(eager=True)
     sfx = F.substring(F.col("name"), 2, 1 << 20)
     us = variables.where(F.col("name").startswith("u")).select(
         F.col("name").alias("u"), F.col("pos"), sfx.alias("sfx"))

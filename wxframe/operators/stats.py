@@ -133,11 +133,11 @@ def compare_resolution(a: DataFrame, b: DataFrame, by: str = "station", time_col
 
 
 def ui_meta(obs_long: DataFrame, by: str = "station", time_col: str = "time") -> DataFrame:
-    """Station list (one row per station, with its rank in name order) and the
-    dataset's [first date, last date] and variable count as scalar columns."""
+    """Sorted station list (one row per station; the sort is a range-partitioned
+    distributed sort) with the dataset's [first date, last date] and variable
+    count as scalar columns."""
     first = obs_long.agg(F.date_format(F.min(time_col), "yyyy-MM-dd")).scalar()
     last = obs_long.agg(F.date_format(F.max(time_col), "yyyy-MM-dd")).scalar()
     n_vars = obs_long.agg(F.count_distinct("variable")).scalar()
     st = obs_long.select(by).distinct()
-    return st.select(by, F.dense_rank().over(Window.orderBy(by)).cast("long").alias("station_rank"),
-                     first.alias("date_min"), last.alias("date_max"), n_vars.alias("n_variables"))
+    return st.select(by, first.alias("date_min"), last.alias("date_max"), n_vars.alias("n_variables")).orderBy(by)

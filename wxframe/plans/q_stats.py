@@ -66,7 +66,7 @@ def dataset_metadata(spark, sf_dir):
 
 
 @register("ui_meta", """
-SELECT station, CAST(dense_rank() OVER (ORDER BY station) AS BIGINT) AS station_rank,
+SELECT station,
        (SELECT strftime(min(time), '%Y-%m-%d') FROM v_obs) AS date_min,
        (SELECT strftime(max(time), '%Y-%m-%d') FROM v_obs) AS date_max,
        (SELECT count(DISTINCT variable) FROM v_obs) AS n_variables
