@@ -252,3 +252,23 @@ def test_densify_blocks_match_whole_series(spark):
     b = sorted(tuple(r) for r in TG.densify_pchip(df, ["station", "variable"], block=10).collect())
     assert a == b
     assert len(a) == (119 * 15) // 5 + 1
+
+
+def test_station_wind_pair_becomes_one_display_variable(spark):
+    from wxframe.operators import catalog as CT
+    v = spark.createDataFrame([("airTemperature", 0), ("wind_3m_speed", 1), ("wind_3m_degN", 2), ("rainfall", 3)],
+                              "name string, pos int")
+    first = [r.display for r in CT.station_display_vars(v).orderBy("ord").collect()]
+    last = [r.display for r in CT.station_display_vars(v, wind_first=False).orderBy("ord").collect()]
+    assert first == ["wind_3m", "airTemperature", "rainfall"]
+    assert last == ["airTemperature", "rainfall", "wind_3m"]
+
+
+def test_forecast_display_vars_keep_or_drop_unpaired(spark):
+    from wxframe.operators import catalog as CT
+    v = spark.createDataFrame([("t2m", 0), ("u10", 1), ("v10", 2), ("u500", 3), ("msl", 4)], "name string, pos int")
+    keep = [r.display for r in CT.display_vars(v).orderBy("ord").collect()]
+    drop = [r.display for r in CT.display_vars(v, unpaired="drop").orderBy("ord").collect()]
+    assert keep == ["wind10", "u500", "t2m", "msl"]
+    assert drop == ["wind10", "t2m", "msl"]
+    assert CT.default_var(CT.display_vars(v)).collect()[0].default_var == "t2m"

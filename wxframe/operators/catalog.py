@@ -116,3 +116,20 @@ def sync_groups(groups: DataFrame, rng: DataFrame) -> DataFrame:
     return groups.sparkSession.range(1).select(
         (s - 1).cast("long").alias("start_group"),
         (F.greatest(s, e) - 1).cast("long").alias("end_group"))
+
+
+def station_display_vars(variables: DataFrame, speed: str = "wind_3m_speed", direction: str = "wind_3m_degN",
+                         combined: str = "wind_3m", wind_first: bool = True) -> DataFrame:
+    """Station display list: when both wind components are present they are
+    replaced by one combined entry, placed first (``wind_first``) or last.
+
+    ``variables``: (name, pos).  Output (display, ord).
+    """
+    both = variables.where(F.col("name").isin(speed, direction)).agg(
+        (F.count_distinct("name") == 2).alias("_both")).scalar()
+    rest = variables.where(~(both & F.col("name").isin(speed, direction))).select(
+        F.col("name").alias("display"), F.lit(1).alias("grp"), "pos")
+    wind = variables.limit(1).select(F.lit(combined).alias("display"), F.lit(0 if wind_first else 2).alias("grp"),
+                                     F.lit(-1).alias("pos")).where(both)
+    out = rest.unionByName(wind)
+    return out.select("display", (F.row_number().over(Window.orderBy("grp", "pos")) - 1).cast("long").alias("ord"))

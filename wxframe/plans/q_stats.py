@@ -175,3 +175,20 @@ def sync_groups(spark, sf_dir):
     v = Views(spark, sf_dir)
     groups = ST.date_groups(SR.valid_time(v.fc).select("valid_time"))
     return CT.sync_groups(groups, _shared(v))
+
+
+@register("station_display_vars", f"""
+WITH p AS (SELECT variable AS name, min(pos) AS pos FROM (
+             SELECT variable, CASE variable {' '.join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(OBS_VARS))} END AS pos
+             FROM v_obs) GROUP BY 1),
+b AS (SELECT count(DISTINCT name) = 2 AS both FROM p WHERE name IN ('wind_3m_speed', 'wind_3m_degN')),
+u AS (SELECT name AS display, 1 AS grp, pos FROM p, b WHERE NOT (b.both AND name IN ('wind_3m_speed', 'wind_3m_degN'))
+      UNION ALL SELECT 'wind_3m', 0, -1 FROM b WHERE b.both)
+SELECT display, CAST(row_number() OVER (ORDER BY grp, pos) - 1 AS BIGINT) AS ord FROM u
+""")
+def station_display_vars(spark, sf_dir):
+    # variables present in the observations, positioned in the station table's column order
+    v = Views(spark, sf_dir)
+    pos = F.create_map(*[x for i, name in enumerate(OBS_VARS) for x in (F.lit(name), F.lit(i))])
+    present = v.obs.groupBy(F.col("variable").alias("name")).agg(F.min(pos[F.col("variable")]).alias("pos"))
+    return CT.station_display_vars(present)
