@@ -25,7 +25,6 @@ def station_stream(spark: SparkSession, root: str, max_files: int = 1000) -> Dat
         "station": F.regexp_extract("_file", r"([^/]+?)(\.csv)?(\.gz)?$", 1),
         "month": F.regexp_extract("_file", r"/(\d{6})/[^/]+$", 1),
         "time": F.col("time").cast("timestamp_ntz"),
-        "_ingest": F.monotonically_increasing_id(),
     }).where(F.col("time").isNotNull()).drop("_file"))
 
 
@@ -35,6 +34,8 @@ def start_ingest(spark: SparkSession, root: str, out_path: str, checkpoint: str
     ckpt = checkpoint or f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/station-ingest"
 
     def batch(df: DataFrame, _batch_id: int) -> None:
+        # ids inside the micro-batch follow the file order of each file split
+        df = df.withColumn("_ingest", F.monotonically_increasing_id())
         clean = dedupe_time(shift_time(df, "time", hours=shift_hours), ["station"], "time", "_ingest")
         (clean.drop("_ingest").withColumn("year", F.year("time"))
          .write.mode("append").partitionBy("year").option("compression", "zstd").parquet(out_path))
