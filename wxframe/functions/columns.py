@@ -99,11 +99,6 @@ def add_hours(t, hours) -> Column:
     return col(t) + F.make_dt_interval(secs=secs.cast("decimal(18,6)"))
 
 
-def add_minutes(t, minutes) -> Column:
-    m = col(minutes) if not isinstance(minutes, (int, float)) else F.lit(int(minutes))
-    return col(t) + F.make_dt_interval(mins=m.cast("int"))
-
-
 # --- Albers equal-area conic (Snyder 1987, ellipsoidal form) ---
 
 def _albers_constants():

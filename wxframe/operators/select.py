@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import col, is_bare_date, null_nonfinite, ts_lit
+from ..functions.columns import is_bare_date, null_nonfinite, ts_lit
 
 
 class NoVariablesError(ValueError):

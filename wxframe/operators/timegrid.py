@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import add_minutes, epoch_seconds
+from ..functions.columns import epoch_seconds
 
 
 def dedupe_time(df: DataFrame, keys, time_col: str = "time", order_col: str = "event_id") -> DataFrame:

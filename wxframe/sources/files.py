@@ -68,11 +68,6 @@ def read_grid_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(GRID_POINTS_SCHEMA).csv(path)
 
 
-def _member_units(spark: SparkSession, base: str) -> DataFrame:
-    """Partition values only (no data columns are read, just file listings/footers)."""
-    return spark.read.option("basePath", base).parquet(base).select("year", "month", "member")
-
-
 def check_complete(units: DataFrame, unit_cols, members, member_col: str = "member",
                    strict: bool = True) -> DataFrame:
     """Units (months / runs) that have every member.
