@@ -272,3 +272,40 @@ def test_forecast_display_vars_keep_or_drop_unpaired(spark):
     assert keep == ["wind10", "u500", "t2m", "msl"]
     assert drop == ["wind10", "t2m", "msl"]
     assert CT.default_var(CT.display_vars(v)).collect()[0].default_var == "t2m"
+
+
+def test_align_merge_key_and_axis_modes(spark):
+    from wxframe.operators import merge as M
+    a = spark.createDataFrame([(1, 10, 1.0), (1, 20, 2.0), (2, 10, 3.0)], "t int, x int, a double")
+    b = spark.createDataFrame([(1, 10, 5.0, 9.0), (2, 20, 6.0, 9.0)], "t int, x int, b double, a double")
+    key = M.align_merge([a, b], ["t", "x"]).collect()
+    assert [(r.t, r.x, r.a, r.b) for r in key] == [(1, 10, 1.0, 5.0)]          # first member wins on "a"
+    axis = sorted(tuple(r) for r in M.align_merge([a, b], ["t", "x"], align="axis").collect())
+    # every axis value is shared, so the full cross of present cells survives with nulls where absent
+    assert axis == [(1, 10, 1.0, 5.0), (1, 20, 2.0, None), (2, 10, 3.0, None), (2, 20, None, 6.0)]
+
+
+def test_union_by_position_relabels_later_pieces(spark):
+    from wxframe.operators import merge as M
+    a = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    b = spark.createDataFrame([(3.0, 4.0)], "y double, x double")
+    pos = sorted(tuple(r) for r in M.union_all([a, b], mode="position").collect())
+    name = sorted(tuple(r) for r in M.union_all([a, b], mode="name").collect())
+    assert pos == [(1.0, 2.0), (3.0, 4.0)] and name == [(1.0, 2.0), (4.0, 3.0)]
+
+
+def test_select_variables_errors_when_none_present(spark):
+    df = spark.createDataFrame([(1, 2.0)], "k int, a double")
+    assert S.select_variables(df, ["k"], ["a", "zz"]).columns == ["k", "a"]
+    with pytest.raises(S.NoVariablesError):
+        S.select_variables(df, ["k"], ["zz"])
+
+
+def test_series_unknown_station_is_an_error(spark):
+    from wxframe.operators import series as SR
+    obs = spark.createDataFrame([("S1", T("2024-01-01 00:00"), "airTemperature", 1.0)],
+                                "station string, time timestamp_ntz, variable string, value double")
+    with pytest.raises(SR.UnknownStationError):
+        SR.series(obs, ["airTemperature"], station="S9")
+    with pytest.raises(S.NoVariablesError):
+        SR.series(obs, ["nope"], present=["airTemperature"])
