@@ -128,7 +128,8 @@ def compare_resolution(a: DataFrame, b: DataFrame, by: str = "station", time_col
                       F.count_distinct(by).alias(f"stations_{tag}"),
                       F.count(F.lit(1)).alias(f"points_{tag}"))
     sa, sb = summary(a, "a"), summary(b, "b")
-    out = sa.select("*", *[sb.select(c).scalar().alias(c) for c in sb.columns])
+    other = sb.select(F.struct(*sb.columns).alias("_b")).scalar()     # one scalar subquery, one pass over b
+    out = sa.select("*", *[other[c].alias(c) for c in sb.columns])
     return out.withColumn("growth", round6(F.col("points_b") / F.col("points_a")))
 
 
