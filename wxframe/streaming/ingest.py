@@ -4,7 +4,9 @@ Station CSVs land month by month; this runs the batch ingest (scan, zone
 shift, first-in-file de-duplication, partitioned sink) on each new set of
 files.  The file source tracks which files were processed in the
 checkpoint, so a restarted job (or a lost executor) resumes without
-duplicates; each micro-batch rewrites only the years it touches.
+duplicates.  De-duplication is per micro-batch: a month's files arrive
+together, and a time repeated across months is kept in each (the batch
+ingest over a whole year de-duplicates across months).
 """
 
 from __future__ import annotations
