@@ -73,28 +73,33 @@ def unproject(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", lon:
 
 
 def idw_weights(points: DataFrame, stations: DataFrame, power: float = C.IDW_POWER,
-                eps: float = C.IDW_EPS, max_pairs: int | None = 50_000_000) -> DataFrame:
+                eps: float = C.IDW_EPS, max_pairs: int | None = 50_000_000,
+                max_broadcast_rows: int = 200_000) -> DataFrame:
     """(point_id, station, w, exact, st_order) for every fill point and station.
 
     Inverse distance weighting is defined over *all* point/station pairs, so
     this table is the product of two dimension tables (fill points x
-    stations), independent of the observation volume; ``max_pairs`` guards
-    its size.  Distances are in projected metres.
+    stations), independent of the observation volume.  Both sides are
+    counted first: the pair count is guarded by ``max_pairs`` and the
+    smaller side is broadcast only when it has at most
+    ``max_broadcast_rows`` rows (otherwise the job stops with the counts).
+    Distances are in projected metres.
     """
-    if max_pairs is not None:
-        n = points.count() * stations.count()
-        if n > max_pairs:
-            raise ValueError(f"{n} point/station pairs exceed max_pairs={max_pairs}")
+    n_p, n_s = points.count(), stations.count()
+    if max_pairs is not None and n_p * n_s > max_pairs:
+        raise ValueError(f"{n_p} points x {n_s} stations exceed max_pairs={max_pairs}")
+    if min(n_p, n_s) > max_broadcast_rows:
+        raise ValueError(f"neither side fits a broadcast ({n_p} points, {n_s} stations)")
     p = project(points.select("point_id", "lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()),
                 x="px", y="py").select("point_id", "px", "py")
     s = project(stations.select("station", "lat", "lon", "st_order")
                 .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy")
     s = s.select("station", "sx", "sy", "st_order")
+    pairs = p.crossJoin(F.broadcast(s)) if n_s <= n_p else s.crossJoin(F.broadcast(p))
     dx, dy = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
     d = F.sqrt(dx * dx + dy * dy)
-    return (p.crossJoin(F.broadcast(s))
-            .select("point_id", "station", "st_order",
-                    (F.lit(1.0) / F.pow(d + eps, power)).alias("w"), (d < eps).alias("exact")))
+    return pairs.select("point_id", "station", "st_order",
+                        (F.lit(1.0) / F.pow(d + eps, power)).alias("w"), (d < eps).alias("exact"))
 
 
 def idw_fill(obs: DataFrame, weights: DataFrame, time_col: str = "time", value: str = "value") -> DataFrame:
