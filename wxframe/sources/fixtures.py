@@ -150,17 +150,24 @@ def v_fc_pl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly run files that overlap: file_date, time, step, latitude, longitude, t2m."""
+    """Weekly run files that overlap: file_date, time, step, latitude, longitude, t2m.
+
+    Each forecast row belongs to the file of its week; the first three days
+    of a week also appear (t2m + 1) in the previous week's file.  Both copies
+    come from one pass: an array of up to two file entries per row, exploded.
+    """
     doy0 = F.dayofyear("time") - 1
-    f = v_fc(spark, sf_dir).select(
-        "time", "step", "latitude", "longitude", "t2m", (doy0 - doy0 % 7).alias("d"))
+    d = doy0 - doy0 % 7
     base = F.to_date(F.lit("2024-01-01"))
-    first = f.select(F.date_add(base, F.col("d").cast("int")).alias("file_date"),
-                     "time", "step", "latitude", "longitude", "t2m")
-    second = (f.where((F.col("d") >= 7) & ((F.dayofyear("time") - 1) % 7 < 3))
-              .select(F.date_add(base, (F.col("d") - 7).cast("int")).alias("file_date"),
-                      "time", "step", "latitude", "longitude", (F.col("t2m") + 1.0).alias("t2m")))
-    return first.unionByName(second)
+    f = v_fc(spark, sf_dir)
+    copies = F.array(
+        F.struct(F.date_add(base, d.cast("int")).alias("file_date"), F.col("t2m").alias("t2m")),
+        F.when((d >= 7) & (doy0 % 7 < 3),
+               F.struct(F.date_add(base, (d - 7).cast("int")).alias("file_date"), (F.col("t2m") + 1.0).alias("t2m"))),
+    )
+    return (f.select("time", "step", "latitude", "longitude",
+                     F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c"))
+            .select("_c.file_date", "time", "step", "latitude", "longitude", "_c.t2m"))
 
 
 VIEWS = {
