@@ -71,9 +71,13 @@ def v_series15(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "signup"))
     e = e.select((F.col("user_id") % 5).alias("g"), "event_type", "value", "ts", "event_id")
     e = series_positions(e, ["g", "event_type"], "ts", tie_col="event_id").withColumn("n", F.col("_pos") + 1)
-    t = e.where(F.col("event_type") == "click").select("g", "n", F.col("value").alias("t_value"))
-    s = e.where(F.col("event_type") == "signup").select("g", "n", F.col("value").alias("s_value"))
-    j = t.join(s, ["g", "n"], "left")
+    # click and signup rows with the same position form one series row (rows exist where a click exists)
+    is_click, is_signup = F.col("event_type") == "click", F.col("event_type") == "signup"
+    j = (e.groupBy("g", "n")
+         .agg(F.max(F.when(is_click, F.col("value"))).alias("t_value"),
+              F.max(F.when(is_signup, F.col("value"))).alias("s_value"),
+              F.max(is_click.cast("int")).alias("_has_click"))
+         .where(F.col("_has_click") == 1))
     return j.select(
         F.concat(F.lit("S"), F.col("g").cast("string")).alias("station"),
         (F.expr(EPOCH_NTZ) + F.make_dt_interval(mins=(F.col("n") - 1).cast("int") * 15)).alias("time"),
