@@ -95,7 +95,12 @@ def idw_weights(points: DataFrame, stations: DataFrame, power: float = C.IDW_POW
     s = project(stations.select("station", "lat", "lon", "st_order")
                 .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy")
     s = s.select("station", "sx", "sy", "st_order")
-    pairs = p.crossJoin(F.broadcast(s)) if n_s <= n_p else s.crossJoin(F.broadcast(p))
+    # spread the streamed side so pair generation runs in many tasks (~250k pairs each)
+    parts = max(1, min(4096, (n_p * n_s) // 250_000))
+    if n_s <= n_p:
+        pairs = p.repartition(parts, "point_id").crossJoin(F.broadcast(s))
+    else:
+        pairs = s.repartition(parts, "station").crossJoin(F.broadcast(p))
     dx, dy = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
     d = F.sqrt(dx * dx + dy * dy)
     return pairs.select("point_id", "station", "st_order",
