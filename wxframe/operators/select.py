@@ -131,7 +131,7 @@ def frame_axis(df: DataFrame, axis_col: str, ascending: bool = True) -> DataFram
     """
     o = F.col(axis_col).asc() if ascending else F.col(axis_col).desc()
     return (df.select(axis_col).distinct()
-            .withColumn(f"{axis_col}_idx", F.row_number().over(Window.orderBy(o)) - 1))
+            .withColumn(f"{axis_col}_idx", (F.row_number().over(Window.orderBy(o)) - 1).cast("long")))
 
 
 def clamp_index(i: int, n: int) -> int:
