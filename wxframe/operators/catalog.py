@@ -87,13 +87,18 @@ def compatible_pairs(vars_a: DataFrame, vars_b: DataFrame, pairs=C.COMPATIBLE_VA
 
 def shared_range(a: DataFrame, b: DataFrame, a_time: str, b_time: str,
                  a_name: str = "stations", b_name: str = "forecast") -> DataFrame:
-    """The date range of whichever dataset spans less time (ties: ``a``)."""
-    a0, a1 = a.agg(F.min(a_time)).scalar(), a.agg(F.max(a_time)).scalar()
-    b0, b1 = b.agg(F.min(b_time)).scalar(), b.agg(F.max(b_time)).scalar()
+    """The date range of whichever dataset spans less time (ties: ``a``).
+
+    One aggregate per side; ``b``'s bounds enter ``a``'s one-row result as a
+    single struct subquery."""
+    bb = b.agg(F.struct(F.min(b_time).alias("b0"), F.max(b_time).alias("b1"))).scalar()
+    one = a.agg(F.min(a_time).alias("a0"), F.max(a_time).alias("a1")).withColumn("_b", bb)
+    a0, a1, b0, b1 = F.col("a0"), F.col("a1"), F.col("_b.b0"), F.col("_b.b1")
     span_a = F.unix_micros(a1.cast("timestamp")) - F.unix_micros(a0.cast("timestamp"))
     span_b = F.unix_micros(b1.cast("timestamp")) - F.unix_micros(b0.cast("timestamp"))
-    pick_a = span_a <= span_b
-    return a.sparkSession.range(1).select(
+    one = one.withColumn("_pick_a", span_a <= span_b)
+    pick_a = F.col("_pick_a")
+    return one.select(
         F.to_date(F.when(pick_a, a0).otherwise(b0)).alias("start_date"),
         F.to_date(F.when(pick_a, a1).otherwise(b1)).alias("end_date"),
         F.when(pick_a, F.lit(a_name)).otherwise(F.lit(b_name)).alias("source"))
@@ -106,16 +111,16 @@ def sync_groups(groups: DataFrame, rng: DataFrame) -> DataFrame:
     row per date.  Start = first group on/after start (0 if none); end =
     last group on/before end (last group if none); end < start -> end = start.
     """
+    r = rng.select(F.struct("start_date", "end_date").alias("_r")).scalar()
     g = groups.select(F.to_date("label").alias("d"),
-                      F.dense_rank().over(Window.orderBy("start_idx")).alias("gi"))
-    start = rng.select("start_date").scalar()
-    end = rng.select("end_date").scalar()
-    n = g.agg(F.count(F.lit(1))).scalar()
-    s = g.agg(F.coalesce(F.min(F.when(F.col("d") >= start, F.col("gi"))), F.lit(1))).scalar()
-    e = g.agg(F.coalesce(F.max(F.when(F.col("d") <= end, F.col("gi"))), n)).scalar()
-    return groups.sparkSession.range(1).select(
-        (s - 1).cast("long").alias("start_group"),
-        (F.greatest(s, e) - 1).cast("long").alias("end_group"))
+                      F.dense_rank().over(Window.orderBy("start_idx")).alias("gi")).withColumn("_r", r)
+    one = g.agg(F.count(F.lit(1)).alias("_n"),
+                F.min(F.when(F.col("d") >= F.col("_r.start_date"), F.col("gi"))).alias("_s"),
+                F.max(F.when(F.col("d") <= F.col("_r.end_date"), F.col("gi"))).alias("_e"))
+    s = F.coalesce(F.col("_s"), F.lit(1))
+    e = F.coalesce(F.col("_e"), F.col("_n"))
+    return one.select((s - 1).cast("long").alias("start_group"),
+                      (F.greatest(s, e) - 1).cast("long").alias("end_group"))
 
 
 def station_display_vars(variables: DataFrame, speed: str = "wind_3m_speed", direction: str = "wind_3m_degN",

@@ -17,15 +17,16 @@ def normalize(df: DataFrame, value: str, vmin, vmax, steps: int = C.QUANT_STEPS)
     """
     lo = vmin if isinstance(vmin, Column) else F.lit(float(vmin))
     hi = vmax if isinstance(vmax, Column) else F.lit(float(vmax))
+    df = df.withColumns({"_lo": lo, "_hi": hi})       # limits evaluated once, then referenced
+    lo, hi = F.col("_lo"), F.col("_hi")
     span = F.when((hi - lo) == 0, F.lit(1.0)).otherwise(hi - lo)
     raw = (col(value) - lo) / span
     p = F.when(F.isnan(raw), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
     p = F.when(col(value).isNull(), F.lit(None).cast("double")).otherwise(p)
-    return df.withColumns({
-        "p": p,
-        "level": F.round(p * steps) / float(steps),
-        "arrow_size": F.lit(0.5) + F.lit(1.5) * p,
-    })
+    return df.withColumn("p", p).withColumns({
+        "level": F.round(F.col("p") * steps) / float(steps),
+        "arrow_size": F.lit(0.5) + F.lit(1.5) * F.col("p"),
+    }).drop("_lo", "_hi")
 
 
 def contour_levels(limits: DataFrame, n: int = C.CONTOUR_LEVELS, lo: str = "vmin", hi: str = "vmax") -> DataFrame:

@@ -45,10 +45,11 @@ def flatten_levels_nearest(df: DataFrame, keys, variables, targets, level_col: s
     if level_col not in df.columns or not variables:
         return df.select(*keys).limit(0)
     near = nearest_levels(df, targets, level_col, descending)
-    lv = F.col(level_col)
-    aggs = [F.max(F.when(lv == near[int(t)], F.col(v))).alias(f"{v}{int(t)}")
+    # one flag column per target (each level subquery evaluated once), then conditional aggregates
+    flagged = df.withColumns({f"_at{int(t)}": F.col(level_col) == near[int(t)] for t in targets})
+    aggs = [F.max(F.when(F.col(f"_at{int(t)}"), F.col(v))).alias(f"{v}{int(t)}")
             for v in variables for t in targets]
-    return df.groupBy(*keys).agg(*aggs)
+    return flagged.groupBy(*keys).agg(*aggs)
 
 
 def nearest_level_table(df: DataFrame, targets, level_col: str = "level", descending: bool = False) -> DataFrame:

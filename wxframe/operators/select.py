@@ -124,14 +124,15 @@ def day_of(df: DataFrame, marks: DataFrame, time_col: str = "time", by=("station
 
 
 def frame_axis(df: DataFrame, axis_col: str, ascending: bool = True) -> DataFrame:
-    """Distinct values of an axis with their 0-based position.
+    """Distinct values of an axis with their 0-based position and the axis length.
 
-    The window runs over the *distinct* axis table (one row per run time or
+    The windows run over the *distinct* axis table (one row per run time or
     lead step), never over the data itself.
     """
     o = F.col(axis_col).asc() if ascending else F.col(axis_col).desc()
     return (df.select(axis_col).distinct()
-            .withColumn(f"{axis_col}_idx", (F.row_number().over(Window.orderBy(o)) - 1).cast("long")))
+            .withColumns({f"{axis_col}_idx": (F.row_number().over(Window.orderBy(o)) - 1).cast("long"),
+                          "_n": F.count(F.lit(1)).over(Window.partitionBy())}))
 
 
 def clamp_index(i: int, n: int) -> int:
@@ -144,22 +145,23 @@ def _clamped(i, n: Column) -> Column:
 
 def frame_range(df: DataFrame, start: int, end: int, axis_col: str = "time") -> DataFrame:
     """Rows whose axis position lies in [start, end] after clamping (end >= start),
-    with that position attached."""
+    with that position attached (a join with the short selected axis)."""
     ax = frame_axis(df, axis_col)
-    n = ax.agg(F.count(F.lit(1))).scalar()
-    lo = _clamped(start, n)
-    hi = F.greatest(lo, _clamped(end, n))
-    sel = ax.where(F.col(f"{axis_col}_idx").between(lo, hi))
+    lo = _clamped(start, F.col("_n"))
+    hi = F.greatest(lo, _clamped(end, F.col("_n")))
+    sel = ax.where(F.col(f"{axis_col}_idx").between(lo, hi)).drop("_n")
     return df.join(sel, axis_col, "inner")
 
 
+def axis_pick(df: DataFrame, axis_col: str, index: int) -> DataFrame:
+    """One-row table: the axis value at the clamped position."""
+    ax = frame_axis(df, axis_col)
+    return ax.where(F.col(f"{axis_col}_idx") == _clamped(index, F.col("_n"))).select(axis_col)
+
+
 def slice_field(df: DataFrame, time_index: int, step_index: int,
                 time_col: str = "time", step_col: str = "step") -> DataFrame:
-    """Rows of the 2-D field at (time_index, step_index), both clamped into range."""
-    out = df
-    for axis_col, i in ((time_col, time_index), (step_col, step_index)):
-        ax = frame_axis(df, axis_col)
-        n = ax.agg(F.count(F.lit(1))).scalar()
-        pick = ax.where(F.col(f"{axis_col}_idx") == _clamped(i, n)).agg(F.max(axis_col)).scalar()
-        out = out.where(F.col(axis_col) == pick)
-    return out
+    """Rows of the 2-D field at (time_index, step_index), both clamped into range
+    (semi-joins with two one-row axis picks)."""
+    return (df.join(axis_pick(df, time_col, time_index), time_col, "left_semi")
+            .join(axis_pick(df, step_col, step_index), step_col, "left_semi"))
