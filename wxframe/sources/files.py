@@ -68,6 +68,20 @@ def read_grid_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(GRID_POINTS_SCHEMA).csv(path)
 
 
+def partition_units(spark: SparkSession, base: str, names) -> DataFrame:
+    """Distinct partition values (``names``) present under ``base``, taken from
+    the file listing Spark already holds for planning — no data is read.
+    One row per partition folder, i.e. per month / run and member."""
+    import re
+    files = spark.read.option("basePath", base).parquet(base).inputFiles()
+    pats = [re.compile(rf"/{n}=([^/]+)/") for n in names]
+    units = set()
+    for f in files:
+        vals = tuple(m.group(1) if (m := p.search(f)) else None for p in pats)
+        units.add(vals)
+    return spark.createDataFrame(sorted(units), ", ".join(f"{n} string" for n in names))
+
+
 def check_complete(units: DataFrame, unit_cols, members, member_col: str = "member",
                    strict: bool = True) -> DataFrame:
     """Units (months / runs) that have every member.
@@ -97,16 +111,18 @@ def read_reanalysis(spark: SparkSession, base: str, strict: bool = True) -> dict
     A month lacking a member raises with ``strict`` (the month cannot be
     built), otherwise it is skipped.
     """
-    units = spark.read.option("basePath", base).parquet(base).select("year", "month", "member")
+    units = partition_units(spark, base, ["year", "month", "member"])
     complete = check_complete(units, ["year", "month"], REANALYSIS_MEMBERS, strict=strict)
+    complete = complete.select(*[F.col(c).cast("int").alias(c) for c in ("year", "month")])
     return {m: _member(spark, base, 2, m).join(complete, ["year", "month"], "left_semi").drop("member")
             for m in REANALYSIS_MEMBERS}
 
 
 def read_forecast(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Forecast members (single, pressure) of the runs that have both; incomplete runs are skipped."""
-    units = spark.read.option("basePath", base).parquet(base).select("year", "month", "day", "member")
+    units = partition_units(spark, base, ["year", "month", "day", "member"])
     complete = check_complete(units, ["year", "month", "day"], FORECAST_MEMBERS, strict=False)
+    complete = complete.select(*[F.col(c).cast("int").alias(c) for c in ("year", "month", "day")])
     return {m: _member(spark, base, 3, m).join(complete, ["year", "month", "day"], "left_semi").drop("member")
             for m in FORECAST_MEMBERS}
 
