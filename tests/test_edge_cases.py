@@ -309,3 +309,17 @@ def test_series_unknown_station_is_an_error(spark):
         SR.series(obs, ["airTemperature"], station="S9")
     with pytest.raises(S.NoVariablesError):
         SR.series(obs, ["nope"], present=["airTemperature"])
+
+
+def test_asof_join_carries_labels_across_buckets(spark):
+    from wxframe.operators import merge as M
+    right = spark.createDataFrame([(1, T("2024-01-01 10:00"), 1.0), (1, T("2024-01-03 05:00"), 3.0),
+                                   (2, T("2024-01-02 00:00"), 9.0)], "k int, rt timestamp_ntz, v double")
+    left = spark.createDataFrame([(1, T("2024-01-01 09:59")), (1, T("2024-01-01 10:00")), (1, T("2024-01-02 12:00")),
+                                  (1, T("2024-01-03 05:00")), (2, T("2024-01-05 00:00")), (3, T("2024-01-05 00:00"))],
+                                 "k int, t timestamp_ntz")
+    for bucket in ("day", "hour", "month"):
+        out = {(r.k, r.t): r.v for r in M.asof_join(left, right, ["k"], "t", "rt", ["v"], bucket=bucket).collect()}
+        assert out == {(1, T("2024-01-01 09:59")): None, (1, T("2024-01-01 10:00")): 1.0,
+                       (1, T("2024-01-02 12:00")): 1.0, (1, T("2024-01-03 05:00")): 3.0,
+                       (2, T("2024-01-05 00:00")): 9.0, (3, T("2024-01-05 00:00")): None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as _dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -107,3 +107,36 @@ def dedupe_runs(runs: DataFrame, file_date: str = "file_date", time_col: str = "
 def available_dates(runs: DataFrame, file_date: str = "file_date") -> DataFrame:
     """Distinct run dates as ``yyyy-MM-dd`` labels (sort only for presentation)."""
     return runs.select(F.date_format(file_date, "yyyy-MM-dd").alias("run_date")).distinct()
+
+
+def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, right_cols,
+              bucket: str = "day") -> DataFrame:
+    """Attach to each left row the latest right row (same ``by`` keys) at or
+    before its time — a backward as-of join; no match -> nulls.
+
+    Work is split by (keys, time bucket): inside a bucket one window over the
+    union of both sides carries the last right label forward; a right label
+    from an earlier bucket enters as a carry-in, found on the small per-bucket
+    summary (one row per key and bucket).  No key or bucket is gathered in
+    one task beyond its own rows.
+    """
+    by = list(by)
+    rc = list(right_cols)
+    lab = F.struct(F.col(right_time).alias("_rt"), *[F.col(c).alias(c) for c in rc])
+    r = right.select(*by, F.col(right_time).alias("_t"), lab.alias("_lab"))
+    l = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])) \
+        .select(*by, F.col(left_time).alias("_t"), "_row")
+    bkt = F.date_trunc(bucket, F.col("_t"))
+    summary = r.groupBy(*by, bkt.alias("_b")).agg(F.max_by("_lab", "_t").alias("_last"))
+    buckets = l.select(*by, bkt.alias("_b")).distinct().join(summary, [*by, "_b"], "full")
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = buckets.select(*by, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    u = (r.select(*by, "_t", F.lit(0).alias("_k"), "_lab", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
+         .unionByName(l.select(*by, "_t", F.lit(1).alias("_k"),
+                               F.lit(None).cast(r.schema["_lab"].dataType).alias("_lab"), "_row"))
+         .withColumn("_b", bkt))
+    w = Window.partitionBy(*by, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_in", F.last("_lab", ignorenulls=True).over(w)).where(F.col("_k") == 1)
+    u = u.join(carry, [*by, "_b"], "left")
+    m = F.coalesce(F.col("_in"), F.col("_carry"))
+    return u.select("_row.*", m["_rt"].alias(f"{right_time}_matched"), *[m[c].alias(c) for c in rc])

@@ -214,3 +214,18 @@ def reanalysis_clean_q(spark, sf_dir):
     accum = e.select(*ERA_KEYS, "tp")
     instant = e.select(*ERA_KEYS, "t2m", "u10", "v10", "tcc")
     return reanalysis_clean(accum, instant, _era_pressure(v))
+
+
+@register("asof_obs_reanalysis", """
+WITH o AS (SELECT *, CAST(substr(station, 2) AS BIGINT) % 5 AS c FROM v_obs WHERE variable = 'airTemperature'),
+e AS (SELECT CAST(round((-26.0e0 - latitude) / 0.25e0) AS BIGINT) AS c, valid_time, t2m FROM v_era5)
+SELECT o.station, o.time, o.variable, o.value, o.event_id, o.c, e.valid_time AS valid_time_matched, e.t2m
+FROM o ASOF LEFT JOIN e ON o.c = e.c AND o.time >= e.valid_time
+""")
+def asof_obs_reanalysis(spark, sf_dir):
+    # each observation takes the latest hourly reanalysis label at or before it (station -> cell by id)
+    v = Views(spark, sf_dir)
+    obs = (v.obs.where(F.col("variable") == "airTemperature")
+           .withColumn("c", F.substring("station", 2, 20).cast("long") % 5))
+    era = v.era5.select(F.round((F.lit(-26.0) - F.col("latitude")) / 0.25).cast("long").alias("c"), "valid_time", "t2m")
+    return M.asof_join(obs, era, ["c"], "time", "valid_time", ["t2m"])
