@@ -231,112 +231,148 @@ def hull_interior(points: DataFrame, hull: DataFrame, exclude=C.HULL_EXCLUDE_STA
     return considered.join(hull.select("station"), "station", "left_anti")
 
 
+def _shrunk_polygon(vx, vy, radius_m: float):
+    """Inward offset of a convex polygon by ``radius_m``: (normals, constants,
+    bbox) with ``n . p >= c`` inside, or None when nothing is left."""
+    import numpy as np
+    area2 = np.sum(vx * np.roll(vy, -1) - np.roll(vx, -1) * vy)
+    if len(vx) < 3 or area2 == 0:
+        return None
+    orient = 1.0 if area2 > 0 else -1.0
+    ex, ey = np.roll(vx, -1) - vx, np.roll(vy, -1) - vy
+    ln = np.hypot(ex, ey)
+    ok = ln > 0
+    ex, ey, ln, ax, ay = ex[ok], ey[ok], ln[ok], vx[ok], vy[ok]
+    nx, ny = -ey / ln * orient, ex / ln * orient           # inward normals
+    cst = nx * ax + ny * ay + radius_m
+    xs, ys = [], []
+    m = len(nx)
+    for i in range(m):                                      # vertices: pairwise edge-line intersections
+        for j in range(i + 1, m):
+            det = nx[i] * ny[j] - ny[i] * nx[j]
+            if abs(det) < 1e-12:
+                continue
+            px = (cst[i] * ny[j] - ny[i] * cst[j]) / det
+            py = (nx[i] * cst[j] - cst[i] * nx[j]) / det
+            if np.all(nx * px + ny * py >= cst - 1e-9):
+                xs.append(px)
+                ys.append(py)
+    if len(xs) < 3:
+        return None
+    return nx, ny, cst, (min(xs), max(xs), min(ys), max(ys))
+
+
+def fill_candidates(hull: DataFrame, radius_m: float = C.FILL_RADIUS_M,
+                    packing_scale: float = C.FILL_PACKING_SCALE, by=()) -> DataFrame:
+    """Lattice points inside the hull shrunk by ``radius_m`` in scan order:
+    (by..., row, col, x, y) in projected metres.  Rows start at the shrunken
+    polygon's lowest y and step R*sqrt(3)*s; columns start one spacing left
+    of its lowest x and step 2*R*s; odd rows are offset by R (coordinates by
+    repeated addition, as a scan would produce them).  One small pandas step
+    per hull: its input is the hull's vertices only."""
+    import numpy as np
+    import pandas as pd
+
+    by = list(by)
+    scale = max(0.25, min(packing_scale, 1.0))
+    hs = radius_m * 2.0 * scale
+    vs = radius_m * math.sqrt(3.0) * scale
+    hv = project(hull.where(F.col("hull_type") == "polygon"), x="x", y="y").select(*by, "seq", "x", "y")
+    if not by:
+        hv = hv.withColumn("_g", F.lit(0))
+    keys = by or ["_g"]
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hv.schema.fields if f.name in keys)
+    out_schema = key_schema + ", row long, col long, x double, y double"
+
+    def lattice(pdf):
+        v = pdf.sort_values("seq")
+        shr = _shrunk_polygon(v["x"].to_numpy(), v["y"].to_numpy(), radius_m)
+        rows = []
+        if shr is not None:
+            nx, ny, cst, (minx, maxx, miny, maxy) = shr
+            r, y = 0, miny
+            while y <= maxy:
+                off = radius_m if r % 2 else 0.0
+                xs = []
+                x = minx - hs
+                while x <= maxx + hs:
+                    xs.append(x + off)
+                    x += hs
+                xa = np.array(xs)
+                inside = np.all(nx[:, None] * xa[None, :] + ny[:, None] * y >= cst[:, None] - 1e-9, axis=0)
+                rows.extend((r, c, float(xa[c]), y) for c in np.nonzero(inside)[0])
+                y += vs
+                r += 1
+        out = pd.DataFrame(rows, columns=["row", "col", "x", "y"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return hv.groupBy(*keys).applyInPandas(lattice, out_schema)
+
+
 def fill_points(hull: DataFrame, stations: DataFrame, radius_m: float = C.FILL_RADIUS_M,
                 packing_scale: float = C.FILL_PACKING_SCALE, by=()) -> DataFrame:
     """Lattice points inside the hull shrunk by ``radius_m``, greedily kept in
     scan order (rows south to north, west to east) when no station and no
     kept point lies closer than 1.8 radius.
 
-    The hull (a handful of vertices) is projected with column expressions;
-    the candidate lattice, the inside test and the greedy pass are one
-    grouped pandas step per hull, since acceptance depends on scan order.
-    The lattice size is set by hull area / radius^2, not by data volume.
+    1. candidates: :func:`fill_candidates` (one pandas step per hull, input
+       = hull vertices);
+    2. station conflicts, distributed: stations and candidates meet on
+       separation-sized grid cells (each candidate probes its 3x3 cells, an
+       equi-join), conflicting candidates are removed with an anti-join —
+       exact, since stations reject a candidate whatever the order;
+    3. the greedy pass among the remaining candidates, in scan order, per
+       hull (acceptance depends on order; the group is bounded by hull area
+       / radius^2 and no longer holds any station).
     """
-    import numpy as np
     import pandas as pd
 
     by = list(by)
-    scale = max(0.25, min(packing_scale, 1.0))
-    hs = radius_m * 2.0 * scale
-    vs = radius_m * math.sqrt(3.0) * scale
-    min_sep2 = (radius_m * C.FILL_MIN_SEPARATION) ** 2
-
-    hv = project(hull.where(F.col("hull_type") == "polygon"), x="x", y="y") \
-        .select(*by, F.lit("v").alias("_kind"), "seq", "x", "y")
-    st = project(stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="x", y="y") \
-        .select(*by, F.lit("s").alias("_kind"), F.lit(-1).cast("long").alias("seq"), "x", "y")
-    both = hv.unionByName(st)
-    if not by:
-        both = both.withColumn("_g", F.lit(0))
+    cell = radius_m * C.FILL_MIN_SEPARATION
+    min_sep2 = cell ** 2
+    cand = fill_candidates(hull, radius_m, packing_scale, by)
     keys = by or ["_g"]
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.schema.fields if f.name in keys)
+    st = project(stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy") \
+        .select(*by, "sx", "sy")
+    st = st.withColumns({"_bx": F.floor(F.col("sx") / cell), "_by": F.floor(F.col("sy") / cell)})
+    probes = F.array(*[F.struct((F.floor(F.col("x") / cell) + dx).alias("_bx"),
+                                (F.floor(F.col("y") / cell) + dy).alias("_by"))
+                       for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    near = (cand.select(*keys, "row", "col", "x", "y", F.explode(probes).alias("_p"))
+            .select("*", "_p._bx", "_p._by").drop("_p")
+            .join(st, [*by, "_bx", "_by"], "inner")
+            .where((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 < min_sep2)
+            .select(*keys, "row", "col").distinct())
+    free = cand.join(near, [*keys, "row", "col"], "left_anti")
+    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cand.schema.fields if f.name in keys)
     out_schema = key_schema + ", fill_id long, x double, y double"
 
     def greedy(pdf):
-        v = pdf[pdf["_kind"] == "v"].sort_values("seq")
-        cols = [k for k in keys]
-        empty = pd.DataFrame(columns=cols + ["fill_id", "x", "y"])
-        if len(v) < 3:
-            return empty
-        vx, vy = v["x"].to_numpy(), v["y"].to_numpy()
-        area2 = np.sum(vx * np.roll(vy, -1) - np.roll(vx, -1) * vy)
-        if area2 == 0:
-            return empty
-        orient = 1.0 if area2 > 0 else -1.0
-        # shrunken polygon = intersection of the edge half-planes moved inwards by R
-        ex, ey = np.roll(vx, -1) - vx, np.roll(vy, -1) - vy
-        ln = np.hypot(ex, ey)
-        ok = ln > 0
-        ex, ey, ln, ax, ay = ex[ok], ey[ok], ln[ok], vx[ok], vy[ok]
-        nx, ny = -ey / ln * orient, ex / ln * orient           # inward normals
-        cst = nx * ax + ny * ay + radius_m                      # n . p >= cst inside
-
-        def inside(px, py):
-            return np.all(nx[:, None] * px[None, :] + ny[:, None] * py[None, :] >= cst[:, None] - 1e-9, axis=0)
-
-        # vertices of the shrunken polygon (pairwise line intersections inside all half-planes)
-        xs, ys = [], []
-        m = len(nx)
-        for i in range(m):
-            for j in range(i + 1, m):
-                det = nx[i] * ny[j] - ny[i] * nx[j]
-                if abs(det) < 1e-12:
-                    continue
-                px = (cst[i] * ny[j] - ny[i] * cst[j]) / det
-                py = (nx[i] * cst[j] - cst[i] * nx[j]) / det
-                if inside(np.array([px]), np.array([py]))[0]:
-                    xs.append(px)
-                    ys.append(py)
-        if len(xs) < 3:
-            return empty
-        minx, maxx, miny, maxy = min(xs), max(xs), min(ys), max(ys)
-        cell = radius_m * C.FILL_MIN_SEPARATION
-        grid = {}
-
-        def add(px, py):
-            grid.setdefault((math.floor(px / cell), math.floor(py / cell)), []).append((px, py))
-
-        def clear(px, py):
-            gx, gy = math.floor(px / cell), math.floor(py / cell)
-            for ix in (gx - 1, gx, gx + 1):
-                for iy in (gy - 1, gy, gy + 1):
+        pdf = pdf.sort_values(["row", "col"])
+        grid, acc = {}, []
+        for x, y in zip(pdf["x"].to_numpy(), pdf["y"].to_numpy()):
+            gx, gy = math.floor(x / cell), math.floor(y / cell)
+            clear = True
+            for ix in (gx - 1, gx, gx + 1):           # a kept point closer than the separation
+                for iy in (gy - 1, gy, gy + 1):       # lies in one of the 3x3 cells
                     for ox, oy in grid.get((ix, iy), ()):
-                        dx, dy = px - ox, py - oy
-                        if dx * dx + dy * dy < min_sep2:
-                            return False
-            return True
-
-        for sx, sy in pdf[pdf["_kind"] == "s"][["x", "y"]].to_numpy():
-            add(float(sx), float(sy))
-        acc = []
-        row, y = 0, miny
-        while y <= maxy:
-            off = radius_m if row % 2 else 0.0
-            x = minx - hs
-            while x <= maxx + hs:
-                cx = x + off
-                # a neighbour closer than the separation lies in one of the 3x3 cells
-                if inside(np.array([cx]), np.array([y]))[0] and clear(cx, y):
-                    add(cx, y)
-                    acc.append((cx, y))
-                x += hs
-            y += vs
-            row += 1
+                        if (x - ox) * (x - ox) + (y - oy) * (y - oy) < min_sep2:
+                            clear = False
+                            break
+                    if not clear:
+                        break
+                if not clear:
+                    break
+            if clear:
+                grid.setdefault((gx, gy), []).append((x, y))
+                acc.append((float(x), float(y)))
         out = pd.DataFrame({"fill_id": range(len(acc)), "x": [a[0] for a in acc], "y": [a[1] for a in acc]})
-        for k in reversed(cols):
-            out.insert(0, k, pdf[k].iloc[0])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
         return out
 
-    res = both.groupBy(*keys).applyInPandas(greedy, out_schema)
+    res = free.groupBy(*keys).applyInPandas(greedy, out_schema)
     res = unproject(res, "x", "y", "lat", "lon")
     return res.drop("_g") if not by else res
