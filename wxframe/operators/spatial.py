@@ -107,16 +107,22 @@ def idw_weights(points: DataFrame, stations: DataFrame, power: float = C.IDW_POW
                         (F.lit(1.0) / F.pow(d + eps, power)).alias("w"), (d < eps).alias("exact"))
 
 
-def idw_fill(obs: DataFrame, weights: DataFrame, time_col: str = "time", value: str = "value") -> DataFrame:
+def idw_fill(obs: DataFrame, weights: DataFrame, time_col: str = "time", value: str = "value",
+             broadcast_obs_rows: int = 2_000_000) -> DataFrame:
     """Per (time, point): a station within ``eps`` wins outright (first in
     station order), otherwise sum(w v) / sum(w) over stations with a finite
     value; no usable station -> null.
 
-    The join is on station, and the (time, point) aggregate is partial on the
-    map side, so pairs are never shuffled.
+    When the observations are few (counted, at most ``broadcast_obs_rows``)
+    they are broadcast, so the weight table is never shuffled and each task
+    combines its points' sums map-side; beyond that bound the join is a
+    shuffle join on station.
     """
     o = obs.select("station", time_col, null_nonfinite(value).alias("_v")).where(F.col("_v").isNotNull())
-    j = o.join(weights, "station", "inner")
+    if o.count() <= broadcast_obs_rows:
+        j = weights.join(F.broadcast(o), "station", "inner")
+    else:
+        j = o.join(weights, "station", "inner")
     return j.groupBy(time_col, "point_id").agg(
         F.coalesce(
             F.min_by(F.when(F.col("exact"), F.col("_v")), F.when(F.col("exact"), F.col("st_order"))),
@@ -124,6 +130,18 @@ def idw_fill(obs: DataFrame, weights: DataFrame, time_col: str = "time", value:
         ).alias("value"))
 
 
+def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str = "time",
+        value: str = "value", **kw) -> DataFrame:
+    """Inverse-distance fill of ``points`` from station observations.
+
+    Stations that never report are dropped first (semi-join): they cannot
+    contribute to any sum, so the weight table only spans reporting stations.
+    ``stations`` carries ``st_order`` (its order in the full station list,
+    used for exact-hit ties)."""
+    reporting = stations.join(obs.select("station").distinct(), "station", "left_semi")
+    return idw_fill(obs, idw_weights(points, reporting, **kw), time_col, value)
+
+
 def overlay(obs: DataFrame, stations: DataFrame, forecast: DataFrame, var: str, fc_var: str,
             cell: float = 0.25) -> DataFrame:
     """Observation next to the forecast of the nearest grid cell.

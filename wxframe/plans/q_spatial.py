@@ -98,7 +98,7 @@ FROM o JOIN w2 ON o.station = w2.station GROUP BY 1, 2
 @register("idw_fill", _idw_sql())
 def idw_fill(spark, sf_dir):
     points, st, obs = _idw_inputs(Views(spark, sf_dir))
-    out = G.idw_fill(obs, G.idw_weights(points, st))
+    out = G.idw(obs, points, st)
     return out.withColumn("value", round6("value"))
 
 
@@ -168,4 +168,4 @@ def idw_fill_lattice(spark, sf_dir):
     obs = (v.obs.where(F.col("variable") == "airTemperature")
            .groupBy("station", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time"))
            .agg(F.avg("value").alias("value")))
-    return G.idw_fill(obs, G.idw_weights(pts, st))
+    return G.idw(obs, pts, st)
