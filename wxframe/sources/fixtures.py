@@ -18,10 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _ntz(literal: str) -> Column:
-    return F.expr(f"TIMESTAMP_NTZ '{literal}'")
-
-
 def _plus_days(n: Column) -> Column:
     return F.expr(EPOCH_NTZ) + F.make_dt_interval(days=n.cast("int"))
 
