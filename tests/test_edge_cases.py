@@ -323,3 +323,16 @@ def test_asof_join_carries_labels_across_buckets(spark):
         assert out == {(1, T("2024-01-01 09:59")): None, (1, T("2024-01-01 10:00")): 1.0,
                        (1, T("2024-01-02 12:00")): 1.0, (1, T("2024-01-03 05:00")): 3.0,
                        (2, T("2024-01-05 00:00")): 9.0, (3, T("2024-01-05 00:00")): None}
+
+
+def test_idw_ignores_silent_stations_and_handles_gaps(spark):
+    pts = spark.createDataFrame([(1, -30.2, 120.3)], "point_id long, lat double, lon double")
+    st = spark.createDataFrame([("A", -30.0, 120.0, 1), ("B", -31.0, 121.0, 2), ("C", -29.0, 119.0, 3)],
+                               "station string, lat double, lon double, st_order long")
+    obs = spark.createDataFrame([("A", T("2024-01-01 00:00"), 5.0), ("B", T("2024-01-01 00:00"), 7.0),
+                                 ("A", T("2024-01-01 01:00"), 6.0), ("B", T("2024-01-01 01:00"), None)],
+                                "station string, time timestamp_ntz, value double")
+    both = {r.time: r.value for r in G.idw(obs, pts, st).collect()}
+    full = {r.time: r.value for r in G.idw_fill(obs, G.idw_weights(pts, st)).collect()}
+    assert both == full                                   # C never reports: same result without it
+    assert both[T("2024-01-01 01:00")] == 6.0              # only A is usable at 01:00
