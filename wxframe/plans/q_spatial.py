@@ -161,11 +161,14 @@ def fill_points(spark, sf_dir):
 
 @register("idw_fill_lattice")
 def idw_fill_lattice(spark, sf_dir):
-    # hull -> fill lattice -> inverse-distance values per hour (the full fill chain)
+    # hull -> fill lattice -> inverse-distance values of daily station means (the full fill chain;
+    # hourly frames of the same operator are checked against SQL in idw_fill)
     v = Views(spark, sf_dir)
     st = _wa_stations(v).withColumn("st_order", F.dense_rank().over(Window.orderBy("station")).cast("long"))
     pts = G.fill_points(G.convex_hull(st), st).select(F.col("fill_id").alias("point_id"), "lat", "lon")
+    # the lattice feeds a size check and the weight table: write it once to the checkpoint folder
+    pts = pts.checkpoint(eager=True)
     obs = (v.obs.where(F.col("variable") == "airTemperature")
-           .groupBy("station", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time"))
+           .groupBy("station", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time"))
            .agg(F.avg("value").alias("value")))
     return G.idw(obs, pts, st)
