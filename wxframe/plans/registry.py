@@ -27,8 +27,28 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_VIEW_CACHE: dict = {}
+
+
+def _session_key(spark: SparkSession):
+    """Identity of a live session (a stopped and recreated session gets a new key)."""
+    for probe in (lambda: spark._jsparkSession.sessionUUID(),          # classic
+                  lambda: spark.session_id,                             # remote
+                  lambda: spark.sparkContext.applicationId):
+        try:
+            return (id(spark), str(probe()))
+        except Exception:  # noqa: BLE001
+            continue
+    return (id(spark), None)
+
+
 class Views:
-    """Fixture views for one (session, data folder)."""
+    """Fixture views for one (session, data folder).
+
+    A view's DataFrame (a lazy plan, no data) is built once per session and
+    folder and shared by the queries that use it, which saves re-analysing
+    the same fixture plan for every query.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -37,7 +57,10 @@ class Views:
         fn = fixtures.VIEWS.get(f"v_{name}")
         if fn is None:
             raise AttributeError(name)
-        return fn(self.spark, self.sf_dir)
+        key = (_session_key(self.spark), self.spark.conf.get("spark.sql.session.timeZone"), self.sf_dir, name)
+        if key not in _VIEW_CACHE:
+            _VIEW_CACHE[key] = fn(self.spark, self.sf_dir)
+        return _VIEW_CACHE[key]
 
 
 def _load():
