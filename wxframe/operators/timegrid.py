@@ -247,11 +247,13 @@ def densify_pchip(long: DataFrame, by, step_minutes: int = 5, time_col: str = "t
     by = list(by)
     step_s = 60.0 * step_minutes
     s = long.where(F.col(value).isNotNull()).withColumn("_x", epoch_seconds(time_col))
-    bounds = s.groupBy(*by).agg((F.floor(F.min("_x") / step_s) * step_s).alias("_g0"),
-                                (F.floor(F.max("_x") / step_s) * step_s).alias("_g1"))
-    knots = s.where(F.col("_x") == F.floor(F.col("_x") / step_s) * step_s).select(*by, time_col, value, "_x")
-    counts = knots.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    k = series_positions(knots, by, time_col).join(counts, by, "inner").join(bounds, by, "inner")
+    on_grid = F.col("_x") == F.floor(F.col("_x") / step_s) * step_s
+    # one aggregate per series: grid bounds over all samples, knot count over on-grid samples
+    per_series = s.groupBy(*by).agg((F.floor(F.min("_x") / step_s) * step_s).alias("_g0"),
+                                    (F.floor(F.max("_x") / step_s) * step_s).alias("_g1"),
+                                    F.count_if(on_grid).alias("_n"))
+    knots = s.where(on_grid).select(*by, time_col, value, "_x")
+    k = series_positions(knots, by, time_col).join(per_series, by, "inner")
     k = with_halo(k, 3, block or DEFAULT_BLOCK)
     return _pchip_knots(k, by + ["_blk"], time_col, value, step_s, by)
 
