@@ -116,3 +116,18 @@ def test_streaming_ingest_matches_batch(spark, scratch):
     q2 = start_ingest(spark, root, out, checkpoint=os.path.join(scratch, "stream_ckpt"))
     q2.awaitTermination(300)
     assert spark.read.parquet(out).count() == batch.count()
+
+
+def test_grid_points_and_csv_sink_round_trip(spark, scratch):
+    from wxframe.operators import select as S
+    p = os.path.join(scratch, "grid.csv")
+    with open(p, "w") as fh:
+        fh.write("name,lat,lon\n" + "".join(f",{-26.0 - 0.25 * i},{113.0 + 0.25 * j}\n" for i in range(3) for j in range(4)))
+    grid = FS.read_grid_points(spark, p)
+    assert grid.count() == 12 and grid.where("name IS NULL").count() == 12
+    st = spark.createDataFrame([("A", -26.1, 113.5), ("B", -30.0, 113.5)], "station string, lat double, lon double")
+    inside = S.filter_by_extent(st, grid, grid_lat="lat", grid_lon="lon")
+    out = os.path.join(scratch, "inside_csv")
+    FS.write_csv(inside, out)
+    back = spark.read.option("header", True).csv(out)
+    assert [r.station for r in back.collect()] == ["A"]
