@@ -336,3 +336,18 @@ def test_idw_ignores_silent_stations_and_handles_gaps(spark):
     full = {r.time: r.value for r in G.idw_fill(obs, G.idw_weights(pts, st)).collect()}
     assert both == full                                   # C never reports: same result without it
     assert both[T("2024-01-01 01:00")] == 6.0              # only A is usable at 01:00
+
+
+def test_hot_station_is_split_into_blocks(spark):
+    from wxframe.operators.windows import series_positions, with_halo
+    rows = [("HOT", T("2024-01-01 00:00") + dt.timedelta(minutes=15 * i), float(i)) for i in range(1000)]
+    rows += [("COLD", T("2024-01-01 00:00"), 0.0)]
+    df = spark.createDataFrame(rows, "station string, time timestamp_ntz, v double")
+    pos = series_positions(df, ["station"], "time")
+    assert sorted(r._pos for r in pos.where("station = 'HOT'").collect()) == list(range(1000))
+    blocks = with_halo(pos, halo=4, block=100)
+    per_block = {r._blk: r.n for r in blocks.where("station = 'HOT'").groupBy("_blk").agg(F.count("*").alias("n")).collect()}
+    assert len(per_block) == 10 and max(per_block.values()) <= 100 + 2 * 4
+    plan = A.anomaly_frame(df.withColumnRenamed("v", "airTemperature"), solar=None, block=100) \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "_blk" in plan                                  # windows are partitioned by (station, block)
