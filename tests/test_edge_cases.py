@@ -346,8 +346,11 @@ def test_hot_station_is_split_into_blocks(spark):
     pos = series_positions(df, ["station"], "time")
     assert sorted(r._pos for r in pos.where("station = 'HOT'").collect()) == list(range(1000))
     blocks = with_halo(pos, halo=4, block=100)
-    per_block = {r._blk: r.n for r in blocks.where("station = 'HOT'").groupBy("_blk").agg(F.count("*").alias("n")).collect()}
-    assert len(per_block) == 10 and max(per_block.values()) <= 100 + 2 * 4
+    hot = blocks.where("station = 'HOT'").groupBy("_blk").agg(F.count("*").alias("n"), F.count_if("_core").alias("core"))
+    per_block = {r._blk: (r.n, r.core) for r in hot.collect()}
+    assert sorted(b for b, (_, core) in per_block.items() if core) == list(range(10))
+    assert all(core == 100 for _, core in per_block.values() if core)
+    assert max(n for n, _ in per_block.values()) <= 100 + 2 * 4     # block plus halos on both sides
     plan = A.anomaly_frame(df.withColumnRenamed("v", "airTemperature"), solar=None, block=100) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "_blk" in plan                                  # windows are partitioned by (station, block)
