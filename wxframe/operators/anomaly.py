@@ -91,7 +91,8 @@ def anomaly_frame(series: DataFrame, value: str = "airTemperature", solar: str |
         d = d.withColumn("explained", F.coalesce(
             (F.col("_scnt") >= 3) & sd.isNotNull() & (sd != 0) & (F.abs(s - F.col("_smed")) > C.SOLAR_Z * sd),
             F.lit(False)))
-    return d.drop("_med", "_prev", "_next", "_scnt", "_smed", "_ssd", "_med_thr", "_slope_thr", "_nulls", "_mhit")
+    return d.drop("_med", "_prev", "_next", "_scnt", "_smed", "_ssd", "_med_thr", "_slope_thr", "_nulls", "_mhit",
+                  "_len")
 
 
 def detect_anomalies(frame: DataFrame, by=("station",), time_col: str = "time") -> DataFrame:

@@ -21,7 +21,7 @@ DEFAULT_BLOCK = 50_000
 def series_positions(df: DataFrame, by, order_col: str, chunk: str = "day",
                      tie_col: str | None = None) -> DataFrame:
     """Adds ``_pos``: 0-based row position within each ``by`` series in
-    ``order_col`` order (``tie_col`` breaks ties)."""
+    ``order_col`` order (``tie_col`` breaks ties), and ``_len``: the series length."""
     by = list(by)
     ch = F.date_trunc(chunk, order_col).alias("_chunk")
     d = df.withColumn("_chunk", ch)
@@ -29,7 +29,8 @@ def series_positions(df: DataFrame, by, order_col: str, chunk: str = "day",
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(*order)) - 1)
     counts = d.groupBy(*by, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0))).drop("_cnt")
+    offs = counts.withColumns({"_off": F.coalesce(F.sum("_cnt").over(before), F.lit(0)),
+                               "_len": F.sum("_cnt").over(Window.partitionBy(*by))}).drop("_cnt")
     return (d.join(offs, [*by, "_chunk"], "inner")
             .withColumn("_pos", F.col("_off") + F.col("_r"))
             .drop("_off", "_r", "_chunk"))
@@ -44,9 +45,11 @@ def with_halo(df: DataFrame, halo: int, block: int = DEFAULT_BLOCK, pos: str = "
     b = F.floor(p / block)
     nxt = F.floor((p + halo) / block)
     prv = F.floor((p - halo) / block)
+    # with a known series length, no halo is sent past the last block
+    has_next = (nxt != b) & ((b + 1) * block < F.col("_len")) if "_len" in df.columns else (nxt != b)
     copies = F.array(
         F.struct(b.alias("_blk"), F.lit(True).alias("_core")),
-        F.when(nxt != b, F.struct((b + 1).alias("_blk"), F.lit(False).alias("_core"))),
+        F.when(has_next, F.struct((b + 1).alias("_blk"), F.lit(False).alias("_core"))),
         F.when((prv != b) & (p >= halo), F.struct((b - 1).alias("_blk"), F.lit(False).alias("_core"))),
     )
     return (df.withColumn("_c", F.explode(F.filter(copies, lambda x: x.isNotNull())))
