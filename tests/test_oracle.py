@@ -53,3 +53,12 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.columns == ["time", "station", "lat", "lon", "value"]
     assert df.count() >= 0
+
+
+def test_registry_is_consistent():
+    from __spark_entry__ import oracle_sql, queries
+    q, o = queries(), oracle_sql()
+    assert set(o) <= set(q)
+    assert len(q) == len(set(q))
+    for name, sql in o.items():
+        assert sql.strip(), name
