@@ -179,16 +179,15 @@ def hit_words(found: Column) -> Column:
 
 def _merge(a: Column, b: Column) -> Column:
     """Results of two blocks of items on one text."""
-    both = F.array_sort(F.arrays_zip(F.concat(a["starts"], b["starts"]).alias("s"),
-                                     F.concat(a["ends"], b["ends"]).alias("e")))
+    pair = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    both = F.array_sort(F.zip_with(F.concat(a["starts"], b["starts"]), F.concat(a["ends"], b["ends"]), pair))
     empty = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    last = lambda acc: F.element_at(acc, -1)
-    pair = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e")))
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
     joined = F.aggregate(both, empty, lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["0"] <= F.try_element_at(acc, F.lit(-1))["e"]),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                 pair(F.try_element_at(acc, F.lit(-1))["s"], F.greatest(F.try_element_at(acc, F.lit(-1))["e"], x["1"]))))
-        .otherwise(F.concat(acc, pair(x["0"], x["1"]))))
+        x["s"] <= last(acc)["e"],
+        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1),
+                 F.array(pair(last(acc)["s"], F.greatest(last(acc)["e"], x["e"])))))
+        .otherwise(F.concat(acc, F.array(pair(x["s"], x["e"])))))
     return F.struct(a["n_words"].alias("n_words"),
                     F.array_sort(F.array_union(a["items"], b["items"])).alias("items"),
                     F.transform(joined, lambda x: x["s"]).alias("starts"),

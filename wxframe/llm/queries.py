@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import decontaminate
+from . import bpe, decontaminate
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -21,7 +21,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"), "contaminated")
 
 
-_QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every whole document and the text decoded from them."""
+    vocabulary = bpe.vocabulary(spark, BYTE_BPE)
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, vocabulary).select("doc_id", "ids")
+    return bpe.decode(coded, vocabulary).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe)}
 _SQL: dict[str, str] = {}
 
 
