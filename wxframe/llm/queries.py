@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, decontaminate
+from . import bpe, chat, decontaminate, warc
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -31,8 +32,63 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe)}
-_SQL: dict[str, str] = {}
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and its turns and trained-on text read back from the formatted string."""
+    chats = table_of(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit(said).alias("text"))
+    whole = chat.joined(chat.format_chats(chats.unionByName(more)))
+    read = whole.select("conv_id", F.char_length("formatted").cast("long").alias("formatted_chars"),
+                        chat.parse(F.col("formatted")).alias("turns"))
+    trained = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = read.select("conv_id", "formatted_chars", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(said, 256).alias("turns_sha256"), trained.alias("trained"))
+    return read.select("conv_id", "n_turns", "turns_sha256", F.char_length("trained").cast("long").alias("loss_chars"),
+                       F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(k)
+), e AS (
+  SELECT *, length(regexp_replace(text,
+      '([\[<])(\\*)(/?SYS\]|/?INST\]|/?s>|/?TOOL\]|/?ROLE\]|SEP\])', '\1\\\2\3', 'g'))
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'tool' THEN 13
+        ELSE 18 + length(role) END AS n
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a content-addressed archive in the shared folder, and its records read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(table_of(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS payload_digest,
+        CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS top FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to
+FROM q
+"""
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_chat, op9_warc)}
+_SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 
 
 def _prepared(fn):
