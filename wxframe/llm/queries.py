@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, decontaminate, warc
+from . import bpe, chat, decontaminate, line_dedup, warc
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -87,7 +87,17 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_chat, op9_warc)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 words or more that an earlier document holds."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    r = F.col("result")
+    return line_dedup.annotate(docs, "result").select(
+        "doc_id", r["n_lines"].alias("n_lines"), r["n_removed"].alias("n_removed"), r["sources"].alias("source_ids"),
+        F.sha2(F.coalesce(r["text"], F.lit("")), 256).alias("text_sha256"),
+        ((r["n_removed"] > 0) & ~r["text"].rlike(r"\S")).alias("emptied"))
+
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_chat, op9_warc, op10_line_dedup)}
 _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 
 
