@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, decontaminate, line_dedup, warc
+from . import bpe, chat, decontaminate, line_dedup, quality, warc
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -87,6 +87,16 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM q
 """
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated scores of both views and of their combination for every document."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.train(docs, table_of(spark, sf_dir, "labels"))
+    s = F.col("score")
+    return quality.score(docs, model, "score").select(
+        "doc_id", s["p_text"].alias("p_text"), s["p_meta"].alias("p_meta"), s["p_good"].alias("p_good"),
+        (s["p_good"] >= quality.Settings().threshold).alias("accepted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 words or more that an earlier document holds."""
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,7 +107,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((r["n_removed"] > 0) & ~r["text"].rlike(r"\S")).alias("emptied"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_chat, op9_warc, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_chat, op5_quality, op9_warc, op10_line_dedup)}
 _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 
 
