@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, decontaminate, line_dedup, quality, warc
+from . import bpe, chat, decontaminate, line_dedup, ngram_join, quality, warc
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -32,6 +32,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return ngram_join.classes(table_of(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and its turns and trained-on text read back from the formatted string."""
     chats = table_of(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -107,7 +112,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((r["n_removed"] > 0) & ~r["text"].rlike(r"\S")).alias("emptied"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op4_chat, op5_quality, op9_warc, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op9_warc, op10_line_dedup)}
 _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 
 
@@ -119,8 +124,14 @@ def _prepared(fn):
     return run
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over the documents."""
+    import corpus_pipeline                   # at the repository's top; it uses this subpackage
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _prepared(fn) for name, fn in _QUERIES.items()}
+    return {name: _prepared(fn) for name, fn in (_QUERIES | {"pipeline": pipeline}).items()}
 
 
 def oracle_sql() -> dict[str, str]:
