@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, decontaminate, embed_dedup, line_dedup, ngram_join, quality, warc
+from . import bpe, chat, decontaminate, embed_dedup, html_text, line_dedup, ngram_join, quality, warc
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -80,6 +80,11 @@ def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table_of(spark, sf_dir, "embeddings"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table_of(spark, sf_dir, "pages"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to a content-addressed archive in the shared folder, and its records read back."""
     folder = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -117,7 +122,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((r["n_removed"] > 0) & ~r["text"].rlike(r"\S")).alias("emptied"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op6_embed_dedup, op9_warc, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op6_embed_dedup, op8_html_text, op9_warc, op10_line_dedup)}
 _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 
 
