@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from . import bpe, chat, decontaminate, embed_dedup, html_text, line_dedup, ngram_join, quality, warc
+from . import bpe, chat, decontaminate, embed_dedup, html_text, licenses, line_dedup, ngram_join, quality, warc
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -80,6 +80,14 @@ def op6_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table_of(spark, sf_dir, "embeddings"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed licence families of every document."""
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.families(docs, licenses.train(spark, docs))
+    return found.select("doc_id", "n_paragraphs", F.size("families").cast("long").alias("n_families"),
+                        F.array_join("families", ",").alias("families"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table_of(spark, sf_dir, "pages"))
@@ -122,7 +130,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((r["n_removed"] > 0) & ~r["text"].rlike(r"\S")).alias("emptied"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op6_embed_dedup, op8_html_text, op9_warc, op10_line_dedup)}
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op6_embed_dedup, op7_licenses, op8_html_text, op9_warc, op10_line_dedup)}
 _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 
 
