@@ -83,7 +83,7 @@ OTHER = [
     "The software comes with a warranty of two years.", "Tables can be reserved by phone until noon.",
     "All of the free seats were reserved for members of the public."]
 # a paragraph without any of these is unknown; every template has one
-ANCHORS = ["licen[cs]e", "licensed", "unlicense", "rights", "permission", "permitted", "public domain", "gpl", "cc0"]
+ANCHORS = ["licen[cs]e", "licensed", "unlicense", "rights", "permission", "permitted", "public domain", "[al]?gpl", "cc0"]
 
 
 @dataclass(frozen=True)
