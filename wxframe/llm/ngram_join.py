@@ -159,12 +159,15 @@ class Join:
         return spark.sparkContext.broadcast(np.sort(tokens))
 
     def _shared_entries(self, common) -> DataFrame:
-        """Prefix entries (token, id, n) of class representatives whose token another class has too."""
+        """Prefix entries (token, id, n, m) of class representatives whose token another text's prefix has too; m: how
+        many of these the set has, so that two sets share at most the smaller m prefix tokens."""
         dealt = self._entries(common).repartition("token")
         held = dealt.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
         several = dealt.join(held, "token")
-        reps = self.classes.where("n > 0").select(F.col("id"), "rep")
-        return checkpoint(several.join(reps, "id").where("id = rep").select("token", "id", "n").distinct())
+        reps = self.classes.where("n > 0 and id = rep").select("id").distinct()
+        own = several.join(reps, "id").select("token", "id", "n").distinct()
+        per_set = own.groupBy("id").agg(F.count("*").cast("int").alias("m"))
+        return checkpoint(own.join(per_set, "id").select("token", "id", "n", "m"))
 
     def _sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of the documents whose id is in ``ids``, with the tokens as 8-byte binaries."""
@@ -195,28 +198,54 @@ class Join:
 
         return other.join(centre, ["a", "salt"]).select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
+    def _fits(self, x: str, y: str) -> Column:
+        """Whether sets of sizes x.n and y.n can link, with at most the smaller m prefix tokens in common."""
+        n, k = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return _near_size(n, k, self.threshold) & (F.least(f"{x}.m", f"{y}.m") >= _least_shared(n, k, self.threshold))
+
+    def _counted(self, met: DataFrame) -> DataFrame:
+        """Pairs (a, b, shared) that share enough prefix tokens; ``met`` has a row (a, b, n, k) for each shared token."""
+        return met.groupBy("a", "b", "n", "k").agg(F.count("*").alias("shared")) \
+            .where(F.col("shared") >= _least_shared(F.col("n"), F.col("k"), self.threshold))
+
     def first_round(self) -> DataFrame:
         """Links of every class with one centre."""
         e = self.entries
-        centre = e.groupBy("token").agg(F.min(F.struct("id", "n")).alias("c"))
-        met = e.join(centre, "token").where(F.col("id") != F.col("c.id")) \
-            .where(_near_size(F.col("n"), F.col("c.n"), self.threshold)) \
-            .groupBy("id", F.col("c.id").alias("a"), "n", F.col("c.n").alias("m")).count() \
-            .where(F.col("count") >= _least_shared(F.col("n"), F.col("m"), self.threshold))
-        best = met.groupBy("id").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a"))
-        return self.verify(checkpoint(best.select("a", F.col("id").alias("b"))))
+        centre = e.groupBy("token").agg(F.min(F.struct("id", "n", "m")).alias("c")).select("token", "c.*")
+        met = e.alias("x").join(centre.alias("c"), (F.col("x.token") == F.col("c.token")) & (F.col("x.id") != F.col("c.id"))
+                                & self._fits("x", "c")) \
+            .select(F.col("c.id").alias("a"), F.col("x.id").alias("b"), F.col("x.n").alias("n"), F.col("c.n").alias("k"))
+        best = self._counted(met).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        return self.verify(checkpoint(best.select("a", "b")))
 
     def second_round(self, roots: DataFrame) -> DataFrame:
-        """Links between the components of the first round."""
-        e = self.entries.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
-        apart = e.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-        e = e.join(apart, "token").select("token", "id", "n", "root")
-        x, y = e.alias("x"), e.alias("y")
-        pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-                       & (F.col("x.root") != F.col("y.root")) & _near_size(F.col("x.n"), F.col("y.n"), self.threshold)) \
-            .groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).count() \
-            .where(F.col("count") >= _least_shared(F.col("n"), F.col("m"), self.threshold))
-        return self.verify(checkpoint(pairs.select("a", "b")))
+        """Links between the components of the first round.
+
+        Sets that are alone in their component among a token's holders are joined with each other; components with
+        several holders are joined as one row with the holders outside, and only what fits is spread to its members.
+        """
+        e = self.entries.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+        held = e.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                              F.max("m").alias("m"))
+        apart = held.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
+        held = checkpoint(held.join(apart, "token"))
+        e = checkpoint(e.join(held.select("token", "root", "c"), ["token", "root"]))
+        one = e.where("c = 1")
+        x, y = one.alias("x"), one.alias("y")
+        pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
+                F.when(F.col("x.id") < F.col("y.id"), F.col("x.n")).otherwise(F.col("y.n")).alias("n"),
+                F.when(F.col("x.id") < F.col("y.id"), F.col("y.n")).otherwise(F.col("x.n")).alias("k")]
+        single = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & self._fits("x", "y")).select(*pair)
+        num, den = self.threshold
+        group = held.where("c > 1").alias("g")
+        outside = e.alias("y").join(group, (F.col("y.token") == F.col("g.token")) & (F.col("y.root") != F.col("g.root"))
+                                    & ((F.col("y.c") == 1) | (F.col("y.root") < F.col("g.root")))
+                                    & (F.col("y.n") * den >= F.col("g.lo") * num) & (F.col("y.n") * num <= F.col("g.hi") * den)) \
+            .select("y.token", "y.id", "y.n", "y.m", F.col("g.root").alias("other"))
+        member = e.where("c > 1").alias("x")
+        spread = member.join(outside.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") == F.col("y.other"))
+                             & self._fits("x", "y")).select(*pair)
+        return self.verify(checkpoint(self._counted(single.union(spread)).select("a", "b")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold=THRESHOLD,
