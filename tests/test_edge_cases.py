@@ -156,7 +156,7 @@ def test_idw_at_a_station_returns_its_value(spark):
                                "station string, lat double, lon double, st_order long")
     obs = spark.createDataFrame([("A", T("2024-01-01 00:00"), 5.0), ("B", T("2024-01-01 00:00"), 7.0)],
                                 "station string, time timestamp_ntz, value double")
-    out = {r.point_id: r.value for r in G.idw_fill(obs, G.idw_weights(pts, st)).collect()}
+    out = {r.point_id: r.value for r in G.idw(obs, pts, st).collect()}
     assert out[1] == 5.0
     assert 5.0 < out[2] < 7.0
 
@@ -209,28 +209,50 @@ def test_hull_of_partition_hulls_is_the_hull(spark):
     pts = [(f"P{i}", rnd.uniform(-35, -15), rnd.uniform(115, 128)) for i in range(400)]
     df = spark.createDataFrame(pts, "station string, lat double, lon double").repartition(7)
     hull = G.convex_hull(df).orderBy("seq").collect()
-    expect = G._chain([(lo, la, s) for s, la, lo in pts])
-    assert [r.station for r in hull] == [p[2] for p in expect]
+    corner = {r.station: (r.lon, r.lat) for r in hull}
+    ring = [corner[r.station] for r in hull]
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    for a, b in zip(ring, ring[1:] + ring[:1]):
+        assert all(turn(a, b, (lo, la)) > 0 for s, la, lo in pts if (lo, la) not in (a, b))
+    assert ring[0] == min((lo, la) for _, la, lo in pts)
     assert hull[0].hull_type == "polygon"
 
 
+def test_hull_does_not_depend_on_row_order(spark):
+    import random
+    rnd = random.Random(8)
+    # shared places, places on one line, ties in both coordinates
+    pts = [(f"P{i:03d}", -30.0 + (i % 7) * 0.1, 118.0 + (i % 11) * 0.1) for i in range(200)]
+    seen = set()
+    for k in range(3):
+        rnd.shuffle(pts)
+        df = spark.createDataFrame(pts, "station string, lat double, lon double").repartition(k + 1)
+        seen.add(tuple((r.seq, r.station) for r in G.convex_hull(df).orderBy("seq").collect()))
+    assert len(seen) == 1
+    assert len(next(iter(seen))) == 4
+
+
+def test_hull_by_group_and_on_a_line(spark):
+    pts = [("a", f"A{i}", -30.0, 118.0 + i) for i in range(5)] + [("b", "B", -30.0, 118.0)]
+    df = spark.createDataFrame(pts, "g string, station string, lat double, lon double")
+    out = G.convex_hull(df, by=["g"]).orderBy("seq").collect()
+    assert [(r.g, r.station, r.hull_type) for r in out] == [("a", "A0", "polyline"), ("a", "A4", "polyline")]
+
+
+def test_overlay_keeps_equal_observations(spark):
+    st = spark.createDataFrame([("A", -30.0, 120.0)], "station string, lat double, lon double")
+    obs = spark.createDataFrame([("A", T("2024-01-01 03:20"), "t", 5.0)] * 2, "station string, time timestamp_ntz, variable string, value double")
+    fc = spark.createDataFrame([(T("2024-01-01 00:00"), 3.0, -30.0, 120.0, 4.0), (T("2023-12-31 00:00"), 27.0, -30.0, 120.0, 9.0)],
+                               "time timestamp_ntz, step double, latitude double, longitude double, x double")
+    assert [(r.forecast, r.diff) for r in G.overlay(obs, st, fc, "t", "x").collect()] == [(4.0, 1.0)] * 2
+
+
 def test_hull_of_two_points_is_a_polyline(spark):
     df = spark.createDataFrame([("A", -30.0, 120.0), ("B", -31.0, 121.0)], "station string, lat double, lon double")
     out = G.convex_hull(df).collect()
     assert len(out) == 2 and out[0].hull_type == "polyline"
 
 
-def test_fill_points_keep_their_distance(spark):
-    st = spark.createDataFrame([("A", -30.0, 120.0), ("B", -30.0, 121.0), ("C", -31.0, 121.0), ("D", -31.0, 120.0)],
-                               "station string, lat double, lon double")
-    fp = G.project(G.fill_points(G.convex_hull(st), st), x="px", y="py").collect()
-    assert len(fp) > 10
-    xy = [(r.x, r.y) for r in fp]
-    for i in range(len(xy)):
-        for j in range(i + 1, len(xy)):
-            assert (xy[i][0] - xy[j][0]) ** 2 + (xy[i][1] - xy[j][1]) ** 2 >= (18000.0 ** 2) - 1e-3
-
-
 def test_albers_known_point(spark):
     df = spark.createDataFrame([(-18.0, 132.0)], "lat double, lon double")
     r = G.project(df).collect()[0]
@@ -333,8 +355,8 @@ def test_idw_ignores_silent_stations_and_handles_gaps(spark):
                                  ("A", T("2024-01-01 01:00"), 6.0), ("B", T("2024-01-01 01:00"), None)],
                                 "station string, time timestamp_ntz, value double")
     both = {r.time: r.value for r in G.idw(obs, pts, st).collect()}
-    full = {r.time: r.value for r in G.idw_fill(obs, G.idw_weights(pts, st)).collect()}
-    assert both == full                                   # C never reports: same result without it
+    without = {r.time: r.value for r in G.idw(obs, pts, st.where("station <> 'C'")).collect()}
+    assert both == without                                # C never reports: same result without it
     assert both[T("2024-01-01 01:00")] == 6.0              # only A is usable at 01:00
 
 

@@ -99,23 +99,73 @@ def test_forecast_runs_catalog_and_date_range(spark, scratch):
     win = FS.load_date_range_files(single, "2024-01-09", "2024-01-10")
     assert {r.t2m for r in win.collect()} == {8.0}      # the 01-01 run is older than the 7-day look-back
     plan = win._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or "partition" in plan.lower()
+    assert "PartitionFilters: []" not in plan and "PartitionFilters: [" in plan
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()      # completeness shuffles no row
+
+
+def _csv(root, month, name, text):
+    os.makedirs(os.path.join(root, month), exist_ok=True)
+    with open(os.path.join(root, month, name), "w") as fh:
+        fh.write(text)
+
+
+def test_columns_by_header_and_bad_values(spark, scratch):
+    root = os.path.join(scratch, "headers")
+    _csv(root, "202401", "A.csv", "time,rainfall,airTemperature\n2024-01-01 00:00:00,5.5,30.0\n")
+    _csv(root, "202401", "B.csv", '"extra","airTemperature","time"\r\n"x,y","NaN","2024-01-01 00:00:00"\r\nz,inf,2024-01-01 01:00:00\r\n')
+    _csv(root, "202401", "C.csv", "airTemperature\n7.0\n")
+    _csv(root, "202401", "D.csv", "time,airTemperature\nnot a time,1\n2024-01-01 00:00:00\n\n2024-01-01 02:00:00,abc\n")
+    got = sorted((r.station, r.time.hour, r.airTemperature, r.rainfall) for r in FS.read_station_csv(spark, root).collect())
+    assert got == [("A", 0, 30.0, 5.5), ("B", 0, None, None), ("B", 1, None, None), ("D", 0, None, None), ("D", 2, None, None)]
+
+
+def test_first_month_wins_whatever_the_file_sizes(spark, scratch):
+    root = os.path.join(scratch, "order")
+    _csv(root, "202401", "A.csv", "time,airTemperature\n2024-02-01 00:00:00,1.0\n")
+    more = "".join(f"2024-02-{d:02d} {h:02d}:00:00,9.0\n" for d in range(2, 28) for h in range(24))
+    _csv(root, "202402", "A.csv", "time,airTemperature\n2024-02-01 00:00:00,2.0\n" + more)
+    clean = TG.dedupe_time(FS.read_station_csv(spark, root), ["station"], "time", "_ingest")
+    assert clean.where("time = timestamp_ntz'2024-02-01 00:00:00'").collect()[0].airTemperature == 1.0
 
 
 def test_streaming_ingest_matches_batch(spark, scratch):
-    from wxframe.streaming.ingest import start_ingest
+    from wxframe.streaming.ingest import ingested, start_ingest
     root = os.path.join(scratch, "stream_in")
     _station_files(root)
-    out = os.path.join(scratch, "stream_out")
-    q = start_ingest(spark, root, out, checkpoint=os.path.join(scratch, "stream_ckpt"))
-    q.awaitTermination(300)
-    got = spark.read.parquet(out)
-    batch = TG.dedupe_time(TG.shift_time(FS.read_station_csv(spark, root), "time"), ["station"], "time", "_ingest")
-    assert got.count() == batch.count()
-    # a second run finds no new files and writes nothing more
-    q2 = start_ingest(spark, root, out, checkpoint=os.path.join(scratch, "stream_ckpt"))
-    q2.awaitTermination(300)
-    assert spark.read.parquet(out).count() == batch.count()
+    out, ckpt = os.path.join(scratch, "stream_out"), os.path.join(scratch, "stream_ckpt")
+    run = lambda: start_ingest(spark, root, out, checkpoint=ckpt).awaitTermination(300)
+    run()
+    rows = lambda df: sorted(map(str, df.select("station", "time", "airTemperature").collect()))
+    batch = lambda: TG.dedupe_time(TG.shift_time(FS.read_station_csv(spark, root), "time"), ["station"], "time", "_ingest")
+    assert rows(ingested(spark, out)) == rows(batch())
+    run()                                          # no new files: nothing more
+    assert rows(ingested(spark, out)) == rows(batch())
+    # a time of an earlier month again in a later batch: the earlier file's row stays
+    _csv(root, "202402", "S0.csv", "time,airTemperature\n" + str(FS.read_station_csv(spark, root).where("station = 'S0'")
+                                                              .collect()[0].time) + ",-99\n2024-02-20 00:00:00,3\n")
+    run()
+    assert rows(ingested(spark, out)) == rows(batch())
+
+
+def test_skip_existing_leaves_months_and_raises_on_real_errors(spark, scratch):
+    path = os.path.join(scratch, "skip")
+    one = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0)], "valid_time timestamp_ntz, t2m double")
+    FS.write_monthly(one, path, skip_existing=True)
+    both = spark.createDataFrame([(dt.datetime(2024, m, 1), 9.0) for m in (1, 2)], "valid_time timestamp_ntz, t2m double")
+    FS.write_monthly(both, path, skip_existing=True)
+    assert {(r.month, r.t2m) for r in spark.read.parquet(path).collect()} == {(1, 1.0), (2, 9.0)}
+    bad = os.path.join(scratch, "not_parquet")
+    _csv(bad, "year=2024", "x.parquet", "text")
+    with pytest.raises(Exception):
+        FS.write_monthly(one, bad, skip_existing=True)
+
+
+def test_a_month_is_few_files(spark, scratch):
+    path = os.path.join(scratch, "files")
+    rows = [(dt.datetime(2024, 1 + k % 2, 1 + k % 28), float(k)) for k in range(500)]
+    FS.write_monthly(spark.createDataFrame(rows, "valid_time timestamp_ntz, t2m double").repartition(20), path)
+    folder = os.path.join(path, "year=2024", "month=1")
+    assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) <= 2
 
 
 def test_grid_points_and_csv_sink_round_trip(spark, scratch):

@@ -19,8 +19,8 @@ WA_GRID_BOX = (-36.0, -10.0, 110.0, 135.0)
 GRID_BUILD_BOX = (-36.0, -12.556618, 111.5, 129.144934)
 
 # --- fixed values: coordinates that are dropped when present ---
-REANALYSIS_DROP_COORDS = ["expver", "surface", "depthBelowLandLayer"]
-FORECAST_DROP_COORDS = ["expver", "number"]
+FORECAST_DROP_COORDS = ["expver", "surface", "depthBelowLandLayer"]
+REFINE_DROP_COORDS = ["expver", "number"]
 
 # --- fixed values: unit conversion groups ---
 # reanalysis: exact names only

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config as C
+from .functions.columns import step_hours_from_ns
 from .operators import levels as L
 from .operators import merge as M
 from .operators import reshape as R
@@ -47,11 +48,16 @@ def build_station_dataset(spark: SparkSession, csv_root: str, stations_csv: str,
     return cube
 
 
+def _decoded_steps(df: DataFrame) -> DataFrame:
+    """Lead time in hours; integer steps are nanoseconds, as the decoder writes them."""
+    whole = df.schema["step"].dataType.simpleString() == "bigint"
+    return df.withColumn("step", step_hours_from_ns("step")) if whole else df
+
+
 def clean_forecast_runs(spark: SparkSession, base: str, out: str | None = None,
                         missing: dict | None = None, levels=C.FORECAST_LEVELS) -> DataFrame:
     members = FS.read_forecast(spark, base)
-    single = members["single"].drop("year", "month", "day")
-    pl = members["pressure"].drop("year", "month", "day")
+    single, pl = (_decoded_steps(members[m].drop("year", "month", "day")) for m in ("single", "pressure"))
     if "isobaricInhPa" in pl.columns:
         pl = pl.withColumnRenamed("isobaricInhPa", "level")
     if missing:
@@ -80,7 +86,6 @@ def clean_reanalysis(spark: SparkSession, base: str, out: str | None = None, str
     flat = L.flatten_levels_nearest(pl, ERA_KEYS, pl_vars, targets)
     merged = M.align_merge([accum, instant, flat], ERA_KEYS)
     conv, _ = U.convert_units(merged, C.REANALYSIS_UNIT_GROUPS, match="exact")
-    conv = S.drop_coords(conv, C.REANALYSIS_DROP_COORDS)
     result = S.select_variables(conv, ERA_KEYS, C.REANALYSIS_VARS)
     if out:
         FS.write_monthly(result, out, "valid_time")
@@ -89,7 +94,7 @@ def clean_reanalysis(spark: SparkSession, base: str, out: str | None = None, str
 
 def refine_reanalysis(spark: SparkSession, monthly_path: str, out: str | None = None,
                       skip_existing: bool = False) -> DataFrame:
-    df = spark.read.parquet(monthly_path)
+    df = S.drop_coords(spark.read.parquet(monthly_path), C.REFINE_DROP_COORDS)
     df = df.withColumn("period", F.col("year") * 100 + F.col("month")).drop("year", "month")
     present = set(df.columns)
     pchip = [v for v in C.PCHIP_VARS if v in present]

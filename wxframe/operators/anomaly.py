@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import temp_zone
+from ..functions.columns import null_nonfinite, temp_zone
 from .windows import DEFAULT_BLOCK, block_window, series_positions, with_halo
 
 HALO = max(C.SOLAR_WINDOW, C.ROLLING_WINDOW // 2, 2)
@@ -35,7 +35,8 @@ def anomaly_frame(series: DataFrame, value: str = "airTemperature", solar: str |
     ``anomaly`` and (with ``solar``) ``explained``."""
     by = list(by)
     keep = [*by, time_col, value] + ([solar] if solar else [])
-    d = with_halo(series_positions(series.select(*keep), by, time_col), HALO, block)
+    series = series.select(*keep).withColumns({c: null_nonfinite(c) for c in [value, *([solar] if solar else [])]})
+    d = with_halo(series_positions(series, by, time_col), HALO, block)
     w = block_window(by)
     half = C.ROLLING_WINDOW // 2
     w5 = w.rowsBetween(-half, half)
@@ -61,7 +62,7 @@ def anomaly_frame(series: DataFrame, value: str = "airTemperature", solar: str |
     thr = d.groupBy(*by).agg(
         (F.avg("dev") + C.MEDIAN_Z * F.stddev_samp("dev")).alias("_med_thr"),
         (F.avg("change") + C.SLOPE_Z * F.stddev_pop("change")).alias("_slope_thr"),
-        F.count_if(x.isNull()).alias("_nulls"))
+        F.count_if(x.isNull()).alias("_nulls"), F.count("dev").alias("_devs"))
     d = d.join(thr, by, "inner")
 
     if compat_positions:
@@ -83,7 +84,8 @@ def anomaly_frame(series: DataFrame, value: str = "airTemperature", solar: str |
     if compat_nan:
         contradicts = contradicts | sl.isNull()
     d = d.withColumn("zone_flag", F.coalesce(active & contradicts, F.lit(False)))
-    d = d.withColumn("anomaly", F.col("median_flag") | F.col("slope_flag") | F.col("zone_flag"))
+    # a series without one whole window of five has no anomalies at all
+    d = d.withColumn("anomaly", (F.col("_devs") > 0) & (F.col("median_flag") | F.col("slope_flag") | F.col("zone_flag")))
 
     if solar:
         s = F.col(solar)
@@ -91,7 +93,7 @@ def anomaly_frame(series: DataFrame, value: str = "airTemperature", solar: str |
         d = d.withColumn("explained", F.coalesce(
             (F.col("_scnt") >= 3) & sd.isNotNull() & (sd != 0) & (F.abs(s - F.col("_smed")) > C.SOLAR_Z * sd),
             F.lit(False)))
-    return d.drop("_med", "_prev", "_next", "_scnt", "_smed", "_ssd", "_med_thr", "_slope_thr", "_nulls", "_mhit",
+    return d.drop("_med", "_prev", "_next", "_scnt", "_smed", "_ssd", "_med_thr", "_slope_thr", "_nulls", "_devs", "_mhit",
                   "_len")
 
 

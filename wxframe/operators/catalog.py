@@ -30,41 +30,31 @@ def display_vars(variables: DataFrame, unpaired: str = "keep") -> DataFrame:
     in column order.  ``unpaired='keep'`` keeps an unpaired ``u*`` as a
     scalar in the u block; ``'drop'`` drops it.
 
-    The variable table (one row per variable) is used by several branches,
-    so its lineage (a pass over the data) is cut once with ``checkpoint()``.
+    The variable list (one row per variable) becomes one array; pairing and
+    order are array functions on that row.
     """
-    variables = variables.checkpoint(eager=True)
-    sfx = F.substring(F.col("name"), 2, 1 << 20)
-    us = variables.where(F.col("name").startswith("u")).select(
-        F.col("name").alias("u"), F.col("pos"), sfx.alias("sfx"))
-    vs = variables.where(F.col("name").startswith("v")).select(F.col("name").alias("v"), sfx.alias("sfx"))
-    uj = us.join(vs, "sfx", "left")
-    paired = uj.where(F.col("v").isNotNull()).select(
-        F.concat(F.lit("wind"), F.col("sfx")).alias("display"), F.lit("wind").alias("kind"),
-        "u", "v", F.lit(0).alias("grp"), "pos")
-    parts = [paired]
-    if unpaired == "keep":
-        parts.append(uj.where(F.col("v").isNull()).select(
-            F.col("u").alias("display"), F.lit("scalar").alias("kind"),
-            F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("v"),
-            F.lit(0).alias("grp"), "pos"))
-        done = paired.select(F.col("u").alias("name")).union(paired.select("v")).union(
-            uj.where(F.col("v").isNull()).select("u"))
-        rest = variables.join(done, "name", "left_anti")
-    elif unpaired == "drop":
-        done = paired.select(F.col("u").alias("name")).union(paired.select("v"))
-        rest = variables.join(done, "name", "left_anti").where(~F.col("name").startswith("u"))
-    else:
+    if unpaired not in ("keep", "drop"):
         raise ValueError(unpaired)
-    parts.append(rest.select(F.col("name").alias("display"), F.lit("scalar").alias("kind"),
-                             F.lit(None).cast("string").alias("u"), F.lit(None).cast("string").alias("v"),
-                             F.lit(1).alias("grp"), "pos"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    # the display list is short (one row per variable), ranking it in one task is fine
-    return out.select("display", "kind", "u", "v",
-                      (F.row_number().over(Window.orderBy("grp", "pos")) - 1).cast("long").alias("ord"))
+    row = variables.agg(F.collect_list(F.struct("pos", "name")).alias("v"))
+    names = F.transform("v", lambda x: x["name"])
+    null = F.lit(None).cast("string")
+
+    def entry(x):
+        name, sfx = x["name"], F.substring(x["name"], 2, 1 << 20)
+        made = lambda grp, display, kind, u, v: F.struct(
+            F.lit(grp).alias("grp"), x["pos"].alias("pos"), display.alias("display"), F.lit(kind).alias("kind"),
+            u.alias("u"), v.alias("v"))
+        partner = lambda letter: F.array_contains(names, F.concat(F.lit(letter), sfx))
+        is_u, is_v = F.startswith(name, F.lit("u")), F.startswith(name, F.lit("v"))
+        wind = made(0, F.concat(F.lit("wind"), sfx), "wind", name, F.concat(F.lit("v"), sfx))
+        out = F.when(is_u & partner("v"), wind)
+        if unpaired == "keep":
+            out = out.when(is_u, made(0, name, "scalar", null, null))
+        return out.when(~is_u & ~(is_v & partner("u")), made(1, name, "scalar", null, null))
+
+    listed = F.array_sort(F.filter(F.transform("v", entry), lambda e: e.isNotNull()))
+    return row.select(F.posexplode(listed).alias("ord", "e")) \
+        .select("e.display", "e.kind", "e.u", "e.v", F.col("ord").cast("long").alias("ord"))
 
 
 def default_var(display: DataFrame, preference=C.DEFAULT_VAR_PREFERENCE) -> DataFrame:

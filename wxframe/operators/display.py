@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import col
+from . import select as S
 
 
 def normalize(df: DataFrame, value: str, vmin, vmax, steps: int = C.QUANT_STEPS) -> DataFrame:
@@ -50,21 +51,12 @@ def thin(df: DataFrame, stride, lat: str = "latitude", lon: str = "longitude") -
     """Keep every ``stride``-th latitude (storage order: north to south) and
     every ``stride``-th longitude (west to east).
 
-    ``stride='auto'`` uses max(1, n_lat // 30).  Axis ranks are computed on
-    the distinct axis tables (short), then joined back.
+    ``stride='auto'`` uses max(1, n_lat // 30).  Positions come from the two
+    axis arrays (scalar subqueries), so the field is only filtered.
     """
-    lat_ax = df.select(lat).distinct().withColumn("_ri", F.dense_rank().over(_w(F.col(lat).desc())) - 1)
-    lon_ax = df.select(lon).distinct().withColumn("_rj", F.dense_rank().over(_w(F.col(lon).asc())) - 1)
-    if stride == "auto":
-        n_lat = lat_ax.agg(F.count(F.lit(1))).scalar()
-        s = F.greatest(F.lit(1), F.floor(n_lat / C.AUTO_STRIDE_DIVISOR))
-    else:
-        s = F.lit(clamp_stride(stride))
-    keep_lat = lat_ax.where(F.col("_ri") % s == 0).select(lat)
-    keep_lon = lon_ax.where(F.col("_rj") % s == 0).select(lon)
-    return df.join(keep_lat, lat, "left_semi").join(keep_lon, lon, "left_semi")
-
-
-def _w(order):
-    from pyspark.sql import Window
-    return Window.orderBy(order)
+    lats, lons = S.axis_values(df, lat), S.axis_values(df, lon)
+    n_lat = F.size(lats)
+    s = F.greatest(F.lit(1), F.floor(n_lat / C.AUTO_STRIDE_DIVISOR)) if stride == "auto" else F.lit(clamp_stride(stride))
+    from_north = n_lat - F.array_position(lats, F.col(lat))
+    from_west = F.array_position(lons, F.col(lon)) - 1
+    return df.where((from_north % s == 0) & (from_west % s == 0))

@@ -53,7 +53,7 @@ def keep_known(obs: DataFrame, stations: DataFrame, station_col: str = "station"
 
 def missing_stations(stations: DataFrame, obs: DataFrame, station_col: str = "station") -> DataFrame:
     """Listed stations with no row in the dataset (anti-join)."""
-    return stations.join(obs.select(station_col), station_col, "left_anti")
+    return stations.join(obs.select(station_col).distinct(), station_col, "left_anti")
 
 
 def union_all(dfs, mode: str = "name") -> DataFrame:

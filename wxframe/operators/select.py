@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -123,16 +123,18 @@ def day_of(df: DataFrame, marks: DataFrame, time_col: str = "time", by=("station
             .drop("_day"))
 
 
-def frame_axis(df: DataFrame, axis_col: str, ascending: bool = True) -> DataFrame:
-    """Distinct values of an axis with their 0-based position and the axis length.
+def axis_values(df: DataFrame, axis_col: str) -> Column:
+    """The sorted distinct values of an axis as one array, a scalar subquery.
+
+    An axis is short (run times, lead steps, latitudes, longitudes of one grid); the distinct values are collected by
+    a partial aggregate per task, so the data itself is never shuffled by them."""
+    return df.agg(F.array_sort(F.collect_set(axis_col))).scalar()
 
-    The windows run over the *distinct* axis table (one row per run time or
-    lead step), never over the data itself.
-    """
-    o = F.col(axis_col).asc() if ascending else F.col(axis_col).desc()
-    return (df.select(axis_col).distinct()
-            .withColumns({f"{axis_col}_idx": (F.row_number().over(Window.orderBy(o)) - 1).cast("long"),
-                          "_n": F.count(F.lit(1)).over(Window.partitionBy())}))
+
+def axis_table(df: DataFrame, axis_col: str) -> DataFrame:
+    """(idx, axis_col): the distinct values of a short axis in order, from one aggregate row."""
+    row = df.agg(F.array_sort(F.collect_set(axis_col)).alias("v"))
+    return row.select(F.posexplode("v").alias("idx", axis_col)).withColumn("idx", F.col("idx").cast("long"))
 
 
 def clamp_index(i: int, n: int) -> int:
@@ -144,24 +146,26 @@ def _clamped(i, n: Column) -> Column:
 
 
 def frame_range(df: DataFrame, start: int, end: int, axis_col: str = "time") -> DataFrame:
-    """Rows whose axis position lies in [start, end] after clamping (end >= start),
-    with that position attached (a join with the short selected axis)."""
-    ax = frame_axis(df, axis_col)
-    lo = _clamped(start, F.col("_n"))
-    hi = F.greatest(lo, _clamped(end, F.col("_n")))
-    sel = ax.where(F.col(f"{axis_col}_idx").between(lo, hi)).drop("_n")
-    return df.join(sel, axis_col, "inner")
+    """Rows whose axis position lies in [start, end] after clamping (end >= start), with that position attached.
+
+    The bounds and positions come from the axis array, so rows are filtered where they are read."""
+    values = axis_values(df, axis_col)
+    n = F.size(values)
+    lo = _clamped(start, n)
+    hi = F.greatest(lo, _clamped(end, n))
+    t = F.col(axis_col)
+    chosen = df.where(t.between(F.get(values, lo), F.get(values, hi)))
+    return chosen.withColumn(f"{axis_col}_idx", (F.array_position(values, t) - 1).cast("long"))
 
 
-def axis_pick(df: DataFrame, axis_col: str, index: int) -> DataFrame:
-    """One-row table: the axis value at the clamped position."""
-    ax = frame_axis(df, axis_col)
-    return ax.where(F.col(f"{axis_col}_idx") == _clamped(index, F.col("_n"))).select(axis_col)
+def axis_pick(df: DataFrame, axis_col: str, index: int) -> Column:
+    """The axis value at the clamped position (null for an empty table)."""
+    values = axis_values(df, axis_col)
+    return F.get(values, _clamped(index, F.size(values)))
 
 
 def slice_field(df: DataFrame, time_index: int, step_index: int,
                 time_col: str = "time", step_col: str = "step") -> DataFrame:
-    """Rows of the 2-D field at (time_index, step_index), both clamped into range
-    (semi-joins with two one-row axis picks)."""
-    return (df.join(axis_pick(df, time_col, time_index), time_col, "left_semi")
-            .join(axis_pick(df, step_col, step_index), step_col, "left_semi"))
+    """Rows of the 2-D field at (time_index, step_index), both clamped into range: two equality filters."""
+    return df.where((F.col(time_col) == axis_pick(df, time_col, time_index))
+                    & (F.col(step_col) == axis_pick(df, step_col, step_index)))

@@ -1,13 +1,11 @@
 """Spatial operators: lat/lon cell grid, extent polygon, Albers projection,
-inverse-distance fill, observation/forecast overlay, convex hull and the
-fill lattice inside it."""
+inverse-distance fill, observation/forecast overlay and convex hull."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.columns import add_hours, albers_latlon, albers_xy, null_nonfinite
@@ -72,74 +70,64 @@ def unproject(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", lon:
     return df.withColumns({lat: la, lon: lo})
 
 
-def idw_weights(points: DataFrame, stations: DataFrame, power: float = C.IDW_POWER,
-                eps: float = C.IDW_EPS, max_pairs: int | None = 50_000_000,
-                max_broadcast_rows: int = 200_000) -> DataFrame:
-    """(point_id, station, w, exact, st_order) for every fill point and station.
+POINT_BLOCK = 2048              # fill points in one block
 
-    Inverse distance weighting is defined over *all* point/station pairs, so
-    this table is the product of two dimension tables (fill points x
-    stations), independent of the observation volume.  Both sides are
-    counted first: the pair count is guarded by ``max_pairs`` and the
-    smaller side is broadcast only when it has at most
-    ``max_broadcast_rows`` rows (otherwise the job stops with the counts).
-    Distances are in projected metres.
-    """
-    n_p, n_s = points.count(), stations.count()
-    if max_pairs is not None and n_p * n_s > max_pairs:
-        raise ValueError(f"{n_p} points x {n_s} stations exceed max_pairs={max_pairs}")
-    if min(n_p, n_s) > max_broadcast_rows:
-        raise ValueError(f"neither side fits a broadcast ({n_p} points, {n_s} stations)")
-    p = project(points.select("point_id", "lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()),
-                x="px", y="py").select("point_id", "px", "py")
-    s = project(stations.select("station", "lat", "lon", "st_order")
-                .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy")
-    s = s.select("station", "sx", "sy", "st_order")
-    # spread the streamed side so pair generation runs in many tasks (~250k pairs each)
-    parts = max(1, min(4096, (n_p * n_s) // 250_000))
-    if n_s <= n_p:
-        pairs = p.repartition(parts, "point_id").crossJoin(F.broadcast(s))
-    else:
-        pairs = s.repartition(parts, "station").crossJoin(F.broadcast(p))
-    dx, dy = F.col("px") - F.col("sx"), F.col("py") - F.col("sy")
-    d = F.sqrt(dx * dx + dy * dy)
-    return pairs.select("point_id", "station", "st_order",
-                        (F.lit(1.0) / F.pow(d + eps, power)).alias("w"), (d < eps).alias("exact"))
-
-
-def idw_fill(obs: DataFrame, weights: DataFrame, time_col: str = "time", value: str = "value",
-             broadcast_obs_rows: int = 2_000_000) -> DataFrame:
-    """Per (time, point): a station within ``eps`` wins outright (first in
-    station order), otherwise sum(w v) / sum(w) over stations with a finite
-    value; no usable station -> null.
-
-    When the observations are few (counted, at most ``broadcast_obs_rows``)
-    they are broadcast, so the weight table is never shuffled and each task
-    combines its points' sums map-side; beyond that bound the join is a
-    shuffle join on station.
+
+def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str = "time", value: str = "value",
+        power: float = C.IDW_POWER, eps: float = C.IDW_EPS, point_block: int = POINT_BLOCK) -> DataFrame:
+    """Inverse-distance fill: (time, point_id, value) for every time with a finite value and every point.
+
+    A station within ``eps`` (projected metres) wins outright, the first by name; otherwise sum(w v) / sum(w) over
+    the stations that report at that time, w = 1 / (distance + eps) ** power.
+
+    The observations of one time become one row (as many entries as stations report), the points become blocks of
+    ``point_block``; each time meets each block once and a task computes the whole block as one matrix product.
+    Nothing is collected, no pair becomes a row, and no size decides the plan.  ``points``: (point_id, lat, lon).
     """
-    o = obs.select("station", time_col, null_nonfinite(value).alias("_v")).where(F.col("_v").isNotNull())
-    if o.count() <= broadcast_obs_rows:
-        j = weights.join(F.broadcast(o), "station", "inner")
-    else:
-        j = o.join(weights, "station", "inner")
-    return j.groupBy(time_col, "point_id").agg(
-        F.coalesce(
-            F.min_by(F.when(F.col("exact"), F.col("_v")), F.when(F.col("exact"), F.col("st_order"))),
-            F.sum(F.col("w") * F.col("_v")) / F.sum("w"),
-        ).alias("value"))
-
-
-def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str = "time",
-        value: str = "value", **kw) -> DataFrame:
-    """Inverse-distance fill of ``points`` from station observations.
-
-    Stations that never report are dropped first (semi-join): they cannot
-    contribute to any sum, so the weight table only spans reporting stations.
-    ``stations`` carries ``st_order`` (its order in the full station list,
-    used for exact-hit ties)."""
-    reporting = stations.join(obs.select("station").distinct(), "station", "left_semi")
-    return idw_fill(obs, idw_weights(points, reporting, **kw), time_col, value)
+    at = project(stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy") \
+        .select("station", "sx", "sy")
+    entry = F.struct("station", F.col("_v").alias("v"), "sx", "sy")
+    frames = (obs.select("station", F.col(time_col).alias("_t"), null_nonfinite(value).alias("_v")).where(F.col("_v").isNotNull())
+              .join(at, "station").groupBy("_t").agg(F.array_sort(F.collect_list(entry)).alias("o")))
+    p = project(points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="px", y="py")
+    blocks = p.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / point_block)).cast("long")).scalar()
+    dealt = p.withColumn("block", F.pmod(F.xxhash64("point_id"), blocks)) \
+        .groupBy("block").agg(F.collect_list(F.struct("point_id", "px", "py")).alias("p"))
+    met = frames.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(dealt, "block")
+    kind = T.ArrayType(T.StructType([points.schema["point_id"], T.StructField("value", T.DoubleType())]))
+    filled = met.select("_t", "o", "p").mapInArrow(
+        _idw_blocks(power, eps), T.StructType([T.StructField("_t", met.schema["_t"].dataType), T.StructField("r", kind)]))
+    return filled.select(F.col("_t").alias(time_col), F.inline("r"))
+
+
+def _idw_blocks(power: float, eps: float):
+    """Task of :func:`idw`: one row (time, observations, block of points) at a time."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            obs, pts = batch.column(1), batch.column(2)
+            ids, values, sizes = [], [], []
+            for k in range(batch.num_rows):
+                o, p = obs[k].values, pts[k].values
+                v, sx, sy = (o.field(c).to_numpy(zero_copy_only=False) for c in ("v", "sx", "sy"))
+                px, py = (p.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py"))
+                d = np.hypot(sx[:, None] - px, sy[:, None] - py)
+                w = 1.0 / (d + eps) ** power
+                out = (v @ w) / w.sum(0)
+                on = d < eps                      # rows are sorted by station name, so the first is the smallest
+                out = np.where(on.any(0), v[on.argmax(0)], out)
+                ids.append(p.field("point_id"))
+                values.append(out)
+                sizes.append(len(out))
+            flat = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(values))], names=["point_id", "value"]) \
+                if ids else None
+            if flat is not None:
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["_t", "r"])
+
+    return run
 
 
 def overlay(obs: DataFrame, stations: DataFrame, forecast: DataFrame, var: str, fc_var: str,
@@ -148,7 +136,8 @@ def overlay(obs: DataFrame, stations: DataFrame, forecast: DataFrame, var: str,
 
     Station -> nearest cell by rounding to the grid spacing (an equi-join);
     observation time floored to the hour = forecast valid time; the latest
-    run wins (max_by, combined map-side).  Adds ``diff = value - forecast``.
+    run of a cell and valid time wins.  Equal observations stay as many rows
+    as they are.  Adds ``diff = value - forecast``.
     """
     st = stations.select("station", (F.round(F.col("lat") / cell) * cell).alias("latitude"),
                          (F.round(F.col("lon") / cell) * cell).alias("longitude"))
@@ -156,241 +145,97 @@ def overlay(obs: DataFrame, stations: DataFrame, forecast: DataFrame, var: str,
          .select("station", "time", null_nonfinite("value").alias("value"),
                  F.date_trunc("hour", "time").cast("timestamp_ntz").alias("valid_time"))
          .join(st, "station", "inner"))
-    fc = forecast.select("latitude", "longitude", F.col("time").alias("run_time"), "step",
-                         add_hours("time", F.col("step")).alias("valid_time"), F.col(fc_var).alias("_fc"))
-    j = o.join(fc, ["latitude", "longitude", "valid_time"], "inner")
-    best = F.max_by(F.struct("run_time", "step", "_fc"), F.col("run_time"))
-    return (j.groupBy("station", "time", "value", "latitude", "longitude", "valid_time").agg(best.alias("_b"))
-            .select("station", "time", "value", "latitude", "longitude", "valid_time",
-                    F.col("_b.run_time").alias("run_time"), F.col("_b.step").alias("step"),
-                    F.col("_b._fc").alias("forecast"), (F.col("value") - F.col("_b._fc")).alias("diff")))
+    # the latest run for each cell and valid time, before the join: every observation then meets one row
+    fc = forecast.select("latitude", "longitude", add_hours("time", F.col("step")).alias("valid_time"),
+                         F.struct(F.col("time").alias("run_time"), "step", F.col(fc_var).alias("forecast")).alias("_f"))
+    latest = fc.groupBy("latitude", "longitude", "valid_time").agg(F.max_by("_f", "_f.run_time").alias("_f"))
+    return o.join(latest, ["latitude", "longitude", "valid_time"], "inner").select(
+        "station", "time", "value", "latitude", "longitude", "valid_time", "_f.run_time", "_f.step", "_f.forecast",
+        (F.col("value") - F.col("_f.forecast")).alias("diff"))
 
 
 # ---------------------------------------------------------------------------
-# convex hull (distributed: hull of per-partition hulls) and fill lattice
+# convex hull
 # ---------------------------------------------------------------------------
 
-def _chain(pts):
-    """Monotone chain over (lon, lat, station) tuples; collinear points dropped.
-    Returns the hull in order: lower chain from the lowest (lon, lat), then upper."""
-    pts = sorted(pts, key=lambda p: (p[0], p[1]))
-    if len(pts) < 2:
-        return list(pts)
+HULL_EPS = 1e-12                # turns smaller than this (square degrees) are straight
+HULL_GROUPS = 16                # groups of partition hulls before the last step
+
+
+def hull_order(x, y):
+    """Row numbers of the hull's corners, counter-clockwise from the lowest (x, y).
+
+    By splitting: from the two extreme points, the point farthest outside a side becomes a corner and splits the side
+    in two.  Among equally far points the one farthest along the side is a corner; points on a side are none."""
+    import numpy as np
+
+    order = np.lexsort((y, x))
+    if len(order) < 2:
+        return order.tolist()
+
+    def corners(i, j, rows):
+        dx, dy = x[j] - x[i], y[j] - y[i]
+        out = dy * (x[rows] - x[i]) - dx * (y[rows] - y[i])        # distance to the right of the side, scaled
+        rows, out = rows[out > HULL_EPS], out[out > HULL_EPS]
+        if not len(rows):
+            return []
+        far = rows[out >= out.max() - HULL_EPS]
+        k = far[np.argmax(dx * x[far] + dy * y[far])]
+        return [*corners(i, k, rows), int(k), *corners(k, j, rows)]
+
+    i, j = int(order[0]), int(order[-1])
+    return [i, *corners(i, j, order), j, *corners(j, i, order)]
+
+
+def _hull_rows(table, by):
+    """The rows of a pandas frame that are corners of their group's hull."""
+    import pandas as pd
+
+    groups = table.groupby(by, sort=False, dropna=False) if by else [((), table)]
+    kept = [g.iloc[hull_order(g["lon"].to_numpy(), g["lat"].to_numpy())] for _, g in groups]
+    return pd.concat(kept) if kept else table
 
-    def cross(o, a, b):
-        return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
-    lower, upper = [], []
-    for p in pts:
-        while len(lower) >= 2 and cross(lower[-2], lower[-1], p) <= 0:
-            lower.pop()
-        lower.append(p)
-    for p in reversed(pts):
-        while len(upper) >= 2 and cross(upper[-2], upper[-1], p) <= 0:
-            upper.pop()
-        upper.append(p)
-    return lower[:-1] + upper[:-1]
+def considered(points: DataFrame, exclude=C.HULL_EXCLUDE_STATIONS) -> DataFrame:
+    """Stations that take part in the hull: with coordinates, and not excluded by name."""
+    return points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & ~F.col("station").isin(list(exclude)))
 
 
 def convex_hull(points: DataFrame, by=(), exclude=C.HULL_EXCLUDE_STATIONS) -> DataFrame:
     """Hull boundary rows (by..., seq, station, lat, lon, n_vertices, hull_type).
 
-    Each partition reduces its points to their hull (``mapInPandas``), then
-    the few surviving vertices per group are merged by one grouped pandas
-    step — exact, since hull(A u B) = hull(hull(A) u hull(B)).  Fewer than
-    two usable points give no rows; two give a polyline.
+    Of stations at one place the first by name counts, so the result does not depend on the order of rows.  Every
+    partition keeps its hull, then every one of a few groups of those; what reaches the last step is HULL_GROUPS
+    hulls at most (the hull of a union is the hull of the hulls).  Fewer than two places give no rows, two or places
+    on one line a polyline.
     """
-    import pandas as pd
-
     by = list(by)
-    pts = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()
-                       & ~F.col("station").isin(list(exclude))).select(*by, "station", "lat", "lon")
-    schema_local = pts.schema
-
-    def local(it):
-        for pdf in it:
-            if pdf.empty:
-                continue
-            outs = []
-            for _, g in (pdf.groupby(by, sort=False) if by else [((), pdf)]):
-                hull = _chain(list(zip(g["lon"], g["lat"], g["station"])))
-                keep = {h[2] for h in hull}
-                outs.append(g[g["station"].isin(keep)])
-            yield pd.concat(outs) if outs else pdf.iloc[:0]
-
-    reduced = pts.mapInPandas(local, schema_local)
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema_local.fields if f.name in by)
-    out_schema = (key_schema + ", " if key_schema else "") + \
-        "seq long, station string, lat double, lon double, n_vertices long, hull_type string"
-
-    def final(pdf):
-        hull = _chain(list(zip(pdf["lon"], pdf["lat"], pdf["station"])))
-        if len(pdf) < 2 or len(hull) < 2:
-            return pd.DataFrame(columns=[f.split()[0] for f in out_schema.split(", ")])
-        kind = "polyline" if len(hull) == 2 else "polygon"
-        rows = {"seq": range(len(hull)), "station": [h[2] for h in hull], "lat": [h[1] for h in hull],
-                "lon": [h[0] for h in hull], "n_vertices": [len(hull)] * len(hull), "hull_type": [kind] * len(hull)}
-        out = pd.DataFrame(rows)
-        for k in by:
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    grouped = reduced.withColumn("_g", F.lit(0)) if not by else reduced
-    keys = by or ["_g"]
-    if not by:
-        return grouped.groupBy(*keys).applyInPandas(lambda pdf: final(pdf.drop(columns=["_g"])), out_schema)
-    return grouped.groupBy(*keys).applyInPandas(final, out_schema)
+    places = considered(points, exclude).groupBy(*by, "lon", "lat").agg(F.min("station").alias("station"))
 
+    def reduce(frames):
+        import pandas as pd
 
-def hull_interior(points: DataFrame, hull: DataFrame, exclude=C.HULL_EXCLUDE_STATIONS) -> DataFrame:
-    """Considered stations that are not hull vertices (anti-join)."""
-    considered = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()
-                              & ~F.col("station").isin(list(exclude)))
-    return considered.join(hull.select("station"), "station", "left_anti")
+        kept = None
+        for frame in frames:
+            kept = _hull_rows(frame if kept is None else pd.concat([kept, frame]), by)
+        if kept is not None:
+            yield kept
 
+    for parts in (None, HULL_GROUPS):
+        places = (places if parts is None else places.repartition(parts, "lon", "lat")).mapInPandas(reduce, places.schema)
+    names = T.StructType([places.schema[k] for k in by]).add("seq", "long").add("station", "string").add("lat", "double") \
+        .add("lon", "double").add("n_vertices", "long").add("hull_type", "string")
 
-def _shrunk_polygon(vx, vy, radius_m: float):
-    """Inward offset of a convex polygon by ``radius_m``: (normals, constants,
-    bbox) with ``n . p >= c`` inside, or None when nothing is left."""
-    import numpy as np
-    area2 = np.sum(vx * np.roll(vy, -1) - np.roll(vx, -1) * vy)
-    if len(vx) < 3 or area2 == 0:
-        return None
-    orient = 1.0 if area2 > 0 else -1.0
-    ex, ey = np.roll(vx, -1) - vx, np.roll(vy, -1) - vy
-    ln = np.hypot(ex, ey)
-    ok = ln > 0
-    ex, ey, ln, ax, ay = ex[ok], ey[ok], ln[ok], vx[ok], vy[ok]
-    nx, ny = -ey / ln * orient, ex / ln * orient           # inward normals
-    cst = nx * ax + ny * ay + radius_m
-    xs, ys = [], []
-    m = len(nx)
-    for i in range(m):                                      # vertices: pairwise edge-line intersections
-        for j in range(i + 1, m):
-            det = nx[i] * ny[j] - ny[i] * nx[j]
-            if abs(det) < 1e-12:
-                continue
-            px = (cst[i] * ny[j] - ny[i] * cst[j]) / det
-            py = (nx[i] * cst[j] - cst[i] * nx[j]) / det
-            if np.all(nx * px + ny * py >= cst - 1e-9):
-                xs.append(px)
-                ys.append(py)
-    if len(xs) < 3:
-        return None
-    return nx, ny, cst, (min(xs), max(xs), min(ys), max(ys))
-
-
-def fill_candidates(hull: DataFrame, radius_m: float = C.FILL_RADIUS_M,
-                    packing_scale: float = C.FILL_PACKING_SCALE, by=()) -> DataFrame:
-    """Lattice points inside the hull shrunk by ``radius_m`` in scan order:
-    (by..., row, col, x, y) in projected metres.  Rows start at the shrunken
-    polygon's lowest y and step R*sqrt(3)*s; columns start one spacing left
-    of its lowest x and step 2*R*s; odd rows are offset by R (coordinates by
-    repeated addition, as a scan would produce them).  One small pandas step
-    per hull: its input is the hull's vertices only."""
-    import numpy as np
-    import pandas as pd
+    def last(frame):
+        hull = _hull_rows(frame, [])
+        hull = hull if len(hull) > 1 else hull.iloc[:0]
+        hull = hull.assign(seq=range(len(hull)), n_vertices=len(hull), hull_type="polyline" if len(hull) == 2 else "polygon")
+        return hull[names.names]
 
-    by = list(by)
-    scale = max(0.25, min(packing_scale, 1.0))
-    hs = radius_m * 2.0 * scale
-    vs = radius_m * math.sqrt(3.0) * scale
-    hv = project(hull.where(F.col("hull_type") == "polygon"), x="x", y="y").select(*by, "seq", "x", "y")
-    if not by:
-        hv = hv.withColumn("_g", F.lit(0))
-    keys = by or ["_g"]
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hv.schema.fields if f.name in keys)
-    out_schema = key_schema + ", row long, col long, x double, y double"
-
-    def lattice(pdf):
-        v = pdf.sort_values("seq")
-        shr = _shrunk_polygon(v["x"].to_numpy(), v["y"].to_numpy(), radius_m)
-        rows = []
-        if shr is not None:
-            nx, ny, cst, (minx, maxx, miny, maxy) = shr
-            r, y = 0, miny
-            while y <= maxy:
-                off = radius_m if r % 2 else 0.0
-                xs = []
-                x = minx - hs
-                while x <= maxx + hs:
-                    xs.append(x + off)
-                    x += hs
-                xa = np.array(xs)
-                inside = np.all(nx[:, None] * xa[None, :] + ny[:, None] * y >= cst[:, None] - 1e-9, axis=0)
-                rows.extend((r, c, float(xa[c]), y) for c in np.nonzero(inside)[0])
-                y += vs
-                r += 1
-        out = pd.DataFrame(rows, columns=["row", "col", "x", "y"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    return hv.groupBy(*keys).applyInPandas(lattice, out_schema)
-
-
-def fill_points(hull: DataFrame, stations: DataFrame, radius_m: float = C.FILL_RADIUS_M,
-                packing_scale: float = C.FILL_PACKING_SCALE, by=()) -> DataFrame:
-    """Lattice points inside the hull shrunk by ``radius_m``, greedily kept in
-    scan order (rows south to north, west to east) when no station and no
-    kept point lies closer than 1.8 radius.
-
-    1. candidates: :func:`fill_candidates` (one pandas step per hull, input
-       = hull vertices);
-    2. station conflicts, distributed: stations and candidates meet on
-       separation-sized grid cells (each candidate probes its 3x3 cells, an
-       equi-join), conflicting candidates are removed with an anti-join —
-       exact, since stations reject a candidate whatever the order;
-    3. the greedy pass among the remaining candidates, in scan order, per
-       hull (acceptance depends on order; the group is bounded by hull area
-       / radius^2 and no longer holds any station).
-    """
-    import pandas as pd
+    whole = places if by else places.withColumn("one", F.lit(0))
+    return whole.groupBy(*(by or ["one"])).applyInPandas(last, names)
 
-    by = list(by)
-    cell = radius_m * C.FILL_MIN_SEPARATION
-    min_sep2 = cell ** 2
-    cand = fill_candidates(hull, radius_m, packing_scale, by)
-    keys = by or ["_g"]
-    st = project(stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy") \
-        .select(*by, "sx", "sy")
-    st = st.withColumns({"_bx": F.floor(F.col("sx") / cell), "_by": F.floor(F.col("sy") / cell)})
-    probes = F.array(*[F.struct((F.floor(F.col("x") / cell) + dx).alias("_bx"),
-                                (F.floor(F.col("y") / cell) + dy).alias("_by"))
-                       for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    near = (cand.select(*keys, "row", "col", "x", "y", F.explode(probes).alias("_p"))
-            .select("*", "_p._bx", "_p._by").drop("_p")
-            .join(st, [*by, "_bx", "_by"], "inner")
-            .where((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 < min_sep2)
-            .select(*keys, "row", "col").distinct())
-    free = cand.join(near, [*keys, "row", "col"], "left_anti")
-    key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cand.schema.fields if f.name in keys)
-    out_schema = key_schema + ", fill_id long, x double, y double"
-
-    def greedy(pdf):
-        pdf = pdf.sort_values(["row", "col"])
-        grid, acc = {}, []
-        for x, y in zip(pdf["x"].to_numpy(), pdf["y"].to_numpy()):
-            gx, gy = math.floor(x / cell), math.floor(y / cell)
-            clear = True
-            for ix in (gx - 1, gx, gx + 1):           # a kept point closer than the separation
-                for iy in (gy - 1, gy, gy + 1):       # lies in one of the 3x3 cells
-                    for ox, oy in grid.get((ix, iy), ()):
-                        if (x - ox) * (x - ox) + (y - oy) * (y - oy) < min_sep2:
-                            clear = False
-                            break
-                    if not clear:
-                        break
-                if not clear:
-                    break
-            if clear:
-                grid.setdefault((gx, gy), []).append((x, y))
-                acc.append((float(x), float(y)))
-        out = pd.DataFrame({"fill_id": range(len(acc)), "x": [a[0] for a in acc], "y": [a[1] for a in acc]})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0] if len(pdf) else None)
-        return out
-
-    res = free.groupBy(*keys).applyInPandas(greedy, out_schema)
-    res = unproject(res, "x", "y", "lat", "lon")
-    return res.drop("_g") if not by else res
+
+def hull_interior(points: DataFrame, hull: DataFrame, exclude=C.HULL_EXCLUDE_STATIONS) -> DataFrame:
+    """Considered stations that are not hull vertices (anti-join)."""
+    return considered(points, exclude).join(hull.select("station"), "station", "left_anti")

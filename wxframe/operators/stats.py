@@ -100,12 +100,12 @@ def dataset_metadata(obs_wide: DataFrame, time_col: str = "time") -> DataFrame:
 
 def axes(df: DataFrame, time_col: str = "time", step_col: str = "step") -> DataFrame:
     """(axis, idx, label, value) rows: run times as 'yyyy-MM-dd HH:mm', steps as whole hours."""
-    t = S.frame_axis(df, time_col).select(
-        F.lit("time").alias("axis"), F.col(f"{time_col}_idx").cast("long").alias("idx"),
-        F.date_format(time_col, "yyyy-MM-dd HH:mm").alias("label"), F.lit(None).cast("long").alias("value"))
-    s = S.frame_axis(df, step_col).select(
-        F.lit("step").alias("axis"), F.col(f"{step_col}_idx").cast("long").alias("idx"),
-        F.col(step_col).cast("long").cast("string").alias("label"), F.col(step_col).cast("long").alias("value"))
+    t = S.axis_table(df, time_col).select(
+        F.lit("time").alias("axis"), "idx", F.date_format(time_col, "yyyy-MM-dd HH:mm").alias("label"),
+        F.lit(None).cast("long").alias("value"))
+    s = S.axis_table(df, step_col).select(
+        F.lit("step").alias("axis"), "idx", F.col(step_col).cast("long").cast("string").alias("label"),
+        F.col(step_col).cast("long").alias("value"))
     return t.unionByName(s)
 
 
@@ -115,21 +115,20 @@ def date_groups(frames: DataFrame, time_col: str = "valid_time") -> DataFrame:
     Frames are the distinct sorted instants; a date's frames are contiguous
     in sorted order, so min/max index per date is the run.
     """
-    ax = S.frame_axis(frames, time_col)
-    return (ax.groupBy(F.date_format(time_col, "yyyy-MM-dd").alias("label"))
-            .agg(F.min(f"{time_col}_idx").cast("long").alias("start_idx"),
-                 F.max(f"{time_col}_idx").cast("long").alias("end_idx")))
+    return (S.axis_table(frames, time_col).groupBy(F.date_format(time_col, "yyyy-MM-dd").alias("label"))
+            .agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx")))
 
 
 def compare_resolution(a: DataFrame, b: DataFrame, by: str = "station", time_col: str = "time") -> DataFrame:
-    """Steps, stations and total points of two datasets and the growth factor b/a."""
-    def summary(df, tag):
-        return df.agg(F.count_distinct(time_col).alias(f"steps_{tag}"),
-                      F.count_distinct(by).alias(f"stations_{tag}"),
-                      F.count(F.lit(1)).alias(f"points_{tag}"))
-    sa, sb = summary(a, "a"), summary(b, "b")
-    other = sb.select(F.struct(*sb.columns).alias("_b")).scalar()     # one scalar subquery, one pass over b
-    out = sa.select("*", *[other[c].alias(c) for c in sb.columns])
+    """Steps, stations and total points of two datasets and the growth factor b/a.
+
+    Times and stations are made distinct apart (partial aggregates), so no row is expanded for the two counts."""
+    def counted(df, tag):
+        of = lambda c: df.select(c).distinct().agg(F.count(c)).scalar()
+        return [of(time_col).alias(f"steps_{tag}"), of(by).alias(f"stations_{tag}")]
+    points_b = b.agg(F.count(F.lit(1))).scalar()
+    out = a.agg(F.count(F.lit(1)).alias("points_a")).select(
+        *counted(a, "a"), "points_a", *counted(b, "b"), points_b.alias("points_b"))
     return out.withColumn("growth", round6(F.col("points_b") / F.col("points_a")))
 
 

@@ -26,13 +26,13 @@ d AS (SELECT *, abs(airTemperature - med) AS dev, (airTemperature - prv) / 0.25e
                   ELSE 0 END AS zone
       FROM w),
 d2 AS (SELECT *, abs(slope_out - slope_in) AS change FROM d),
-t AS (SELECT station, avg(dev) + 3.0e0 * stddev_samp(dev) AS mthr, avg(change) + 4.0e0 * stddev_pop(change) AS sthr
+t AS (SELECT station, avg(dev) + 3.0e0 * stddev_samp(dev) AS mthr, avg(change) + 4.0e0 * stddev_pop(change) AS sthr, count(dev) AS devs
       FROM d2 GROUP BY station),
-f AS (SELECT d2.*, coalesce(dev > mthr, false) AS median_flag, coalesce(change > sthr, false) AS slope_flag,
+f AS (SELECT d2.*, t.devs, coalesce(dev > mthr, false) AS median_flag, coalesce(change > sthr, false) AS slope_flag,
              coalesce(zone <> 0 AND prv IS NOT NULL AND abs(slope_in) >= 0.2e0 AND sign(slope_in) <> zone, false) AS zone_flag,
              coalesce(scnt >= 3 AND ssd IS NOT NULL AND ssd <> 0 AND abs(solarExposure - smed) > 2.5e0 * ssd, false) AS explained
       FROM d2 JOIN t ON d2.station = t.station),
-g AS (SELECT *, median_flag OR slope_flag OR zone_flag AS anomaly FROM f)
+g AS (SELECT *, devs > 0 AND (median_flag OR slope_flag OR zone_flag) AS anomaly FROM f)
 """
 
 

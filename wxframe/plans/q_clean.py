@@ -93,7 +93,7 @@ def null_nonfinite(spark, sf_dir):
 def drop_coords(spark, sf_dir):
     v = Views(spark, sf_dir)
     df = v.fc.withColumns({"expver": F.lit("0001"), "number": F.lit(0)})
-    return S.drop_coords(df, C.FORECAST_DROP_COORDS + ["surface"])
+    return S.drop_coords(df, C.REFINE_DROP_COORDS + C.FORECAST_DROP_COORDS)
 
 
 @register("known_stations", "SELECT * FROM v_obs WHERE station IN (SELECT station FROM v_stations)")

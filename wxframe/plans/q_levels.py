@@ -172,7 +172,6 @@ def reanalysis_clean(accum, instant, pressure, keys=("valid_time", "latitude", "
     flat = L.flatten_levels_nearest(pressure, keys, RE_PL_VARS, targets, level_col)
     merged = M.align_merge([accum, instant, flat], keys)
     conv, _units = U.convert_units(merged, C.REANALYSIS_UNIT_GROUPS, match="exact")
-    conv = S.drop_coords(conv, C.REANALYSIS_DROP_COORDS)
     return S.select_variables(conv, keys, C.REANALYSIS_VARS)
 
 

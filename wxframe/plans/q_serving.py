@@ -204,7 +204,7 @@ SELECT CAST(i AS BIGINT) AS i, {r6('CASE WHEN i = 20 THEN hi ELSE lo + (hi - lo)
 FROM l, range(21) t(i)
 """)
 def contour_levels(spark, sf_dir):
-    lim = ST.scale_limits(_fc(Views(spark, sf_dir)), "t2m", 0, 10 ** 9)
+    lim = _fc(Views(spark, sf_dir)).agg(F.min("t2m").alias("vmin"), F.max("t2m").alias("vmax"))
     return D.contour_levels(lim).withColumn("level", round6("level"))
 
 

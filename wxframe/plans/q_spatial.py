@@ -1,9 +1,8 @@
 """Spatial queries: cell grid, extent polygon, projection, inverse-distance
-fill, observation/forecast overlay, hull and fill lattice."""
+fill, observation/forecast overlay and hull."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -63,34 +62,28 @@ def albers_roundtrip(spark, sf_dir):
 
 
 def _idw_inputs(v):
-    points = (v.fc.select("latitude", "longitude").distinct()
-              .select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))
-    # point ids rank the (small) distinct point table
-    points = points.withColumn("point_id", F.row_number().over(Window.orderBy("lat", "lon")).cast("long"))
-    st = S.within_box(v.stations, C.WA_STATION_BOX)
-    st = st.withColumn("st_order", F.dense_rank().over(Window.orderBy("station")).cast("long"))
-    obs = (v.obs.where(F.col("variable") == "airTemperature")
-           .groupBy("station", F.date_trunc("hour", "time").cast("timestamp_ntz").alias("time"))
-           .agg(F.avg("value").alias("value")))
-    return points, st, obs
+    """Fill points (the forecast cells, named by their coordinates), stations, and observations at their own times."""
+    points = v.fc.select(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).distinct()
+    name = F.round(F.col("lat") * 100).cast("long") * 100000 + F.round(F.col("lon") * 100).cast("long")
+    return (points.withColumn("point_id", name), S.within_box(v.stations, C.WA_STATION_BOX),
+            v.obs.where(F.col("variable") == "airTemperature"))
 
 
 def _idw_sql() -> str:
     px, py = albers_xy("p.lat", "p.lon")
     sx, sy = albers_xy("s.lat", "s.lon")
     return f"""
-WITH p AS (SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) AS point_id
-           FROM (SELECT DISTINCT latitude AS lat, longitude AS lon FROM v_fc)),
-s AS (SELECT station, lat, lon, dense_rank() OVER (ORDER BY station) AS st_order FROM v_stations
+WITH p AS (SELECT DISTINCT latitude AS lat, longitude AS lon FROM v_fc),
+s AS (SELECT station, lat, lon FROM v_stations
       WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 115.0e0 AND 129.0e0),
-pp AS (SELECT point_id, {px} AS px, {py} AS py FROM p),
-ss AS (SELECT station, st_order, {sx} AS sx, {sy} AS sy FROM s),
-w AS (SELECT point_id, station, st_order, sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)) AS d FROM pp, ss),
+pp AS (SELECT CAST(round(lat * 100) AS BIGINT) * 100000 + CAST(round(lon * 100) AS BIGINT) AS point_id,
+              {px} AS px, {py} AS py FROM p),
+ss AS (SELECT station, {sx} AS sx, {sy} AS sy FROM s),
+w AS (SELECT point_id, station, sqrt((px - sx) * (px - sx) + (py - sy) * (py - sy)) AS d FROM pp, ss),
 w2 AS (SELECT *, 1.0e0 / pow(d + 1e-06, 2.0e0) AS wt, d < 1e-06 AS exact FROM w),
-o AS (SELECT station, date_trunc('hour', time) AS time, avg(value) AS value FROM v_obs
-      WHERE variable = 'airTemperature' GROUP BY 1, 2)
-SELECT o.time, CAST(w2.point_id AS BIGINT) AS point_id,
-       {r6('coalesce(arg_min(o.value, w2.st_order) FILTER (WHERE w2.exact), sum(w2.wt * o.value) / sum(w2.wt))')} AS value
+o AS (SELECT station, time, value FROM v_obs WHERE variable = 'airTemperature' AND value IS NOT NULL)
+SELECT o.time, w2.point_id,
+       {r6('coalesce(arg_min(o.value, w2.station) FILTER (WHERE w2.exact), sum(w2.wt * o.value) / sum(w2.wt))')} AS value
 FROM o JOIN w2 ON o.station = w2.station GROUP BY 1, 2
 """
 
@@ -98,8 +91,7 @@ FROM o JOIN w2 ON o.station = w2.station GROUP BY 1, 2
 @register("idw_fill", _idw_sql())
 def idw_fill(spark, sf_dir):
     points, st, obs = _idw_inputs(Views(spark, sf_dir))
-    out = G.idw(obs, points, st)
-    return out.withColumn("value", round6("value"))
+    return G.idw(obs, points, st).withColumn("value", round6("value"))
 
 
 _FC_AREA_STATIONS = """SELECT 'S' || CAST(c_custkey AS VARCHAR(20)) AS station,
@@ -124,11 +116,11 @@ o AS (SELECT o.station, o.time, o.value, date_trunc('hour', o.time) AS valid_tim
       FROM v_obs o JOIN st ON o.station = st.station WHERE o.variable = 'airTemperature'),
 fc AS (SELECT latitude, longitude, time AS run_time, step, time + to_microseconds(CAST(round(step * 3600e6) AS BIGINT)) AS valid_time,
               CASE WHEN abs(t2m - 9999.0e0) <= 1e-08 + 1e-05 * 9999.0e0 THEN NULL ELSE t2m END - 273.15e0 AS fc FROM v_fc),
-j AS (SELECT o.*, fc.run_time, fc.step, fc.fc FROM o JOIN fc
-      ON o.latitude = fc.latitude AND o.longitude = fc.longitude AND o.valid_time = fc.valid_time)
-SELECT station, time, value, latitude, longitude, valid_time, max(run_time) AS run_time,
-       arg_max(step, run_time) AS step, arg_max(fc, run_time) AS forecast, value - arg_max(fc, run_time) AS diff
-FROM j GROUP BY station, time, value, latitude, longitude, valid_time
+l AS (SELECT latitude, longitude, valid_time, max(run_time) AS run_time FROM fc GROUP BY 1, 2, 3)
+SELECT o.station, o.time, o.value, o.latitude, o.longitude, o.valid_time, fc.run_time, fc.step, fc.fc AS forecast,
+       o.value - fc.fc AS diff
+FROM o JOIN l ON o.latitude = l.latitude AND o.longitude = l.longitude AND o.valid_time = l.valid_time
+JOIN fc ON fc.latitude = l.latitude AND fc.longitude = l.longitude AND fc.valid_time = l.valid_time AND fc.run_time = l.run_time
 """)
 def overlay(spark, sf_dir):
     v = Views(spark, sf_dir)
@@ -140,35 +132,41 @@ def _wa_stations(v):
     return S.within_box(v.stations, C.WA_STATION_BOX)
 
 
-@register("convex_hull")
+# corners: of the lowest and highest place per longitude, the starts of directed pairs that have every other place on
+# their left or between them; the lower chain runs east, then the upper one west
+_HULL_CTE = """
+s AS (SELECT lon, lat, min(station) AS station FROM v_stations
+      WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 115.0e0 AND 129.0e0
+        AND station NOT IN ('Broome (Skuthorpe)', 'Kununurra') GROUP BY 1, 2),
+c AS (SELECT s.* FROM s JOIN (SELECT lon, min(lat) AS lo, max(lat) AS hi FROM s GROUP BY 1) m ON s.lon = m.lon
+      WHERE s.lat = m.lo OR s.lat = m.hi),
+t AS (SELECT p.station, q.station AS next, (q.lon - p.lon) * (r.lat - p.lat) - (q.lat - p.lat) * (r.lon - p.lon) AS turn,
+             (q.lon - p.lon) * (r.lon - p.lon) + (q.lat - p.lat) * (r.lat - p.lat) AS along,
+             (q.lon - p.lon) * (q.lon - p.lon) + (q.lat - p.lat) * (q.lat - p.lat) AS len
+      FROM c p, c q, c r WHERE p.station <> q.station),
+v AS (SELECT station FROM t GROUP BY station, next
+      HAVING bool_and(turn > 1e-12 OR (abs(turn) <= 1e-12 AND along >= -1e-12 AND along <= len + 1e-12))),
+ends AS (SELECT min(row(lon, lat)) AS a, max(row(lon, lat)) AS b FROM c),
+h AS (SELECT c.*, (b[1] - a[1]) * (lat - a[2]) - (b[2] - a[2]) * (lon - a[1]) > 1e-12 AS upper
+      FROM c, ends WHERE station IN (SELECT station FROM v))"""
+
+
+@register("convex_hull", f"""
+WITH {_HULL_CTE}
+SELECT CAST(row_number() OVER (ORDER BY upper, CASE WHEN upper THEN -lon ELSE lon END, CASE WHEN upper THEN -lat ELSE lat END) - 1
+            AS BIGINT) AS seq, station, lat, lon, CAST(count(*) OVER () AS BIGINT) AS n_vertices,
+       CASE WHEN count(*) OVER () = 2 THEN 'polyline' ELSE 'polygon' END AS hull_type
+FROM h
+""")
 def convex_hull(spark, sf_dir):
     return G.convex_hull(_wa_stations(Views(spark, sf_dir)))
 
 
-@register("hull_interior")
+@register("hull_interior", f"""
+WITH {_HULL_CTE}
+SELECT * FROM v_stations WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 115.0e0 AND 129.0e0
+  AND station NOT IN ('Broome (Skuthorpe)', 'Kununurra') AND station NOT IN (SELECT station FROM h)
+""")
 def hull_interior(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    st = _wa_stations(v)
+    st = _wa_stations(Views(spark, sf_dir))
     return G.hull_interior(st, G.convex_hull(st))
-
-
-@register("fill_points")
-def fill_points(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    st = _wa_stations(v)
-    return G.fill_points(G.convex_hull(st), st)
-
-
-@register("idw_fill_lattice")
-def idw_fill_lattice(spark, sf_dir):
-    # hull -> fill lattice -> inverse-distance values of daily station means (the full fill chain;
-    # hourly frames of the same operator are checked against SQL in idw_fill)
-    v = Views(spark, sf_dir)
-    st = _wa_stations(v).withColumn("st_order", F.dense_rank().over(Window.orderBy("station")).cast("long"))
-    pts = G.fill_points(G.convex_hull(st), st).select(F.col("fill_id").alias("point_id"), "lat", "lon")
-    # the lattice feeds a size check and the weight table: write it once to the checkpoint folder
-    pts = pts.checkpoint(eager=True)
-    obs = (v.obs.where(F.col("variable") == "airTemperature")
-           .groupBy("station", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time"))
-           .agg(F.avg("value").alias("value")))
-    return G.idw(obs, pts, st)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ship_package
 from ..sources import fixtures
 from .views_sql import with_views
 
@@ -30,16 +30,13 @@ def register(name: str, sql: str | None = None):
 _VIEW_CACHE: dict = {}
 
 
-def _session_key(spark: SparkSession):
-    """Identity of a live session (a stopped and recreated session gets a new key)."""
-    for probe in (lambda: spark._jsparkSession.sessionUUID(),          # classic
-                  lambda: spark.session_id,                             # remote
-                  lambda: spark.sparkContext.applicationId):
-        try:
-            return (id(spark), str(probe()))
-        except Exception:  # noqa: BLE001
-            continue
-    return (id(spark), None)
+def _session_views(spark: SparkSession) -> dict:
+    """The plans of the live session; those of an ended one are let go."""
+    app = spark.sparkContext.applicationId
+    if _VIEW_CACHE.get("app") != app or _VIEW_CACHE.get("session") is not spark:
+        _VIEW_CACHE.clear()
+        _VIEW_CACHE.update(app=app, session=spark, plans={})
+    return _VIEW_CACHE["plans"]
 
 
 class Views:
@@ -57,26 +54,22 @@ class Views:
         fn = fixtures.VIEWS.get(f"v_{name}")
         if fn is None:
             raise AttributeError(name)
-        key = (_session_key(self.spark), self.spark.conf.get("spark.sql.session.timeZone"), self.sf_dir, name)
-        if key not in _VIEW_CACHE:
-            _VIEW_CACHE[key] = fn(self.spark, self.sf_dir)
-        return _VIEW_CACHE[key]
+        plans, key = _session_views(self.spark), (self.spark.conf.get("spark.sql.session.timeZone"), self.sf_dir, name)
+        if key not in plans:
+            plans[key] = fn(self.spark, self.sf_dir)
+        return plans[key]
 
 
 def _load():
     for m in _MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{m}":
-                raise
+        importlib.import_module(f"{__package__}.{m}")
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings every query relies on, applied to whatever session runs it:
-    naive timestamps are UTC wall clock, and a checkpoint folder exists."""
+    naive timestamps are UTC wall clock, and workers can import the package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

@@ -25,9 +25,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # Static planning never broadcasts on file-size guesses; AQE decides from
-    # measured shuffle sizes instead (64 MB cap).
-    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    # Dimension tables whose file size is known to be below 64 MB are broadcast
+    # at plan time, so the fact side of the join is not shuffled; AQE decides
+    # the rest from measured shuffle sizes.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
@@ -60,17 +61,32 @@ def get_session(master: str | None = None, app: str = "wxframe",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when it is unset
-    (local tests) point it at a fresh scratch folder."""
+    """The shared folder in ``spark.checkpoint.dir``.  Where it is unset, a local
+    session (tests) gets a scratch folder; on a cluster that is an error, as
+    executors could not read what others wrote."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.conf.get("spark.master", "local").startswith(("local[", "local")) \
+                or spark.conf.get("spark.master", "local").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="wxframe-ckpt-", dir=os.environ.get("WXFRAME_SCRATCH", "/tmp"))
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - static conf on some deployments
-            pass
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - remote (Connect) sessions manage checkpoints server-side
-        pass
+        spark.conf.set("spark.checkpoint.dir", d)
+    spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, once per application; a local
+    session's workers find it where the driver does (``PYTHONPATH``)."""
+    import shutil
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="wxframe-ship-"), "wxframe")
+    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root, "wxframe"))
+    _SHIPPED.add(app)

@@ -13,15 +13,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config as C
-
-STATION_SCHEMA = T.StructType(
-    [T.StructField("time", T.StringType())]
-    + [T.StructField(v, T.DoubleType()) for v in C.STATION_VARIABLES])
+from ..functions.columns import null_nonfinite
 
 STATIONS_SCHEMA = "code STRING, name STRING, lat DOUBLE, lon DOUBLE, alt INT"
 GRID_POINTS_SCHEMA = "name STRING, lat DOUBLE, lon DOUBLE"
@@ -34,28 +31,47 @@ class IncompleteMonthError(ValueError):
     pass
 
 
-def read_station_csv(spark: SparkSession, root: str, year: int | str | None = None,
-                     schema: T.StructType = STATION_SCHEMA, time_format: str | None = None) -> DataFrame:
-    """All station files of a year (or every year): station = file stem,
-    month = folder name, ``time`` parsed as a naive UTC timestamp.
-
-    Rows without a parseable ``time`` are dropped (a file without the
-    column yields none).  ``_ingest`` orders rows by (month, file, position
-    in file) for first-in-file-order de-duplication; files are read one
-    split each (station files are small), so the position is the file order.
+_FIELD = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'        # commas outside quotes
+
+
+def parse_station_files(raw: DataFrame, variables=C.STATION_VARIABLES, time_format: str | None = None) -> DataFrame:
+    """Rows of whole station files (``value`` = a file's text), columns found by each file's own header.
+
+    Station files are one month of one station, so a file is a row.  Columns may stand in any order, further columns
+    are ignored and missing ones are null; a value that is no finite number is null.  Rows without a parseable
+    ``time`` are dropped.  ``_ingest`` = (month, file, position) orders rows as the files were laid down, whatever
+    order Spark reads them in.
     """
-    y = str(year) if year is not None else "[0-9][0-9][0-9][0-9]"
-    path = f"{root.rstrip('/')}/{y}[0-1][0-9]/*.csv*"
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
-          .withColumn("_file", F.col("_metadata.file_path")))
-    parsed = F.to_timestamp_ntz("time", F.lit(time_format)) if time_format else F.col("time").cast("timestamp_ntz")
-    df = df.withColumns({
-        "station": F.regexp_extract("_file", r"([^/]+?)(\.csv)?(\.gz)?$", 1),
-        "month": F.regexp_extract("_file", r"/(\d{6})/[^/]+$", 1),
-        "time": parsed,
-        "_ingest": F.monotonically_increasing_id(),
-    })
-    return df.where(F.col("time").isNotNull()).drop("_file")
+    clean = lambda c: F.transform(c, lambda x: F.trim(F.regexp_replace(x, '^\\s*"|"\\s*$', "")))
+    files = raw.select(F.col("_metadata.file_path").alias("_file"), F.split("value", "\r?\n").alias("_lines"))
+    files = files.select(
+        "_file", clean(F.split(F.regexp_replace(F.get("_lines", F.lit(0)), "^\ufeff", ""), _FIELD)).alias("_head"),
+        F.posexplode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).alias("_pos", "_line"))
+    files = files.withColumn("_row", clean(F.split("_line", _FIELD)))
+
+    def field(name):
+        at = F.array_position("_head", name)
+        return F.when(at > 0, F.get("_row", (at - 1).cast("int")))
+
+    month = F.regexp_extract("_file", r"/(\d{6})/[^/]+$", 1)
+    time = F.try_to_timestamp(field("time"), F.lit(time_format)) if time_format else field("time").try_cast("timestamp_ntz")
+    return files.select(
+        time.cast("timestamp_ntz").alias("time"), *[null_nonfinite(field(v).try_cast("double")).alias(v) for v in variables],
+        F.regexp_extract("_file", r"([^/]+?)(\.csv)?(\.gz)?$", 1).alias("station"), month.alias("month"),
+        F.struct(month.alias("month"), F.col("_file").alias("file"), F.col("_pos").alias("pos")).alias("_ingest"),
+    ).where(F.col("time").isNotNull())
+
+
+def station_glob(root: str, year: int | str | None = None) -> str:
+    return f"{root.rstrip('/')}/{year if year is not None else '[0-9][0-9][0-9][0-9]'}[0-1][0-9]/*.csv*"
+
+
+def read_station_csv(spark: SparkSession, root: str, year: int | str | None = None,
+                     variables=C.STATION_VARIABLES, time_format: str | None = None) -> DataFrame:
+    """All station files of a year (or every year): station = file stem, month = folder name, ``time`` as a naive UTC
+    timestamp, one column per variable (see :func:`parse_station_files`)."""
+    raw = spark.read.text(station_glob(root, year), wholetext=True)
+    return parse_station_files(raw, variables, time_format)
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -68,63 +84,50 @@ def read_grid_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(GRID_POINTS_SCHEMA).csv(path)
 
 
-def partition_units(spark: SparkSession, base: str, names) -> DataFrame:
-    """Distinct partition values (``names``) present under ``base``, taken from
-    the file listing Spark already holds for planning — no data is read.
-    One row per partition folder, i.e. per month / run and member."""
-    import re
-    files = spark.read.option("basePath", base).parquet(base).inputFiles()
-    pats = [re.compile(rf"/{n}=([^/]+)/") for n in names]
-    units = set()
-    for f in files:
-        vals = tuple(m.group(1) if (m := p.search(f)) else None for p in pats)
-        units.add(vals)
-    return spark.createDataFrame(sorted(units), ", ".join(f"{n} string" for n in names))
+def _code(names):
+    """The partition columns (year, month[, day]) as one number, so a filter on it prunes folders."""
+    out = F.lit(0)
+    for n in names:
+        out = out * 100 + F.col(n).cast("int")
+    return out
 
 
-def check_complete(units: DataFrame, unit_cols, members, member_col: str = "member",
-                   strict: bool = True) -> DataFrame:
-    """Units (months / runs) that have every member.
+def complete_units(df: DataFrame, names, members, strict: bool) -> list[int]:
+    """Codes of the months or runs that have every member, from the partition columns alone.
 
-    With ``strict`` an incomplete unit raises, listing the (few) offending
-    units; otherwise only complete units are returned for a semi-join.
-    """
-    need = len(members)
-    have = (units.select(*unit_cols, member_col).distinct()
-            .where(F.col(member_col).isin(list(members)))
-            .groupBy(*unit_cols).agg(F.count(F.lit(1)).alias("_n")))
-    if strict:
-        bad = have.where(F.col("_n") < need).select(*unit_cols).take(20)
-        if bad:
-            raise IncompleteMonthError(f"missing members for {[tuple(r) for r in bad]}")
-    return have.where(F.col("_n") == need).select(*unit_cols)
+    One number per month or run comes to the driver (as file listing has them already); an incomplete one raises
+    with ``strict`` and is left out otherwise."""
+    have = df.where(F.col("member").isin(list(members))).groupBy(_code(names).alias("unit")) \
+        .agg(F.count_distinct("member").alias("n")).collect()
+    bad = sorted(r.unit for r in have if r.n < len(members))
+    if strict and bad:
+        raise IncompleteMonthError(f"{len(bad)} without all of {', '.join(members)}: {bad}")
+    return sorted(r.unit for r in have if r.n == len(members))
 
 
-def _member(spark: SparkSession, base: str, depth: int, member: str) -> DataFrame:
-    glob = "/".join(["*"] * depth)
-    return spark.read.option("basePath", base).parquet(f"{base.rstrip('/')}/{glob}/member={member}")
+def _members(spark: SparkSession, base: str, names, members, strict: bool) -> dict[str, DataFrame]:
+    whole = spark.read.option("basePath", base).option("mergeSchema", True).parquet(base)
+    units = complete_units(whole, names, members, strict)
+    out = {}
+    for m in members:
+        glob = f"{base.rstrip('/')}/{'/'.join(['*'] * len(names))}/member={m}"
+        out[m] = spark.read.option("basePath", base).parquet(glob).where(_code(names).isin(units)).drop("member")
+    return out
 
 
 def read_reanalysis(spark: SparkSession, base: str, strict: bool = True) -> dict[str, DataFrame]:
     """The three reanalysis members (accum, instant, pressure) of complete months.
 
     A month lacking a member raises with ``strict`` (the month cannot be
-    built), otherwise it is skipped.
+    built), otherwise it is skipped.  Completeness is a filter on partition
+    columns: no row is shuffled for it, and only complete folders are read.
     """
-    units = partition_units(spark, base, ["year", "month", "member"])
-    complete = check_complete(units, ["year", "month"], REANALYSIS_MEMBERS, strict=strict)
-    complete = complete.select(*[F.col(c).cast("int").alias(c) for c in ("year", "month")])
-    return {m: _member(spark, base, 2, m).join(complete, ["year", "month"], "left_semi").drop("member")
-            for m in REANALYSIS_MEMBERS}
+    return _members(spark, base, ["year", "month"], REANALYSIS_MEMBERS, strict)
 
 
 def read_forecast(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """Forecast members (single, pressure) of the runs that have both; incomplete runs are skipped."""
-    units = partition_units(spark, base, ["year", "month", "day", "member"])
-    complete = check_complete(units, ["year", "month", "day"], FORECAST_MEMBERS, strict=False)
-    complete = complete.select(*[F.col(c).cast("int").alias(c) for c in ("year", "month", "day")])
-    return {m: _member(spark, base, 3, m).join(complete, ["year", "month", "day"], "left_semi").drop("member")
-            for m in FORECAST_MEMBERS}
+    return _members(spark, base, ["year", "month", "day"], FORECAST_MEMBERS, strict=False)
 
 
 def run_date(year: str = "year", month: str = "month", day: str = "day"):
@@ -151,38 +154,46 @@ def load_date_range_files(df: DataFrame, start, end, time_col: str = "time",
 
 # --------------------------------------------------------------------------- sinks
 
-def _writer(df: DataFrame, mode: str):
-    df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    return df.write.mode(mode)
+def _write(df: DataFrame, path: str, by, mode: str, compression: str = "zstd", sort=()) -> None:
+    """Partitioned Parquet: rows are rebalanced on the partition columns (adaptive execution splits a large month),
+    so a folder gets a few files and not one per task; only the partitions present are overwritten."""
+    out = df.hint("rebalance", *[F.col(c) for c in by])
+    out = out.sortWithinPartitions(*by, *sort) if sort else out
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("compression", compression) \
+        .partitionBy(*by).parquet(path)
+
+
+def _written(spark: SparkSession, path: str) -> DataFrame | None:
+    """The dataset at ``path``; None if nothing is there yet. Any other failure is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def write_monthly(df: DataFrame, path: str, time_col: str = "valid_time", mode: str = "overwrite",
                   compression: str = "zstd", skip_existing: bool = False) -> None:
     """Partition by year/month of ``time_col``; overwrite replaces only the
     months present in ``df`` (dynamic partition overwrite).  With
-    ``skip_existing`` months already in ``path`` are left untouched (an
-    anti-join on the existing partition values, read from the listing)."""
+    ``skip_existing`` months already in ``path`` are left untouched."""
     out = df.withColumns({"year": F.year(time_col), "month": F.month(time_col)})
-    if skip_existing:
-        try:
-            have = df.sparkSession.read.parquet(path).select("year", "month").distinct()
-            out = out.join(have, ["year", "month"], "left_anti")
-        except Exception:  # noqa: BLE001 - nothing written yet
-            pass
-    _writer(out, mode).partitionBy("year", "month").option("compression", compression).parquet(path)
+    if skip_existing and (have := _written(df.sparkSession, path)) is not None:
+        out = out.join(have.select("year", "month").distinct(), ["year", "month"], "left_anti")
+    _write(out, path, ["year", "month"], mode, compression)
 
 
 def write_runs(df: DataFrame, path: str, time_col: str = "time", mode: str = "overwrite",
                compression: str = "zstd") -> None:
     """One folder per forecast run (year/month/day of the run time)."""
     out = df.withColumns({"year": F.year(time_col), "month": F.month(time_col), "day": F.dayofmonth(time_col)})
-    _writer(out, mode).partitionBy("year", "month", "day").option("compression", compression).parquet(path)
+    _write(out, path, ["year", "month", "day"], mode, compression)
 
 
 def write_obs(df: DataFrame, path: str, time_col: str = "time", mode: str = "overwrite") -> None:
     """Combined station dataset, partitioned by year, sorted by station/time within files."""
-    out = df.withColumn("year", F.year(time_col)).sortWithinPartitions("station", time_col)
-    _writer(out, mode).partitionBy("year").option("compression", "zstd").parquet(path)
+    _write(df.withColumn("year", F.year(time_col)), path, ["year"], mode, sort=("station", time_col))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

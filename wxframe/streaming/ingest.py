@@ -1,47 +1,41 @@
 """Incremental station-file ingest with Structured Streaming.
 
-Station CSVs land month by month; this runs the batch ingest (scan, zone
-shift, first-in-file de-duplication, partitioned sink) on each new set of
-files.  The file source tracks which files were processed in the
-checkpoint, so a restarted job (or a lost executor) resumes without
-duplicates.  De-duplication is per micro-batch: a month's files arrive
-together, and a time repeated across months is kept in each (the batch
-ingest over a whole year de-duplicates across months).
+Station CSVs land month by month.  Every micro-batch writes the rows of its new
+files to a folder of its own (``batch=<id>``, overwritten when a batch is tried
+again), so a restarted job writes nothing twice.  First-in-file de-duplication
+needs all batches and is part of :func:`ingested`; the result does not depend on
+how files fell into batches.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.merge import keep_known
 from ..operators.timegrid import dedupe_time, shift_time
-from ..sources.files import STATION_SCHEMA
-
-
-def station_stream(spark: SparkSession, root: str, max_files: int = 1000) -> DataFrame:
-    """Streaming scan of ``root/YYYYMM/*.csv*`` with station and month from the path."""
-    df = (spark.readStream.option("header", True).option("maxFilesPerTrigger", max_files)
-          .schema(STATION_SCHEMA).csv(f"{root.rstrip('/')}/[0-9]*/*.csv*")
-          .withColumn("_file", F.col("_metadata.file_path")))
-    return (df.withColumns({
-        "station": F.regexp_extract("_file", r"([^/]+?)(\.csv)?(\.gz)?$", 1),
-        "month": F.regexp_extract("_file", r"/(\d{6})/[^/]+$", 1),
-        "time": F.col("time").cast("timestamp_ntz"),
-    }).where(F.col("time").isNotNull()).drop("_file"))
-
-
-def start_ingest(spark: SparkSession, root: str, out_path: str, checkpoint: str | None = None,
-                 shift_hours: float = 16, trigger_once: bool = True):
-    """Start the ingest query; returns the StreamingQuery."""
-    ckpt = checkpoint or f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/station-ingest"
-
-    def batch(df: DataFrame, _batch_id: int) -> None:
-        # ids inside the micro-batch follow the file order of each file split
-        df = df.withColumn("_ingest", F.monotonically_increasing_id())
-        clean = dedupe_time(shift_time(df, "time", hours=shift_hours), ["station"], "time", "_ingest")
-        (clean.drop("_ingest").withColumn("year", F.year("time"))
-         .write.mode("append").partitionBy("year").option("compression", "zstd").parquet(out_path))
-
-    w = station_stream(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="5 minutes")
-    return w.start()
+from ..session import ensure_checkpoint_dir
+from ..sources.files import parse_station_files, station_glob
+
+
+def station_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Streaming scan of ``root/YYYYMM/*.csv*``, one row per file."""
+    return spark.readStream.format("text").option("wholetext", True).load(station_glob(root))
+
+
+def start_ingest(spark: SparkSession, root: str, out_path: str, stations: DataFrame | None = None,
+                 checkpoint: str | None = None, shift_hours: float = 16, trigger_once: bool = True):
+    """Start the ingest query (rows of ``stations`` only, if given); returns the StreamingQuery."""
+    ckpt = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/station-ingest"
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        rows = keep_known(df, stations) if stations is not None else df
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+
+    rows = shift_time(parse_station_files(station_stream(spark, root)), "time", hours=shift_hours)
+    w = rows.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+    return (w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="5 minutes")).start()
+
+
+def ingested(spark: SparkSession, out_path: str) -> DataFrame:
+    """What has been ingested so far, each (station, time) once: the first in month, file and file order."""
+    return dedupe_time(spark.read.parquet(out_path).drop("batch"), ["station"], "time", "_ingest").drop("_ingest")
