@@ -72,6 +72,15 @@ def map_frames(obs_long: DataFrame, stations: DataFrame, variable: str, start=No
     return obs.join(st, "station", "inner").select("time", "station", "lat", "lon", "value")
 
 
+def frames_by_time(frames: DataFrame, value: str = "value", time_col: str = "time") -> DataFrame:
+    """One row per time: ``frame``, its stations sorted by name (every column but the time, a missing value null), and
+    the scale ``vmin``, ``vmax`` of ``value`` (for wind frames: of the speed).  Stations without a row at a time are
+    not made up."""
+    columns = ["station", *[c for c in frames.columns if c not in ("station", time_col)]]
+    return frames.groupBy(time_col).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("frame"),
+                                        F.min(value).alias("vmin"), F.max(value).alias("vmax"))
+
+
 def value_range(frames: DataFrame, value: str = "value") -> DataFrame:
     return frames.agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
 

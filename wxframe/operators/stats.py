@@ -132,12 +132,13 @@ def compare_resolution(a: DataFrame, b: DataFrame, by: str = "station", time_col
     return out.withColumn("growth", round6(F.col("points_b") / F.col("points_a")))
 
 
-def ui_meta(obs_long: DataFrame, by: str = "station", time_col: str = "time") -> DataFrame:
+def ui_meta(obs_long: DataFrame, by: str = "station", time_col: str = "time", source: str = "stations") -> DataFrame:
     """Sorted station list (one row per station; the sort is a range-partitioned
-    distributed sort) with the dataset's [first date, last date] and variable
-    count as scalar columns."""
+    distributed sort) with the dataset's [first date, last date], its variables
+    (sorted, comma-joined) and the source label as scalar columns."""
     first = obs_long.agg(F.date_format(F.min(time_col), "yyyy-MM-dd")).scalar()
     last = obs_long.agg(F.date_format(F.max(time_col), "yyyy-MM-dd")).scalar()
-    n_vars = obs_long.agg(F.count_distinct("variable")).scalar()
+    names = obs_long.agg(F.array_join(F.array_sort(F.collect_set("variable")), ",")).scalar()
     st = obs_long.select(by).distinct()
-    return st.select(by, first.alias("date_min"), last.alias("date_max"), n_vars.alias("n_variables")).orderBy(by)
+    return st.select(by, first.alias("date_min"), last.alias("date_max"), names.alias("variables"),
+                     F.lit(source).alias("source")).orderBy(by)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.columns import epoch_seconds
+from ..functions.columns import epoch_seconds, null_nonfinite
 
 
 def dedupe_time(df: DataFrame, keys, time_col: str = "time", order_col: str = "event_id") -> DataFrame:
@@ -142,6 +142,7 @@ def interpolate_grid(df: DataFrame, by, time_col: str = "time", period_col: str
     by = list(by)
     part = by + ([period_col] if period_col else [])
     pchip, linear, spread, ffill = list(pchip), list(linear), list(spread), list(ffill)
+    df = df.withColumns({v: null_nonfinite(v) for v in dict.fromkeys(pchip + linear + spread)})
     lab = with_next_buffer(df, period_col, time_col) if (period_col and buffer) else df.withColumn("_buffer", F.lit(False))
     W = Window.partitionBy(*part).orderBy("_x")
     Wall = Window.partitionBy(*part)
@@ -246,7 +247,9 @@ def densify_pchip(long: DataFrame, by, step_minutes: int = 5, time_col: str = "t
     from .windows import DEFAULT_BLOCK, series_positions, with_halo
     by = list(by)
     step_s = 60.0 * step_minutes
-    s = long.where(F.col(value).isNotNull()).withColumn("_x", epoch_seconds(time_col))
+    s = long.withColumn(value, null_nonfinite(value)).where(F.col(value).isNotNull())
+    # samples of one instant are one knot (their smallest value)
+    s = s.groupBy(*by, time_col).agg(F.min(value).alias(value)).withColumn("_x", epoch_seconds(time_col))
     on_grid = F.col("_x") == F.floor(F.col("_x") / step_s) * step_s
     # one aggregate per series: grid bounds over all samples, knot count over on-grid samples
     per_series = s.groupBy(*by).agg((F.floor(F.min("_x") / step_s) * step_s).alias("_g0"),

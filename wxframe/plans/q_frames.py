@@ -35,6 +35,18 @@ def value_range(spark, sf_dir):
     return R.value_range(_frames(spark, sf_dir))
 
 
+@register("frames_by_time", f"""
+SELECT time, string_agg(station, ',' ORDER BY station) AS stations, count(*) AS n_stations,
+       count(*) - count(value) AS n_missing, min(value) AS vmin, max(value) AS vmax
+FROM ({_FRAMES_SQL}) f GROUP BY time
+""")
+def frames_by_time(spark, sf_dir):
+    g = R.frames_by_time(_frames(spark, sf_dir))
+    return g.select("time", F.array_join(F.transform("frame", lambda x: x["station"]), ",").alias("stations"),
+                    F.size("frame").cast("long").alias("n_stations"),
+                    F.size(F.filter("frame", lambda x: x["value"].isNull())).cast("long").alias("n_missing"), "vmin", "vmax")
+
+
 def _wide_sql(variables, extra_where: str = "") -> str:
     cols = ",\n  ".join(
         f"arg_min(value, event_id) FILTER (WHERE variable = '{v}') AS {v}" for v in variables)
@@ -113,31 +125,32 @@ def union_months(spark, sf_dir):
     return M.union_all(pieces, mode="position")
 
 
-@register("union_stations", f"""
-SELECT station, time, airTemperature, NULL::DOUBLE AS dewPoint
-FROM ({_wide_sql(['airTemperature'], "WHERE station < 'S5'")})
-UNION ALL
-SELECT station, time, NULL::DOUBLE AS airTemperature, dewPoint
-FROM ({_wide_sql(['dewPoint'], "WHERE station >= 'S5'")})
-""")
+def _without(name: str) -> list[str]:
+    return [v for v in OBS_VARS if v != name]
+
+
+def _piece_sql(vs, where: str) -> str:
+    sel = ", ".join(v if v in vs else f"NULL::DOUBLE AS {v}" for v in OBS_VARS)
+    return f"SELECT station, time, {sel} FROM ({_wide_sql(vs, where)})"
+
+
+@register("union_stations", " UNION ALL ".join([
+    _piece_sql(_without("dewPoint"), "WHERE station < 'S5'"), _piece_sql(_without("airTemperature"), "WHERE station >= 'S5'")]))
 def union_stations(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    obs = v.obs
-    a = R.to_wide(obs.where(F.col("station") < "S5"), ["station", "time"], ["airTemperature"], order_col="event_id")
-    b = R.to_wide(obs.where(F.col("station") >= "S5"), ["station", "time"], ["dewPoint"], order_col="event_id")
-    return M.union_all([a, b], mode="name")
+    # two station groups, each lacking one column; the other columns are all there
+    obs = Views(spark, sf_dir).obs
+    first = F.col("station") < "S5"
+    a = R.to_wide(obs.where(first), ["station", "time"], _without("dewPoint"), order_col="event_id")
+    b = R.to_wide(obs.where(~first), ["station", "time"], _without("airTemperature"), order_col="event_id")
+    return M.union_all([a, b], mode="name").select("station", "time", *OBS_VARS)
 
 
-_YEAR_PIECES = [["airTemperature"], ["airTemperature", "dewPoint"], ["dewPoint", "rainfall"]]
+_YEAR_PIECES = [_without("dewPoint"), _without("rainfall"), _without("airTemperature")]
 
 
 def _union_years_sql():
-    parts = []
-    for i, vs in enumerate(_YEAR_PIECES):
-        where = f"WHERE least(floor((dayofmonth(time) - 1) / 10), 2) = {i}"
-        sel = ", ".join(v if v in vs else f"NULL::DOUBLE AS {v}" for v in ["airTemperature", "dewPoint", "rainfall"])
-        parts.append(f"SELECT station, time, {sel} FROM ({_wide_sql(vs, where)})")
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(_piece_sql(vs, f"WHERE least(floor((dayofmonth(time) - 1) / 10), 2) = {i}")
+                              for i, vs in enumerate(_YEAR_PIECES))
 
 
 @register("union_years", _union_years_sql())
@@ -146,4 +159,4 @@ def union_years(spark, sf_dir):
     obs = v.obs
     pieces = [R.to_wide(obs.where(_dekad() == i), ["station", "time"], vs, order_col="event_id")
               for i, vs in enumerate(_YEAR_PIECES)]
-    return M.union_all(pieces, mode="name")
+    return M.union_all(pieces, mode="name").select("station", "time", *OBS_VARS)

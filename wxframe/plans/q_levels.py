@@ -61,19 +61,17 @@ ERA_KEYS = ["valid_time", "latitude", "longitude"]
 def _era_members(v):
     e = v.era5
     accum = e.select(*ERA_KEYS, "tp")
-    instant = e.where(F.col("latitude") > -26.9).select(*ERA_KEYS, "t2m", "u10", "v10", "tcc")
-    pressure = (e.where(F.col("valid_time") < F.lit("2024-01-29").cast("timestamp_ntz"))
-                .select(*ERA_KEYS, (F.col("tcc") * 100.0).alias("r1000"), (F.col("tp") * 2.0).alias("tp")))
+    instant = e.select(*ERA_KEYS, "t2m", "u10", "v10", "tcc")
+    pressure = e.select(*ERA_KEYS, (F.col("tcc") * 100.0).alias("r1000"), (F.col("tp") * 2.0).alias("tp"))
     return accum, instant, pressure
 
 
 @register("align_merge_3", """
 SELECT a.valid_time, a.latitude, a.longitude, a.tp, i.t2m, i.u10, i.v10, i.tcc, p.r1000
 FROM (SELECT valid_time, latitude, longitude, tp FROM v_era5) a
-JOIN (SELECT valid_time, latitude, longitude, t2m, u10, v10, tcc FROM v_era5 WHERE latitude > -26.9e0) i
+JOIN (SELECT valid_time, latitude, longitude, t2m, u10, v10, tcc FROM v_era5) i
   ON a.valid_time = i.valid_time AND a.latitude = i.latitude AND a.longitude = i.longitude
-JOIN (SELECT valid_time, latitude, longitude, tcc * 100.0e0 AS r1000 FROM v_era5
-      WHERE valid_time < TIMESTAMP '2024-01-29 00:00:00') p
+JOIN (SELECT valid_time, latitude, longitude, tcc * 100.0e0 AS r1000 FROM v_era5) p
   ON a.valid_time = p.valid_time AND a.latitude = p.latitude AND a.longitude = p.longitude
 """)
 def align_merge_3(spark, sf_dir):

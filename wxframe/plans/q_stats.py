@@ -69,7 +69,8 @@ def dataset_metadata(spark, sf_dir):
 SELECT station,
        (SELECT strftime(min(time), '%Y-%m-%d') FROM v_obs) AS date_min,
        (SELECT strftime(max(time), '%Y-%m-%d') FROM v_obs) AS date_max,
-       (SELECT count(DISTINCT variable) FROM v_obs) AS n_variables
+       (SELECT string_agg(variable, ',' ORDER BY variable) FROM (SELECT DISTINCT variable FROM v_obs)) AS variables,
+       'stations' AS source
 FROM (SELECT DISTINCT station FROM v_obs)
 """)
 def ui_meta(spark, sf_dir):

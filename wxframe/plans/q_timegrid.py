@@ -203,10 +203,9 @@ def densify_5min(spark, sf_dir):
 WITH a AS (SELECT count(DISTINCT time) AS steps_a, count(DISTINCT station) AS stations_a, count(*) AS points_a
            FROM v_series15),
 b AS (SELECT count(DISTINCT time) AS steps_b, count(DISTINCT station) AS stations_b, count(*) AS points_b
-      FROM ({_densify_sql()}) WHERE variable = 'airTemperature')
+      FROM ({_densify_sql()}))
 SELECT *, round(points_b / points_a * 1e6) / 1e6 AS growth FROM a, b
 """)
 def compare_resolution(spark, sf_dir):
     v = Views(spark, sf_dir)
-    fine = _densify(v).where(F.col("variable") == "airTemperature")
-    return ST.compare_resolution(v.series15, fine)
+    return ST.compare_resolution(v.series15, _densify(v))
