@@ -376,3 +376,20 @@ def test_hot_station_is_split_into_blocks(spark):
     plan = A.anomaly_frame(df.withColumnRenamed("v", "airTemperature"), solar=None, block=100) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "_blk" in plan                                  # windows are partitioned by (station, block)
+
+
+@pytest.mark.parametrize("pick", ["slice_field", "frame_range", "thin"])
+def test_axis_picks_do_not_shuffle_the_field(spark, pick, tmp_path):
+    from wxframe.operators import display as D
+    from wxframe.operators import select as S
+    rows = [(T("2024-01-01 00:00") + dt.timedelta(hours=h), float(s), -30.0 - i, 115.0 + j, h + s + i + j * 1.0)
+            for h in range(4) for s in (0, 3) for i in range(3) for j in range(4)]
+    spark.createDataFrame(rows, "time timestamp_ntz, step double, latitude double, longitude double, v double") \
+        .write.parquet(str(tmp_path / "grid"))
+    df = spark.read.parquet(str(tmp_path / "grid"))
+    out = {"slice_field": lambda: S.slice_field(df, 1, 9), "frame_range": lambda: S.frame_range(df, 1, 2),
+           "thin": lambda: D.thin(df, 2)}[pick]()
+    assert out.count() == {"slice_field": 12, "frame_range": 48, "thin": 32}[pick]
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    main = out._jdf.queryExecution().explainString(mode).split("===== Subqueries")[0]
+    assert "Exchange" not in main and "Scan parquet" in main
