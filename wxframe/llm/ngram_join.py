@@ -3,8 +3,8 @@
 A token is a 64-bit hash of ``size`` consecutive words.  Two sets of similarity t share a
 token among the first n - ceil(t n) + 1 of each under *any* common order of all tokens.
 
-* The first order puts tokens that many prefixes hold last, the rest by hash.  Its prefixes are
-  the only index: shared prefix tokens are counted per pair, and the count bounds the overlap.
+* The first order goes by hash, but puts tokens that many prefixes hold last, by frequency.  Its prefixes
+  are the only index: shared prefix tokens are counted per pair, and the count bounds the overlap.
 * Pairs that pass must also share prefix tokens under two further hash orders, and
   are then verified on their whole sets, so every link is exact.
 
@@ -68,14 +68,17 @@ def prefix_length(n, threshold):
     return n - (num * n + den - 1) // den + 1
 
 
-def _prefix(tokens: np.ndarray, common: np.ndarray, threshold) -> np.ndarray:
-    """The first tokens in the order (common last, then by hash)."""
-    p = int(prefix_length(len(tokens), threshold)) if len(tokens) else 0
-    if not p or not len(common):
+def _prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold) -> np.ndarray:
+    """The first tokens in the first order: by hash, the common ones last and the most common at the very end.
+
+    ``common``: the common tokens sorted, and the place of each among them by frequency."""
+    p, (late, place) = int(prefix_length(len(tokens), threshold)) if len(tokens) else 0, common
+    if not p or not len(late):
         return tokens[:p]
-    at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
-    late = common[at] == tokens
-    return np.concatenate([tokens[~late][:p], tokens[late]])[:p]
+    at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
+    is_late = late[at] == tokens
+    last = tokens[is_late]
+    return np.concatenate([tokens[~is_late][:p], last[np.argsort(place[at[is_late]], kind="stable")]])[:p]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -150,13 +153,14 @@ class Join:
             .select("id", "set.n", F.explode("set.tokens").alias("token"))
 
     def _common(self, common: int):
-        """Broadcast of the tokens that most prefixes hold under the plain hash order: at most ORDER_BYTES, sorted."""
+        """Broadcast of the tokens that most prefixes hold under the plain hash order: at most ORDER_BYTES."""
         spark = self.docs.sparkSession
-        plain = self._entries(spark.sparkContext.broadcast(np.zeros(0, np.uint64)))
+        plain = self._entries(spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int32))))
         often = plain.groupBy("token").count().where(F.col("count") > common) \
-            .orderBy(F.desc("count"), "token").limit(ORDER_BYTES // 8).select("token")
-        tokens = np.array(often.toArrow().column(0).to_pylist(), np.int64).view(np.uint64)
-        return spark.sparkContext.broadcast(np.sort(tokens))
+            .orderBy(F.desc("count"), "token").limit(ORDER_BYTES // 12).select("token")
+        tokens = np.array(often.toArrow().column(0).to_pylist(), np.int64).view(np.uint64)[::-1]   # least common first
+        order = np.argsort(tokens, kind="stable")
+        return spark.sparkContext.broadcast((tokens[order], order.astype(np.int32)))
 
     def _shared_entries(self, common) -> DataFrame:
         """Prefix entries (token, id, n, m) of class representatives whose token another text's prefix has too; m: how
