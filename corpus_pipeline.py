@@ -6,6 +6,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the las
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,29 +14,43 @@ from pyspark.sql import functions as F
 
 from wxframe.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 from wxframe.llm.queries import BYTE_BPE
-from wxframe.session import ensure_checkpoint_dir
+from wxframe.session import ensure_checkpoint_dir, ship_package
 
 
+def _stage(fn):
+    """A stage whose Python tasks find the package on the executors."""
+    @functools.wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, docs, sf_dir)
+    return run_stage
+
+
+@_stage
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier accepts."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document holds; documents with nothing left go."""
     return line_dedup.dedup(docs)
 
 
+@_stage
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each near-duplicate class."""
     return ngram_join.keep_one(docs)
 
 
+@_stage
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digest of the ids, and the digest of the text decoded from them."""
     vocabulary = bpe.vocabulary(spark, BYTE_BPE)

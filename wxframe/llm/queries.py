@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from . import bpe, chat, decontaminate, embed_dedup, html_text, licenses, line_dedup, ngram_join, quality, warc
 from .common import table_of
 
@@ -137,6 +137,7 @@ _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
 def _prepared(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
+        ship_package(spark)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
