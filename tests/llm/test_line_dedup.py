@@ -74,3 +74,38 @@ def test_blocks():
     assert L.common_blocks(f"{a}\n{b}", f"{b}\n{a}", 50) == [(0, 1), (1, 2)]
     assert L.common_blocks(None, a, 50) == [] and L.common_blocks(a, None, 50) == []
     assert L.common_blocks(a + "\ntail", a + "\ntail\nmore", 50) == [(0, 2)]
+
+
+def test_passages_that_cross_line_ends(spark):
+    passage = words(60, 1).split()
+    text = " ".join(passage)
+    wrapped = "\n".join(" ".join(passage[k:k + 7]) for k in range(0, 60, 7))
+    rows = [(1, f"start {text} end"), (2, f"one {text} line"), (3, f"x\nhead {wrapped} tail\n\ny"), (4, " ".join(passage)),
+            (5, f"  keep {' '.join(passage[:49])} it"), (6, f"a\n{' '.join(passage[:30])}\n{' '.join(passage[30:])}\n\nb")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r.text for r in L.dedup(df).collect()}
+    assert got == {1: rows[0][1], 2: "one line", 3: "x\nhead\ntail\n\ny", 5: rows[4][1], 6: "a\n\nb"}
+    assert {r.doc_id: r.result.sources for r in L.annotate(df, "result").collect()}[2] == [1]
+
+
+def test_words_equal_a_search_of_every_window(spark):
+    rnd = random.Random(5)
+    base = [words(1, k) for k in range(400)]
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            a = rnd.randrange(350)
+            parts += base[a:a + rnd.randint(20, 90)] + [words(1, rnd.random())]
+        texts.append("".join(w + rnd.choice([" ", " ", "\n"]) for w in parts))
+    held, want = set(), {}
+    for k, t in enumerate(texts):
+        w, gone = t.split(), set()
+        mine = [tuple(w[i:i + 50]) for i in range(len(w) - 49)]
+        for i, x in enumerate(mine):
+            if x in held:
+                gone.update(range(i, i + 50))
+        held.update(mine)
+        want[k] = [x for i, x in enumerate(w) if i not in gone]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.result.text.split() for r in L.annotate(df, "result").collect()} == want

@@ -1,31 +1,41 @@
 """Line de-duplication by pairwise alignment.
 
-A passage is a run of consecutive lines with at least ``min_words`` words.  From each
-line that holds a word, the shortest run that reaches ``min_words`` is hashed; such
-hashes are rare, as common short lines are never hashed alone.  The smallest document
-that holds a hash is its source, and every other holder is aligned with it: the pairs
-grow with the holders, never with their square, and no passage held by an earlier
-document is missed.  Each pair is aligned by patience diff (lines that occur once on
-both sides, longest increasing chain, extended to blocks, repeated on what is left so
-that moved blocks count too), and aligned blocks of at least ``min_words`` words are
-deleted from the later document.
+A passage is a run of at least ``min_words`` consecutive words, wherever its lines begin or end; only blank lines
+between its words must be there on both sides. Every window of ``min_words`` words is hashed. The smallest document that
+holds a window is its source, and every other holder is aligned with it: the pairs grow with the holders, never with
+their square, and no passage held by an earlier document is missed. Windows are only sent out if their smallest
+``GRAM``-word hash occurs in another row as well; two equal windows have the same one, so this drops no pair. Each pair
+is aligned by patience diff (lines that occur once on both sides, longest increasing chain, extended to blocks, repeated
+on what is left so that moved blocks count too), then word by word inside the lines that differ, and common blocks of at
+least ``min_words`` words are deleted from the later document. Lines of which no word is left go, others keep their
+remaining words.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, checkpoint, fresh
+from .common import append_column, checkpoint, fresh, list_array, mix, text_buffer, word_hashes, words_of
 
 MIN_WORDS = 50
 PER_TASK = 64                      # later documents aligned with one copy of a source's text
+GRAM = 20                          # words of the hashes that tell which windows may be shared
+BITS = 1 << 26                     # of the broadcast filter of shared hashes; a full filter only costs time
+SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"    # besides ASCII
+_TABLE = np.arange(256, dtype=np.uint8)
+_TABLE[[*range(9, 14), *range(28, 32)]] = 32
+BREAK = 0xD1B54A32D192ED03
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
 RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -35,20 +45,82 @@ def lines_of(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [len(x.split()) for x in lines]
 
 
-def run_hashes(text: str | None, min_words: int) -> list[int]:
-    """A hash of the shortest run of at least ``min_words`` words from each line that holds a word."""
-    lines, sizes = lines_of(text)
-    out, end, words = set(), 0, 0
-    for start in range(len(lines)):
-        while end < len(lines) and words < min_words:
-            words += sizes[end]
-            end += 1
-        if words < min_words:
-            break
-        if sizes[start]:
-            out.add(xxhash.xxh3_64_intdigest("\n".join(lines[start:end]).encode("utf-8", "replace")) - (1 << 63))
-        words -= sizes[start]
-    return sorted(out)
+def _word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, as ``str.split`` finds them, each text's first word (one entry more), and
+    ``BREAK`` for the words that blank lines part from the word before, else 0."""
+    data, offs = text_buffer(pc.replace_substring_regex(col, SPACE, " "))
+    flat, starts, ends, first = words_of(data, offs, _TABLE)
+    word = _TABLE[data] != 32
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    edge = offs[:-1][offs[:-1] < len(data)]
+    begin[edge] = word[edge]
+    line = np.cumsum(data == 10)[begin]
+    parted = np.zeros(len(line), np.uint64)
+    parted[1:][np.diff(line) > 1] = BREAK
+    parted[first[:-1][first[:-1] < len(line)]] = 0
+    return word_hashes(flat, starts, ends), first, parted
+
+
+def _geometric(base: int, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _windows(hashes: np.ndarray, parted: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words, and the blank lines between them, from each word on, as far as they reach."""
+    n = len(hashes) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    both = np.cumsum((hashes + parted) * _geometric(_STEP, len(hashes)), dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), both])
+    return mix((sums[size:] - sums[:-size]) * _geometric(_BACK, n) - parted[:n])
+
+
+def _least(values: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of the ``size`` values from each on."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        values, have = np.minimum(values[:-step], values[step:]), have + step
+    return values
+
+
+def _windows_of(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, smallest gram) of every window of every text."""
+    hashes, first, parted = _word_hashes(col)
+    whole = _windows(hashes, parted, min_words)
+    gram = min(GRAM, min_words)
+    least = _least(_windows(hashes, parted, gram), min_words - gram + 1) if len(whole) else whole
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(whole)]
+    inside = np.arange(len(whole)) + min_words <= first[1:][text]
+    return text[inside], whole[inside], least[inside]
+
+
+def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """The distinct values of each of n texts."""
+    order = np.lexsort((values, text))
+    text, values = text[order], values[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (values[1:] != values[:-1])
+    return list_array(values[new].view(np.int64), np.bincount(text[new], minlength=n), pa.int64())
+
+
+def gram_hashes(col: pa.Array, min_words: int) -> pa.Array:
+    """Per text the distinct smallest grams of its windows."""
+    text, _, least = _windows_of(col, min_words)
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
+    return _lists(text[new], least[new], len(col))
+
+
+def window_hashes(col: pa.Array, min_words: int, shared: np.ndarray) -> pa.Array:
+    """Per text the distinct hashes of its windows whose smallest gram has its bit in ``shared``."""
+    text, whole, least = _windows_of(col, min_words)
+    bit = (least & np.uint64(BITS - 1)).astype(np.int64)
+    maybe = shared[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+    return _lists(text[maybe], whole[maybe], len(col))
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -128,17 +200,109 @@ def common_blocks(old_text: str | None, new_text: str | None, min_words: int) ->
     return sorted(out)
 
 
+class Words:
+    """A text's words, and its windows sorted by hash for look-ups."""
+
+    def __init__(self, text: str | None, min_words: int):
+        self.text, self.words = text, (text or "").split()
+        hashes, _, self.parted = _word_hashes(pa.array([text or ""]))
+        self.windows = _windows(hashes, self.parted, min_words)
+
+    def places(self, windows: np.ndarray) -> np.ndarray:
+        """Where the first equal window is, or -1."""
+        if not hasattr(self, "order"):
+            self.order = np.argsort(self.windows, kind="stable")
+            self.sorted = self.windows[self.order]
+        if not len(self.sorted):
+            return np.full(len(windows), -1)
+        at = np.minimum(np.searchsorted(self.sorted, windows), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == windows, self.order[at], -1)
+
+
+def united(ranges) -> list[tuple[int, int]]:
+    """Ranges that overlap or touch as one, sorted."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def common_words(old: Words, new: Words, min_words: int) -> list[tuple[int, int]]:
+    """Word ranges [start, end) of ``new`` that align with ``old``: blocks of lines, and blocks of words that begin or
+    end inside lines or are wrapped differently."""
+    upto = [0]
+    for n in lines_of(new.text)[1]:
+        upto.append(upto[-1] + n)
+    found = [(upto[a], upto[b]) for a, b in common_blocks(old.text, new.text, min_words)]
+    place = old.places(new.windows)
+    hit = np.flatnonzero(place >= 0)
+    if len(hit):
+        cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(place[hit]) != 1)) + 1
+        for run in np.split(hit, cut):
+            a, b, j = int(run[0]), int(run[-1]) + min_words, int(place[run[0]])
+            same = new.words[a:b] == old.words[j:j + b - a]
+            if same and (new.parted[a + 1:b] == old.parted[j + 1:j + b - a]).all():
+                found.append((a, b))
+    return united(found)
+
+
+def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
+    """``text`` without the words of united ``ranges``, and how many lines went: those that lose their last word, and
+    blank ones inside a range."""
+    gone = np.zeros(max((b for _, b in ranges), default=0) + 1, bool)
+    inner = gone.copy()
+    for a, b in ranges:
+        gone[a:b] = True
+        inner[a + 1:b] = True
+    out, at, lines = [], 0, text.split("\n")
+    for line in lines:
+        n = len(line.split())
+        mask = gone[at:at + n]
+        if not n:
+            if at >= len(inner) or not inner[at]:
+                out.append(line)
+        elif not mask.any():
+            out.append(line)
+        elif len(mask) < n or not mask.all():
+            spans = [m.span() for m in re.finditer(r"\S+", line)]
+            kept = [k for k in range(n) if k >= len(mask) or not mask[k]]
+            parts, start = [], kept[0]
+            for k, then in zip(kept, [*kept[1:], -1], strict=True):
+                if then != k + 1:
+                    parts.append(line[spans[start][0] if start else 0:spans[k][1] if k < n - 1 else len(line)])
+                    start = then
+            out.append(" ".join(parts))
+        at += n
+    return "\n".join(out), len(lines) - len(out)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key: the id, then a digest of the text, so rows of one id with different texts are told apart."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
 
 
+def _shared(keyed: DataFrame, min_words: int):
+    """Broadcast filter: the bits of the smallest grams that occur in several rows."""
+    grams = append_column(keyed.select("text"), "grams", T.ArrayType(T.LongType()), "text", lambda col: gram_hashes(col, min_words))
+    several = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    bit = several.select(F.col("gram").bitwiseAND(F.lit(BITS - 1)).alias("bit"))
+    parts = bit.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+    bits = bytearray(BITS >> 3)
+    for r in parts.collect():
+        bits[r["part"] << 12:(r["part"] + 1) << 12] = r["bits"]
+    return keyed.sparkSession.sparkContext.broadcast(bytes(bits))
+
+
 def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Pairs (key, source): ``source`` is the smallest document that holds a passage of the document ``key``."""
     keyed = _keyed(docs, id_col, text_col)
-    hashes = append_column(keyed, "runs", T.ArrayType(T.LongType()), "text", lambda col: pa.array(
-        [run_hashes(t, min_words) for t in col.to_pylist()], pa.list_(pa.int64())))
+    shared = _shared(keyed, min_words)
+    hashes = append_column(keyed, "runs", T.ArrayType(T.LongType()), "text",
+                           lambda col: window_hashes(col, min_words, np.frombuffer(shared.value, np.uint8)))
     runs = hashes.select("key", F.explode("runs").alias("run"))
     held = runs.groupBy("run").agg(F.min("key").alias("source"), F.max("key").alias("last")) \
         .where(~F.col("source").eqNullSafe(F.col("last"))).select("run", "source")
@@ -146,7 +310,7 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document that loses lines: key (id, h), ranges of line numbers, sources (ids of the earlier documents)."""
+    """Per document that loses lines: key (id, h), ranges of word numbers, sources (ids of the earlier documents)."""
     pairs = checkpoint(overlaps(docs, id_col, text_col, min_words))
     texts = _keyed(docs, id_col, text_col).dropDuplicates(["key"])
     tasks = pairs.groupBy("source").agg(F.ceil(F.count("*") / PER_TASK).cast("long").alias("n"))
@@ -157,10 +321,14 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     both = later.join(earlier, ["source", "salt"]).select("key", "source", "old", "text")
 
     def align(batches):
+        last = None
         for batch in batches:
-            old, new = batch.column(2), batch.column(3)
-            ranges = [[{"start": a, "end": b} for a, b in common_blocks(old[k].as_py(), new[k].as_py(), min_words)]
-                      for k in range(batch.num_rows)]
+            ranges = []
+            for k in range(batch.num_rows):
+                old = batch.column(2)[k].as_py()
+                last = last if last and last.text == old else Words(old, min_words)
+                found = common_words(last, Words(batch.column(3)[k].as_py(), min_words), min_words)
+                ranges.append([{"start": a, "end": b} for a, b in found])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ranges, kind)], names=["key", "source", "ranges"])
 
@@ -170,29 +338,46 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         F.array_sort(F.collect_set(F.col("source")["id"])).alias("sources"))
 
 
+def _cut(both: DataFrame, text_col: str, ranges: str, out: str) -> DataFrame:
+    """``both`` with a column ``out``: (text, n_removed) of the rows that have ``ranges``, else null."""
+    kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*both.schema.fields, T.StructField(out, kind)])
+    at, to = both.columns.index(text_col), both.columns.index(ranges)
+
+    def run(batches):
+        for batch in batches:
+            text, gone, rows = batch.column(at), batch.column(to), [None] * batch.num_rows
+            for k in np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                left, n = without(text[k].as_py() or "", united((r["start"], r["end"]) for r in gone[k].as_py()["ranges"]))
+                rows[k] = {"text": left, "n_removed": n}
+            new = pa.array(rows, pa.struct([("text", pa.string()), ("n_removed", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
 def annotate(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text",
              min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with a column ``out``: (text, n_lines, n_removed, sources) - the text without the passages that an
-    earlier document (smaller id; for one id, smaller text digest) holds as well.
+    """``docs`` with a column ``out``: (text, n_lines, n_removed, sources, changed) - the text without the passages that
+    an earlier document (smaller id; for one id, smaller text digest) holds as well.  ``n_removed`` counts whole lines;
+    a text may be changed inside its lines only.
 
     A null text stays null, an empty one empty; neither holds a passage.  Rows equal in id and text are one
     document and are changed alike.  A null id is the earliest.  Other columns pass through (``out`` must be new).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key, ranges = fresh(docs, "line_key"), fresh(docs, "line_ranges")
+    key, ranges, left = fresh(docs, "line_key"), fresh(docs, "line_ranges"), fresh(docs, "line_left")
     gone = deletions(docs, id_col, text_col, min_words) \
-        .select(F.col("key").alias(key), F.struct("ranges", "sources").alias(ranges))
+        .select(F.col("key").alias(key + "_r"), F.struct("ranges", "sources").alias(ranges))
     marked = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")))
-    both = marked.join(gone.withColumnRenamed(key, key + "_r"), F.col(key).eqNullSafe(F.col(key + "_r")), "left")
-    lines = F.split(text, "\n", -1)
-    left = F.filter(lines, lambda _, k: ~F.exists(F.col(ranges)["ranges"], lambda r: (k >= r["start"]) & (k < r["end"])))
+    both = marked.join(gone, F.col(key).eqNullSafe(F.col(key + "_r")), "left")
+    both = _cut(both.select(*[F.col(f"`{c}`") for c in docs.columns], ranges), text_col, ranges, left)
     cut = F.col(ranges).isNotNull()
-    new = F.when(cut, F.array_join(left, "\n")).otherwise(F.col(text_col))
-    n = F.size(lines).cast("long")
-    value = F.struct(new.alias("text"), n.alias("n_lines"),
-                     F.when(cut, n - F.size(left)).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+    value = F.struct(F.when(cut, F.col(left)["text"]).otherwise(F.col(text_col)).alias("text"),
+                     F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
+                     F.coalesce(F.col(left)["n_removed"], F.lit(0)).cast("long").alias("n_removed"),
                      F.coalesce(F.col(ranges)["sources"], F.array().cast(T.ArrayType(docs.schema[id_col].dataType)))
-                     .alias("sources"))
+                     .alias("sources"), cut.alias("changed"))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(out))
 
 
@@ -203,7 +388,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     The columns stay as they are; ``chars_col``, if there, is the new length of changed texts."""
     out = fresh(docs, "line_result")
     done = annotate(docs, out, id_col, text_col, min_words)
-    changed = F.col(out)["n_removed"] > 0
+    changed = F.col(out)["changed"]
     done = done.where(~changed | F.col(out)["text"].rlike(r"\S"))
     cols = []
     for c in docs.columns:
