@@ -58,3 +58,15 @@ def test_training_without_documents(spark):
     model = L.train(spark, empty)
     df = spark.createDataFrame([(1, L.TEMPLATES["GPL"][0])], "doc_id long, text string")
     assert L.families(df, model).collect()[0].families == ["GPL"]
+
+
+def test_notices_that_are_no_template(spark, model):
+    notices = [("Creative Commons Attribution 4.0 International", "CC-BY"), ("CC BY-SA 4.0", "CC-BY-SA"), ("Apache-2.0", "Apache-2.0"),
+               ("BSD-3-Clause", "BSD"), ("Available under the Apache License 2.0", "Apache-2.0"), ("The MIT License (MIT)", "MIT"),
+               ("The sources are under the MIT license.", "MIT"), ("We publish it under GPL-3.0-or-later", "GPL"),
+               ("Photos: CC BY-NC 4.0", "CC-BY-NC"), ("Shared under the Mozilla Public License 2.0", "MPL-2.0")]
+    plain = ["MIT researchers met in the spring.", "An Apache chief spoke to the crowd.", "The painter of the commons is unknown.", "Version 2.0 was late."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([t for t, _ in notices] + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in L.families(df, model).collect()}
+    want = {k: [f] for k, (_, f) in enumerate(notices)} | {len(notices) + k: [] for k in range(len(plain))}
+    assert got == want

@@ -4,7 +4,8 @@ Word one- and two-grams of a paragraph are hashed into a sparse binary vector; a
 logistic regression names a licence family or ``unknown``.  It is trained on the templates below,
 cut and thinned in many ways, against paragraphs of the corpus.  On held-out rows the margin between
 the best family and ``unknown`` is calibrated, and paragraphs below a probability of one half are
-unknown.  A family that remains is confirmed if the paragraph holds most of a template's word pairs.
+unknown.  A family that remains is confirmed if the paragraph holds words that tell it from all others, or most of a
+template's word pairs.  Every paragraph is scored.
 """
 
 from __future__ import annotations
@@ -75,14 +76,58 @@ TEMPLATES = {
         "All rights reserved.",
         "Copyright, all rights reserved. No part of this publication may be reproduced without prior written permission."],
 }
+# further wordings and SPDX names, with which the classifier is trained as well
+WORDINGS = {
+    "MIT": ["The MIT License (MIT)", "MIT License", "SPDX-License-Identifier: MIT", "Available under the MIT licence.", "This code is MIT licensed."],
+    "Apache-2.0": ["Apache-2.0", "Apache License 2.0", "SPDX-License-Identifier: Apache-2.0", "Available under the Apache License 2.0.",
+                   "Apache License, Version 2.0, January 2004", "Apache licensed, see the file LICENSE."],
+    "GPL": ["GPL-3.0-or-later", "GPL-2.0-only", "SPDX-License-Identifier: GPL-3.0", "GNU General Public License v3", "GPLv3", "GPLv2 or later",
+            "Available under the GPL, version 3.", "Distributed under the terms of the GNU GPL."],
+    "LGPL": ["LGPL-2.1-or-later", "LGPL-3.0", "SPDX-License-Identifier: LGPL-2.1", "GNU Lesser General Public License v3", "LGPLv3",
+             "Distributed under the terms of the LGPL."],
+    "AGPL": ["AGPL-3.0-or-later", "AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0", "GNU Affero General Public License v3", "AGPLv3",
+             "Distributed under the terms of the AGPL."],
+    "BSD": ["BSD-3-Clause", "BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause", "The 3-Clause BSD License", "New BSD License",
+            "Available under a BSD-style license."],
+    "MPL-2.0": ["MPL-2.0", "SPDX-License-Identifier: MPL-2.0", "Mozilla Public License 2.0", "Available under the MPL 2.0."],
+    "ISC": ["ISC License", "SPDX-License-Identifier: ISC", "Available under the ISC licence."],
+    "CC-BY": ["CC-BY-4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International", "Creative Commons Attribution License",
+              "Available under the Creative Commons Attribution licence.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA": ["CC-BY-SA-4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International",
+                 "Text is available under the Creative Commons Attribution-ShareAlike License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-NC": ["CC-BY-NC-4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International",
+                 "Available under the Creative Commons Attribution-NonCommercial licence.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC0": ["CC0-1.0", "CC0", "Creative Commons Zero", "SPDX-License-Identifier: CC0-1.0", "Dedicated to the public domain under CC0."],
+    "Unlicense": ["The Unlicense", "SPDX-License-Identifier: Unlicense", "Dedicated to the public domain with the Unlicense."],
+    "proprietary": ["All rights are reserved.", "Proprietary and confidential.", "Unauthorized copying of this file is strictly prohibited."],
+}
+# words in a row that tell a family from all others: either confirms it
+MARKS = {
+    "MIT": ["mit license", "mit licence", "mit licensed", "identifier mit"],
+    "Apache-2.0": ["apache license", "apache licence", "apache licensed", "apache 2 0", "apache version 2"],
+    "GPL": ["gnu general public", "gnu gpl", "the gpl", "gpl version", "gpl 2", "gpl 3", "gplv2", "gplv3", "gpl license", "gpl v2", "gpl v3"],
+    "LGPL": ["lesser general public", "library general public", "lgpl", "lgplv2", "lgplv3"],
+    "AGPL": ["affero general public", "agpl", "agplv3"],
+    "BSD": ["bsd license", "bsd licence", "bsd licensed", "bsd style", "bsd 2", "bsd 3", "clause bsd"],
+    "MPL-2.0": ["mozilla public", "mpl 2", "mpl 2 0", "mpl version"],
+    "ISC": ["isc license", "isc licence", "isc licensed", "identifier isc"],
+    "CC-BY": ["cc by", "commons attribution"],
+    "CC-BY-SA": ["by sa", "attribution sharealike", "attribution share alike"],
+    "CC-BY-NC": ["by nc", "attribution noncommercial", "attribution non commercial"],
+    "CC0": ["cc0", "commons zero"],
+    "Unlicense": ["the unlicense", "identifier unlicense"],
+    "proprietary": ["all rights reserved", "all rights are reserved", "proprietary and confidential", "unauthorized copying"],
+}
 # paragraphs that speak of licences without granting one
 OTHER = [
     "You need a driving license to rent a car.", "The licence fee was raised again this year.",
     "The city released a license plate register.", "Her rights were violated by the new law.", "Human rights must be respected by all.",
     "He asked for permission to leave the room.", "A version of this story was released under another title.",
     "The software comes with a warranty of two years.", "Tables can be reserved by phone until noon.",
-    "All of the free seats were reserved for members of the public."]
-# a paragraph without any of these is unknown; every template has one
+    "All of the free seats were reserved for members of the public.",
+    "Students of MIT built a robot.", "The Apache people live in the south.", "The apache helicopter has two engines.",
+    "The creative team met in the commons of the college.", "Version 2.0 of the game is out.", "The attribution of the painting is doubtful."]
+# a paragraph with one of these speaks of rights and is counted; every template has one
 ANCHORS = ["licen[cs]e", "licensed", "unlicense", "rights", "permission", "permitted", "public domain", "[al]?gpl", "cc0"]
 
 
@@ -136,7 +181,7 @@ def _training(spark: SparkSession, docs: DataFrame, s: Settings, id_col: str, te
         .orderBy(F.xxhash64("id", "text")).limit(s.sample_docs)
     plain = chosen.select(F.explode(paragraphs(F.col("text"))).alias("p")).where(~anchored(F.col("p"))) \
         .select(F.slice(words(F.col("p")), 1, 60).alias("w")).where(F.size("w") > 2).distinct().orderBy(F.xxhash64("w")).limit(s.negatives)
-    thin = _thinned(_table(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts]))
+    thin = _thinned(_table(spark, [(f, t) for part in (TEMPLATES, WORDINGS) for f, ts in part.items() for t in ts]))
     fill = F.array(*[F.lit(x) for x in "the report was about new plans of a small town and its people".split()])
     around = thin.select("family", F.concat(fill, "w", F.reverse(fill)).alias("w"))
     hard = _thinned(_table(spark, [(UNKNOWN, t) for t in OTHER]))
@@ -189,26 +234,29 @@ def train(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(),
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that speaks of rights: id, paragraph (number from 0), text, family (``unknown`` below one
-    half), probability, similarity (best share of a template's pairs), confirmed.
+    """One row per paragraph: id, paragraph (number from 0), text, family (``unknown`` below one half), probability,
+    similarity (best share of a template's pairs; null for ``unknown``), confirmed.
 
     Null and empty texts have no paragraphs.  Repeated rows give repeated paragraphs.  Other columns are not read.
     """
     s = model.settings
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(anchored(F.col("text")))
-    units = cut.select("id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text")).where(anchored(F.col("text")))
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    units = cut.select("id", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "text"))
     scored = model.classifier.transform(_vector(units.withColumn("w", words(F.col("text"))), s))
     name, margin = _margin(F.col("rawPrediction"), model.families)
     p = 1 / (1 + F.exp(-(model.slope * margin + model.offset)))
-    named = scored.select("id", "paragraph", "text", pairs(F.col("w")).alias("pairs"), name.alias("best"), p.alias("probability"))
-    each = lambda t: F.size(F.array_intersect("pairs", t)) / F.size(t)
+    named = scored.select("id", "paragraph", "text", "w", name.alias("best"), p.alias("probability"))
+    known = F.col("probability") >= 0.5
+    each = lambda t: F.size(F.array_intersect(pairs(F.col("w")), t)) / F.size(t)
     wanted = F.create_map(*[c for f, ts in TEMPLATES.items() for c in (
         F.lit(f), F.array(*[F.array(*[F.lit(x) for x in _pairs_of(t)]) for t in ts]))])
-    similarity = F.array_max(F.transform(F.element_at(wanted, F.col("best")), each))
-    known = F.col("probability") >= 0.5
+    similarity = F.when(known, F.array_max(F.transform(F.element_at(wanted, F.col("best")), each)))
+    told = F.element_at(F.create_map(*[c for f, ms in MARKS.items() for c in (F.lit(f), F.array(*[F.lit(f" {m} ") for m in ms]))]), F.col("best"))
+    line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    marked = F.when(known, F.exists(told, lambda m: F.contains(line, m))).otherwise(False)
     return named.withColumn("similarity", similarity).select(
         "id", "paragraph", "text", F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"), "probability", "similarity",
-        (known & (F.col("similarity") >= s.similarity)).alias("confirmed")).withColumnRenamed("id", id_col)
+        (known & (marked | (F.col("similarity") >= s.similarity))).alias("confirmed")).withColumnRenamed("id", id_col)
 
 
 def _pairs_of(text: str) -> list[str]:
@@ -218,9 +266,9 @@ def _pairs_of(text: str) -> list[str]:
 
 
 def families(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, n_paragraphs (that speak of rights), families (confirmed, sorted). Rows of one id share
+    """Per row of ``docs``: id, n_paragraphs (that speak of rights or are confirmed), families (confirmed, sorted). Rows of one id share
     what is found in any of them."""
-    found = scan(docs, model, id_col, text_col).groupBy(F.col(id_col).alias("found_id")).agg(
+    found = scan(docs, model, id_col, text_col).where(F.col("confirmed") | anchored(F.col("text"))).groupBy(F.col(id_col).alias("found_id")).agg(
         F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"))
     rows = docs.select(F.col(id_col))
     return rows.join(found, F.col(id_col).eqNullSafe(F.col("found_id")), "left").select(
