@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
-from . import bpe, chat, decontaminate, embed_dedup, html_text, licenses, line_dedup, ngram_join, quality, warc
+from . import (bpe, chat, decontaminate, embed_dedup, exact_dedup, html_text, licenses, line_dedup, ngram_join, periodic,
+               quality, spelling, warc)
 from .common import table_of
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -130,8 +131,56 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((r["n_removed"] > 0) & ~r["text"].rlike(r"\S")).alias("emptied"))
 
 
-_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op6_embed_dedup, op7_licenses, op8_html_text, op9_warc, op10_line_dedup)}
-_SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form, the root of its chain of forms, and its near words."""
+    return spelling.variants(table_of(spark, sf_dir, "documents").select("doc_id", "text"), typo_every=97)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, keeper and hash of the normalised text of every document."""
+    return exact_dedup.groups(table_of(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+  sha256(body) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY body)
+"""
+
+
+def _with_tandems(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which one document in ten, by the crc32 of its id, repeats a stretch of words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.nullif(F.size("words"), F.lit(0))
+    rows = rows.select("doc_id", "text", "words", "g", (F.col("g") % n).alias("a"))
+    rows = rows.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
+        "words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of every document, its longest one, and digests of the runs and of the collapsed text."""
+    found = periodic.annotate(_with_tandems(table_of(spark, sf_dir, "documents")), "found")
+    runs = F.col("found.runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size(runs) > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("found.text"), 256).alias("collapsed_sha256")) \
+        .select("doc_id", "n_runs", (-F.col("best.back")).alias("start"), F.col("best.length").alias("length"),
+                (-F.col("best.short")).alias("period"),
+                F.floor(1000 * F.col("best.length") / -F.col("best.short")).alias("exponent_milli"),
+                "runs_sha256", "collapsed_sha256")
+
+
+_QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_bpe, op3_ngram_join, op4_chat, op5_quality, op6_embed_dedup, op7_licenses, op8_html_text, op9_warc, op10_line_dedup,
+                                    op11_spelling, op12_exact_dedup, op13_periodic)}
+_SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL, "op12_exact_dedup": OP12_SQL}
 
 
 def _prepared(fn):
