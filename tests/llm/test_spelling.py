@@ -1,5 +1,6 @@
 """Spelling variants against all pairs of words."""
 
+import itertools
 import random
 import re
 import zlib
@@ -94,25 +95,22 @@ def test_variants_equal_brute_force(spark):
         brute(words(rows, 2, 1, 5), 3)
 
 
-def test_neighbourhoods_are_whole_and_without_repeats():
-    rnd = np.random.default_rng(1)
-    for symbols, length in ((2, 1), (2, 6), (3, 5), (4, 4)):
-        reduced = rnd.integers(1, symbols + 1, (20, length)).astype(np.uint64)
-
-        def key(word):
-            return int(next(S.reduced_keys(np.array([word], np.uint64).reshape(1, -1), symbols, False))[1][0])
-
-        made = {r: [] for r in range(20)}
-        for rows, keys in S.reduced_keys(reduced, symbols, True):
-            for r, k in zip(rows, keys):
-                made[int(r)].append(int(k))
-        for r, word in enumerate(reduced.tolist()):
-            want = {tuple(word)}
-            for i in range(length + 1):
-                want |= {(*word[:i], d, *word[i:]) for d in range(1, symbols + 1)}
-                if i < length:
-                    want |= {(*word[:i], d, *word[i + 1:]) for d in range(1, symbols + 1)} | {(*word[:i], *word[i + 1:])}
-            assert len(made[r]) == len(set(made[r])) and set(made[r]) == {key(w) for w in want}
+def test_every_edge_is_listed_at_one_end():
+    words = [w for n in range(1, 5) for w in itertools.product((1, 2, 3), repeat=n)]
+    own, around = {}, {}
+    for n in range(1, 5):
+        of = [w for w in words if len(w) == n]
+        for rows, keys in S.reduced_keys(np.array(of), 3, False):
+            own.update(zip((of[r] for r in rows), keys.tolist()))
+        for rows, keys in S.reduced_keys(np.array(of), 3, True):
+            for r, k in zip(rows, keys.tolist()):
+                around.setdefault(of[r], []).append(k)
+    assert len(set(own.values())) == len(words)
+    for a in words:
+        assert len(around[a]) == len(set(around[a])) and own[a] in around[a]
+        for b in words:
+            if a != b:
+                assert (own[b] in around[a]) + (own[a] in around[b]) == is_near(a, b)
 
 
 def test_chains_of_forms(spark):

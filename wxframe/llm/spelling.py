@@ -1,15 +1,16 @@
 """Spelling variants: words one edit apart, found by reduced alphabets.
 
-Letters are hashed to a few symbols.  Every word generates the full one-edit neighbourhood of its reduced form (itself,
-every replaced, deleted and inserted symbol) as 64-bit keys, which are joined with the reduced forms of the vocabulary:
-words one edit apart have reduced forms at most one edit apart.  Letter sets that differ in more than two places rule
-pairs out inside that join, the original strings decide about the rest.  Each word follows its most frequent near word
+Letters are hashed to a few symbols.  Every word generates the one-edit neighbourhood of its reduced form (itself, every
+replaced, deleted and inserted symbol) as 64-bit keys, which are joined with the reduced forms of the vocabulary: words
+one edit apart have reduced forms at most one edit apart.  Neighbourhoods are whole, but an edge between two reduced words
+is generated at one of its ends only (one word's insertion is the other's deletion), as it is found from either.  The
+original strings decide about the pairs that meet.  Each word follows its most frequent near word
 that is at least ``ratio`` times as frequent as itself; as counts grow along such a chain, its last word is found by
 pointer jumping in a number of rounds that is the logarithm of the chain's length.
 
 * A null text has no words; an empty table or one without words gives no rows.
 * Texts of any length are read whole, in slices of documents; a word of any length is compared whole (its neighbourhood
-  has about 16 keys per letter and travels without the word).
+  has up to ``SYMBOLS`` keys per letter and travels without the word).
 * Ties between near words of equal count: the smallest in code-point order.  Repeated rows count as often as they occur.
 * A null id is written as an empty string where ``typo_every`` hashes it.  Other columns are never looked at.
 """
@@ -121,10 +122,12 @@ def _key(total, length: int):
     return mix(total + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
 
 
-def reduced_keys(reduced: np.ndarray, symbols: int, full: bool):
+def reduced_keys(reduced: np.ndarray, symbols: int, around: bool):
     """Blocks (rows of ``reduced``, keys) for words of one length; ``reduced`` holds symbols from 1 on, a word a row.
 
-    ``full``: keys of the whole one-edit neighbourhood, each string once; else of the words themselves.
+    ``around``: keys of the one-edit neighbourhood, each string once, in which an edge between two reduced words is
+    listed at one of its ends: a symbol is replaced by larger ones only, and a symbol that the one has more is deleted
+    there.  Else only the keys of the words themselves.
     """
     _, length = reduced.shape
     power = powers(length + 1)
@@ -135,25 +138,21 @@ def reduced_keys(reduced: np.ndarray, symbols: int, full: bool):
         upto = np.concatenate([np.zeros((len(s), 1), np.uint64), np.cumsum(s * power[:length], axis=1, dtype=np.uint64)], 1)
         total = upto[:, -1:]
         yield rows, _key(total[:, 0], length)
-        if not full:
+        if not around:
             continue
-        for d in range(1, symbols + 1):
+        for d in range(2, symbols + 1):
             d = np.uint64(d)
-            other = s != d                                   # replacing a symbol by itself changes nothing
-            r, _ = np.nonzero(other)
-            yield rows[r], _key((total + (d - s) * power[:length])[other], length)
-            # inserting a symbol before an equal one is the same as inserting it after that one
-            fits = np.concatenate([other, np.ones((len(s), 1), bool)], 1)
-            r, _ = np.nonzero(fits)
-            yield rows[r], _key((upto + d * power + (total - upto) * _M)[fits], length + 1)
+            smaller = s < d
+            r, _ = np.nonzero(smaller)
+            yield rows[r], _key((total + (d - s) * power[:length])[smaller], length)
         if length:
             first = np.concatenate([np.ones((len(s), 1), bool), s[:, 1:] != s[:, :-1]], 1)
             r, _ = np.nonzero(first)                         # of equal neighbours, deleting the first is enough
             yield rows[r], _key((upto[:, :-1] + (total - upto[:, 1:]) * _M_INVERSE)[first], length - 1)
 
 
-def _keys(vocab: DataFrame, symbols: int, full: bool) -> DataFrame:
-    """(key, wid, letters) of the reduced forms or of their neighbourhoods."""
+def _keys(vocab: DataFrame, symbols: int, around: bool) -> DataFrame:
+    """(key, wid) of the reduced forms of words or of their neighbourhoods."""
     def run(batches):
         for batch in batches:
             words = batch.column(1).to_pylist()
@@ -161,32 +160,28 @@ def _keys(vocab: DataFrame, symbols: int, full: bool) -> DataFrame:
             sizes = np.array([len(w) for w in words], np.int64)
             points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             starts = np.cumsum(sizes) - sizes
-            bits = np.uint64(1) << (mix(points + np.uint64(1)) % np.uint64(64))
-            letters = np.zeros(len(words), np.uint64)
-            np.bitwise_or.at(letters, np.repeat(np.arange(len(words)), sizes), bits)
             for length in np.unique(sizes):
                 of = np.flatnonzero(sizes == length)
                 reduced = points[starts[of][:, None] + np.arange(length)] % np.uint64(symbols) + np.uint64(1)
-                for rows, keys in reduced_keys(reduced, symbols, full):
-                    who = of[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(wid[who]),
-                                                      pa.array(letters[who].view(np.int64))], names=["key", "wid", "letters"])
+                for rows, keys in reduced_keys(reduced, symbols, around):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(wid[of[rows]])], names=["key", "wid"])
 
-    return vocab.select("wid", "word").mapInArrow(run, "key long, wid long, letters long")
+    return vocab.select("wid", "word").mapInArrow(run, "key long, wid long")
 
 
 def near_words(vocab: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n): every pair of words that differ by exactly one inserted, deleted or replaced code point,
     from both sides.  ``vocab``: distinct (word, n)."""
     named = vocab.select(F.xxhash64("word").alias("wid"), "word", "n")
-    a = _keys(named, symbols, full=True).toDF("key", "a", "la")
-    b = _keys(named, symbols, full=False).toDF("key", "b", "lb")
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b"))
-                   & (F.bit_count(F.col("la").bitwiseXOR(F.col("lb"))) <= 2)).select("a", "b").distinct()
-    left = named.select(F.col("wid").alias("a"), "word", "n")
-    right = named.select(F.col("wid").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    return pairs.join(left, "a").join(right, "b").where(F.levenshtein("word", "near", 1) == 1) \
-        .select("word", "n", "near", "near_n")
+    a = _keys(named, symbols, True).toDF("key", "a")
+    b = _keys(named, symbols, False).toDF("key", "b")
+    # reduced words that are equal meet from both sides, others once
+    pairs = a.join(b, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = named.select(F.col("wid").alias("a"), F.struct("word", "n").alias("x"))
+    right = named.select(F.col("wid").alias("b"), F.struct("word", "n").alias("y"))
+    met = pairs.join(left, "a").join(right, "b").where(F.levenshtein("x.word", "y.word", 1) == 1)
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    return met.select(F.inline(both)).select("x.word", "x.n", F.col("y.word").alias("near"), F.col("y.n").alias("near_n"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
