@@ -333,18 +333,84 @@ def test_series_unknown_station_is_an_error(spark):
         SR.series(obs, ["nope"], present=["airTemperature"])
 
 
-def test_asof_join_carries_labels_across_buckets(spark):
+def test_asof_join_carries_labels_across_days(spark):
     from wxframe.operators import merge as M
     right = spark.createDataFrame([(1, T("2024-01-01 10:00"), 1.0), (1, T("2024-01-03 05:00"), 3.0),
                                    (2, T("2024-01-02 00:00"), 9.0)], "k int, rt timestamp_ntz, v double")
     left = spark.createDataFrame([(1, T("2024-01-01 09:59")), (1, T("2024-01-01 10:00")), (1, T("2024-01-02 12:00")),
                                   (1, T("2024-01-03 05:00")), (2, T("2024-01-05 00:00")), (3, T("2024-01-05 00:00"))],
                                  "k int, t timestamp_ntz")
-    for bucket in ("day", "hour", "month"):
-        out = {(r.k, r.t): r.v for r in M.asof_join(left, right, ["k"], "t", "rt", ["v"], bucket=bucket).collect()}
-        assert out == {(1, T("2024-01-01 09:59")): None, (1, T("2024-01-01 10:00")): 1.0,
-                       (1, T("2024-01-02 12:00")): 1.0, (1, T("2024-01-03 05:00")): 3.0,
-                       (2, T("2024-01-05 00:00")): 9.0, (3, T("2024-01-05 00:00")): None}
+    out = {(r.k, r.t): r.v for r in M.asof_join(left, right, ["k"], "t", "rt", ["v"]).collect()}
+    assert out == {(1, T("2024-01-01 09:59")): None, (1, T("2024-01-01 10:00")): 1.0,
+                   (1, T("2024-01-02 12:00")): 1.0, (1, T("2024-01-03 05:00")): 3.0,
+                   (2, T("2024-01-05 00:00")): 9.0, (3, T("2024-01-05 00:00")): None}
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_asof_join_splits_a_hot_key_and_a_hot_time(spark, batch):
+    """One key and day, and one instant, hold most rows; they are several partitions and each finds its label."""
+    import random
+    from bisect import bisect_right
+    from collections import Counter
+
+    from wxframe.operators import merge as M
+    rnd = random.Random(batch)
+    t0 = T("2024-01-01 00:00")
+    at = lambda s: None if s is None else t0 + dt.timedelta(seconds=s)
+    right = [("hot", 20_000 + 7 * k, float(k)) for k in range(200)] + [("b", 5, -1.0), ("d", 10, None), (None, 1, 5.0), ("b", None, 7.0)]
+    left = [("hot", rnd.randrange(19_000, 22_000)) for _ in range(1500)] + [("hot", 20_700)] * 1500 + [("hot", 86_400 * 40)] * 300
+    left += [(rnd.choice(["a", "b", "c", "d", None]), rnd.choice([None, *range(20)])) for _ in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        l = spark.createDataFrame([(k, at(s), i) for i, (k, s) in enumerate(left)], "k string, t timestamp_ntz, i int").repartition(5)
+        r = spark.createDataFrame([(k, at(s), v) for k, s, v in right], "k string, rt timestamp_ntz, v double").repartition(3)
+        out = M.asof_join(l, r, ["k"], "t", "rt", ["v"])
+        got = Counter((x.i, x.rt_matched, x.v) for x in out.collect())
+        sizes = [x["count"] for x in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    known = {}
+    for k, s, v in sorted((x for x in right if x[0] and x[1] is not None), key=lambda x: x[1]):
+        known.setdefault(k, []).append((s, v))
+    want = Counter()
+    for i, (k, s) in enumerate(left):
+        seen = known.get(k, []) if s is not None else []
+        n = bisect_right([x[0] for x in seen], s) if seen else 0
+        want[(i, at(seen[n - 1][0]), seen[n - 1][1]) if n else (i, None, None)] += 1
+    assert got == want
+    assert max(sizes) < len(left) / 3
+
+
+def test_idw_in_small_blocks_equals_the_formula(spark):
+    """Crowded and calm times, several values of a station, stations on points, blocks on both sides."""
+    import random
+
+    import numpy as np
+    rnd = random.Random(6)
+    st = [(f"S{k:03d}", -30.0 - rnd.random(), 120.0 + rnd.random()) for k in range(60)]
+    pts = [(k, -30.0 - rnd.random(), 120.0 + rnd.random()) for k in range(25)] + [(100, *st[7][1:]), (101, *st[40][1:])]
+    st += [("S999", *st[7][1:]), ("A000", *st[40][1:])]                    # two stations in one place: the first by name
+    times = [T("2024-01-01 00:00"), T("2024-01-01 01:00"), T("2024-01-01 02:00")]
+    obs = [(s, times[0], rnd.uniform(0, 30)) for s, *_ in st for _ in range(3)] + [(s, times[1], rnd.uniform(0, 30)) for s, *_ in st[:4]]
+    obs += [(s, times[2], 9.0) for s in ("S007", "S040", "A000", "nowhere")] + [("S001", times[2], None), ("S002", times[2], float("nan"))]
+    df = [spark.createDataFrame(rows, schema) for rows, schema in (
+        (obs, "station string, time timestamp_ntz, value double"), (pts, "point_id long, lat double, lon double"),
+        (st, "station string, lat double, lon double"))]
+    xy = {r.station: (r.x, r.y) for r in G.project(df[2]).collect()}
+    want = {}
+    for r in G.project(df[1]).collect():
+        for t in times:
+            told = [(s, v) for s, u, v in obs if u == t and s in xy and v is not None and v == v]
+            d = np.array([math.hypot(r.x - xy[s][0], r.y - xy[s][1]) for s, _ in told])
+            on = sorted((s, v) for (s, v), k in zip(told, d) if k < 1e-6)
+            w = 1 / (d + 1e-6) ** 2
+            want[t, r.point_id] = on[0][1] if on else float((w * [v for _, v in told]).sum() / w.sum())
+    for point_block, station_block in ((2048, 2048), (4, 5), (1, 1), (7, 61)):
+        got = G.idw(*df, point_block=point_block, station_block=station_block).collect()
+        assert len(got) == len(want)
+        assert all(math.isclose(r.value, want[r.time, r.point_id], rel_tol=1e-9) for r in got)
 
 
 def test_idw_ignores_silent_stations_and_handles_gaps(spark):

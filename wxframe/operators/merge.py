@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import ensure_checkpoint_dir
 from . import select as S
 
 
@@ -109,34 +110,82 @@ def available_dates(runs: DataFrame, file_date: str = "file_date") -> DataFrame:
     return runs.select(F.date_format(file_date, "yyyy-MM-dd").alias("run_date")).distinct()
 
 
-def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, right_cols,
-              bucket: str = "day") -> DataFrame:
-    """Attach to each left row the latest right row (same ``by`` keys) at or
-    before its time — a backward as-of join; no match -> nulls.
+def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, right_cols) -> DataFrame:
+    """Attach to each left row the latest right row (same ``by`` keys) at or before its time, a backward as-of join; no
+    match, a null time or a null key give nulls.
 
-    Work is split by (keys, time bucket): inside a bucket one window over the
-    union of both sides carries the last right label forward; a right label
-    from an earlier bucket enters as a carry-in, found on the small per-bucket
-    summary (one row per key and bucket).  No key or bucket is gathered in
-    one task beyond its own rows.
+    Both sides are cut into ranges of (keys, time), so a hot key or day is as many partitions as it needs, even when all
+    its rows have one time.  Each partition carries its last right row forward by itself; what it must know from before is
+    one row per partition: the last key there and the last right row of that key.  Those rows are as many as partitions,
+    and the running last of them is broadcast.
     """
     by = list(by)
     rc = list(right_cols)
+    ensure_checkpoint_dir(left.sparkSession)
+    known = right.where(F.col(right_time).isNotNull())
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
     lab = F.struct(F.col(right_time).alias("_rt"), *[F.col(c).alias(c) for c in rc])
-    r = right.select(*by, F.col(right_time).alias("_t"), lab.alias("_lab"))
-    l = left.withColumn("_row", F.struct(*[F.col(c) for c in left.columns])) \
-        .select(*by, F.col(left_time).alias("_t"), "_row")
-    bkt = F.date_trunc(bucket, F.col("_t"))
-    summary = r.groupBy(*by, bkt.alias("_b")).agg(F.max_by("_lab", "_t").alias("_last"))
-    buckets = l.select(*by, bkt.alias("_b")).distinct().join(summary, [*by, "_b"], "full")
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.select(*by, "_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    u = (r.select(*by, "_t", F.lit(0).alias("_k"), "_lab", F.lit(None).cast(l.schema["_row"].dataType).alias("_row"))
-         .unionByName(l.select(*by, "_t", F.lit(1).alias("_k"),
-                               F.lit(None).cast(r.schema["_lab"].dataType).alias("_lab"), "_row"))
-         .withColumn("_b", bkt))
-    w = Window.partitionBy(*by, "_b").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_in", F.last("_lab", ignorenulls=True).over(w)).where(F.col("_k") == 1)
-    u = u.join(carry, [*by, "_b"], "left")
-    m = F.coalesce(F.col("_in"), F.col("_carry"))
-    return u.select("_row.*", m["_rt"].alias(f"{right_time}_matched"), *[m[c].alias(c) for c in rc])
+    r = known.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_k"), F.xxhash64(*rc, right_time).alias("_salt"), lab.alias("_lab"))
+    l = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_k"), F.xxhash64(*left.columns).alias("_salt"),
+                    F.struct(*left.columns).alias("_row"))
+    order = [*by, "_t", "_k", "_salt"]
+    u = r.unionByName(l, allowMissingColumns=True).repartitionByRange(*order).sortWithinPartitions(*order) \
+        .checkpoint().withColumn("_pid", F.spark_partition_id())
+    # one row per partition: first and last key, last right row of the last key
+    key = F.struct(*by)
+    last_of = u.groupBy("_pid", *by).agg(F.max_by("_lab", F.when(F.col("_k") == 0, F.struct("_t", "_salt"))).alias("_last"))
+    ends = last_of.groupBy("_pid").agg(F.min(key).alias("_first_key"), F.max(key).alias("_last_key"),
+                                       F.max_by(F.struct("_last"), key).alias("_end"))
+    running = F.last("_end._last", ignorenulls=True).over(Window.partitionBy("_last_key").orderBy("_pid"))
+    in_turn = Window.orderBy("_pid")
+    carry = ends.withColumn("_run", running).select(
+        "_pid", "_first_key", F.lag("_last_key").over(in_turn).alias("_key"), F.lag("_run").over(in_turn).alias("_carry")) \
+        .where(F.col("_key") == F.col("_first_key")).where(F.col("_carry").isNotNull()).select("_pid", "_key", "_carry")
+
+    kind = u.select(*by, "_pid", "_row", "_lab").schema
+    found = u.select(*by, "_pid", "_k", "_row", "_lab").mapInArrow(_carry_forward(by), kind)
+    open_rows = found.join(F.broadcast(carry.select("_pid", F.col("_key").alias("_ck"), "_carry")), "_pid", "left")
+    m = F.coalesce(F.col("_lab"), F.when(F.struct(*by) == F.col("_ck"), F.col("_carry")))
+    return open_rows.select("_row", m.alias("_m")).select(
+        "_row.*", F.col("_m._rt").alias(f"{right_time}_matched"), *[F.col(f"_m.{c}").alias(c) for c in rc])
+
+
+def _carry_forward(by):
+    """Left rows of a sorted partition with the last right row of their key above them in the partition, if any."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held, held_key = None, None                          # last right row so far and the key it belongs to
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            cols = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+            keys = pa.StructArray.from_arrays([cols[c] for c in by], names=by)
+            new = np.zeros(n, bool)
+            for c in by:
+                a, b = cols[c].slice(1), cols[c].slice(0, n - 1)
+                differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+                new[1:] |= differs | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+            at = np.arange(n)
+            begin = np.maximum.accumulate(np.where(new, at, 0))
+            right = cols["_k"].to_numpy() == 0
+            last = np.maximum.accumulate(np.where(right, at, -1))
+            last = np.where(last >= begin, last, -1)
+            labels = cols["_lab"]
+            if held is not None and held_key == keys[0].as_py():
+                labels = pa.concat_arrays([labels, held])
+                last = np.where((last < 0) & (begin == 0), n, last)
+            rows = np.flatnonzero(~right)
+            take = pa.array(last[rows], mask=last[rows] < 0)
+            yield pa.RecordBatch.from_arrays([*[cols[c].take(pa.array(rows)) for c in [*by, "_pid", "_row"]], labels.take(take)],
+                                             names=[*by, "_pid", "_row", "_lab"])
+            if last[-1] >= 0:
+                held, held_key = labels.slice(int(last[-1]), 1), keys[n - 1].as_py()
+            else:
+                held = None
+
+    return run

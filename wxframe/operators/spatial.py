@@ -71,61 +71,79 @@ def unproject(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", lon:
 
 
 POINT_BLOCK = 2048              # fill points in one block
+STATION_BLOCK = 2048            # stations in one block
 
 
 def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str = "time", value: str = "value",
-        power: float = C.IDW_POWER, eps: float = C.IDW_EPS, point_block: int = POINT_BLOCK) -> DataFrame:
+        power: float = C.IDW_POWER, eps: float = C.IDW_EPS, point_block: int = POINT_BLOCK,
+        station_block: int = STATION_BLOCK) -> DataFrame:
     """Inverse-distance fill: (time, point_id, value) for every time with a finite value and every point.
 
-    A station within ``eps`` (projected metres) wins outright, the first by name; otherwise sum(w v) / sum(w) over
-    the stations that report at that time, w = 1 / (distance + eps) ** power.
+    A station within ``eps`` (projected metres) wins outright, the first by name (of several values the smallest);
+    otherwise sum(w v) / sum(w) over the values reported at that time, w = 1 / (distance + eps) ** power.
 
-    The observations of one time become one row (as many entries as stations report), the points become blocks of
-    ``point_block``; each time meets each block once and a task computes the whole block as one matrix product.
-    Nothing is collected, no pair becomes a row, and no size decides the plan.  ``points``: (point_id, lat, lon).
+    The values of a station and time are added up first.  The stations of a time become blocks of about
+    ``station_block``, the points blocks of ``point_block``; a task computes one block against another as a matrix
+    product.  Times of one block have their result at once; for crowded times the blocks' numerators, denominators and
+    first stations within ``eps`` are merged per (time, point).  ``points``: (point_id, lat, lon).
     """
     at = project(stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy") \
         .select("station", "sx", "sy")
-    entry = F.struct("station", F.col("_v").alias("v"), "sx", "sy")
-    frames = (obs.select("station", F.col(time_col).alias("_t"), null_nonfinite(value).alias("_v")).where(F.col("_v").isNotNull())
-              .join(at, "station").groupBy("_t").agg(F.array_sort(F.collect_list(entry)).alias("o")))
+    told = (obs.select("station", F.col(time_col).alias("_t"), null_nonfinite(value).alias("_v")).where(F.col("_v").isNotNull())
+            .join(at, "station").groupBy("_t", "station", "sx", "sy")
+            .agg(F.sum("_v").alias("s"), F.count("_v").cast("double").alias("n"), F.min("_v").alias("v")))
+    entry = F.array_sort(F.collect_list(F.struct("station", "s", "n", "v", "sx", "sy"))).alias("o")
+    crowded = told.groupBy("_t").agg(F.ceil(F.count(F.lit(1)) / station_block).alias("_blocks")).where("_blocks > 1")
+    whole = told.join(crowded, "_t", "left_anti").groupBy("_t").agg(entry)
+    cut = told.join(crowded, "_t").groupBy("_t", F.pmod(F.xxhash64("station"), "_blocks").alias("_k")).agg(entry)
+
     p = project(points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="px", y="py")
     blocks = p.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / point_block)).cast("long")).scalar()
     dealt = p.withColumn("block", F.pmod(F.xxhash64("point_id"), blocks)) \
         .groupBy("block").agg(F.collect_list(F.struct("point_id", "px", "py")).alias("p"))
-    met = frames.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(dealt, "block")
-    kind = T.ArrayType(T.StructType([points.schema["point_id"], T.StructField("value", T.DoubleType())]))
-    filled = met.select("_t", "o", "p").mapInArrow(
-        _idw_blocks(power, eps), T.StructType([T.StructField("_t", met.schema["_t"].dataType), T.StructField("r", kind)]))
-    return filled.select(F.col("_t").alias(time_col), F.inline("r"))
+    item = T.StructType([points.schema["point_id"], T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType()),
+                         T.StructField("station", at.schema["station"].dataType), T.StructField("v", T.DoubleType())])
+
+    def sums(frames: DataFrame) -> DataFrame:
+        met = frames.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(dealt, "block")
+        kind = T.StructType([T.StructField("_t", met.schema["_t"].dataType), T.StructField("r", T.ArrayType(item))])
+        return met.select("_t", "o", "p").mapInArrow(_idw_blocks(power, eps), kind).select("_t", F.inline("r"))
+
+    on = F.when(F.col("station").isNotNull(), F.struct("station", "v"))
+    merged = sums(cut).groupBy("_t", "point_id").agg(F.sum("num").alias("num"), F.sum("den").alias("den"),
+                                                     F.min(on).alias("_on")).withColumn("v", F.col("_on.v"))
+    out = [f.select(F.col("_t").alias(time_col), "point_id", F.coalesce("v", F.col("num") / F.col("den")).alias("value"))
+           for f in (sums(whole), merged)]
+    return out[0].unionByName(out[1])
 
 
 def _idw_blocks(power: float, eps: float):
-    """Task of :func:`idw`: one row (time, observations, block of points) at a time."""
+    """Task of :func:`idw`: one row (time, block of stations, block of points) at a time."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        names = ["point_id", "num", "den", "station", "v"]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             obs, pts = batch.column(1), batch.column(2)
-            ids, values, sizes = [], [], []
+            found, sizes = [], []
             for k in range(batch.num_rows):
                 o, p = obs[k].values, pts[k].values
-                v, sx, sy = (o.field(c).to_numpy(zero_copy_only=False) for c in ("v", "sx", "sy"))
+                s, n, sx, sy = (o.field(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "sx", "sy"))
                 px, py = (p.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py"))
                 d = np.hypot(sx[:, None] - px, sy[:, None] - py)
+                near = d < eps                    # rows are sorted by station name, so the first is the smallest
                 w = 1.0 / (d + eps) ** power
-                out = (v @ w) / w.sum(0)
-                on = d < eps                      # rows are sorted by station name, so the first is the smallest
-                out = np.where(on.any(0), v[on.argmax(0)], out)
-                ids.append(p.field("point_id"))
-                values.append(out)
-                sizes.append(len(out))
-            flat = pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(values))], names=["point_id", "value"]) \
-                if ids else None
-            if flat is not None:
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["_t", "r"])
+                first = pa.array(near.argmax(0), mask=~near.any(0))
+                found.append(pa.StructArray.from_arrays(
+                    [p.field("point_id"), pa.array(s @ w), pa.array(n @ w), o.field("station").take(first), o.field("v").take(first)],
+                    names=names))
+                sizes.append(len(px))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.concat_arrays(found))],
+                                             names=["_t", "r"])
 
     return run
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import round6
+from ..operators import lattice as L
 from ..operators import select as S
 from ..operators import spatial as G
 from ..operators import units as U
@@ -170,3 +171,83 @@ SELECT * FROM v_stations WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 1
 def hull_interior(spark, sf_dir):
     st = _wa_stations(Views(spark, sf_dir))
     return G.hull_interior(st, G.convex_hull(st))
+
+
+def _fill_cte() -> str:
+    """CTE ``taken``: the fill lattice in scan order.  The outline is the projected hull; its box comes from the crossings
+    of all pairs of parallels that lie in the shrunk outline; the points of a row are taken one after the other."""
+    r, reach = lit(C.FILL_RADIUS_M), lit(C.FILL_RADIUS_M * C.FILL_MIN_SEPARATION)
+    dx, dy = (lit(v) for v in L.spacing(C.FILL_RADIUS_M, C.FILL_PACKING_SCALE))
+    x, y = albers_xy("lat", "lon")
+
+    def inside(points: str, keys: str) -> str:
+        return f"""SELECT {keys} FROM {points} p, e GROUP BY {keys}
+  HAVING min(sqrt(pow(p.x - ax - greatest(0, least(1, ((p.x - ax) * ex + (p.y - ay) * ey) / (l * l))) * ex, 2)
+                + pow(p.y - ay - greatest(0, least(1, ((p.x - ax) * ex + (p.y - ay) * ey) / (l * l))) * ey, 2))) >= {r} * (1 - 1e-7)
+     AND count(*) FILTER (WHERE (ay <= p.y) <> (ay + ey <= p.y) AND ax + (p.y - ay) / ey * ex > p.x) % 2 = 1"""
+
+    return f"""{_HULL_CTE.strip()},
+ring AS (SELECT row_number() OVER (ORDER BY upper, CASE WHEN upper THEN -lon ELSE lon END, CASE WHEN upper THEN -lat ELSE lat END) AS k,
+                count(*) OVER () AS n, {x} AS x, {y} AS y FROM h),
+e AS (SELECT p.k, p.x AS ax, p.y AS ay, q.x - p.x AS ex, q.y - p.y AS ey, sqrt(pow(q.x - p.x, 2) + pow(q.y - p.y, 2)) AS l
+      FROM ring p JOIN ring q ON q.k = p.k % p.n + 1),
+o AS (SELECT *, ax - {r} * ey / l AS ox, ay + {r} * ex / l AS oy FROM e),
+cross_at AS (SELECT i.k * 100000 + j.k AS k, i.ox + ((j.ox - i.ox) * j.ey - (j.oy - i.oy) * j.ex) / (i.ex * j.ey - i.ey * j.ex) * i.ex AS x,
+                    i.oy + ((j.ox - i.ox) * j.ey - (j.oy - i.oy) * j.ex) / (i.ex * j.ey - i.ey * j.ex) * i.ey AS y
+             FROM o i, o j WHERE i.k < j.k AND i.ex * j.ey - i.ey * j.ex <> 0),
+box AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM ({inside("cross_at", "p.k, p.x, p.y")})),
+lattice AS (SELECT row, x0 - {dx} + CASE row % 2 WHEN 1 THEN {r} ELSE 0 END AS start, x1, y0 + row * {dy} AS y
+            FROM (SELECT *, unnest(generate_series(0, CAST(floor((y1 - y0) / {dy}) AS BIGINT))) AS row FROM box)),
+cand AS (SELECT row, col, start + col * {dx} AS x, y
+         FROM (SELECT *, unnest(generate_series(0, CAST(ceil((x1 - start) / {dx}) AS BIGINT))) AS col FROM lattice)),
+near_st AS (SELECT {x} AS sx, {y} AS sy FROM v_stations
+            WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 115.0e0 AND 129.0e0),
+free AS (SELECT * FROM ({inside("cand", "p.row, p.col, p.x, p.y")}) c
+         WHERE NOT EXISTS (SELECT 1 FROM near_st WHERE pow(c.x - sx, 2) + pow(c.y - sy, 2) < {reach} * {reach})),
+line AS (SELECT row_number() OVER (ORDER BY row) AS n, row, y, list([struct_pack(row := row, col := col, x := x, y := y)] ORDER BY col) AS points
+         FROM free GROUP BY row, y),
+scan AS (
+  SELECT CAST(0 AS BIGINT) AS n, 0.0e0 AS y, CAST([] AS STRUCT(row BIGINT, col BIGINT, x DOUBLE, y DOUBLE)[]) AS stay
+  UNION ALL
+  SELECT l.n, l.y, list_reduce(l.points, lambda s, c: CASE WHEN
+      len(list_filter(s, lambda p: abs(p.x - c[1].x) < {reach} AND (p.x - c[1].x) * (p.x - c[1].x) + (p.y - c[1].y) * (p.y - c[1].y) < {lit((C.FILL_RADIUS_M * C.FILL_MIN_SEPARATION) ** 2)})) = 0
+      THEN list_concat(s, c) ELSE s END, list_filter(g.stay, lambda p: p.y > l.y - {reach}))
+  FROM scan g JOIN line l ON l.n = g.n + 1
+),
+stays AS (SELECT unnest(list_filter(stay, lambda p: p.y = scan.y)) AS p FROM scan),
+taken AS (SELECT row_number() OVER (ORDER BY p.row, p.col) - 1 AS fill_id, p.row AS row, p.col AS col, p.x AS x, p.y AS y FROM stays)"""
+
+
+@register("fill_points", f"""
+WITH RECURSIVE {_fill_cte()}
+SELECT CAST(fill_id AS BIGINT) AS fill_id, 0 AS part, row, col, round(x * 1e3) / 1e3 AS x, round(y * 1e3) / 1e3 AS y FROM taken
+""")
+def fill_points(spark, sf_dir):
+    st = _wa_stations(Views(spark, sf_dir))
+    out = L.fill_points(G.convex_hull(st), st)
+    return out.select("fill_id", "part", "row", "col", *[(F.round(F.col(c) * 1e3) / 1e3).alias(c) for c in ("x", "y")])
+
+
+def _lattice_idw_sql() -> str:
+    sx, sy = albers_xy("lat", "lon")
+    return f"""
+WITH RECURSIVE {_fill_cte()},
+ss AS (SELECT station, {sx} AS sx, {sy} AS sy FROM v_stations
+       WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 115.0e0 AND 129.0e0),
+w AS (SELECT fill_id, station, 1.0e0 / pow(sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) + 1e-06, 2.0e0) AS wt FROM taken, ss),
+d AS (SELECT station, date_trunc('day', time) AS time, avg(value) AS value FROM v_obs
+      WHERE variable = 'airTemperature' AND value IS NOT NULL GROUP BY 1, 2)
+SELECT CAST(d.time AS TIMESTAMP) AS time, CAST(fill_id AS BIGINT) AS point_id, {r6('sum(wt * d.value) / sum(wt)')} AS value
+FROM d JOIN w ON d.station = w.station GROUP BY 1, 2
+"""
+
+
+@register("idw_fill_lattice", _lattice_idw_sql())
+def idw_fill_lattice(spark, sf_dir):
+    # hull -> fill lattice -> inverse-distance values of daily station means; no station is on a fill point
+    v = Views(spark, sf_dir)
+    st = _wa_stations(v)
+    points = L.fill_points(G.convex_hull(st), st).select(F.col("fill_id").alias("point_id"), "lat", "lon")
+    daily = v.obs.where(F.col("variable") == "airTemperature") \
+        .groupBy("station", F.date_trunc("day", "time").cast("timestamp_ntz").alias("time")).agg(F.avg("value").alias("value"))
+    return G.idw(daily, points, st).withColumn("value", round6("value"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Sizes are per-partition targets, valid at any data scale.
 DEFAULT_CONF = {
@@ -75,6 +76,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared folder and read from there: lineage is cut, a lost executor costs
+    nothing, and later steps read only the columns they need."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _SHIPPED: set[str] = set()
 
 
