@@ -459,3 +459,19 @@ def test_axis_picks_do_not_shuffle_the_field(spark, pick, tmp_path):
     mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     main = out._jdf.queryExecution().explainString(mode).split("===== Subqueries")[0]
     assert "Exchange" not in main and "Scan parquet" in main
+
+
+def test_resolution_counts_by_bitmaps(spark):
+    """Distinct instants, whatever their grid, and one evaluation of each dataset."""
+    from wxframe.operators import stats as ST
+    t0 = T("1969-12-30 23:59:00")
+    a = [(f"S{k % 3}", t0 + dt.timedelta(minutes=15 * (k // 3))) for k in range(300)] + [("S0", None), (None, t0)]
+    b = [(f"S{k % 4}", t0 + dt.timedelta(seconds=7.25 * (k % 1000))) for k in range(5000)]
+    da, db = (spark.createDataFrame(r, "station string, time timestamp_ntz") for r in (a, b))
+    r = ST.compare_resolution(da, db).collect()[0]
+    assert (r.steps_a, r.stations_a, r.points_a) == (100, 3, 302)
+    assert (r.steps_b, r.stations_b, r.points_b) == (1000, 4, 5000) and r.growth == round(5000 / 302, 6)
+    none = ST.compare_resolution(da, db.limit(0)).collect()[0]
+    assert (none.steps_b, none.stations_b, none.points_b) == (0, 0, 0)
+    plan = ST.compare_resolution(da, db)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan          # only the stored bitmaps are read

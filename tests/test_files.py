@@ -181,3 +181,59 @@ def test_grid_points_and_csv_sink_round_trip(spark, scratch):
     FS.write_csv(inside, out)
     back = spark.read.option("header", True).csv(out)
     assert [r.station for r in back.collect()] == ["A"]
+
+
+def test_completeness_opens_no_data_file(spark, scratch):
+    """Members are known from folder names: files that no reader could open don't matter where no data is wanted."""
+    base = os.path.join(scratch, "catalog")
+    one = spark.createDataFrame([(dt.datetime(2024, 1, 1), 1.0)], "valid_time timestamp_ntz, x double")
+    for m in FS.REANALYSIS_MEMBERS:
+        _write_member(spark, base, [("year", 2024), ("month", 1)], m, one)
+    for month, member in ((1, "extra"), (2, "extra"), (3, "pressure")):
+        p = os.path.join(base, "year=2024", f"month={month}", f"member={member}")
+        os.makedirs(p, exist_ok=True)
+        with open(os.path.join(p, "part-0.parquet"), "w") as fh:
+            fh.write("not a table")
+    rows = FS.member_catalog(spark, base)
+    assert sorted(rows.columns) == ["member", "month", "year"]
+    assert {(r.month, r.member) for r in rows.collect()} >= {(2, "extra"), (3, "pressure"), (1, "accum")}
+    assert FS.complete_units(rows, ["year", "month"], FS.REANALYSIS_MEMBERS, strict=False) == [202401]
+    got = FS.read_reanalysis(spark, base, strict=False)
+    assert got["accum"].count() == got["instant"].count() == 1
+    with pytest.raises(FS.IncompleteMonthError, match="202403"):
+        FS.read_reanalysis(spark, base)
+
+
+def test_manifest_beside_the_runs_filters_the_scan(spark, scratch):
+    from wxframe.operators import merge as M
+    path = os.path.join(scratch, "runs")
+    t0 = dt.datetime(2024, 1, 1)
+
+    def run(day, value, hours=10):
+        rows = [(dt.date(2024, 1, day), t0 + dt.timedelta(days=day - 1, hours=h), float(c), value) for h in range(hours) for c in range(3)]
+        return spark.createDataFrame(rows, "file_date date, time timestamp_ntz, cell double, v double")
+
+    def add(df):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_date").parquet(path)
+        FS.write_manifest(df, path)
+
+    add(run(1, 1.0, hours=30))
+    add(run(2, 2.0))
+    runs = spark.read.parquet(path)
+    assert "_manifest" not in "".join(runs.inputFiles())
+    out = M.dedupe_runs(runs, manifest=FS.read_manifest(spark, path))
+    want = M.dedupe_runs(runs)
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert out.count() == 3 * (30 + 4) and out.where("v = 2.0").count() == 3 * 4
+    add(run(1, 1.5, hours=3))                                # an earlier run is written again, shorter
+    out = M.dedupe_runs(spark.read.parquet(path), manifest=FS.read_manifest(spark, path))
+    assert {(r.v, r["count"]) for r in out.groupBy("v").count().collect()} == {(1.5, 9), (2.0, 30)}
+
+
+def test_deduplicated_runs_are_not_shuffled(spark):
+    from wxframe.operators import merge as M
+    from wxframe.plans.registry import Views
+    runs = Views(spark, "/root/testdata/sf0.001").runs
+    plain = runs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    plan = M.dedupe_runs(runs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == plain

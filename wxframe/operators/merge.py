@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from . import select as S
 
 
@@ -94,14 +94,25 @@ def _to_date(v) -> _dt.date:
     return _dt.date.fromisoformat(str(v)[:10])
 
 
-def dedupe_runs(runs: DataFrame, file_date: str = "file_date", time_col: str = "time") -> DataFrame:
+MANIFEST_ROWS = 4_000_000       # a manifest of up to so many rows (16 bytes each) is broadcast
+
+
+def run_manifest(runs: DataFrame, file_date: str = "file_date", time_col: str = "time") -> DataFrame:
+    """(time, file_date): the earliest file of each time, one row per time.  Reads two columns."""
+    return runs.groupBy(time_col).agg(F.min(file_date).alias(file_date))
+
+
+def dedupe_runs(runs: DataFrame, file_date: str = "file_date", time_col: str = "time",
+                manifest: DataFrame | None = None) -> DataFrame:
     """After concatenating runs, each time keeps the whole slab of the earliest file.
 
-    The earliest file per time is a partial (map-side combined) aggregate;
-    joining it back is an equi-join on (time, file_date) so hot times never
-    gather in one task.
+    The manifest of the runs decides, as a filter on the scan: it is counted, and broadcast while it has at most
+    ``MANIFEST_ROWS`` rows (some centuries of hourly times), so the runs are never shuffled; beyond that it is joined.
+    ``manifest``: the one kept beside the runs (``sources.files.read_manifest``); else it is made from them.
     """
-    first = runs.groupBy(time_col).agg(F.min(file_date).alias(file_date))
+    first = stored(run_manifest(runs, file_date, time_col)) if manifest is None else manifest.select(time_col, file_date)
+    if first.count() <= MANIFEST_ROWS:
+        first = F.broadcast(first)
     return runs.join(first, [time_col, file_date], "left_semi")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.columns import null_nonfinite, round6, ts_lit, wind_speed
+from ..session import stored
 from . import select as S
 
 
@@ -119,16 +120,33 @@ def date_groups(frames: DataFrame, time_col: str = "valid_time") -> DataFrame:
             .agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx")))
 
 
+def time_bitmaps(df: DataFrame, by: str = "station", time_col: str = "time", unit_seconds: int = 60) -> DataFrame:
+    """(by, bucket, rest, bits, points): the instants of each series as bitmaps, one bit per ``unit_seconds``.
+
+    An instant is its number of whole units and the rest below a unit, so any time is exact; a regular axis has one rest.
+    Bitmaps merge by OR: distinct instants of any set of series come from this table, a row per series and 32,768 units."""
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    unit = F.lit(unit_seconds * 1_000_000).cast("long")
+    rows = df.select(by, F.floor(micros / unit).cast("long").alias("_i"), F.pmod(micros, unit).alias("rest"))
+    return rows.groupBy(by, F.bitmap_bucket_number("_i").alias("bucket"), "rest").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_i")).alias("bits"), F.count(F.lit(1)).alias("points"))
+
+
 def compare_resolution(a: DataFrame, b: DataFrame, by: str = "station", time_col: str = "time") -> DataFrame:
     """Steps, stations and total points of two datasets and the growth factor b/a.
 
-    Times and stations are made distinct apart (partial aggregates), so no row is expanded for the two counts."""
+    Each dataset is evaluated once, into its time bitmaps; the three counts come from that small table."""
     def counted(df, tag):
-        of = lambda c: df.select(c).distinct().agg(F.count(c)).scalar()
-        return [of(time_col).alias(f"steps_{tag}"), of(by).alias(f"stations_{tag}")]
-    points_b = b.agg(F.count(F.lit(1))).scalar()
-    out = a.agg(F.count(F.lit(1)).alias("points_a")).select(
-        *counted(a, "a"), "points_a", *counted(b, "b"), points_b.alias("points_b"))
+        bits = stored(time_bitmaps(df, by, time_col))
+        steps = bits.groupBy("bucket", "rest").agg(F.bitmap_or_agg("bits").alias("bits")) \
+            .agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias(f"steps_{tag}"))
+        names = bits.select(by).distinct().agg(F.count(by).alias(f"stations_{tag}"))
+        points = bits.agg(F.coalesce(F.sum("points"), F.lit(0)).alias(f"points_{tag}"))
+        return steps, names, points
+    (steps_a, names_a, points_a), (steps_b, names_b, points_b) = counted(a, "a"), counted(b, "b")
+    out = points_a.select(steps_a.scalar().alias("steps_a"), names_a.scalar().alias("stations_a"), "points_a",
+                          steps_b.scalar().alias("steps_b"), names_b.scalar().alias("stations_b"),
+                          points_b.scalar().alias("points_b"))
     return out.withColumn("growth", round6(F.col("points_b") / F.col("points_a")))
 
 

@@ -92,12 +92,20 @@ def _code(names):
     return out
 
 
-def complete_units(df: DataFrame, names, members, strict: bool) -> list[int]:
-    """Codes of the months or runs that have every member, from the partition columns alone.
+def member_catalog(spark: SparkSession, base: str) -> DataFrame:
+    """One row per data file under ``base`` with the partition columns of its folder (year, month[, day], member).
+
+    The files are listed, not opened: the reader is asked for the values in the folder names only."""
+    listed = spark.read.format("binaryFile").option("basePath", base).load(base)
+    return listed.drop("path", "modificationTime", "length", "content")
+
+
+def complete_units(catalog: DataFrame, names, members, strict: bool) -> list[int]:
+    """Codes of the months or runs that have every member, from folder names alone.
 
     One number per month or run comes to the driver (as file listing has them already); an incomplete one raises
     with ``strict`` and is left out otherwise."""
-    have = df.where(F.col("member").isin(list(members))).groupBy(_code(names).alias("unit")) \
+    have = catalog.where(F.col("member").isin(list(members))).groupBy(_code(names).alias("unit")) \
         .agg(F.count_distinct("member").alias("n")).collect()
     bad = sorted(r.unit for r in have if r.n < len(members))
     if strict and bad:
@@ -106,8 +114,7 @@ def complete_units(df: DataFrame, names, members, strict: bool) -> list[int]:
 
 
 def _members(spark: SparkSession, base: str, names, members, strict: bool) -> dict[str, DataFrame]:
-    whole = spark.read.option("basePath", base).option("mergeSchema", True).parquet(base)
-    units = complete_units(whole, names, members, strict)
+    units = complete_units(member_catalog(spark, base), names, members, strict)
     out = {}
     for m in members:
         glob = f"{base.rstrip('/')}/{'/'.join(['*'] * len(names))}/member={m}"
@@ -191,6 +198,19 @@ def write_runs(df: DataFrame, path: str, time_col: str = "time", mode: str = "ov
     _write(out, path, ["year", "month", "day"], mode, compression)
 
 
+def write_manifest(runs: DataFrame, path: str, file_date: str = "file_date", time_col: str = "time") -> None:
+    """The times of each run file of ``runs``, kept in ``path/_manifest`` (readers of ``path`` skip it).  Only the run
+    files present are replaced, so it is kept up to date run by run."""
+    times = runs.select(F.col(time_col).alias("time"), F.col(file_date).cast("date").alias("file_date")).distinct()
+    _write(times, f"{path.rstrip('/')}/_manifest", ["file_date"], "overwrite")
+
+
+def read_manifest(spark: SparkSession, path: str, file_date: str = "file_date", time_col: str = "time") -> DataFrame:
+    """(time, file_date): the earliest run file of each time, from the manifest beside the runs."""
+    kept = spark.read.parquet(f"{path.rstrip('/')}/_manifest")
+    return kept.groupBy(F.col("time").alias(time_col)).agg(F.min("file_date").alias(file_date))
+
+
 def write_obs(df: DataFrame, path: str, time_col: str = "time", mode: str = "overwrite") -> None:
     """Combined station dataset, partitioned by year, sorted by station/time within files."""
     _write(df.withColumn("year", F.year(time_col)), path, ["year"], mode, sort=("station", time_col))
