@@ -475,3 +475,22 @@ def test_resolution_counts_by_bitmaps(spark):
     assert (none.steps_b, none.stations_b, none.points_b) == (0, 0, 0)
     plan = ST.compare_resolution(da, db)._jdf.queryExecution().executedPlan().toString()
     assert "ExistingRDD" not in plan and "LocalTableScan" not in plan          # only the stored bitmaps are read
+
+
+def test_station_without_coordinates_is_an_error(spark):
+    obs = spark.createDataFrame([("A", 1.0), ("ghost", 2.0)], "station string, v double")
+    st = spark.createDataFrame([("A", -30.0, 120.0, "a")], "station string, lat double, lon double, code string")
+    with pytest.raises(Exception, match="no coordinates for station ghost"):
+        R.attach_coords(obs, st).collect()
+    assert [tuple(r) for r in R.attach_coords(obs, st, unknown="drop").collect()] == [("A", 1.0, -30.0, 120.0, "a")]
+    assert [tuple(r) for r in R.attach_coords(obs.where("v < 2"), st).collect()] == [("A", 1.0, -30.0, 120.0, "a")]
+    with pytest.raises(Exception, match="no coordinates for station null"):
+        R.attach_coords(spark.createDataFrame([(None, 1.0)], obs.schema), st).collect()
+
+
+def test_shared_limits_skip_what_is_not_there(spark):
+    from wxframe.operators import catalog as CT
+    obs = spark.createDataFrame([("airTemperature", 5.0), ("airTemperature", float("inf")), ("dewPoint", None)], "variable string, value double")
+    grid = spark.createDataFrame([(1.0, 2.0), (float("nan"), 3.0)], "t2m double, d2m double")
+    assert [tuple(r) for r in CT.shared_limits(obs, grid).collect()] == [("t2m", "airTemperature", 1.0, 5.0)]
+    assert CT.shared_limits(obs, grid.drop("t2m", "d2m")).collect() == [] == CT.shared_limits(obs.limit(0), grid).collect()

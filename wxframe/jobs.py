@@ -66,11 +66,12 @@ def clean_forecast_runs(spark: SparkSession, base: str, out: str | None = None,
     pl_vars = [c for c in pl.columns if c not in FC_KEYS + ["level"]]
     flat = L.flatten_levels(pl, FC_KEYS, pl_vars, levels)
     merged = M.align_merge([single, flat], FC_KEYS)
-    conv, _ = U.convert_units(merged, C.FORECAST_UNIT_GROUPS, match="levels")
+    conv, units = U.convert_units(merged, C.FORECAST_UNIT_GROUPS, match="levels")
     conv = S.drop_coords(conv, C.FORECAST_DROP_COORDS)
     result = S.select_variables(conv, FC_KEYS, C.FORECAST_VARS)
     if out:
         FS.write_runs(result, out, "time")
+        FS.write_units(spark, {c: u for c, u in units.items() if c in result.columns}, out)
     return result
 
 
@@ -85,10 +86,11 @@ def clean_reanalysis(spark: SparkSession, base: str, out: str | None = None, str
     pl_vars = [c for c in pl.columns if c not in ERA_KEYS + ["level"]]
     flat = L.flatten_levels_nearest(pl, ERA_KEYS, pl_vars, targets)
     merged = M.align_merge([accum, instant, flat], ERA_KEYS)
-    conv, _ = U.convert_units(merged, C.REANALYSIS_UNIT_GROUPS, match="exact")
+    conv, units = U.convert_units(merged, C.REANALYSIS_UNIT_GROUPS, match="exact")
     result = S.select_variables(conv, ERA_KEYS, C.REANALYSIS_VARS)
     if out:
         FS.write_monthly(result, out, "valid_time")
+        FS.write_units(spark, {c: u for c, u in units.items() if c in result.columns}, out)
     return result
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.columns import null_nonfinite
 
 
 def variables_present(df: DataFrame, keys) -> DataFrame:
@@ -22,6 +23,42 @@ def variables_present(df: DataFrame, keys) -> DataFrame:
             .where(F.col("n") > 0).drop("n"))
 
 
+def variable_dims(long: DataFrame, coords, variable: str = "variable") -> DataFrame:
+    """(variable, dims): the coordinates that a variable's rows have values of, in the order of ``coords``."""
+    had = [F.when(F.max(F.col(c).isNotNull()), F.lit(c)) for c in coords]
+    return long.groupBy(variable).agg(F.array_compact(F.array(*had)).alias("dims"))
+
+
+def candidate_vars(dims: DataFrame, lat: str = "latitude", lon: str = "longitude", time_like=("time", "step"),
+                   variable: str = "variable") -> DataFrame:
+    """Variables that can be drawn: with both axes and, if any variable has a time-like one, with such a one; all
+    variables if there is none of that kind.  ``dims``: (variable, dims), see :func:`variable_dims`."""
+    timed = F.arrays_overlap("dims", F.array(*[F.lit(t) for t in time_like]))
+    no_time = ~dims.agg(F.coalesce(F.bool_or(timed), F.lit(False))).scalar()
+    fits = F.array_contains("dims", lat) & F.array_contains("dims", lon)
+    some = dims.agg(F.coalesce(F.bool_or(fits & timed), F.lit(False))).scalar()
+    some_untimed = dims.agg(F.coalesce(F.bool_or(fits), F.lit(False))).scalar()
+    candidate = fits & (timed | no_time)
+    return dims.where(F.when(some | (no_time & some_untimed), candidate).otherwise(F.lit(True))).select(variable)
+
+
+def shared_limits(obs_long: DataFrame, grid: DataFrame, pairs=C.COMPATIBLE_VARS) -> DataFrame:
+    """(var_a, var_b, v_min, v_max): one colour scale for each mapped pair present on both sides, from the finite values
+    of the grid's variable and of the station variable together.
+
+    One aggregate per side; a handful of rows meet."""
+    present = [a for a, _ in pairs if a in grid.columns]
+    grid_rows = F.array(*[F.struct(F.lit(a).alias("var_a"), F.col(f"{a}_lo").alias("a_lo"), F.col(f"{a}_hi").alias("a_hi")) for a in present])
+    bounds = [f(null_nonfinite(a)).alias(f"{a}_{end}") for a in present for f, end in ((F.min, "lo"), (F.max, "hi"))]
+    mapping = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    of_grid = (grid.agg(*bounds).select(F.explode(grid_rows).alias("g")) if present else
+               grid.limit(0).select(F.struct(F.lit("").alias("var_a"), F.lit(0.0).alias("a_lo"), F.lit(0.0).alias("a_hi")).alias("g"))) \
+        .select("g.*").withColumn("var_b", F.element_at(mapping, F.col("var_a"))).where(F.col("a_lo").isNotNull())
+    of_obs = obs_long.where(F.col("variable").isin([b for _, b in pairs])).select("variable", null_nonfinite("value").alias("value")) \
+        .groupBy(F.col("variable").alias("var_b")).agg(F.min("value").alias("b_lo"), F.max("value").alias("b_hi")).where(F.col("b_lo").isNotNull())
+    return of_grid.join(of_obs, "var_b").select("var_a", "var_b", F.least("a_lo", "b_lo").alias("v_min"), F.greatest("a_hi", "b_hi").alias("v_max"))
+
+
 def display_vars(variables: DataFrame, unpaired: str = "keep") -> DataFrame:
     """Group ``uXX``/``vXX`` pairs into ``windXX`` display variables.
 

@@ -38,14 +38,20 @@ def to_wide(df: DataFrame, keys, variables, name: str = "variable", value: str =
 
 
 def attach_coords(obs: DataFrame, stations: DataFrame, station_col: str = "station",
-                  how: str = "inner") -> DataFrame:
+                  unknown: str = "error") -> DataFrame:
     """Attach station lat/lon/code by name.
 
-    The stations side is left to AQE: broadcast when its measured size is
+    A row whose station is not listed fails the job with the station's name, when it is met and with no job of its own;
+    ``unknown='drop'`` leaves such rows out.  The stations side is left to AQE: broadcast when its measured size is
     small, shuffle join otherwise.
     """
-    st = stations.select(station_col, "lat", "lon", *[c for c in ("code",) if c in stations.columns])
-    return obs.join(st, station_col, how)
+    added = ["lat", "lon", *[c for c in ("code",) if c in stations.columns]]
+    if unknown == "drop":
+        return obs.join(stations.select(station_col, *added), station_col)
+    met = obs.join(stations.select(station_col, F.struct(*added).alias("_at")), station_col, "left")
+    lost = F.raise_error(F.concat(F.lit("no coordinates for station "), F.coalesce(F.col(station_col).cast("string"), F.lit("null"))))
+    at = F.when(F.col("_at").isNotNull(), F.col("_at")).otherwise(lost.cast(met.schema["_at"].dataType))
+    return met.withColumn("_at", at).select(*obs.columns, *[F.col(f"_at.{c}").alias(c) for c in added])
 
 
 def unknown_stations(obs: DataFrame, stations: DataFrame, station_col: str = "station") -> DataFrame:

@@ -99,6 +99,20 @@ def dataset_metadata(obs_wide: DataFrame, time_col: str = "time") -> DataFrame:
     )
 
 
+def series_metadata(obs: DataFrame, stations: DataFrame, time_col: str = "time", by: str = "station") -> DataFrame:
+    """:func:`dataset_metadata` of observations of listed stations, without joining coordinates to them: bounds come from
+    the stations that report, the count of instants from time bitmaps."""
+    bits = stored(time_bitmaps(obs.join(stations.select(by), by, "left_semi"), by, time_col))
+    spans = obs.groupBy(by).agg(F.min(time_col).alias("_from"), F.max(time_col).alias("_to"))
+    instants = bits.groupBy("bucket", "rest").agg(F.bitmap_or_agg("bits").alias("bits")) \
+        .agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).scalar()
+    return spans.join(stations.select(by, "lat", "lon"), by).agg(
+        F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"), F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"),
+        F.date_format(F.min("_from"), "yyyy-MM-dd'T'HH:mm:ss").alias("time_start"),
+        F.date_format(F.max("_to"), "yyyy-MM-dd'T'HH:mm:ss").alias("time_end"),
+        F.max(instants).alias("time_count"), F.count_distinct(by).alias("station_count"))
+
+
 def axes(df: DataFrame, time_col: str = "time", step_col: str = "step") -> DataFrame:
     """(axis, idx, label, value) rows: run times as 'yyyy-MM-dd HH:mm', steps as whole hours."""
     t = S.axis_table(df, time_col).select(

@@ -153,17 +153,24 @@ def wa_grid_filter_empty_axis(spark, sf_dir):
     return S.within_box_or_all(v.fc, GRID_BOX_NO_LAT)
 
 
-_EXTENT_SQL = """
-SELECT s.* FROM v_stations s,
+# stations moved into the forecast grid's area, some of them beyond its edges
+_AREA_STATIONS = """SELECT station, -25.0e0 + (lat + 36.0e0) / -13.0e0 AS lat, 112.5e0 + (lon - 110.0e0) / 15.0e0 AS lon FROM v_stations"""
+_EXTENT_SQL = f"""
+SELECT s.* FROM ({_AREA_STATIONS}) s,
   (SELECT min(latitude) AS a, max(latitude) AS b, min(longitude) AS c, max(longitude) AS d FROM v_fc) e
 WHERE s.lat BETWEEN e.a AND e.b AND s.lon BETWEEN e.c AND e.d
 """
 
 
+def _area_stations(v):
+    return v.stations.select("station", (F.lit(-25.0) + (F.col("lat") + 36.0) / -13.0).alias("lat"),
+                             (F.lit(112.5) + (F.col("lon") - 110.0) / 15.0).alias("lon"))
+
+
 @register("extent_filter", _EXTENT_SQL)
 def extent_filter(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return S.filter_by_extent(v.stations, v.fc)
+    return S.filter_by_extent(_area_stations(v), v.fc)
 
 
 @register("filter_counts", f"""
@@ -171,7 +178,7 @@ SELECT (SELECT count(*) FROM v_stations) AS n_before, (SELECT count(*) FROM ({_E
 """)
 def filter_counts(spark, sf_dir):
     v = Views(spark, sf_dir)
-    st = v.stations
+    st = _area_stations(v)
     before = st.agg(F.count(F.lit(1))).scalar()
     after = S.filter_by_extent(st, v.fc).agg(F.count(F.lit(1))).scalar()
     return spark.range(1).select(before.alias("n_before"), after.alias("n_after"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..operators import merge as M
 from ..operators import reshape as R
+from ..operators import select as S
 from ..operators import series as SR
 from .registry import Views, register
 from .sqlfrag import nonfinite_null, pmod
@@ -105,11 +107,12 @@ def build_obs(spark, sf_dir):
 
 
 @register("unknown_stations", """
-SELECT DISTINCT station FROM v_obs WHERE station NOT IN (SELECT station FROM v_stations)
+SELECT DISTINCT station FROM v_obs WHERE station NOT IN (
+  SELECT station FROM v_stations WHERE lat BETWEEN -35.0e0 AND -13.0e0 AND lon BETWEEN 115.0e0 AND 129.0e0)
 """)
 def unknown_stations(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return R.unknown_stations(v.obs, v.stations)
+    return R.unknown_stations(v.obs, S.within_box(v.stations, C.WA_STATION_BOX))     # a list that lacks some stations
 
 
 def _dekad(t: str = "time"):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round6
 from ..operators import catalog as CT
-from ..operators import reshape as R
 from ..operators import select as S
 from ..operators import series as SR
 from ..operators import stats as ST
+from ..sources.fixtures import table
 from .q_frames import OBS_VARS, _wide_sql
 from .q_levels import FC_KEYS, _clean_sql, forecast_clean
 from .registry import Views, register
@@ -62,7 +62,7 @@ SELECT min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) A
 """)
 def dataset_metadata(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return ST.dataset_metadata(R.build_obs(v.obs, v.stations, OBS_VARS))
+    return ST.series_metadata(v.obs.where(F.col("variable").isin(OBS_VARS)), v.stations)
 
 
 @register("ui_meta", """
@@ -141,6 +141,52 @@ def compatible_pairs(spark, sf_dir):
     return CT.compatible_pairs(fc_vars, obs_vars)
 
 
+_DIMS_SQL = """
+SELECT variable, max(latitude IS NOT NULL) AS la, max(longitude IS NOT NULL) AS lo, max(t IS NOT NULL) OR max(step IS NOT NULL) AS ti
+FROM (SELECT 'v' || l_linenumber AS variable, CASE WHEN l_linenumber <> 5 THEN l_partkey END AS latitude,
+             CASE WHEN l_linenumber <> 6 THEN l_suppkey END AS longitude, CASE WHEN l_linenumber < 3 THEN l_shipdate END AS t,
+             CASE WHEN l_linenumber IN (2, 3, 4) THEN l_quantity END AS step FROM lineitem) GROUP BY variable
+"""
+
+
+def _gridded(spark, sf_dir):
+    """Long rows of seven variables: some lack an axis, some have a time, some a step, some neither."""
+    n = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("v"), n.cast("string")).alias("variable"), F.when(n != 5, F.col("l_partkey")).alias("latitude"),
+        F.when(n != 6, F.col("l_suppkey")).alias("longitude"), F.when(n < 3, F.col("l_shipdate")).alias("time"),
+        F.when(n.isin(2, 3, 4), F.col("l_quantity")).alias("step"))
+
+
+@register("candidate_vars", f"SELECT variable FROM ({_DIMS_SQL}) WHERE la AND lo AND ti")
+def candidate_vars(spark, sf_dir):
+    return CT.candidate_vars(CT.variable_dims(_gridded(spark, sf_dir), ["time", "step", "latitude", "longitude"]))
+
+
+@register("candidate_vars_untimed", f"SELECT variable FROM ({_DIMS_SQL}) WHERE la AND lo")
+def candidate_vars_untimed(spark, sf_dir):
+    # no variable has a time-like axis
+    return CT.candidate_vars(CT.variable_dims(_gridded(spark, sf_dir), ["latitude", "longitude"]))
+
+
+@register("candidate_vars_all", f"SELECT variable FROM ({_DIMS_SQL})")
+def candidate_vars_all(spark, sf_dir):
+    # no variable has both axes, so all are candidates
+    return CT.candidate_vars(CT.variable_dims(_gridded(spark, sf_dir), ["time", "step", "latitude"]))
+
+
+@register("shared_limits", """
+WITH g AS (SELECT 't2m' AS var_a, 'airTemperature' AS var_b, min(t2m - 273.15e0) AS lo, max(t2m - 273.15e0) AS hi FROM v_era5
+           UNION ALL SELECT 'd2m', 'dewPoint', min(t2m - 283.15e0), max(t2m - 283.15e0) FROM v_era5),
+o AS (SELECT variable, min(value) AS lo, max(value) AS hi FROM v_obs WHERE NOT isnan(value) AND NOT isinf(value) GROUP BY variable)
+SELECT var_a, var_b, least(g.lo, o.lo) AS v_min, greatest(g.hi, o.hi) AS v_max FROM g JOIN o ON o.variable = g.var_b
+""")
+def shared_limits(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    grid = v.era5.select((F.col("t2m") - 273.15).alias("t2m"), (F.col("t2m") - 283.15).alias("d2m"))
+    return CT.shared_limits(v.obs, grid)
+
+
 _SHARED_SQL = """
 WITH a AS (SELECT CAST(min(CAST(time AS DATE)) AS TIMESTAMP) AS a0, CAST(max(CAST(time AS DATE)) AS TIMESTAMP) AS a1 FROM v_obs),
 b AS (SELECT min(time) AS b0, max(time) AS b1 FROM v_fc)

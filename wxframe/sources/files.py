@@ -211,6 +211,16 @@ def read_manifest(spark: SparkSession, path: str, file_date: str = "file_date",
     return kept.groupBy(F.col("time").alias(time_col)).agg(F.min("file_date").alias(file_date))
 
 
+def write_units(spark: SparkSession, units: dict[str, str], path: str) -> None:
+    """(variable, unit) of converted variables, kept in ``path/_units`` (readers of ``path`` skip it)."""
+    spark.createDataFrame(sorted(units.items()), "variable string, unit string").coalesce(1) \
+        .write.mode("overwrite").parquet(f"{path.rstrip('/')}/_units")
+
+
+def read_units(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/_units")
+
+
 def write_obs(df: DataFrame, path: str, time_col: str = "time", mode: str = "overwrite") -> None:
     """Combined station dataset, partitioned by year, sorted by station/time within files."""
     _write(df.withColumn("year", F.year(time_col)), path, ["year"], mode, sort=("station", time_col))
