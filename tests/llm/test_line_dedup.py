@@ -109,3 +109,15 @@ def test_words_equal_a_search_of_every_window(spark):
         want[k] = [x for i, x in enumerate(w) if i not in gone]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.result.text.split() for r in L.annotate(df, "result").collect()} == want
+
+
+def test_scraps_of_near_copies_go(spark):
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:100] + ["other"] + words[101:])),              # two words are left
+            (3, " ".join(words[:60] + [f"n{k}" for k in range(14)])), (4, " ".join(words[:60] + [f"m{k}" for k in range(16)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda rest: {r.doc_id: len(r.text.split()) for r in L.dedup(docs, min_rest=rest).collect()}
+    assert left(0.0) == {1: 200, 2: 1, 3: 14, 4: 16}
+    assert left(0.2) == {1: 200, 4: 16}                      # a fifth of 74 words is more than 14
+    docs = spark.createDataFrame([(1, " "), (2, None), (3, "a")], "doc_id long, text string")
+    assert L.dedup(docs, min_rest=1.0).count() == 3  # unchanged documents stay, whatever they hold

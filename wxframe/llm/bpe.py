@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import append_column, ragged, text_buffer
+from .common import append_column, held, ragged, text_buffer
 
 NEVER = 1 << 40
 CACHE_WORDS = 1 << 17          # distinct words kept by a Python worker; then it starts afresh
@@ -220,15 +220,9 @@ class Model:
         return self.all_bytes[ragged(self.offsets[ids], self.lengths[ids])].tobytes()
 
 
-_MODELS: dict = {}
-
-
 def _model(shared) -> Model:
     """The worker's model of a broadcast vocabulary."""
-    if id(shared) not in _MODELS:
-        _MODELS.clear()
-        _MODELS[id(shared)] = (shared, Model(shared.value))
-    return _MODELS[id(shared)][1]
+    return held("bpe", id(shared), lambda: (Model(shared.value), shared))[0]
 
 
 def vocabulary(spark: SparkSession, path: str):
@@ -248,7 +242,7 @@ def encode(docs: DataFrame, shared, out: str = "ids", text_col: str = "text") ->
         at = 4 * np.concatenate([[0], np.cumsum(counts)])
         return pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
-    return append_column(docs, out, T.BinaryType(), text_col, make)
+    return append_column(docs, out, T.BinaryType(), text_col, make, owner="bpe")
 
 
 def decode(coded: DataFrame, shared, out: str = "decoded", ids_col: str = "ids") -> DataFrame:
@@ -259,4 +253,4 @@ def decode(coded: DataFrame, shared, out: str = "decoded", ids_col: str = "ids")
         return pa.array([model.decode(np.frombuffer(raw[a:b], "<u4").astype(np.int64)).decode("utf-8", "replace")
                          for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)], pa.string())
 
-    return append_column(coded, out, T.StringType(), ids_col, make)
+    return append_column(coded, out, T.StringType(), ids_col, make, owner="bpe")

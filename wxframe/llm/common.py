@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 BATCH_BYTES = 4 << 20
 
@@ -28,6 +28,30 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def prepare(spark: SparkSession) -> None:
+    """What every query needs: the shared folder, the package on the executors, Arrow batches bounded by bytes."""
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_HELD: dict = {}
+
+
+def held(owner: str, key, make):
+    """Tables that a Python worker keeps between tasks: those of one operator, made anew when ``key`` changes."""
+    if owner not in _HELD or _HELD[owner][0] != key:
+        _HELD.clear()
+        _HELD[owner] = (key, make())
+    return _HELD[owner][1]
+
+
+def release(owner: str = "") -> None:
+    """Lets tables of other operators than ``owner`` go; tasks call it first, as workers are used again."""
+    if owner not in _HELD:
+        _HELD.clear()
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary array; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -56,14 +80,16 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES):
         start = end
 
 
-def append_column(df: DataFrame, name: str, dtype: T.DataType, column: str, make) -> DataFrame:
+def append_column(df: DataFrame, name: str, dtype: T.DataType, column: str, make, owner: str = "") -> DataFrame:
     """``df`` with one more column: ``make(array of column)`` per cut batch, no shuffle.
 
-    ``make`` is a function of a pyarrow array that returns an array of the same length.
+    ``make`` is a function of a pyarrow array that returns an array of the same length; ``owner`` names the tables that
+    it finds with :func:`held`.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(name, dtype)])
 
     def run(batches):
+        release(owner)
         for batch in batches:
             for part in slices(batch, column):
                 new = make(part.column(part.schema.get_field_index(column)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, checkpoint, fresh, list_array, mix, ragged, text_buffer, word_hashes, words_of
+from .common import append_column, checkpoint, fresh, held, list_array, mix, ragged, text_buffer, word_hashes, words_of
 
 RUN = 512
 BLOCK_BYTES = 4 << 20
@@ -122,17 +122,10 @@ def _joined(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[int]]
     return s[new].tolist(), e[last].tolist()
 
 
-_TABLES: dict = {}
-
-
 def _tables(block, window: int):
     """Search tables of the block at hand; a Python worker keeps those of one block only."""
-    key = (id(block), window)
-    if key not in _TABLES:
-        _TABLES.clear()
-        ids, texts = block.value
-        _TABLES[key] = (block, ids, build(texts, window))
-    return _TABLES[key][1:]
+    ids, patterns, _ = held("items", (id(block), window), lambda: (block.value[0], build(block.value[1], window), block))
+    return ids, patterns
 
 
 def _scan(column: pa.Array, ids: list[str | None], patterns: list[Patterns]) -> pa.Array:
@@ -210,10 +203,10 @@ def annotate(docs: DataFrame, items: DataFrame, out: str, text_col: str = "text"
         shared = spark.sparkContext.broadcast(block)
         make = lambda col, s=shared: _scan(col, *_tables(s, window))
         if blocks == 0:
-            done = append_column(done, out, RESULT, text_col, make)
+            done = append_column(done, out, RESULT, text_col, make, owner="items")
         else:                                   # further blocks: cut the chain of passes, then merge
             extra = fresh(done, "block_hits")
-            done = append_column(checkpoint(done), extra, RESULT, text_col, make)
+            done = append_column(checkpoint(done), extra, RESULT, text_col, make, owner="items")
             done = done.withColumn(out, _merge(F.col(out), F.col(extra))).drop(extra)
         blocks += 1
     if not blocks:

@@ -382,14 +382,17 @@ def annotate(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
-          min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated passages deleted; documents of which only white space is left go.
+          min_words: int = MIN_WORDS, min_rest: float = 0.0) -> DataFrame:
+    """``docs`` with the repeated passages deleted; documents of which only white space is left go, and those that keep
+    less than ``min_rest`` of their words: what is left of a near copy of earlier documents is scraps.
 
     The columns stay as they are; ``chars_col``, if there, is the new length of changed texts."""
     out = fresh(docs, "line_result")
     done = annotate(docs, out, id_col, text_col, min_words)
     changed = F.col(out)["changed"]
-    done = done.where(~changed | F.col(out)["text"].rlike(r"\S"))
+    words = lambda text: F.regexp_count(text, F.lit(r"\S+"))
+    enough = words(F.col(out)["text"]) >= F.greatest(F.lit(1.0), F.lit(min_rest) * words(F.col(text_col)))
+    done = done.where(~changed | enough)
     cols = []
     for c in docs.columns:
         if c == text_col:

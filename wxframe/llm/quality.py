@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, fresh, text_buffer, word_hashes, words_of
+from .common import append_column, fresh, release, text_buffer, word_hashes, words_of
 from .decontaminate import WORD_BYTES
 
 BUCKETS = 1 << 14
@@ -314,6 +314,7 @@ def score(docs: DataFrame, model: Model | None, out: str, text_col: str = "text"
     given = docs.withColumn(row, texts)
 
     def run(batches):
+        release()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)

@@ -5,15 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir
 from . import (bpe, chat, decontaminate, embed_dedup, exact_dedup, html_text, licenses, line_dedup, ngram_join, periodic,
                quality, spelling, warc)
-from .common import table_of
+from .common import prepare, table_of
 
-BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,8 +186,7 @@ _SQL = {"op4_chat": OP4_SQL, "op9_warc": OP9_SQL, "op12_exact_dedup": OP12_SQL}
 
 def _prepared(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ensure_checkpoint_dir(spark)
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, sf_dir)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     return run
