@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wxframe.llm import bpe, decontaminate, line_dedup, ngram_join, quality
+from wxframe.llm.common import prepare
 from wxframe.llm.queries import BYTE_BPE
-from wxframe.session import ensure_checkpoint_dir, ship_package
+from wxframe.session import ensure_checkpoint_dir
+
+
+MIN_REST = 0.2                  # near copies share four fifths or more
 
 
 def _stage(fn):
-    """A stage whose Python tasks find the package on the executors."""
+    """A stage whose Python tasks find the package on the executors and get batches bounded by bytes."""
     @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship_package(spark)
+        prepare(spark)
         return fn(spark, docs, sf_dir)
     return run_stage
 
@@ -34,8 +38,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @_stage
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document holds; documents with nothing left go."""
-    return line_dedup.dedup(docs)
+    """Texts without passages that an earlier document holds.
+
+    A document that keeps less than ``MIN_REST`` of its words goes: it was a copy or near copy of earlier documents, and
+    its scraps would stand as documents of their own in the next stages."""
+    return line_dedup.dedup(docs, min_rest=MIN_REST)
 
 
 @_stage
