@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, checkpoint, fresh, list_array, mix, text_buffer, word_hashes, words_of
+from ..session import stored
+from .common import append_column, fresh, list_array, mix, text_buffer, word_hashes, words_of
 
 MIN_WORDS = 50
 PER_TASK = 64                      # later documents aligned with one copy of a source's text
@@ -279,10 +280,30 @@ def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     return "\n".join(out), len(lines) - len(out)
 
 
+def _key(id_col: str, text_col: str):
+    """The id, then a short digest of the text, so rows of one id with different texts are told apart."""
+    return F.struct(F.col(id_col).alias("id"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key: the id, then a digest of the text, so rows of one id with different texts are told apart."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key"), text.alias("text"))
+    return docs.select(_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _marks(keys: DataFrame) -> DataFrame:
+    """(part, bits): a filter of ``BITS`` bits over the column ``key``, at most 2,048 rows of 4 KB."""
+    bit = keys.select(F.xxhash64("key").bitwiseAND(F.lit(BITS - 1)).alias("bit"))
+    return bit.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
+
+
+def _marked(df: DataFrame, key, marks: DataFrame, out: str) -> DataFrame:
+    """``df`` with a boolean ``out``: false where ``key`` is certainly not among the marked ones.  The filter has 8 MB at
+    most and is broadcast, so rows that need not meet anything aren't shuffled."""
+    part, bits = fresh(df, "mark_part"), fresh(df, "mark_bits")
+    bit = F.xxhash64(key).bitwiseAND(F.lit(BITS - 1))
+    met = df.withColumn(part, F.shiftright(bit, 15)).join(F.broadcast(marks.select(F.col("part").alias(part), F.col("bits").alias(bits))), part, "left")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(bit.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(F.lit(7)))) % 2 == 1
+    return met.withColumn(out, F.coalesce(one, F.lit(False))).drop(part, bits)
 
 
 def _shared(keyed: DataFrame, min_words: int):
@@ -303,16 +324,16 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     shared = _shared(keyed, min_words)
     hashes = append_column(keyed, "runs", T.ArrayType(T.LongType()), "text",
                            lambda col: window_hashes(col, min_words, np.frombuffer(shared.value, np.uint8)))
-    runs = hashes.select("key", F.explode("runs").alias("run"))
-    held = runs.groupBy("run").agg(F.min("key").alias("source"), F.max("key").alias("last")) \
-        .where(~F.col("source").eqNullSafe(F.col("last"))).select("run", "source")
+    runs = stored(hashes.select("key", "runs").where(F.size("runs") > 0)).select("key", F.explode("runs").alias("run"))
+    held = runs.groupBy("run").agg(F.min("key").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "source")
     return runs.join(held, "run").where(~F.col("key").eqNullSafe(F.col("source"))).select("key", "source").distinct()
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Per document that loses lines: key (id, h), ranges of word numbers, sources (ids of the earlier documents)."""
-    pairs = checkpoint(overlaps(docs, id_col, text_col, min_words))
-    texts = _keyed(docs, id_col, text_col).dropDuplicates(["key"])
+    pairs = stored(overlaps(docs, id_col, text_col, min_words))
+    marks = stored(_marks(pairs.select(F.explode(F.array("key", "source")).alias("key"))))
+    texts = _marked(_keyed(docs, id_col, text_col), "key", marks, "_needed").where("_needed").drop("_needed").dropDuplicates(["key"])
     tasks = pairs.groupBy("source").agg(F.ceil(F.count("*") / PER_TASK).cast("long").alias("n"))
     dealt = pairs.join(tasks, "source").withColumn("salt", F.pmod(F.xxhash64("key"), "n"))
     later = dealt.select("key", "source", "salt").join(texts, "key")
@@ -367,11 +388,15 @@ def annotate(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     key, ranges, left = fresh(docs, "line_key"), fresh(docs, "line_ranges"), fresh(docs, "line_left")
-    gone = deletions(docs, id_col, text_col, min_words) \
-        .select(F.col("key").alias(key + "_r"), F.struct("ranges", "sources").alias(ranges))
-    marked = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")))
-    both = marked.join(gone, F.col(key).eqNullSafe(F.col(key + "_r")), "left")
-    both = _cut(both.select(*[F.col(f"`{c}`") for c in docs.columns], ranges), text_col, ranges, left)
+    gone = stored(deletions(docs, id_col, text_col, min_words))
+    kind = T.StructType([gone.schema["ranges"], gone.schema["sources"]])
+    marked = _marked(docs.withColumn(key, _key(id_col, text_col)), key, stored(_marks(gone)), left)
+    gone = gone.select(F.col("key").alias(key + "_r"), F.struct("ranges", "sources").alias(ranges))
+    met = marked.where(F.col(left)).join(gone, F.col(key).eqNullSafe(F.col(key + "_r")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    cut = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_removed", T.LongType())])
+    both = _cut(met.select(*columns, ranges), text_col, ranges, left).unionByName(
+        marked.where(~F.col(left)).select(*columns, F.lit(None).cast(kind).alias(ranges), F.lit(None).cast(cut).alias(left)))
     cut = F.col(ranges).isNotNull()
     value = F.struct(F.when(cut, F.col(left)["text"]).otherwise(F.col(text_col)).alias("text"),
                      F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
