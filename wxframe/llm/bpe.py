@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import append_column, held, ragged, text_buffer
 
 NEVER = 1 << 40
-CACHE_WORDS = 1 << 17          # distinct words kept by a Python worker; then it starts afresh
+CACHE_WORDS = 1 << 18          # distinct words kept by a Python worker; then it starts afresh
 
 
 def byte_chars() -> dict[str, int]:
