@@ -1,21 +1,28 @@
 """Line de-duplication by pairwise alignment.
 
 A passage is a run of at least ``min_words`` consecutive words, wherever its lines begin or end; only blank lines
-between its words must be there on both sides. Every window of ``min_words`` words is hashed. The smallest document that
-holds a window is its source, and every other holder is aligned with it: the pairs grow with the holders, never with
-their square, and no passage held by an earlier document is missed. Windows are only sent out if their smallest
-``GRAM``-word hash occurs in another row as well; two equal windows have the same one, so this drops no pair. Each pair
-is aligned by patience diff (lines that occur once on both sides, longest increasing chain, extended to blocks, repeated
-on what is left so that moved blocks count too), then word by word inside the lines that differ, and common blocks of at
-least ``min_words`` words are deleted from the later document. Lines of which no word is left go, others keep their
-remaining words.
+between its words must be there on both sides.  As texts may be a single line, the lines that are hashed are stretches
+of ``GRAM`` words: of each window of ``min_words`` words the stretch with the smallest hash, about one in sixteen words.
+Two equal windows have the same one, so documents that hold one passage share a line hash.
+
+* The smallest document that holds a line hash is its source, and every other holder is aligned with it: pairs grow with
+  the holders, never with their square.
+* A pair is aligned by patience diff: lines that occur once on both sides, their longest increasing chain, extended word
+  by word to blocks, repeated on the lines left over, so moved blocks count too.  Windows whose line is repeated on a
+  side have no such anchor and are looked up in the source.  Common blocks of ``min_words`` words or more are deleted
+  from the later document.
+* A source may hold a line but not the window around it that two later documents share.  All holders of such a window
+  find it missing in that source; these windows alone are grouped by their own hashes, and their holders aligned with the
+  smallest of them.  So no passage that an earlier document holds is missed.
+
+Lines of which no word is left go, others keep their remaining words.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import stored
-from .common import append_column, fresh, list_array, mix, text_buffer, word_hashes, words_of
+from .common import append_column, fresh, list_array, mix, release, slices, text_buffer, word_hashes, words_of
 
 MIN_WORDS = 50
 PER_TASK = 64                      # later documents aligned with one copy of a source's text
-GRAM = 20                          # words of the hashes that tell which windows may be shared
-BITS = 1 << 26                     # of the broadcast filter of shared hashes; a full filter only costs time
+GRAM = 20                          # words of a hashed line
+ROUNDS = 16                        # of chains; later, every anchor left over is a chain of its own
+BITS = 1 << 26                     # of the broadcast filter of documents that take part; a full filter only costs time
 SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"    # besides ASCII
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[[*range(9, 14), *range(28, 32)]] = 32
@@ -46,9 +54,10 @@ def lines_of(text: str | None) -> tuple[list[str], list[int]]:
     return lines, [len(x.split()) for x in lines]
 
 
-def _word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, as ``str.split`` finds them, each text's first word (one entry more), and
-    ``BREAK`` for the words that blank lines part from the word before, else 0."""
+def _word_hashes(col: pa.Array):
+    """(hashes, first, parted, flat, starts, ends): hashes of the words of all texts, as ``str.split`` finds them, each
+    text's first word (one entry more), ``BREAK`` for the words that blank lines part from the word before, else 0, and
+    the bytes of the words, parted by one space, with the words' ranges in them."""
     data, offs = text_buffer(pc.replace_substring_regex(col, SPACE, " "))
     flat, starts, ends, first = words_of(data, offs, _TABLE)
     word = _TABLE[data] != 32
@@ -60,7 +69,7 @@ def _word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parted = np.zeros(len(line), np.uint64)
     parted[1:][np.diff(line) > 1] = BREAK
     parted[first[:-1][first[:-1] < len(line)]] = 0
-    return word_hashes(flat, starts, ends), first, parted
+    return word_hashes(flat, starts, ends), first, parted, flat, starts, ends
 
 
 def _geometric(base: int, n: int) -> np.ndarray:
@@ -88,136 +97,174 @@ def _least(values: np.ndarray, size: int) -> np.ndarray:
     return values
 
 
-def _windows_of(col: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, smallest gram) of every window of every text."""
-    hashes, first, parted = _word_hashes(col)
-    whole = _windows(hashes, parted, min_words)
+def line_hashes(col: pa.Array, min_words: int) -> pa.Array:
+    """Per text the distinct line hashes of its windows."""
+    hashes, first, parted, *_ = _word_hashes(col)
     gram = min(GRAM, min_words)
-    least = _least(_windows(hashes, parted, gram), min_words - gram + 1) if len(whole) else whole
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(whole)]
-    inside = np.arange(len(whole)) + min_words <= first[1:][text]
-    return text[inside], whole[inside], least[inside]
-
-
-def _lists(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    """The distinct values of each of n texts."""
-    order = np.lexsort((values, text))
-    text, values = text[order], values[order]
-    new = np.ones(len(text), bool)
-    new[1:] = (text[1:] != text[:-1]) | (values[1:] != values[:-1])
-    return list_array(values[new].view(np.int64), np.bincount(text[new], minlength=n), pa.int64())
-
-
-def gram_hashes(col: pa.Array, min_words: int) -> pa.Array:
-    """Per text the distinct smallest grams of its windows."""
-    text, _, least = _windows_of(col, min_words)
+    least = _least(_windows(hashes, parted, gram), min_words - gram + 1) if len(hashes) >= min_words else np.zeros(0, np.uint64)
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(least)]
+    use = np.arange(len(least)) + min_words <= first[1:][text]
+    use[1:] &= (least[1:] != least[:-1]) | (text[1:] != text[:-1])
+    text, least = text[use], least[use]
+    order = np.lexsort((least, text))
+    text, least = text[order], least[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (least[1:] != least[:-1])
-    return _lists(text[new], least[new], len(col))
-
+    return list_array(least[new].view(np.int64), np.bincount(text[new], minlength=len(col)), pa.int64())
 
-def window_hashes(col: pa.Array, min_words: int, shared: np.ndarray) -> pa.Array:
-    """Per text the distinct hashes of its windows whose smallest gram has its bit in ``shared``."""
-    text, whole, least = _windows_of(col, min_words)
-    bit = (least & np.uint64(BITS - 1)).astype(np.int64)
-    maybe = shared[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
-    return _lists(text[maybe], whole[maybe], len(col))
 
-
-def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Longest chain increasing on both sides of pairs sorted by their first number."""
+def _chain(places: list[int]) -> list[int]:
+    """Indices of a longest increasing chain of ``places``."""
     tops: list[int] = []
     heads: list[int] = []
     back = []
-    for k, (_, j) in enumerate(pairs):
+    for k, j in enumerate(places):
         at = bisect_left(tops, j)
         back.append(heads[at - 1] if at else -1)
         tops[at:at + 1], heads[at:at + 1] = [j], [k]
     out, k = [], heads[-1] if heads else -1
     while k >= 0:
-        out.append(pairs[k])
+        out.append(k)
         k = back[k]
     return out[::-1]
 
 
-def patience(old: list[str], new: list[str], free: list[bool]) -> list[tuple[int, int, int]]:
-    """Blocks (start in old, start in new, length) of equal lines around the chained unique common lines.
-
-    Only lines of ``new`` that are ``free`` take part."""
-    seen, mine = Counter(old), Counter(x for x, ok in zip(new, free, strict=True) if ok)
-    place = {x: k for k, x in enumerate(old) if x and seen[x] == 1}
-    anchors = [(k, place[x]) for k, x in enumerate(new) if free[k] and mine[x] == 1 and x in place]
-    blocks, upto_new, upto_old = [], 0, 0
-    for k, j in _chain(anchors):
-        if k < upto_new or j < upto_old:
-            continue                              # inside the block before
-        a, b = k, j
-        while a > upto_new and b > upto_old and free[a - 1] and new[a - 1] == old[b - 1]:
-            a, b = a - 1, b - 1
-        c, d = k + 1, j + 1
-        while c < len(new) and d < len(old) and free[c] and new[c] == old[d]:
-            c, d = c + 1, d + 1
-        blocks.append((b, a, c - a))
-        upto_new, upto_old = c, d
-    return blocks
-
-
-def _repeats(old: list[str], new: list[str], free: list[bool], sizes: list[int], min_words: int):
-    """Blocks of free lines that patience has no unique line for: from each, the longest equal run in ``old``."""
-    place: dict[str, list[int]] = {}
-    for j, x in enumerate(old):
-        place.setdefault(x, []).append(j)
-    a, run_before = len(new) - 1, {}
-    best = [0] * len(new)
-    while a >= 0:                                 # lengths of equal runs, from the end
-        run = {j: run_before.get(j + 1, 0) + 1 for j in place.get(new[a], ())} if free[a] else {}
-        best[a] = max(run.values(), default=0)
-        run_before, a = run, a - 1
-    a = 0
-    while a < len(new):
-        if best[a] and sum(sizes[a:a + best[a]]) >= min_words:
-            yield a, best[a]
-            a += best[a]
-        else:
-            a += 1
+class Words:
+    """The words of one text: hashes, blank lines between them, bytes, and its lines sorted by hash."""
+
+    def __init__(self, hashes, parted, flat, starts, ends, min_words: int):
+        self.hashes, self.parted, self.flat, self.starts, self.ends = hashes, parted, flat, starts, ends
+        self.size, self.gram = min_words, min(GRAM, min_words)
+        self.onward = hashes + parted
+        self.backward = parted.copy()
+        self.backward[1:] += hashes[:-1]
+        self.lines = _windows(hashes, parted, self.gram)
+        self.least = _least(self.lines, min_words - self.gram + 1) if len(hashes) >= min_words else np.zeros(0, np.uint64)
+        self.order = np.argsort(self.lines, kind="stable")
+        self.sorted = self.lines[self.order]
+
+    @functools.cached_property
+    def windows(self) -> np.ndarray:
+        return _windows(self.hashes, self.parted, self.size)
+
+    @functools.cached_property
+    def windows_sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(self.windows, kind="stable")
+        return order, self.windows[order]
+
+    def held(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each line occurs, and an index into ``order`` of its first place."""
+        at = np.searchsorted(self.sorted, lines, "left")
+        return np.searchsorted(self.sorted, lines, "right") - at, at
+
+    def equal(self, a: int, other: Words, j: int, n: int) -> bool:
+        """Whether n words from a on are, byte for byte, those of ``other`` from j on."""
+        mine = self.flat[self.starts[a]:self.ends[a + n - 1]]
+        return np.array_equal(mine, other.flat[other.starts[j]:other.ends[j + n - 1]]) \
+            and np.array_equal(self.parted[a + 1:a + n], other.parted[j + 1:j + n])
+
+
+def words_in(texts: list[str | None], min_words: int) -> list[Words]:
+    """The :class:`Words` of each text, hashed together."""
+    hashes, first, parted, flat, starts, ends = _word_hashes(pa.array([t or "" for t in texts], pa.large_string()))
+    return [Words(hashes[a:b], parted[a:b], flat, starts[a:b], ends[a:b], min_words)
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        upto = min(at + step, n)
+        differ = np.flatnonzero(x[at:upto] != y[at:upto])
+        if len(differ):
+            return at + int(differ[0])
+        at, step = upto, step * 4
+    return n
+
+
+def _block(old: Words, new: Words, i: int, j: int) -> tuple[int, int, int]:
+    """(start, end, place in old) of the longest equal run of words around word i of ``new`` and word j of ``old``."""
+    left = _same(new.backward[i:0:-1], old.backward[j:0:-1])
+    right = 1 + _same(new.onward[i + 1:], old.onward[j + 1:])
+    return i - left, i + right, j - left
+
+
+def patience(old: Words, new: Words, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int, int]]:
+    """Blocks (start, end, place in old) of at least ``min_words`` equal words around lines that are at place i of
+    ``new`` and j of ``old`` only; i ascends.
+
+    The longest chain ascending on both sides is extended to blocks, then the lines outside of it are aligned in the same
+    way: what has moved comes in a later round."""
+    out, rounds = [], 0
+    while len(i):
+        rounds += 1
+        ordered = rounds > ROUNDS or bool((np.diff(j) > 0).all())
+        chain = range(len(i)) if ordered else _chain(j.tolist())
+        left, upto = np.ones(len(i), bool), 0
+        for k in chain:
+            left[k] = False
+            if i[k] + new.gram <= upto:
+                continue                                       # inside the block before
+            a, b, at = _block(old, new, int(i[k]), int(j[k]))
+            upto = b
+            first, last = np.searchsorted(i, [a, b - new.gram + 1])
+            left[first:last] = False
+            if b - a >= new.size and new.equal(a, old, at, b - a):
+                out.append((a, b, at))
+        i, j = i[left], j[left]
+    return out
 
 
-def common_blocks(old_text: str | None, new_text: str | None, min_words: int) -> list[tuple[int, int]]:
-    """Line ranges [start, end) of ``new_text`` that align with ``old_text`` and hold at least ``min_words`` words."""
-    old, _ = lines_of(old_text)
-    new, sizes = lines_of(new_text)
-    if old == new:
-        return [(0, len(new))] if sum(sizes) >= min_words else []
-    free, out, more = [True] * len(new), [], True
-    while more:
-        more = False
-        for _, a, n in patience(old, new, free):
-            if sum(sizes[a:a + n]) >= min_words:
-                out.append((a, a + n))
-                free[a:a + n] = [False] * n
-                more = True
-    for a, n in _repeats(old, new, free, sizes, min_words):
-        out.append((a, a + n))
-    return sorted(out)
+def _looked_up(old: Words, new: Words, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """Blocks of the windows ``at`` of ``new`` that ``old`` holds."""
+    order, known = old.windows_sorted
+    if not len(known) or not len(at):
+        return []
+    found = np.minimum(np.searchsorted(known, new.windows[at]), len(known) - 1)
+    met = known[found] == new.windows[at]
+    at, place = at[met], order[found[met]]
+    cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1)) + 1
+    runs = [(int(r[0]), int(r[-1]) + new.size, int(p[0])) for r, p in zip(np.split(at, cut), np.split(place, cut), strict=True) if len(r)]
+    return [(a, b, j) for a, b, j in runs if new.equal(a, old, j, b - a)]
+
+
+def common_words(old: Words, new: Words) -> list[tuple[int, int]]:
+    """Word ranges [start, end) of ``new`` of at least ``min_words`` words that align with ``old``, sorted."""
+    if not len(old.least) or not len(new.least):
+        return []
+    lines = np.unique(new.least)
+    (n_old, at_old), (n_new, at_new) = old.held(lines), new.held(lines)
+    once = (n_old == 1) & (n_new == 1)
+    i, j = new.order[at_new[once]], old.order[at_old[once]]
+    by_place = np.argsort(i)
+    out = patience(old, new, i[by_place], j[by_place])
+    several = lines[(n_old > 0) & ~once]
+    if len(several):
+        at = np.flatnonzero(np.isin(new.least, several) & ~_covered(out, new))
+        out += _looked_up(old, new, at)
+    return sorted((a, b) for a, b, _ in out)
+
+
+def _covered(blocks, new: Words) -> np.ndarray:
+    """Which windows of ``new`` lie inside a block."""
+    out = np.zeros(len(new.least), bool)
+    for a, b, *_ in blocks:
+        out[a:b - new.size + 1] = True
+    return out
 
 
-class Words:
-    """A text's words, and its windows sorted by hash for look-ups."""
+def missing_windows(new: Words, lines: np.ndarray, blocks) -> np.ndarray:
+    """Distinct hashes of the windows whose line is one of ``lines`` and that no block holds."""
+    return np.unique(new.windows[np.isin(new.least, lines) & ~_covered(blocks, new)])
 
-    def __init__(self, text: str | None, min_words: int):
-        self.text, self.words = text, (text or "").split()
-        hashes, _, self.parted = _word_hashes(pa.array([text or ""]))
-        self.windows = _windows(hashes, self.parted, min_words)
 
-    def places(self, windows: np.ndarray) -> np.ndarray:
-        """Where the first equal window is, or -1."""
-        if not hasattr(self, "order"):
-            self.order = np.argsort(self.windows, kind="stable")
-            self.sorted = self.windows[self.order]
-        if not len(self.sorted):
-            return np.full(len(windows), -1)
-        at = np.minimum(np.searchsorted(self.sorted, windows), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == windows, self.order[at], -1)
+def common_blocks(old_text: str | None, new_text: str | None, min_words: int) -> list[tuple[int, int]]:
+    """Ranges [start, end) of whole lines of ``new_text`` inside the blocks that align with ``old_text``."""
+    old, new = words_in([old_text, new_text], min_words)
+    upto = np.cumsum([0, *lines_of(new_text)[1]])
+    ranges = [(int(np.searchsorted(upto, a)), int(np.searchsorted(upto, b, "right")) - 1) for a, b in common_words(old, new)]
+    return [(a, b) for a, b in ranges if a < b]
 
 
 def united(ranges) -> list[tuple[int, int]]:
@@ -231,25 +278,6 @@ def united(ranges) -> list[tuple[int, int]]:
     return out
 
 
-def common_words(old: Words, new: Words, min_words: int) -> list[tuple[int, int]]:
-    """Word ranges [start, end) of ``new`` that align with ``old``: blocks of lines, and blocks of words that begin or
-    end inside lines or are wrapped differently."""
-    upto = [0]
-    for n in lines_of(new.text)[1]:
-        upto.append(upto[-1] + n)
-    found = [(upto[a], upto[b]) for a, b in common_blocks(old.text, new.text, min_words)]
-    place = old.places(new.windows)
-    hit = np.flatnonzero(place >= 0)
-    if len(hit):
-        cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(place[hit]) != 1)) + 1
-        for run in np.split(hit, cut):
-            a, b, j = int(run[0]), int(run[-1]) + min_words, int(place[run[0]])
-            same = new.words[a:b] == old.words[j:j + b - a]
-            if same and (new.parted[a + 1:b] == old.parted[j + 1:j + b - a]).all():
-                found.append((a, b))
-    return united(found)
-
-
 def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     """``text`` without the words of united ``ranges``, and how many lines went: those that lose their last word, and
     blank ones inside a range."""
@@ -306,54 +334,69 @@ def _marked(df: DataFrame, key, marks: DataFrame, out: str) -> DataFrame:
     return met.withColumn(out, F.coalesce(one, F.lit(False))).drop(part, bits)
 
 
-def _shared(keyed: DataFrame, min_words: int):
-    """Broadcast filter: the bits of the smallest grams that occur in several rows."""
-    grams = append_column(keyed.select("text"), "grams", T.ArrayType(T.LongType()), "text", lambda col: gram_hashes(col, min_words))
-    several = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    bit = several.select(F.col("gram").bitwiseAND(F.lit(BITS - 1)).alias("bit"))
-    parts = bit.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits"))
-    bits = bytearray(BITS >> 3)
-    for r in parts.collect():
-        bits[r["part"] << 12:(r["part"] + 1) << 12] = r["bits"]
-    return keyed.sparkSession.sparkContext.broadcast(bytes(bits))
+def _with_source(held: DataFrame, by: str) -> DataFrame:
+    """The rows (key, ``by``) whose ``by`` a smaller key holds as well, with the smallest such key as ``source``."""
+    least = held.groupBy(by).agg(F.min("key").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select(by, "source")
+    return held.join(least, by).where(~F.col("key").eqNullSafe(F.col("source")))
 
 
 def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Pairs (key, source): ``source`` is the smallest document that holds a passage of the document ``key``."""
+    """Pairs (key, source, lines): ``source`` is the smallest document that holds the line hashes ``lines`` of ``key``."""
     keyed = _keyed(docs, id_col, text_col)
-    shared = _shared(keyed, min_words)
-    hashes = append_column(keyed, "runs", T.ArrayType(T.LongType()), "text",
-                           lambda col: window_hashes(col, min_words, np.frombuffer(shared.value, np.uint8)))
-    runs = stored(hashes.select("key", "runs").where(F.size("runs") > 0)).select("key", F.explode("runs").alias("run"))
-    held = runs.groupBy("run").agg(F.min("key").alias("source"), F.count(F.lit(1)).alias("n")).where("n > 1").select("run", "source")
-    return runs.join(held, "run").where(~F.col("key").eqNullSafe(F.col("source"))).select("key", "source").distinct()
+    hashed = append_column(keyed, "lines", T.ArrayType(T.LongType()), "text", lambda col: line_hashes(col, min_words))
+    # rows equal in id and text are one document
+    held = stored(hashed.select("key", "lines").where(F.size("lines") > 0)).select("key", F.explode("lines").alias("line"))
+    return _with_source(held, "line").groupBy("key", "source").agg(F.collect_set("line").alias("lines"))
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document that loses lines: key (id, h), ranges of word numbers, sources (ids of the earlier documents)."""
-    pairs = stored(overlaps(docs, id_col, text_col, min_words))
-    marks = stored(_marks(pairs.select(F.explode(F.array("key", "source")).alias("key"))))
-    texts = _marked(_keyed(docs, id_col, text_col), "key", marks, "_needed").where("_needed").drop("_needed").dropDuplicates(["key"])
+def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+    """(key, source, ranges, missing) of pairs (key, source, lines): the blocks of ``key`` that align with ``source``, and
+    the hashes of its windows around ``lines`` that the source does not hold.  A source's text is copied once for every
+    ``PER_TASK`` later documents."""
     tasks = pairs.groupBy("source").agg(F.ceil(F.count("*") / PER_TASK).cast("long").alias("n"))
     dealt = pairs.join(tasks, "source").withColumn("salt", F.pmod(F.xxhash64("key"), "n"))
-    later = dealt.select("key", "source", "salt").join(texts, "key")
+    later = dealt.select("key", "source", "salt", "lines").join(texts, "key")
     spread = tasks.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"))
     earlier = spread.join(texts.select(F.col("key").alias("source"), F.col("text").alias("old")), "source")
-    both = later.join(earlier, ["source", "salt"]).select("key", "source", "old", "text")
+    both = later.join(earlier, ["source", "salt"]).select("key", "source", "lines", "old", "text")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def align(batches):
-        last = None
+        release()
+        last, old = None, None
         for batch in batches:
-            ranges = []
-            for k in range(batch.num_rows):
-                old = batch.column(2)[k].as_py()
-                last = last if last and last.text == old else Words(old, min_words)
-                found = common_words(last, Words(batch.column(3)[k].as_py(), min_words), min_words)
-                ranges.append([{"start": a, "end": b} for a, b in found])
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ranges, kind)], names=["key", "source", "ranges"])
-
-    found = both.mapInArrow(align, T.StructType([both.schema["key"], both.schema["source"], T.StructField("ranges", RANGES)]))
+            for part in slices(batch, "text"):
+                ranges, missing = [], []
+                for k, new in enumerate(words_in(part.column(4).to_pylist(), min_words)):
+                    text = part.column(3)[k].as_py()
+                    if old is None or text != last:
+                        last, old = text, words_in([text], min_words)[0]
+                    found = common_words(old, new)
+                    ranges.append([{"start": a, "end": b} for a, b in found])
+                    lines = part.column(2)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    missing.append(missing_windows(new, lines, found).view(np.int64) if len(lines) else [])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(ranges, kind), pa.array(missing, pa.list_(pa.int64()))],
+                                                 names=["key", "source", "ranges", "missing"])
+
+    return both.mapInArrow(align, T.StructType([both.schema["key"], both.schema["source"], T.StructField("ranges", RANGES),
+                                                T.StructField("missing", T.ArrayType(T.LongType()))]))
+
+
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """Per document that loses words: key (id, h), ranges of word numbers, sources (ids of earlier documents)."""
+    pairs = stored(overlaps(docs, id_col, text_col, min_words))
+    texts = _keyed(docs, id_col, text_col)
+
+    def of(pairs):
+        """One row for each document that takes part in ``pairs``."""
+        marks = stored(_marks(pairs.select(F.explode(F.array("key", "source")).alias("key"))))
+        return _marked(texts, "key", marks, "_needed").where("_needed").drop("_needed").dropDuplicates(["key"])
+
+    first = stored(_aligned(pairs, of(pairs), min_words))
+    missing = first.select("key", F.explode("missing").alias("window")).distinct()
+    more = _with_source(missing, "window").select("key", "source").distinct().join(pairs, ["key", "source"], "left_anti")
+    more = stored(more.withColumn("lines", F.array().cast(T.ArrayType(T.LongType()))))
+    found = first.union(_aligned(more, of(more), min_words))
     return found.where(F.size("ranges") > 0).groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"),
         F.array_sort(F.collect_set(F.col("source")["id"])).alias("sources"))
