@@ -65,10 +65,11 @@ def _word_hashes(col: pa.Array):
     begin[1:] &= ~word[:-1]
     edge = offs[:-1][offs[:-1] < len(data)]
     begin[edge] = word[edge]
-    line = np.cumsum(data == 10)[begin]
-    parted = np.zeros(len(line), np.uint64)
-    parted[1:][np.diff(line) > 1] = BREAK
-    parted[first[:-1][first[:-1] < len(line)]] = 0
+    before = np.searchsorted(np.flatnonzero(begin), np.flatnonzero(data == 10))     # words before each line end
+    parted = np.zeros(len(starts) + 1, np.uint64)
+    parted[before[1:][before[1:] == before[:-1]]] = BREAK
+    parted[first] = 0
+    parted = parted[:-1]
     return word_hashes(flat, starts, ends), first, parted, flat, starts, ends
 
 
@@ -88,20 +89,27 @@ def _windows(hashes: np.ndarray, parted: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * _geometric(_BACK, n) - parted[:n])
 
 
-def _least(values: np.ndarray, size: int) -> np.ndarray:
-    """The smallest of the ``size`` values from each on."""
+def _sliding(pick, values: np.ndarray, size: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) of the ``size`` values from each on."""
     have = 1
     while have < size:
         step = min(have, size - have)
-        values, have = np.minimum(values[:-step], values[step:]), have + step
+        values, have = pick(values[:-step], values[step:]), have + step
     return values
 
 
+def _lines(hashes: np.ndarray, parted: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the line from each word on, never 0, and the smallest of those in the window from each word on."""
+    gram = min(GRAM, min_words)
+    lines = np.maximum(_windows(hashes, parted, gram), np.uint64(1))
+    few = len(hashes) < min_words
+    return lines, np.zeros(0, np.uint64) if few else _sliding(np.minimum, lines, min_words - gram + 1)
+
+
 def line_hashes(col: pa.Array, min_words: int) -> pa.Array:
     """Per text the distinct line hashes of its windows."""
     hashes, first, parted, *_ = _word_hashes(col)
-    gram = min(GRAM, min_words)
-    least = _least(_windows(hashes, parted, gram), min_words - gram + 1) if len(hashes) >= min_words else np.zeros(0, np.uint64)
+    _, least = _lines(hashes, parted, min_words)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:len(least)]
     use = np.arange(len(least)) + min_words <= first[1:][text]
     use[1:] &= (least[1:] != least[:-1]) | (text[1:] != text[:-1])
@@ -130,18 +138,15 @@ def _chain(places: list[int]) -> list[int]:
 
 
 class Words:
-    """The words of one text: hashes, blank lines between them, bytes, and its lines sorted by hash."""
+    """The words of one text: hashes, blank lines between them, bytes, and its lines: those with the smallest hash of a
+    window, at ``places``, with their hashes ``lines``."""
 
-    def __init__(self, hashes, parted, flat, starts, ends, min_words: int):
-        self.hashes, self.parted, self.flat, self.starts, self.ends = hashes, parted, flat, starts, ends
+    def __init__(self, hashes, parted, onward, backward, least, places, lines, flat, starts, ends, min_words: int):
+        self.hashes, self.parted, self.onward, self.backward, self.least = hashes, parted, onward, backward, least
+        self.flat, self.starts, self.ends = flat, starts, ends
         self.size, self.gram = min_words, min(GRAM, min_words)
-        self.onward = hashes + parted
-        self.backward = parted.copy()
-        self.backward[1:] += hashes[:-1]
-        self.lines = _windows(hashes, parted, self.gram)
-        self.least = _least(self.lines, min_words - self.gram + 1) if len(hashes) >= min_words else np.zeros(0, np.uint64)
-        self.order = np.argsort(self.lines, kind="stable")
-        self.sorted = self.lines[self.order]
+        order = np.argsort(lines, kind="stable")
+        self.places, self.lines = places[order], lines[order]
 
     @functools.cached_property
     def windows(self) -> np.ndarray:
@@ -153,9 +158,9 @@ class Words:
         return order, self.windows[order]
 
     def held(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each line occurs, and an index into ``order`` of its first place."""
-        at = np.searchsorted(self.sorted, lines, "left")
-        return np.searchsorted(self.sorted, lines, "right") - at, at
+        """How often each line occurs, and an index into ``places`` of the first."""
+        at = np.searchsorted(self.lines, lines, "left")
+        return np.searchsorted(self.lines, lines, "right") - at, at
 
     def equal(self, a: int, other: Words, j: int, n: int) -> bool:
         """Whether n words from a on are, byte for byte, those of ``other`` from j on."""
@@ -167,8 +172,21 @@ class Words:
 def words_in(texts: list[str | None], min_words: int) -> list[Words]:
     """The :class:`Words` of each text, hashed together."""
     hashes, first, parted, flat, starts, ends = _word_hashes(pa.array([t or "" for t in texts], pa.large_string()))
-    return [Words(hashes[a:b], parted[a:b], flat, starts[a:b], ends[a:b], min_words)
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    onward, backward = hashes + parted, parted.copy()
+    backward[1:] += hashes[:-1]
+    lines, least = _lines(hashes, parted, min_words)
+    inside = np.arange(len(least)) + min_words <= np.repeat(first[1:], np.diff(first))[:len(least)]
+    reach = max(min_words - min(GRAM, min_words), 0)
+    wide = np.zeros(len(lines) + reach, np.uint64)             # a line is the smallest of some window that holds it
+    wide[reach:reach + len(least)] = np.where(inside, least, 0)
+    places = np.flatnonzero(_sliding(np.maximum, wide, reach + 1) == lines) if len(least) else np.zeros(0, np.int64)
+    cut = np.searchsorted(places, first)
+    out = []
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        mine = places[cut[k]:cut[k + 1]]
+        out.append(Words(hashes[a:b], parted[a:b], onward[a:b], backward[a:b], least[a:max(b - min_words + 1, a)],
+                         mine - a, lines[mine], flat, starts[a:b], ends[a:b], min_words))
+    return out
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> int:
@@ -233,30 +251,33 @@ def common_words(old: Words, new: Words) -> list[tuple[int, int]]:
     """Word ranges [start, end) of ``new`` of at least ``min_words`` words that align with ``old``, sorted."""
     if not len(old.least) or not len(new.least):
         return []
-    lines = np.unique(new.least)
+    if len(old.hashes) == len(new.hashes) and new.equal(0, old, 0, len(new.hashes)):
+        return [(0, len(new.hashes))]
+    lines = np.unique(new.lines)
     (n_old, at_old), (n_new, at_new) = old.held(lines), new.held(lines)
     once = (n_old == 1) & (n_new == 1)
-    i, j = new.order[at_new[once]], old.order[at_old[once]]
+    i, j = new.places[at_new[once]], old.places[at_old[once]]
     by_place = np.argsort(i)
     out = patience(old, new, i[by_place], j[by_place])
     several = lines[(n_old > 0) & ~once]
     if len(several):
-        at = np.flatnonzero(np.isin(new.least, several) & ~_covered(out, new))
-        out += _looked_up(old, new, at)
+        out += _looked_up(old, new, _uncovered(out, new, several))
     return sorted((a, b) for a, b, _ in out)
 
 
-def _covered(blocks, new: Words) -> np.ndarray:
-    """Which windows of ``new`` lie inside a block."""
-    out = np.zeros(len(new.least), bool)
+def _uncovered(blocks, new: Words, lines: np.ndarray) -> np.ndarray:
+    """The windows of ``new`` outside the blocks whose smallest line is one of ``lines``."""
+    out = np.ones(len(new.least), bool)
     for a, b, *_ in blocks:
-        out[a:b - new.size + 1] = True
-    return out
+        out[a:b - new.size + 1] = False
+    at = np.flatnonzero(out)
+    return at[np.isin(new.least[at], lines)] if len(at) else at
 
 
 def missing_windows(new: Words, lines: np.ndarray, blocks) -> np.ndarray:
     """Distinct hashes of the windows whose line is one of ``lines`` and that no block holds."""
-    return np.unique(new.windows[np.isin(new.least, lines) & ~_covered(blocks, new)])
+    at = _uncovered(blocks, new, lines)
+    return np.unique(new.windows[at]) if len(at) else np.zeros(0, np.uint64)
 
 
 def common_blocks(old_text: str | None, new_text: str | None, min_words: int) -> list[tuple[int, int]]:
@@ -349,15 +370,15 @@ def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return _with_source(held, "line").groupBy("key", "source").agg(F.collect_set("line").alias("lines"))
 
 
-def _aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
+def _aligned(pairs: DataFrame, later: DataFrame, sources: DataFrame, min_words: int) -> DataFrame:
     """(key, source, ranges, missing) of pairs (key, source, lines): the blocks of ``key`` that align with ``source``, and
     the hashes of its windows around ``lines`` that the source does not hold.  A source's text is copied once for every
     ``PER_TASK`` later documents."""
     tasks = pairs.groupBy("source").agg(F.ceil(F.count("*") / PER_TASK).cast("long").alias("n"))
     dealt = pairs.join(tasks, "source").withColumn("salt", F.pmod(F.xxhash64("key"), "n"))
-    later = dealt.select("key", "source", "salt", "lines").join(texts, "key")
+    later = dealt.select("key", "source", "salt", "lines").join(later, "key")
     spread = tasks.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"))
-    earlier = spread.join(texts.select(F.col("key").alias("source"), F.col("text").alias("old")), "source")
+    earlier = spread.join(sources.select(F.col("key").alias("source"), F.col("text").alias("old")), "source")
     both = later.join(earlier, ["source", "salt"]).select("key", "source", "lines", "old", "text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -388,18 +409,17 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     texts = _keyed(docs, id_col, text_col)
 
     def of(pairs):
-        """One row for each document that takes part in ``pairs``."""
-        marks = stored(_marks(pairs.select(F.explode(F.array("key", "source")).alias("key"))))
-        return _marked(texts, "key", marks, "_needed").where("_needed").drop("_needed").dropDuplicates(["key"])
+        """The later documents of ``pairs``, rows that are repeated too, and one row for each source."""
+        met = lambda c: _marked(texts, "key", stored(_marks(pairs.select(F.col(c).alias("key")))), "_met").where("_met").drop("_met")
+        return met("key"), met("source").dropDuplicates(["key"])
 
-    first = stored(_aligned(pairs, of(pairs), min_words))
+    first = stored(_aligned(pairs, *of(pairs), min_words))
     missing = first.select("key", F.explode("missing").alias("window")).distinct()
     more = _with_source(missing, "window").select("key", "source").distinct().join(pairs, ["key", "source"], "left_anti")
     more = stored(more.withColumn("lines", F.array().cast(T.ArrayType(T.LongType()))))
-    found = first.union(_aligned(more, of(more), min_words))
+    found = first.union(_aligned(more, *of(more), min_words))
     return found.where(F.size("ranges") > 0).groupBy("key").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"),
-        F.array_sort(F.collect_set(F.col("source")["id"])).alias("sources"))
+        F.flatten(F.collect_set("ranges")).alias("ranges"), F.sort_array(F.collect_set(F.col("source")["id"])).alias("sources"))
 
 
 def _cut(both: DataFrame, text_col: str, ranges: str, out: str) -> DataFrame:
