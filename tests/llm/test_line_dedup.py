@@ -121,3 +121,41 @@ def test_scraps_of_near_copies_go(spark):
     assert left(0.2) == {1: 200, 4: 16}                      # a fifth of 74 words is more than 14
     docs = spark.createDataFrame([(1, " "), (2, None), (3, "a")], "doc_id long, text string")
     assert L.dedup(docs, min_rest=1.0).count() == 3  # unchanged documents stay, whatever they hold
+
+
+def texts_of(df):
+    return {r.doc_id: r.text for r in L.dedup(df).collect()}
+
+
+def test_the_alignment_decides(monkeypatch):
+    """Blocks around lines that occur once on both sides come from patience diff alone, moved ones too."""
+    a, b, c = (words(70, k) for k in (1, 2, 3))
+    old, new = L.words_in([f"{a} {b} {c}", f"x {c} y {a} z {b}"], 50)
+    assert L.common_words(old, new) == [(1, 71), (72, 142), (143, 213)]
+    monkeypatch.setattr(L, "patience", lambda *_: [])
+    assert L.common_words(old, new) == []
+
+
+def test_many_moved_blocks_and_repeats():
+    blocks = [words(60, k) for k in range(60)]
+    old, new = L.words_in([" ".join(blocks), " ".join(blocks[::-1])], 50)         # more rounds than ROUNDS
+    assert L.united(L.common_words(old, new)) == [(0, 3600)]
+    old, new = L.words_in(["w " * 5000, "v " + "w " * 3000], 50)                  # no line occurs once
+    assert L.united(L.common_words(old, new)) == [(1, 3001)]
+    assert L.common_words(*L.words_in([None, ""], 50)) == [] and L.words_in([], 50) == []
+
+
+def test_a_source_that_holds_the_line_only(spark):
+    """Document 1 holds 30 words of the passage that 2 and 3 share whole, and 0 another 30."""
+    p = words(60, 4).split()
+    rows = [(0, "q " + " ".join(p[30:])), (1, " ".join(p[:30]) + " r"), (2, "s " + " ".join(p) + " t"), (3, "u " + " ".join(p) + " v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert texts_of(df) == {0: rows[0][1], 1: rows[1][1], 2: rows[2][1], 3: "u v"}
+
+
+def test_very_long_text_nulls_and_repeated_rows(spark):
+    long, passage = words(60_000, 8), words(55, 9)
+    rows = [(None, passage), (1, None), (1, None), (2, f"{long}\n{passage}"), (3, f"head {long}"), (4, passage + " own"), (4, passage + " own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in L.dedup(df).collect()), key=str)
+    assert got == sorted([(None, passage), (1, None), (1, None), (2, long), (3, "head"), (4, "own"), (4, "own")], key=str)

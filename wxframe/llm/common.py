@@ -80,18 +80,19 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES):
         start = end
 
 
-def append_column(df: DataFrame, name: str, dtype: T.DataType, column: str, make, owner: str = "") -> DataFrame:
+def append_column(df: DataFrame, name: str, dtype: T.DataType, column: str, make, owner: str = "",
+                  limit: int = BATCH_BYTES) -> DataFrame:
     """``df`` with one more column: ``make(array of column)`` per cut batch, no shuffle.
 
     ``make`` is a function of a pyarrow array that returns an array of the same length; ``owner`` names the tables that
-    it finds with :func:`held`.
+    it finds with :func:`held`, ``limit`` the bytes of the column in a cut batch.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(name, dtype)])
 
     def run(batches):
         release(owner)
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 new = make(part.column(part.schema.get_field_index(column)))
                 yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
 

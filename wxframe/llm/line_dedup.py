@@ -37,6 +37,7 @@ from .common import append_column, fresh, list_array, mix, release, slices, text
 MIN_WORDS = 50
 PER_TASK = 64                      # later documents aligned with one copy of a source's text
 GRAM = 20                          # words of a hashed line
+HASH_BYTES = 1 << 18               # of text hashed at once: the arrays stay in the processor's cache
 ROUNDS = 16                        # of chains; later, every anchor left over is a chain of its own
 BITS = 1 << 26                     # of the broadcast filter of documents that take part; a full filter only costs time
 SPACE = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"    # besides ASCII
@@ -318,13 +319,12 @@ def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
             out.append(line)
         elif len(mask) < n or not mask.all():
             spans = [m.span() for m in re.finditer(r"\S+", line)]
-            kept = [k for k in range(n) if k >= len(mask) or not mask[k]]
-            parts, start = [], kept[0]
-            for k, then in zip(kept, [*kept[1:], -1], strict=True):
-                if then != k + 1:
-                    parts.append(line[spans[start][0] if start else 0:spans[k][1] if k < n - 1 else len(line)])
-                    start = then
-            out.append(" ".join(parts))
+            kept = np.zeros(n + 2, bool)
+            kept[1:n + 1] = True
+            kept[1:len(mask) + 1] = ~mask
+            edges = np.flatnonzero(kept[1:] != kept[:-1]).tolist()            # of the runs of words that stay
+            out.append(" ".join(line[spans[a][0] if a else 0:spans[b - 1][1] if b < n else len(line)]
+                                for a, b in zip(edges[::2], edges[1::2], strict=True)))
         at += n
     return "\n".join(out), len(lines) - len(out)
 
@@ -364,7 +364,8 @@ def _with_source(held: DataFrame, by: str) -> DataFrame:
 def overlaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Pairs (key, source, lines): ``source`` is the smallest document that holds the line hashes ``lines`` of ``key``."""
     keyed = _keyed(docs, id_col, text_col)
-    hashed = append_column(keyed, "lines", T.ArrayType(T.LongType()), "text", lambda col: line_hashes(col, min_words))
+    hashed = append_column(keyed, "lines", T.ArrayType(T.LongType()), "text", lambda col: line_hashes(col, min_words),
+                           limit=HASH_BYTES)
     # rows equal in id and text are one document
     held = stored(hashed.select("key", "lines").where(F.size("lines") > 0)).select("key", F.explode("lines").alias("line"))
     return _with_source(held, "line").groupBy("key", "source").agg(F.collect_set("line").alias("lines"))
@@ -384,15 +385,17 @@ def _aligned(pairs: DataFrame, later: DataFrame, sources: DataFrame, min_words:
 
     def align(batches):
         release()
-        last, old = None, None
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", HASH_BYTES):
+                texts, which = part.column(4).to_pylist(), []
+                for text in part.column(3).to_pylist():                      # equal sources follow each other
+                    if not which or text != texts[-1]:
+                        texts.append(text)
+                    which.append(len(texts) - 1)
+                words = words_in(texts, min_words)
                 ranges, missing = [], []
-                for k, new in enumerate(words_in(part.column(4).to_pylist(), min_words)):
-                    text = part.column(3)[k].as_py()
-                    if old is None or text != last:
-                        last, old = text, words_in([text], min_words)[0]
-                    found = common_words(old, new)
+                for k, (new, at) in enumerate(zip(words, which)):            # noqa: B905 (sources come after the texts)
+                    found = common_words(words[at], new)
                     ranges.append([{"start": a, "end": b} for a, b in found])
                     lines = part.column(2)[k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     missing.append(missing_windows(new, lines, found).view(np.int64) if len(lines) else [])
