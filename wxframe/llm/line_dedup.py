@@ -409,7 +409,9 @@ def _aligned(pairs: DataFrame, later: DataFrame, sources: DataFrame, min_words:
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Per document that loses words: key (id, h), ranges of word numbers, sources (ids of earlier documents)."""
     pairs = stored(overlaps(docs, id_col, text_col, min_words))
-    texts = _keyed(docs, id_col, text_col)
+    # texts that take part, read once from the documents; those of the second round are among them
+    marks = stored(_marks(pairs.select(F.explode(F.array("key", "source")).alias("key"))))
+    texts = stored(_marked(_keyed(docs, id_col, text_col), "key", marks, "_met").where("_met").drop("_met"))
 
     def of(pairs):
         """The later documents of ``pairs``, rows that are repeated too, and one row for each source."""
