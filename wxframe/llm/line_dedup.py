@@ -300,6 +300,19 @@ def united(ranges) -> list[tuple[int, int]]:
     return out
 
 
+def _spans(line: str, edges: list[int]) -> dict[int, tuple[int, int]]:
+    """Where the words at ``edges``, and the ones before them, begin and end in ``line``."""
+    if len(edges) > 6:
+        return dict(enumerate(m.span() for m in re.finditer(r"\S+", line)))
+    out = {}
+    for k in {k for e in edges for k in (e - 1, e)}:
+        rest = line.split(None, k)[k:] if k >= 0 else []                  # from word k on, if there is one
+        if rest:
+            start = len(line) - len(rest[0]) if k else len(line) - len(line.lstrip())
+            out[k] = (start, start + len(rest[0].split(None, 1)[0]))
+    return out
+
+
 def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
     """``text`` without the words of united ``ranges``, and how many lines went: those that lose their last word, and
     blank ones inside a range."""
@@ -318,11 +331,11 @@ def without(text: str, ranges: list[tuple[int, int]]) -> tuple[str, int]:
         elif not mask.any():
             out.append(line)
         elif len(mask) < n or not mask.all():
-            spans = [m.span() for m in re.finditer(r"\S+", line)]
             kept = np.zeros(n + 2, bool)
             kept[1:n + 1] = True
             kept[1:len(mask) + 1] = ~mask
             edges = np.flatnonzero(kept[1:] != kept[:-1]).tolist()            # of the runs of words that stay
+            spans = _spans(line, edges)
             out.append(" ".join(line[spans[a][0] if a else 0:spans[b - 1][1] if b < n else len(line)]
                                 for a, b in zip(edges[::2], edges[1::2], strict=True)))
         at += n
