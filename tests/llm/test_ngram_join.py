@@ -95,6 +95,44 @@ def test_prefix_bound_never_loses_a_link():
         assert J.linked(a, b, (4, 5)) == (n * 5 >= 4 * (len(a) + len(b) - n))
 
 
+def test_sketches_admit_every_link_and_few_others(spark):
+    rnd = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        base = rnd.integers(0, 2**64, rnd.integers(1, 400), dtype=np.uint64)
+        for share in (.02, .05, .1, .12, .2, .3, .5, 1):
+            other = np.unique(np.append(base[rnd.random(len(base)) > share],
+                                        rnd.integers(0, 2**64, int(share * len(base)), dtype=np.uint64)))
+            a = np.unique(base)
+            if len(other):
+                rows.append((J.sketch(a, (4, 5)).tolist(), J.sketch(other, (4, 5)).tolist(), len(a), len(other),
+                             J.linked(a, other, (4, 5)), len(np.intersect1d(a, other)) / len(np.union1d(a, other))))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, n long, k long, linked boolean, j double")
+    df = df.withColumn("ok", J._screen("x", "y", df.n, df.k, (4, 5)))
+    assert df.where("linked").count() > 60 and df.where("linked and not ok").count() == 0
+    assert df.where("j < 0.6 and n > 50 and ok").count() == 0
+
+
+def test_links_found_by_the_second_round_only(spark):
+    """Copies whose smallest holder of their common tokens is no neighbour of theirs."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(120)]
+    rows = [" ".join(base[:60] + [word() for _ in range(60)])]
+    for _ in range(40):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 3, 5])):
+            w[rnd.randrange(len(w))] = word()
+        rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, SCHEMA)
+    join = J.Join(df, "doc_id", "text", J.SIZE, J.THRESHOLD, J.COMMON)
+    first = components(join.first_round()).where("id <> component").count()
+    want = brute(rows)
+    assert sorted(got(J.classes(df))) == want
+    assert sum(i != c for i, _, c in want) >= first
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1080)] + [(5, 5)]

@@ -4,19 +4,25 @@ A token is a 64-bit hash of ``size`` consecutive words.  Two sets of similarity
 token among the first n - ceil(t n) + 1 of each under *any* common order of all tokens.
 
 * The first order goes by hash, but puts tokens that many prefixes hold last, by frequency.  Its prefixes
-  are the only index: shared prefix tokens are counted per pair, and the count bounds the overlap.
-* Pairs that pass must also share prefix tokens under two further hash orders, and
-  are then verified on their whole sets, so every link is exact.
+  are the index: shared prefix tokens are counted per pair, and the count bounds the overlap.
+* Every set has a sketch of 128 bytes (:func:`sketch`): one bitmap for its prefix under each of two further
+  hash orders, and one with the parity of its tokens in 512 cells.  A pair must share a bit under both orders,
+  and the bits in which the parities differ must not be more than the tokens in which linked sets may differ
+  (:func:`_screen`).  Neither can lose a link.  The filters of all orders are intersected where a pair is met,
+  before its whole sets are fetched; what is left is verified on them, so every link is exact.
 
 Documents with equal sets are one class.  A first round compares each class with one centre
 only (the smallest class among those it shares tokens with, by most shared tokens); classes
 linked so far are never paired again, so large groups of near copies cost a star, not a
-square.  The second round tests every remaining pair of different components, so no link
-between components is lost.
+square.  The second round meets every remaining pair of different components, so no link
+between components is lost; what its filters admit is verified as a star first as well, and
+then whatever is still apart.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +38,7 @@ THRESHOLD = (4, 5)
 COMMON = 32                      # a token in more prefixes than this goes to the end of the first order
 ORDER_BYTES = 8 << 20            # broadcast for that: at most this many bytes of the most common tokens
 PER_TASK = 128                   # sets compared with one copy of a centre's set
+FEW = 8                          # members of a component that share a token: up to so many are paired one by one
 SMALL_IDS = 1 << 20              # ids (8 bytes each) that are broadcast rather than joined by a shuffle
 
 # bytes: A-Z to lower case; white space (09-0D, 20) separates; the rest stay
@@ -85,15 +92,47 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-SUMMARY = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))       # the further orders
+CELLS, HEAD = 8, 4               # words of 64 bits of the parity and of a prefix bitmap
+
+
+def sketch(tokens: np.ndarray, threshold) -> np.ndarray:
+    """CELLS words with the parity of the tokens that fall into each of 512 cells, then HEAD words for each further order:
+    a bitmap of the prefix under that order."""
+    bits = [np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * CELLS) & 1]
+    p = int(prefix_length(len(tokens), threshold)) if len(tokens) else 0
+    for seed in SEEDS:
+        h = mix(tokens ^ seed)
+        head = h if p >= len(h) else np.partition(h, p - 1)[:p]
+        bits.append(np.bincount((head & np.uint64(64 * HEAD - 1)).astype(np.int64), minlength=64 * HEAD) > 0)
+    return np.packbits(np.concatenate(bits).astype(np.uint8)).view(np.int64)
+
+
+SUMMARY = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
+                        T.StructField("q", T.ArrayType(T.LongType()))])
 
 
-def _summary(col: pa.Array, size: int) -> pa.Array:
+def _summary(col: pa.Array, size: int, threshold) -> pa.Array:
     sets = token_sets(col, size)
     digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    q = [sketch(s, threshold) for s in sets]
+    q = list_array(np.concatenate(q) if q else [], [len(x) for x in q], pa.int64())
     return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0], pa.int64()),
-                                       pa.array(both[:, 1], pa.int64())], names=SUMMARY.names)
+                                       pa.array(both[:, 1], pa.int64()), q], names=SUMMARY.names)
+
+
+def _screen(x: str, y: str, a: Column, b: Column, threshold) -> Column:
+    """Whether the sketches ``x`` and ``y`` of sets of a and b tokens allow a link: a common prefix token under every further
+    order, and no more differing cells than linked sets have differing tokens."""
+    num, den = threshold
+    x, y = F.col(x), F.col(y)
+    ok = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(CELLS)), F.lit(0)) * (num + den) <= (a + b) * (den - num)
+    for k in range(len(SEEDS)):
+        at = range(CELLS + k * HEAD, CELLS + (k + 1) * HEAD)
+        meet = functools.reduce(lambda u, v: u.bitwiseOR(v), [x[i].bitwiseAND(y[i]) for i in at])
+        ok = ok & (meet != 0)
+    return ok
 
 
 def _least_shared(a: Column, b: Column, threshold) -> Column:
@@ -109,21 +148,28 @@ def _near_size(a: Column, b: Column, threshold) -> Column:
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold) -> bool:
-    """Whether two sorted token sets link: prefixes must meet under two further orders, then the sets are compared."""
+    """Whether two sorted token sets link."""
     num, den = threshold
     if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
         return False
-    for seed in (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)):
-        heads = []
-        for x in (a, b):
-            h, p = mix(x ^ seed), int(prefix_length(len(x), threshold))
-            heads.append(h if p >= len(h) else np.partition(h, p - 1)[:p])
-        if not np.isin(*heads).any():
-            return False
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared * den >= num * (len(a) + len(b) - shared)
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pair of each b with the a that shares most prefix tokens with it."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _still_apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose ends lie in different components of ``links``."""
+    roots = checkpoint(components(links))
+    for side in ("a", "b"):
+        root = roots.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+        pairs = pairs.join(root, side, "left")
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 class Join:
     """One self-join: ``classes`` (id, n, rep) and ``links`` (a, b) between class representatives."""
 
@@ -131,10 +177,11 @@ class Join:
         self.size, self.threshold = size, threshold
         self.docs = docs.where(F.col(id_col).isNotNull()).select(
             F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        found = append_column(self.docs, "set", SUMMARY, "text", lambda col: _summary(col, size)).select("id", "set.*")
-        found = checkpoint(found)
+        found = append_column(self.docs, "set", SUMMARY, "text", lambda col: _summary(col, size, threshold))
+        found = checkpoint(found.select("id", "set.*"))
+        self.sketches = found.select("id", "q")
         least = found.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-        self.classes = checkpoint(found.join(least, ["s1", "s2"], "left")
+        self.classes = checkpoint(found.drop("q").join(least, ["s1", "s2"], "left")
                                   .select("id", "n", F.coalesce("rep", "id").alias("rep")))
         self.entries = self._shared_entries(self._common(common))
 
@@ -212,6 +259,18 @@ class Join:
         return met.groupBy("a", "b", "n", "k").agg(F.count("*").alias("shared")) \
             .where(F.col("shared") >= _least_shared(F.col("n"), F.col("k"), self.threshold))
 
+    def _sketched(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the sketch ``q`` of their id."""
+        return rows.join(self.sketches.dropDuplicates(["id"]), "id")
+
+    def _chosen(self, met: DataFrame) -> DataFrame:
+        """Per set b the centre a that shares most prefix tokens with it, of those that all filters admit."""
+        pairs = self._counted(met)
+        for side in ("a", "b"):
+            q = self.sketches.dropDuplicates(["id"]).select(F.col("id").alias(side), F.col("q").alias(f"q{side}"))
+            pairs = pairs.join(q, side)
+        return checkpoint(_best(pairs.where(_screen("qa", "qb", F.col("n"), F.col("k"), self.threshold))))
+
     def first_round(self) -> DataFrame:
         """Links of every class with one centre."""
         e = self.entries
@@ -219,37 +278,44 @@ class Join:
         met = e.alias("x").join(centre.alias("c"), (F.col("x.token") == F.col("c.token")) & (F.col("x.id") != F.col("c.id"))
                                 & self._fits("x", "c")) \
             .select(F.col("c.id").alias("a"), F.col("x.id").alias("b"), F.col("x.n").alias("n"), F.col("c.n").alias("k"))
-        best = self._counted(met).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-        return self.verify(checkpoint(best.select("a", "b")))
+        return self.verify(self._chosen(met))
 
-    def second_round(self, roots: DataFrame) -> DataFrame:
-        """Links between the components of the first round.
+    def _apart(self, roots: DataFrame) -> DataFrame:
+        """Entries (token, root, id, n, m, c, q) whose token several components of ``roots`` hold; c: holders of that root."""
+        e = self.entries.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
+        held = e.groupBy("token", "root").agg(F.count("*").alias("c"))
+        several = held.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
+        return checkpoint(self._sketched(e.join(held.join(several, "token"), ["token", "root"])))
+
+    def _admits(self, x: str, y: str) -> Column:
+        """The filters of all orders for two sketched entries of one token."""
+        return self._fits(x, y) & _screen(f"{x}.q", f"{y}.q", F.col(f"{x}.n"), F.col(f"{y}.n"), self.threshold)
+
+    def second_round(self, apart: DataFrame) -> DataFrame:
+        """Pairs (a, b, shared) of different components that all filters admit.
 
-        Sets that are alone in their component among a token's holders are joined with each other; components with
-        several holders are joined as one row with the holders outside, and only what fits is spread to its members.
+        Among a token's holders, those of components with FEW of them are joined with each other; larger components are
+        joined as one row with the holders outside, and only what fits is spread to its members.  A pair becomes a row
+        only if the filters of all orders admit it.
         """
-        e = self.entries.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-        held = e.groupBy("token", "root").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"),
-                                              F.max("m").alias("m"))
-        apart = held.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
-        held = checkpoint(held.join(apart, "token"))
-        e = checkpoint(e.join(held.select("token", "root", "c"), ["token", "root"]))
-        one = e.where("c = 1")
+        e, few = apart, F.col("c") <= FEW
+        one = e.where(few)
         x, y = one.alias("x"), one.alias("y")
         pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
                 F.when(F.col("x.id") < F.col("y.id"), F.col("x.n")).otherwise(F.col("y.n")).alias("n"),
                 F.when(F.col("x.id") < F.col("y.id"), F.col("y.n")).otherwise(F.col("x.n")).alias("k")]
-        single = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & self._fits("x", "y")).select(*pair)
+        single = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
+                        & (F.col("x.root") != F.col("y.root")) & self._admits("x", "y")).select(*pair)
         num, den = self.threshold
-        group = held.where("c > 1").alias("g")
+        group = e.where(~few).groupBy("token", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).alias("g")
         outside = e.alias("y").join(group, (F.col("y.token") == F.col("g.token")) & (F.col("y.root") != F.col("g.root"))
-                                    & ((F.col("y.c") == 1) | (F.col("y.root") < F.col("g.root")))
+                                    & ((F.col("y.c") <= FEW) | (F.col("y.root") < F.col("g.root")))
                                     & (F.col("y.n") * den >= F.col("g.lo") * num) & (F.col("y.n") * num <= F.col("g.hi") * den)) \
-            .select("y.token", "y.id", "y.n", "y.m", F.col("g.root").alias("other"))
-        member = e.where("c > 1").alias("x")
-        spread = member.join(outside.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") == F.col("y.other"))
-                             & self._fits("x", "y")).select(*pair)
-        return self.verify(checkpoint(self._counted(single.union(spread)).select("a", "b")))
+            .select("y.token", "y.id", "y.n", "y.m", "y.q", F.col("g.root").alias("other"))
+        spread = e.where(~few).alias("x").join(
+            outside.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") == F.col("y.other"))
+            & self._admits("x", "y")).select(*pair)
+        return checkpoint(self._counted(single.union(spread)).select("a", "b", "shared"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold=THRESHOLD,
@@ -262,12 +328,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """
     join = Join(docs, id_col, text_col, size, threshold, common)
     links = checkpoint(join.first_round())
-    roots = checkpoint(components(links))
-    both = checkpoint(components(links.union(join.second_round(roots))))
+    pairs = join.second_round(join._apart(checkpoint(components(links))))
+    links = checkpoint(links.union(join.verify(checkpoint(_best(pairs)))))
+    rest = checkpoint(_still_apart(pairs, links))
+    both = checkpoint(components(links.union(join.verify(rest))))
     rows = join.classes.join(both.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     nameless = append_column(docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")), "set", SUMMARY, "text",
-                             lambda col: _summary(col, size))
+                             lambda col: _summary(col, size, threshold))
     return rows.union(nameless.select(F.lit(None).cast("long"), F.col("set.n"), F.lit(None).cast("long")))
 
 
