@@ -324,7 +324,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     Texts of no words (null, empty, white space) are linked with nothing.  Rows with equal sets are linked without
     comparison.  Ids are expected to be unique; a repeated row is repeated in the result, rows of one id with different
-    texts are one node, and a row with a null id takes no part in links: its component_id is null.
+    texts are one node, and a row with a null id takes no part in links: its component_id is null.  A very long text is
+    one row in each task that handles it, with 8 bytes for each of its tokens.  An empty table gives no rows.  Other
+    columns of ``docs`` are not read, whatever their names.
     """
     join = Join(docs, id_col, text_col, size, threshold, common)
     links = checkpoint(join.first_round())
