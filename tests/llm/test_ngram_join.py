@@ -143,3 +143,31 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert sorted(map(tuple, components(df).collect())) == sorted((x, find(x)) for x in root)
     assert components(df.limit(0)).count() == 0
+
+
+def test_a_pair_is_met_once(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(600)]
+    rows = [(k, " ".join(words[:200 * k] + [f"new{k}"] + words[200 * k:])) for k in range(4)]
+    assert len(brute(rows)) == 4 and {r[2] for r in brute(rows)} == {0}
+    join = J.Join(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 5, (4, 5), 32)
+    none = spark.createDataFrame([], "id long, component long")
+    e = join._apart(none)
+    F = J.F
+    met = e.alias("x").join(e.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
+                            & join._admits("x", "y"))
+    assert sorted(tuple(r) for r in met.select("x.id", "y.id").collect()) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+    assert join.second_round(e).count() == 6
+
+
+def test_small_components_take_few_tasks(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"))
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(41)}
+        assert found.rdd.getNumPartitions() <= 64 + 8
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+EDGES = 1 << 16                  # edges in a partition of the rounds' tables
+LEAST_PARTS = 8
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (two long columns); component is the smallest id reachable.
 
     Every round hangs each node's larger neighbours, then its smaller ones, on the smallest neighbour, until the
-    edges are stars; rounds grow with the logarithm of the longest path.  Nulls and loops are left out.
+    edges are stars; rounds grow with the logarithm of the longest path.  Rounds never add edges, so their tables get
+    as many partitions as the edges before them need.  Nulls and loops are left out.
     """
     a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     e = checkpoint(edges.where(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
@@ -21,13 +25,14 @@ def components(edges: DataFrame) -> DataFrame:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first()
         if mark == seen or mark[0] == 0:
             break
-        seen = mark
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo"), F.col("hi")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        seen, parts = mark, max(LEAST_PARTS, -(-mark[0] // EDGES))
+        e = e.coalesce(parts)
+        least = e.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("lo"), "m")
+        large = e.join(least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        e = checkpoint(small.union(low.select("hi", F.col("m").alias("lo"))).distinct())
-    root = e.groupBy("hi").agg(F.min("lo").alias("component")).withColumnRenamed("hi", "id")
-    return root.union(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
-                      .join(root.select("id"), "id", "left_anti"))
+        small = large.join(low, "hi").select(F.inline(F.array(
+            F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))))
+        e = checkpoint(small.where("hi <> lo").distinct().coalesce(parts))
+    # stars: a node hangs on one other, which hangs on none
+    return e.select(F.col("hi").alias("id"), F.col("lo").alias("component")) \
+        .union(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())

@@ -15,8 +15,9 @@ Documents with equal sets are one class.  A first round compares each class with
 only (the smallest class among those it shares tokens with, by most shared tokens); classes
 linked so far are never paired again, so large groups of near copies cost a star, not a
 square.  The second round meets every remaining pair of different components, so no link
-between components is lost; what its filters admit is verified as a star first as well, and
-then whatever is still apart.
+between components is lost; a pair whose sets have one of their few smallest tokens in common
+is met at the smallest of these only, not at every token it shares.  What the filters admit is
+verified as a star first as well, and then whatever is still apart.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ THRESHOLD = (4, 5)
 COMMON = 32                      # a token in more prefixes than this goes to the end of the first order
 ORDER_BYTES = 8 << 20            # broadcast for that: at most this many bytes of the most common tokens
 PER_TASK = 128                   # sets compared with one copy of a centre's set
+FIRST = 6                        # smallest tokens of a set that are kept with its sketch
 FEW = 8                          # members of a component that share a token: up to so many are paired one by one
 SMALL_IDS = 1 << 20              # ids (8 bytes each) that are broadcast rather than joined by a shuffle
 
@@ -126,8 +128,8 @@ def _screen(x: str, y: str, a: Column, b: Column, threshold) -> Column:
     """Whether the sketches ``x`` and ``y`` of sets of a and b tokens allow a link: a common prefix token under every further
     order, and no more differing cells than linked sets have differing tokens."""
     num, den = threshold
+    ok = _differing(x, y) * (num + den) <= (a + b) * (den - num)
     x, y = F.col(x), F.col(y)
-    ok = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(CELLS)), F.lit(0)) * (num + den) <= (a + b) * (den - num)
     for k in range(len(SEEDS)):
         at = range(CELLS + k * HEAD, CELLS + (k + 1) * HEAD)
         meet = functools.reduce(lambda u, v: u.bitwiseOR(v), [x[i].bitwiseAND(y[i]) for i in at])
@@ -135,6 +137,12 @@ def _screen(x: str, y: str, a: Column, b: Column, threshold) -> Column:
     return ok
 
 
+def _differing(x: str, y: str) -> Column:
+    """In how many cells the parities of two sketches differ."""
+    x, y = F.col(x), F.col(y)
+    return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(CELLS)), F.lit(0))
+
+
 def _least_shared(a: Column, b: Column, threshold) -> Column:
     """Fewest prefix tokens that sets of a and b tokens share if they link."""
     num, den = threshold
@@ -156,9 +164,9 @@ def linked(a: np.ndarray, b: np.ndarray, threshold) -> bool:
     return shared * den >= num * (len(a) + len(b) - shared)
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """The pair of each b with the a that shares most prefix tokens with it."""
-    return pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+def _best(pairs: DataFrame, by: str = "shared") -> DataFrame:
+    """The pair of each b with the a of the largest ``by``: the a that shares most prefix tokens with it."""
+    return pairs.groupBy("b").agg(F.max_by("a", F.struct(by, -F.col("a"))).alias("a")).select("a", "b")
 
 
 def _still_apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -260,8 +268,9 @@ class Join:
             .where(F.col("shared") >= _least_shared(F.col("n"), F.col("k"), self.threshold))
 
     def _sketched(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the sketch ``q`` of their id."""
-        return rows.join(self.sketches.dropDuplicates(["id"]), "id")
+        """``rows`` with the sketch ``q`` and the smallest tokens ``f`` of their id."""
+        firsts = self.entries.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("f"))
+        return rows.join(firsts.join(self.sketches.dropDuplicates(["id"]), "id"), "id")
 
     def _chosen(self, met: DataFrame) -> DataFrame:
         """Per set b the centre a that shares most prefix tokens with it, of those that all filters admit."""
@@ -281,18 +290,22 @@ class Join:
         return self.verify(self._chosen(met))
 
     def _apart(self, roots: DataFrame) -> DataFrame:
-        """Entries (token, root, id, n, m, c, q) whose token several components of ``roots`` hold; c: holders of that root."""
+        """Entries (token, root, id, n, m, f, c, q) whose token several components of ``roots`` hold; c: holders of that root."""
         e = self.entries.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
         held = e.groupBy("token", "root").agg(F.count("*").alias("c"))
         several = held.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
         return checkpoint(self._sketched(e.join(held.join(several, "token"), ["token", "root"])))
 
     def _admits(self, x: str, y: str) -> Column:
-        """The filters of all orders for two sketched entries of one token."""
-        return self._fits(x, y) & _screen(f"{x}.q", f"{y}.q", F.col(f"{x}.n"), F.col(f"{y}.n"), self.threshold)
+        """The filters of all orders for two sketched entries of one token, and whether it is the one to meet at: the
+        smallest that both sets have among their FIRST, any where these have nothing in common."""
+        meet = F.get(F.array_intersect(f"{x}.f", f"{y}.f"), F.lit(0))
+        return self._fits(x, y) & _screen(f"{x}.q", f"{y}.q", F.col(f"{x}.n"), F.col(f"{y}.n"), self.threshold) \
+            & (F.coalesce(meet, f"{x}.token") == F.col(f"{x}.token"))
 
     def second_round(self, apart: DataFrame) -> DataFrame:
-        """Pairs (a, b, shared) of different components that all filters admit.
+        """Pairs (a, b, like) of different components that all filters admit; like: the larger, the fewer cells of their
+        parities differ for their sizes.
 
         Among a token's holders, those of components with FEW of them are joined with each other; larger components are
         joined as one row with the holders outside, and only what fits is spread to its members.  A pair becomes a row
@@ -302,8 +315,7 @@ class Join:
         one = e.where(few)
         x, y = one.alias("x"), one.alias("y")
         pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
-                F.when(F.col("x.id") < F.col("y.id"), F.col("x.n")).otherwise(F.col("y.n")).alias("n"),
-                F.when(F.col("x.id") < F.col("y.id"), F.col("y.n")).otherwise(F.col("x.n")).alias("k")]
+                (-_differing("x.q", "y.q") / (F.col("x.n") + F.col("y.n"))).alias("like")]
         single = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
                         & (F.col("x.root") != F.col("y.root")) & self._admits("x", "y")).select(*pair)
         num, den = self.threshold
@@ -311,11 +323,11 @@ class Join:
         outside = e.alias("y").join(group, (F.col("y.token") == F.col("g.token")) & (F.col("y.root") != F.col("g.root"))
                                     & ((F.col("y.c") <= FEW) | (F.col("y.root") < F.col("g.root")))
                                     & (F.col("y.n") * den >= F.col("g.lo") * num) & (F.col("y.n") * num <= F.col("g.hi") * den)) \
-            .select("y.token", "y.id", "y.n", "y.m", "y.q", F.col("g.root").alias("other"))
+            .select("y.token", "y.id", "y.n", "y.m", "y.f", "y.q", F.col("g.root").alias("other"))
         spread = e.where(~few).alias("x").join(
             outside.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") == F.col("y.other"))
             & self._admits("x", "y")).select(*pair)
-        return checkpoint(self._counted(single.union(spread)).select("a", "b", "shared"))
+        return checkpoint(single.union(spread).groupBy("a", "b").agg(F.max("like").alias("like")))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold=THRESHOLD,
@@ -331,7 +343,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     join = Join(docs, id_col, text_col, size, threshold, common)
     links = checkpoint(join.first_round())
     pairs = join.second_round(join._apart(checkpoint(components(links))))
-    links = checkpoint(links.union(join.verify(checkpoint(_best(pairs)))))
+    links = checkpoint(links.union(join.verify(checkpoint(_best(pairs, "like")))))
     rest = checkpoint(_still_apart(pairs, links))
     both = checkpoint(components(links.union(join.verify(rest))))
     rows = join.classes.join(both.withColumnRenamed("id", "rep"), "rep", "left").select(
