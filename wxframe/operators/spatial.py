@@ -72,6 +72,8 @@ def unproject(df: DataFrame, x: str = "x", y: str = "y", lat: str = "lat", lon:
 
 POINT_BLOCK = 2048              # fill points in one block
 STATION_BLOCK = 2048            # stations in one block
+DISTANCES = 1 << 18             # distances that a task holds at a time
+BATCH_BYTES = 4 << 20           # Arrow batches: a row holds two blocks
 
 
 def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str = "time", value: str = "value",
@@ -84,7 +86,7 @@ def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str =
 
     The values of a station and time are added up first.  The stations of a time become blocks of about
     ``station_block``, the points blocks of ``point_block``; a task computes one block against another as a matrix
-    product.  Times of one block have their result at once; for crowded times the blocks' numerators, denominators and
+    product, some points at a time.  Arrow batches are bounded by bytes, as their rows are long.  Times of one block have their result at once; for crowded times the blocks' numerators, denominators and
     first stations within ``eps`` are merged per (time, point).  ``points``: (point_id, lat, lon).
     """
     at = project(stations.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), x="sx", y="sy") \
@@ -104,6 +106,8 @@ def idw(obs: DataFrame, points: DataFrame, stations: DataFrame, time_col: str =
     item = T.StructType([points.schema["point_id"], T.StructField("num", T.DoubleType()), T.StructField("den", T.DoubleType()),
                          T.StructField("station", at.schema["station"].dataType), T.StructField("v", T.DoubleType())])
 
+    obs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
     def sums(frames: DataFrame) -> DataFrame:
         met = frames.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(dealt, "block")
         kind = T.StructType([T.StructField("_t", met.schema["_t"].dataType), T.StructField("r", T.ArrayType(item))])
@@ -128,22 +132,23 @@ def _idw_blocks(power: float, eps: float):
             if not batch.num_rows:
                 continue
             obs, pts = batch.column(1), batch.column(2)
-            found, sizes = [], []
             for k in range(batch.num_rows):
-                o, p = obs[k].values, pts[k].values
+                o, p, found = obs[k].values, pts[k].values, []
                 s, n, sx, sy = (o.field(c).to_numpy(zero_copy_only=False) for c in ("s", "n", "sx", "sy"))
-                px, py = (p.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py"))
-                d = np.hypot(sx[:, None] - px, sy[:, None] - py)
-                near = d < eps                    # rows are sorted by station name, so the first is the smallest
-                w = 1.0 / (d + eps) ** power
-                first = pa.array(near.argmax(0), mask=~near.any(0))
-                found.append(pa.StructArray.from_arrays(
-                    [p.field("point_id"), pa.array(s @ w), pa.array(n @ w), o.field("station").take(first), o.field("v").take(first)],
-                    names=names))
-                sizes.append(len(px))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.concat_arrays(found))],
-                                             names=["_t", "r"])
+                step = max(1, DISTANCES // len(s))
+                for start in range(0, len(p), step):
+                    part = p.slice(start, step)
+                    px, py = (part.field(c).to_numpy(zero_copy_only=False) for c in ("px", "py"))
+                    d = np.hypot(sx[:, None] - px, sy[:, None] - py)
+                    near = d < eps                # rows are sorted by station name, so the first is the smallest
+                    w = 1.0 / (d + eps) ** power
+                    first = pa.array(near.argmax(0), mask=~near.any(0))
+                    found.append(pa.StructArray.from_arrays(
+                        [part.field("point_id"), pa.array(s @ w), pa.array(n @ w), o.field("station").take(first), o.field("v").take(first)],
+                        names=names))
+                offsets = pa.array([0, len(p)], pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.ListArray.from_arrays(offsets, pa.concat_arrays(found))],
+                                                 names=["_t", "r"])
 
     return run
 
