@@ -70,3 +70,9 @@ def test_notices_that_are_no_template(spark, model):
     got = {r.doc_id: r.families for r in L.families(df, model).collect()}
     want = {k: [f] for k, (_, f) in enumerate(notices)} | {len(notices) + k: [] for k in range(len(plain))}
     assert got == want
+
+
+def test_words_and_scores_are_worked_out_once(spark, model):
+    plan = L.families(spark.read.parquet(f"{SF}/documents.parquet"), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    assert plan.count("UDF(") <= 8

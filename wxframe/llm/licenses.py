@@ -268,8 +268,11 @@ def _pairs_of(text: str) -> list[str]:
 def families(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, n_paragraphs (that speak of rights or are confirmed), families (confirmed, sorted). Rows of one id share
     what is found in any of them."""
-    found = scan(docs, model, id_col, text_col).where(F.col("confirmed") | anchored(F.col("text"))).groupBy(F.col(id_col).alias("found_id")).agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"))
+    # counted, not filtered: a filter would be pushed below the scan's columns and work each of them out again
+    told = scan(docs, model, id_col, text_col).select(
+        F.col(id_col).alias("found_id"), (F.col("confirmed") | anchored(F.col("text"))).alias("counts"),
+        F.when(F.col("confirmed"), F.col("family")).alias("family"))
+    found = told.groupBy("found_id").agg(F.count_if("counts").alias("n"), F.array_sort(F.collect_set("family")).alias("families"))
     rows = docs.select(F.col(id_col))
     return rows.join(found, F.col(id_col).eqNullSafe(F.col("found_id")), "left").select(
         id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"),
