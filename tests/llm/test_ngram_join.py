@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 
@@ -171,3 +172,39 @@ def test_small_components_take_few_tasks(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_prefixes_from_heads(spark):
+    """A head gives the prefix of its whole set, or nothing; what is missing is made from the text."""
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        tokens = np.unique(rnd.integers(0, 2**64, rnd.integers(1, 200), dtype=np.uint64))
+        late = np.sort(rnd.permutation(tokens)[:rnd.integers(0, len(tokens) + 1)])
+        common, n = (late, rnd.permutation(len(late)).astype(np.int32)), len(tokens)
+        whole = J._prefix(tokens, n, common, (4, 5))
+        found = J._prefix(tokens[:J.head_length(n, (4, 5))], n, common, (4, 5))
+        assert len(whole) == J.prefix_length(n, (4, 5)) and (found is None or np.array_equal(found, whole))
+    rows = [(i, t) for i, t in near_copies() if t]
+    df = spark.createDataFrame(rows, SCHEMA)
+    join = J.Join(df, "doc_id", "text", 5, (4, 5), 32)
+    sets = J.token_sets(J.pa.array([t for _, t in rows]))
+    late = np.unique(np.concatenate([s[:J.prefix_length(len(s), (4, 5))] for s in sets]))[::2]
+    common = (late, np.arange(len(late), dtype=np.int32))
+    heads = spark.createDataFrame([(i, len(s), J._signed(s[:J.head_length(len(s), (4, 5))]).tolist())
+                                   for (i, _), s in zip(rows, sets, strict=True)], "id long, n long, head array<long>")
+    want = sorted((int(t), i, len(s)) for (i, _), s in zip(rows, sets, strict=True)
+                  for t in J._signed(J._prefix(s, len(s), common, (4, 5))))
+    entries = join._entries(heads, spark.sparkContext.broadcast(common))
+    assert sorted(tuple(r) for r in entries.select("token", "id", "n").collect()) == want
+
+
+def test_hashing_takes_little_memory():
+    text = J.pa.array([" ".join(f"word{k % 977}" for k in range(500_000))])
+    data, offs = J.text_buffer(text)
+    tracemalloc.start()
+    try:
+        flat, starts, ends, _ = J.words_of(data, offs, J.SPACE_WORDS)
+        J.word_hashes(flat, starts, ends)
+        assert tracemalloc.get_traced_memory()[1] < 12 * len(data)
+    finally:
+        tracemalloc.stop()

@@ -3,6 +3,8 @@ collision-free column names, vectorised word hashing, reliable checkpoints."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,15 @@ def release(owner: str = "") -> None:
     """Lets tables of other operators than ``owner`` go; tasks call it first, as workers are used again."""
     if owner not in _HELD:
         _HELD.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that waits for its next task keeps what it holds, no more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
+    if trim:
+        trim(0)
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +106,7 @@ def append_column(df: DataFrame, name: str, dtype: T.DataType, column: str, make
             for part in slices(batch, column, limit):
                 new = make(part.column(part.schema.get_field_index(column)))
                 yield pa.RecordBatch.from_arrays([*part.columns, new], names=[*part.schema.names, name])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -110,9 +122,9 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _MULT = 0xD6E8FEB86659FD93
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, of: int = _MULT) -> np.ndarray:
     """The first n powers of an odd 64-bit multiplier."""
-    out = np.full(max(n, 1), np.uint64(_MULT))
+    out = np.full(max(n, 1), np.uint64(of))
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
@@ -125,9 +137,9 @@ def words_of(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     """
     n = len(offs) - 1
     wide = np.full(len(data) + n, 32, np.uint8)
-    lens = np.diff(offs)
-    at = np.arange(len(data)) + np.repeat(np.arange(n), lens)
-    wide[at] = table[data]
+    inside = np.ones(len(wide), bool)
+    inside[offs[1:] + np.arange(n)] = False
+    wide[inside] = table[data]
     word = wide != 32
     stop = np.zeros(len(wide), bool)
     if len(wide):
@@ -135,20 +147,32 @@ def words_of(data: np.ndarray, offs: np.ndarray, table: np.ndarray):
     flat = wide[word | stop]
     ends = np.flatnonzero(flat == 32)
     starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-    upto = np.concatenate([[0], np.cumsum(stop)])
-    first = upto[offs + np.arange(n + 1)]
+    first = np.searchsorted(np.flatnonzero(stop), offs + np.arange(n + 1))
     return flat, starts, ends, first
 
 
+_BLOCK = 1 << 16                 # bytes of words hashed together
+_UP = powers(_BLOCK + 1)
+_DOWN = powers(_BLOCK + 1, pow(_MULT, -1, 1 << 64))
+
+
 def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of ``words_of``."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    place = np.arange(len(flat)) - np.repeat(starts, size + 1)
-    value = _BYTE[flat] * powers(int(size.max()) + 1)[place]
-    value[ends] = 0
-    return mix(np.add.reduceat(value, starts) + size.astype(np.uint64))
+    """A 64-bit hash of each word of ``words_of``: its bytes times the powers of their places, mixed.
+
+    Places are counted from the start of a block; a word's sum is then divided by the power of its first place."""
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        a = int(starts[k])
+        to = max(int(np.searchsorted(ends, a + _BLOCK, side="right")), k + 1)
+        size = int(ends[to - 1]) + 1 - a
+        at = starts[k:to] - a
+        value = _BYTE[flat[a:a + size]]
+        value *= _UP[:size] if size <= len(_UP) else powers(size)
+        value[ends[k:to] - a] = 0
+        out[k:to] = np.add.reduceat(value, at) * _DOWN[at]
+        k = to
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

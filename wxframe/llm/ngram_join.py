@@ -27,7 +27,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +39,10 @@ THRESHOLD = (4, 5)
 COMMON = 32                      # a token in more prefixes than this goes to the end of the first order
 ORDER_BYTES = 8 << 20            # broadcast for that: at most this many bytes of the most common tokens
 PER_TASK = 128                   # sets compared with one copy of a centre's set
-FIRST = 6                        # smallest tokens of a set that are kept with its sketch
+FIRST = 4                        # smallest shared tokens of a set that are kept with its sketch
 FEW = 8                          # members of a component that share a token: up to so many are paired one by one
 SMALL_IDS = 1 << 20              # ids (8 bytes each) that are broadcast rather than joined by a shuffle
+SLICE = 1 << 19                  # bytes of text hashed at once
 
 # bytes: A-Z to lower case; white space (09-0D, 20) separates; the rest stay
 SPACE_WORDS = np.arange(256, dtype=np.uint8)
@@ -64,7 +65,9 @@ def token_sets(col: pa.Array, size: int = SIZE) -> list[np.ndarray]:
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= size:
-            out.append(np.unique(run[a:b - size + 1]))
+            s = np.sort(run[a:b - size + 1])
+            again = s[1:] == s[:-1]
+            out.append(s[np.append(True, ~again)] if again.any() else s)
         elif b > a:
             out.append(mix((h[a:b] * _P[:b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)))
         else:
@@ -77,17 +80,34 @@ def prefix_length(n, threshold):
     return n - (num * n + den - 1) // den + 1
 
 
-def _prefix(tokens: np.ndarray, common: tuple[np.ndarray, np.ndarray], threshold) -> np.ndarray:
+def _rest(n, threshold):
+    """Tokens of a set of n behind its prefix."""
+    num, den = threshold
+    return (num * n + den - 1) // den - 1
+
+
+def head_length(n, threshold):
+    """Tokens kept of a set of n: its prefix by hash and some more, as common ones among them go to the end."""
+    p = prefix_length(n, threshold)
+    return min(n, p + p // 8 + 8) if n else 0
+
+
+def _prefix(tokens: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray], threshold) -> np.ndarray | None:
     """The first tokens in the first order: by hash, the common ones last and the most common at the very end.
 
-    ``common``: the common tokens sorted, and the place of each among them by frequency."""
-    p, (late, place) = int(prefix_length(len(tokens), threshold)) if len(tokens) else 0, common
+    ``tokens``: the smallest hashes of a set of ``n``, all of them or a head; None if a head holds too few that are not
+    common.  ``common``: the common tokens sorted, and the place of each among them by frequency."""
+    p, (late, place) = int(prefix_length(n, threshold)) if n else 0, common
     if not p or not len(late):
         return tokens[:p]
     at = np.minimum(np.searchsorted(late, tokens), len(late) - 1)
     is_late = late[at] == tokens
-    last = tokens[is_late]
-    return np.concatenate([tokens[~is_late][:p], last[np.argsort(place[at[is_late]], kind="stable")]])[:p]
+    soon = tokens[~is_late][:p]
+    if len(soon) == p:
+        return soon
+    if len(tokens) < n:
+        return None
+    return np.concatenate([soon, tokens[is_late][np.argsort(place[at[is_late]], kind="stable")]])[:p]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -98,38 +118,74 @@ SEEDS = (np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))       # t
 CELLS, HEAD = 8, 4               # words of 64 bits of the parity and of a prefix bitmap
 
 
-def sketch(tokens: np.ndarray, threshold) -> np.ndarray:
-    """CELLS words with the parity of the tokens that fall into each of 512 cells, then HEAD words for each further order:
-    a bitmap of the prefix under that order."""
-    bits = [np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * CELLS) & 1]
-    p = int(prefix_length(len(tokens), threshold)) if len(tokens) else 0
+def sketches(sets: list[np.ndarray], threshold) -> np.ndarray:
+    """A row for each set: CELLS words with the parity of the tokens that fall into each of 512 cells, then HEAD words for
+    each further order: a bitmap of the prefix under that order."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    tokens = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(n), sizes)
+    cells, wide = 64 * CELLS, 64 * HEAD
+    bits = [np.bincount(row * cells + (tokens >> np.uint64(55)).astype(np.int64), minlength=n * cells).reshape(n, cells) & 1]
+    ends = np.cumsum(sizes).tolist()
+    lengths = [int(prefix_length(k, threshold)) if k else 0 for k in sizes.tolist()]
     for seed in SEEDS:
         h = mix(tokens ^ seed)
-        head = h if p >= len(h) else np.partition(h, p - 1)[:p]
-        bits.append(np.bincount((head & np.uint64(64 * HEAD - 1)).astype(np.int64), minlength=64 * HEAD) > 0)
-    return np.packbits(np.concatenate(bits).astype(np.uint8)).view(np.int64)
+        heads = [h[e - k:e] if p >= k else np.partition(h[e - k:e], p - 1)[:p]
+                 for e, k, p in zip(ends, sizes.tolist(), lengths, strict=True)]
+        head = np.zeros(n * wide, np.uint8)
+        if n:
+            head[np.repeat(np.arange(n), lengths) * wide
+                 + (np.concatenate(heads) & np.uint64(wide - 1)).astype(np.int64)] = 1
+        bits.append(head.reshape(n, wide))
+    return np.packbits(np.concatenate(bits, axis=1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def sketch(tokens: np.ndarray, threshold) -> np.ndarray:
+    """The sketch of one set."""
+    return sketches([tokens], threshold)[0]
+
+
+WORDS = [f"q{k}" for k in range(CELLS + HEAD * len(SEEDS))]
+FIRSTS = [f"f{k}" for k in range(FIRST)]
+SUMMARY = T.StructType([*[T.StructField(c, T.LongType(), False) for c in ("n", "s1", "s2", *WORDS)],
+                        T.StructField("head", T.ArrayType(T.LongType(), False), False)])
+PREFIX = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
 
-SUMMARY = T.StructType([T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()),
-                        T.StructField("q", T.ArrayType(T.LongType()))])
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A list array of signed tokens; None stays null."""
+    flat = [x for x in parts if x is not None]
+    made = list_array(_signed(np.concatenate(flat)) if flat else [], [0 if x is None else len(x) for x in parts], pa.int64())
+    gone = pa.array([x is None for x in parts], pa.bool_())
+    return pa.ListArray.from_arrays(made.offsets, made.values, mask=gone) if len(flat) < len(parts) else made
 
 
 def _summary(col: pa.Array, size: int, threshold) -> pa.Array:
     sets = token_sets(col, size)
     digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    q = [sketch(s, threshold) for s in sets]
-    q = list_array(np.concatenate(q) if q else [], [len(x) for x in q], pa.int64())
-    return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0], pa.int64()),
-                                       pa.array(both[:, 1], pa.int64()), q], names=SUMMARY.names)
+    q = sketches(sets, threshold)
+    numbers = [np.array([len(s) for s in sets], np.int64), both[:, 0], both[:, 1], *q.T]
+    heads = _lists([s[:head_length(len(s), threshold)] for s in sets])
+    return pa.StructArray.from_arrays([*[pa.array(np.ascontiguousarray(x), pa.int64()) for x in numbers], heads],
+                                      names=SUMMARY.names)
+
+
+def _words(x: str) -> list[Column]:
+    """The words of the sketch of row ``x`` of a join."""
+    return [F.col(f"{x}.{c}") for c in WORDS]
 
 
 def _screen(x: str, y: str, a: Column, b: Column, threshold) -> Column:
+    """:func:`_screen_words` for sketches in the array columns ``x`` and ``y``."""
+    return _screen_words(*([F.col(c)[k] for k in range(len(WORDS))] for c in (x, y)), a, b, threshold)
+
+
+def _screen_words(x: list[Column], y: list[Column], a: Column, b: Column, threshold) -> Column:
     """Whether the sketches ``x`` and ``y`` of sets of a and b tokens allow a link: a common prefix token under every further
     order, and no more differing cells than linked sets have differing tokens."""
     num, den = threshold
     ok = _differing(x, y) * (num + den) <= (a + b) * (den - num)
-    x, y = F.col(x), F.col(y)
     for k in range(len(SEEDS)):
         at = range(CELLS + k * HEAD, CELLS + (k + 1) * HEAD)
         meet = functools.reduce(lambda u, v: u.bitwiseOR(v), [x[i].bitwiseAND(y[i]) for i in at])
@@ -137,10 +193,9 @@ def _screen(x: str, y: str, a: Column, b: Column, threshold) -> Column:
     return ok
 
 
-def _differing(x: str, y: str) -> Column:
+def _differing(x: list[Column], y: list[Column]) -> Column:
     """In how many cells the parities of two sketches differ."""
-    x, y = F.col(x), F.col(y)
-    return sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(CELLS)), F.lit(0))
+    return functools.reduce(lambda u, v: u + v, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(CELLS)])
 
 
 def _least_shared(a: Column, b: Column, threshold) -> Column:
@@ -185,56 +240,79 @@ class Join:
         self.size, self.threshold = size, threshold
         self.docs = docs.where(F.col(id_col).isNotNull()).select(
             F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        found = append_column(self.docs, "set", SUMMARY, "text", lambda col: _summary(col, size, threshold))
+        found = append_column(self.docs, "set", SUMMARY, "text", lambda col: _summary(col, size, threshold), limit=SLICE)
         found = checkpoint(found.select("id", "set.*"))
-        self.sketches = found.select("id", "q")
+        self.sketches = found.select("id", *WORDS).dropDuplicates(["id"])
         least = found.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-        self.classes = checkpoint(found.drop("q").join(least, ["s1", "s2"], "left")
+        self.classes = checkpoint(found.select("id", "n", "s1", "s2").join(least, ["s1", "s2"], "left")
                                   .select("id", "n", F.coalesce("rep", "id").alias("rep")))
-        self.entries = self._shared_entries(self._common(common))
-
-    def _entries(self, common) -> DataFrame:
-        """(token, id, n) for the prefix of every text."""
-        size, threshold = self.size, self.threshold
+        copies = self.classes.groupBy("id").agg(F.min(F.col("id") != F.col("rep")).alias("copy")).where("copy").select("id")
+        heads = found.where("n > 0").select("id", "n", "head").join(self._small(checkpoint(copies)), "id", "left_anti")
+        self.sets = self._shared_sets(self._entries(heads, self._common(heads, common)))
 
-        def make(col):
-            sets = token_sets(col, size)
-            heads = [_prefix(s, common.value, threshold) for s in sets]
-            tokens = list_array(_signed(np.concatenate(heads)) if heads else [], [len(h) for h in heads], pa.int64())
-            return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()), tokens], names=["n", "tokens"])
+    @staticmethod
+    def _small(ids: DataFrame) -> DataFrame:
+        """``ids``, broadcast if they are few."""
+        return F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids
 
-        kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
-        return append_column(self.docs, "set", kind, "text", make) \
-            .select("id", "set.n", F.explode("set.tokens").alias("token"))
-
-    def _common(self, common: int):
+    def _common(self, heads: DataFrame, common: int):
         """Broadcast of the tokens that most prefixes hold under the plain hash order: at most ORDER_BYTES."""
-        spark = self.docs.sparkSession
-        plain = self._entries(spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int32))))
-        often = plain.groupBy("token").count().where(F.col("count") > common) \
+        num, den = self.threshold
+        length = (F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1).cast("int")
+        often = heads.select(F.explode(F.slice("head", 1, length)).alias("token")) \
+            .groupBy("token").count().where(F.col("count") > common) \
             .orderBy(F.desc("count"), "token").limit(ORDER_BYTES // 12).select("token")
         tokens = np.array(often.toArrow().column(0).to_pylist(), np.int64).view(np.uint64)[::-1]   # least common first
         order = np.argsort(tokens, kind="stable")
-        return spark.sparkContext.broadcast((tokens[order], order.astype(np.int32)))
+        return heads.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.int32)))
+
+    def _entries(self, heads: DataFrame, common) -> DataFrame:
+        """(token, id, n) for the prefix of every set of ``heads``; texts are read again where a head is too short."""
+        size, threshold = self.size, self.threshold
+
+        def from_heads(batches):
+            for batch in batches:
+                ids, n, head = batch.columns
+                offs, flat = head.offsets.to_numpy(), head.values.to_numpy().view(np.uint64)
+                found = [_prefix(flat[a:b], k, common.value, threshold)
+                         for a, b, k in zip(offs[:-1].tolist(), offs[1:].tolist(), n.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([ids, n.cast(pa.int32()), _lists(found)], names=["id", "n", "tokens"])
 
-    def _shared_entries(self, common) -> DataFrame:
-        """Prefix entries (token, id, n, m) of class representatives whose token another text's prefix has too; m: how
-        many of these the set has, so that two sets share at most the smaller m prefix tokens."""
-        dealt = self._entries(common).repartition("token")
+        def from_texts(col):
+            sets = token_sets(col, size)
+            return pa.StructArray.from_arrays([pa.array([len(s) for s in sets], pa.int32()),
+                                               _lists([_prefix(s, len(s), common.value, threshold) for s in sets])], names=PREFIX.names)
+
+        prefixes = heads.select("id", "n", "head").mapInArrow(
+            from_heads, T.StructType([T.StructField("id", T.LongType()), *PREFIX.fields]))
+        short = checkpoint(prefixes.where("tokens is null").select("id").distinct())
+        texts = self.docs.join(self._small(short), "id", "left_semi")
+        again = append_column(texts, "set", PREFIX, "text", from_texts, limit=SLICE).select("id", "set.*")
+        return prefixes.union(again).select("id", "n", F.explode("tokens").alias("token"))
+
+    def _shared_sets(self, entries: DataFrame) -> DataFrame:
+        """(id, n, r, m, f0.., tokens) of the sets that share prefix tokens with another: those tokens, and how many they
+        are (m), so that two sets share at most the smaller m; r: tokens of the set behind its prefix."""
+        num, den = self.threshold
+        dealt = entries.repartition("token")
         held = dealt.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("token")
-        several = dealt.join(held, "token")
-        reps = self.classes.where("n > 0 and id = rep").select("id").distinct()
-        own = several.join(reps, "id").select("token", "id", "n").distinct()
-        per_set = own.groupBy("id").agg(F.count("*").cast("int").alias("m"))
-        return checkpoint(own.join(per_set, "id").select("token", "id", "n", "m"))
+        own = dealt.join(held.hint("shuffle_hash"), "token").groupBy("id", "n") \
+            .agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+        rest = F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9).cast("int") - 1
+        firsts = [F.coalesce(F.get("tokens", F.lit(k)), F.col("tokens")[0]).alias(c) for k, c in enumerate(FIRSTS)]
+        return checkpoint(own.select("id", "n", rest.alias("r"), F.size("tokens").alias("m"), *firsts, "tokens"))
+
+    @property
+    def entries(self) -> DataFrame:
+        """(token, id, n, r, m) of the shared sets."""
+        return self.sets.select("id", "n", "r", "m", F.explode("tokens").alias("token"))
 
     def _sets(self, ids: DataFrame) -> DataFrame:
         """(id, set) of the documents whose id is in ``ids``, with the tokens as 8-byte binaries."""
-        few = ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS
-        chosen = self.docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+        chosen = self.docs.join(self._small(ids), "id", "left_semi")
         size = self.size
         return append_column(chosen, "set", T.BinaryType(), "text", lambda col: pa.array(
-            [s.tobytes() for s in token_sets(col, size)], pa.binary())).select("id", "set").dropDuplicates(["id"])
+            [s.tobytes() for s in token_sets(col, size)], pa.binary()), limit=SLICE).select("id", "set").dropDuplicates(["id"])
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link. A centre ``a`` of many is copied once for every PER_TASK others."""
@@ -259,49 +337,51 @@ class Join:
 
     def _fits(self, x: str, y: str) -> Column:
         """Whether sets of sizes x.n and y.n can link, with at most the smaller m prefix tokens in common."""
-        n, k = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return _near_size(n, k, self.threshold) & (F.least(f"{x}.m", f"{y}.m") >= _least_shared(n, k, self.threshold))
+        (num, den), n, k = self.threshold, F.col(f"{x}.n"), F.col(f"{y}.n")
+        most = F.least(f"{x}.m", f"{y}.m") + F.greatest(f"{x}.r", f"{y}.r")
+        return _near_size(n, k, self.threshold) & (most * F.lit(num + den).cast("long") >= (n + k) * F.lit(num).cast("long"))
 
     def _counted(self, met: DataFrame) -> DataFrame:
         """Pairs (a, b, shared) that share enough prefix tokens; ``met`` has a row (a, b, n, k) for each shared token."""
         return met.groupBy("a", "b", "n", "k").agg(F.count("*").alias("shared")) \
             .where(F.col("shared") >= _least_shared(F.col("n"), F.col("k"), self.threshold))
 
-    def _sketched(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the sketch ``q`` and the smallest tokens ``f`` of their id."""
-        firsts = self.entries.groupBy("id").agg(F.slice(F.array_sort(F.collect_list("token")), 1, FIRST).alias("f"))
-        return rows.join(firsts.join(self.sketches.dropDuplicates(["id"]), "id"), "id")
-
     def _chosen(self, met: DataFrame) -> DataFrame:
         """Per set b the centre a that shares most prefix tokens with it, of those that all filters admit."""
         pairs = self._counted(met)
         for side in ("a", "b"):
-            q = self.sketches.dropDuplicates(["id"]).select(F.col("id").alias(side), F.col("q").alias(f"q{side}"))
-            pairs = pairs.join(q, side)
-        return checkpoint(_best(pairs.where(_screen("qa", "qb", F.col("n"), F.col("k"), self.threshold))))
+            pairs = pairs.join(self.sketches.select(F.col("id").alias(side), F.struct(*WORDS).alias(f"q{side}")), side)
+        return checkpoint(_best(pairs.where(
+            _screen_words(_words("qa"), _words("qb"), F.col("n"), F.col("k"), self.threshold))))
 
     def first_round(self) -> DataFrame:
         """Links of every class with one centre."""
         e = self.entries
-        centre = e.groupBy("token").agg(F.min(F.struct("id", "n", "m")).alias("c")).select("token", "c.*")
+        centre = e.groupBy("token").agg(F.min(F.struct("id", "n", "r", "m")).alias("c")).select("token", "c.*")
         met = e.alias("x").join(centre.alias("c"), (F.col("x.token") == F.col("c.token")) & (F.col("x.id") != F.col("c.id"))
                                 & self._fits("x", "c")) \
             .select(F.col("c.id").alias("a"), F.col("x.id").alias("b"), F.col("x.n").alias("n"), F.col("c.n").alias("k"))
         return self.verify(self._chosen(met))
 
     def _apart(self, roots: DataFrame) -> DataFrame:
-        """Entries (token, root, id, n, m, f, c, q) whose token several components of ``roots`` hold; c: holders of that root."""
-        e = self.entries.join(roots, "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
-        held = e.groupBy("token", "root").agg(F.count("*").alias("c"))
-        several = held.groupBy("token").agg(F.count("*").alias("roots")).where("roots > 1").select("token")
-        return checkpoint(self._sketched(e.join(held.join(several, "token"), ["token", "root"])))
+        """Entries (token, root, id, n, r, m, c, f0.., q0..) whose token several components of ``roots`` hold, dealt by
+        token; c: holders of that root."""
+        own = self.sets.drop(*FIRSTS).join(roots, "id", "left").withColumn("root", F.coalesce("component", "id"))
+        e = own.select("id", "n", "r", "m", "root", F.explode("tokens").alias("token"))
+        of_token = Window.partitionBy("token")
+        e = e.withColumn("c", F.count("*").over(Window.partitionBy("token", "root")).cast("int")) \
+            .withColumn("lo", F.min("root").over(of_token)).withColumn("hi", F.max("root").over(of_token)) \
+            .where("lo <> hi").drop("lo", "hi")
+        firsts = self.sets.groupBy("id").agg(*[F.min(c).alias(c) for c in FIRSTS])
+        return e.join(firsts.join(self.sketches, "id"), "id").repartition("token")
 
     def _admits(self, x: str, y: str) -> Column:
         """The filters of all orders for two sketched entries of one token, and whether it is the one to meet at: the
         smallest that both sets have among their FIRST, any where these have nothing in common."""
-        meet = F.get(F.array_intersect(f"{x}.f", f"{y}.f"), F.lit(0))
-        return self._fits(x, y) & _screen(f"{x}.q", f"{y}.q", F.col(f"{x}.n"), F.col(f"{y}.n"), self.threshold) \
-            & (F.coalesce(meet, f"{x}.token") == F.col(f"{x}.token"))
+        fx, fy = ([F.col(f"{s}.{c}") for c in FIRSTS] for s in (x, y))
+        meet = F.coalesce(*[F.when(f.isin(*fy), f) for f in fx], F.col(f"{x}.token"))
+        return self._fits(x, y) & _screen_words(_words(x), _words(y), F.col(f"{x}.n"), F.col(f"{y}.n"), self.threshold) \
+            & (meet == F.col(f"{x}.token"))
 
     def second_round(self, apart: DataFrame) -> DataFrame:
         """Pairs (a, b, like) of different components that all filters admit; like: the larger, the fewer cells of their
@@ -315,7 +395,7 @@ class Join:
         one = e.where(few)
         x, y = one.alias("x"), one.alias("y")
         pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"),
-                (-_differing("x.q", "y.q") / (F.col("x.n") + F.col("y.n"))).alias("like")]
+                (-_differing(_words("x"), _words("y")) / (F.col("x.n") + F.col("y.n"))).alias("like")]
         single = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
                         & (F.col("x.root") != F.col("y.root")) & self._admits("x", "y")).select(*pair)
         num, den = self.threshold
@@ -323,7 +403,7 @@ class Join:
         outside = e.alias("y").join(group, (F.col("y.token") == F.col("g.token")) & (F.col("y.root") != F.col("g.root"))
                                     & ((F.col("y.c") <= FEW) | (F.col("y.root") < F.col("g.root")))
                                     & (F.col("y.n") * den >= F.col("g.lo") * num) & (F.col("y.n") * num <= F.col("g.hi") * den)) \
-            .select("y.token", "y.id", "y.n", "y.m", "y.f", "y.q", F.col("g.root").alias("other"))
+            .select("y.*", F.col("g.root").alias("other"))
         spread = e.where(~few).alias("x").join(
             outside.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") == F.col("y.other"))
             & self._admits("x", "y")).select(*pair)
@@ -349,7 +429,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     rows = join.classes.join(both.withColumnRenamed("id", "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     nameless = append_column(docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")), "set", SUMMARY, "text",
-                             lambda col: _summary(col, size, threshold))
+                             lambda col: _summary(col, size, threshold), limit=SLICE)
     return rows.union(nameless.select(F.lit(None).cast("long"), F.col("set.n"), F.lit(None).cast("long")))
 
 
