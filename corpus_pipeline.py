@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from wxframe.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 from wxframe.llm.common import prepare
 from wxframe.llm.queries import BYTE_BPE
-from wxframe.session import ensure_checkpoint_dir
+from wxframe.session import ensure_checkpoint_dir, stored
 
 
 MIN_REST = 0.2                  # near copies share four fifths or more
+ENCODED_AT_ONCE = 1 << 20       # bytes of text: executors carry the memory of the stages before
 
 
 def _stage(fn):
@@ -59,9 +60,12 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digest of the ids, and the digest of the text decoded from them."""
+    """doc_id, n_tokens, digest of the ids, and the digest of the text decoded from them.
+
+    The ids are stored before they are decoded: both steps in one task would take two Python workers for each core, which
+    an executor then keeps."""
     vocabulary = bpe.vocabulary(spark, BYTE_BPE)
-    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    coded = stored(bpe.encode(docs.select("doc_id", "text"), vocabulary, limit=ENCODED_AT_ONCE).select("doc_id", "ids"))
     return bpe.decode(coded, vocabulary).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -115,3 +115,9 @@ def test_entry_lists_the_queries():
     names = set(E.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert os.path.exists(os.path.join(os.path.dirname(P.__file__), "wxframe", "llm"))
+
+
+def test_encoding_takes_one_python_worker_a_task(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    plan = P.encode(spark, rows, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -15,6 +15,7 @@ file, whose size does not depend on the data.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import append_column, held, ragged, text_buffer
+from .common import BATCH_BYTES, append_column, held, ragged, text_buffer
 
 NEVER = 1 << 40
 CACHE_WORDS = 1 << 18          # distinct words kept by a Python worker; then it starts afresh
@@ -104,7 +105,7 @@ class Model:
 
     def _reset(self):
         self.words.clear()
-        self.ids, self.at, self.counts = [], [], []
+        self.ids, self.at, self.counts = array("I"), array("q"), array("q")
         self.tables = None
 
     def merge_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,11 +231,12 @@ def vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
-def encode(docs: DataFrame, shared, out: str = "ids", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, shared, out: str = "ids", text_col: str = "text", limit: int = BATCH_BYTES) -> DataFrame:
     """``docs`` with the ids of each whole text as little-endian unsigned 32-bit integers in one binary column.
 
     The text of a special token becomes that token, as tokenizers do by default.  A null or empty text has no
     ids (an empty binary).  Repeated rows are each encoded; other columns pass through (``out`` must be new).
+    ``limit``: bytes of text encoded at once; fewer take less memory and a little more time.
     """
     def make(col):
         ids, counts = _model(shared).encode(col.to_pylist())
@@ -242,7 +244,7 @@ def encode(docs: DataFrame, shared, out: str = "ids", text_col: str = "text") ->
         at = 4 * np.concatenate([[0], np.cumsum(counts)])
         return pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
-    return append_column(docs, out, T.BinaryType(), text_col, make, owner="bpe")
+    return append_column(docs, out, T.BinaryType(), text_col, make, owner="bpe", limit=limit)
 
 
 def decode(coded: DataFrame, shared, out: str = "decoded", ids_col: str = "ids") -> DataFrame:
