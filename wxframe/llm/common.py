@@ -4,6 +4,7 @@ collision-free column names, vectorised word hashing, reliable checkpoints."""
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go now, not when the driver's heap fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def prepare(spark: SparkSession) -> None:
     """What every query needs: the shared folder, the package on the executors, Arrow batches bounded by bytes."""
     ensure_checkpoint_dir(spark)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_column, checkpoint, fresh, list_array, mix, text_buffer, word_hashes, words_of
+from .common import append_column, checkpoint, forget, fresh, list_array, mix, text_buffer, word_hashes, words_of
 from .components import components
 
 SIZE = 5
@@ -421,8 +421,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     columns of ``docs`` are not read, whatever their names.
     """
     join = Join(docs, id_col, text_col, size, threshold, common)
+    forget(docs.sparkSession)
     links = checkpoint(join.first_round())
+    forget(docs.sparkSession)
     pairs = join.second_round(join._apart(checkpoint(components(links))))
+    forget(docs.sparkSession)
     links = checkpoint(links.union(join.verify(checkpoint(_best(pairs, "like")))))
     rest = checkpoint(_still_apart(pairs, links))
     both = checkpoint(components(links.union(join.verify(rest))))
