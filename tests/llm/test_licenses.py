@@ -76,3 +76,20 @@ def test_words_and_scores_are_worked_out_once(spark, model):
     plan = L.families(spark.read.parquet(f"{SF}/documents.parquet"), model)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 1
     assert plan.count("UDF(") <= 8
+
+
+def test_a_step_of_the_fit_is_one_task_and_the_heap_is_cleared_after_it(spark):
+    sc = spark.sparkContext
+    beans = sc._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName())
+    before = full()
+    sc.setJobGroup("licences", "fit")
+    try:
+        L.train(spark, spark.createDataFrame([(1, "A house stands by the road.")], "doc_id long, text string"), L.Settings(steps=2))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("licences") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s and "treeAggregate" in s.name]
+    assert len(tasks) >= 2 and set(tasks) == {1}, tasks
+    assert full() > before

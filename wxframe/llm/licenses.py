@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, forget
 
 UNKNOWN = "unknown"
 
@@ -217,13 +217,15 @@ def _margin(raw: Column, families: list[str]) -> tuple[Column, Column]:
 def train(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit the classifier and its calibration. ``docs`` only give examples of unknown; it may be empty."""
     s, families = settings, [UNKNOWN, *TEMPLATES]
-    # a few thousand short rows: one reliable copy in few partitions, so the fit runs few tasks a step
-    rows = _vector(checkpoint(_training(spark, docs, s, id_col, text_col).repartition(4)), s)
+    # a few thousand short rows, bounded by the settings: one reliable copy in one partition, so a step of the fit is one task
+    # and shuffles no gradients (features x families doubles from each task otherwise)
+    rows = _vector(checkpoint(_training(spark, docs, s, id_col, text_col).repartition(1)), s)
     label = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
     rows = rows.select("family", label.cast("double").alias("label"), "features",
                        (F.pmod(F.xxhash64("w", "family"), F.lit(s.held_out)) == 0).alias("hold")).cache()
     fit = LogisticRegression(family="multinomial", regParam=0.002, maxIter=s.steps, standardization=False)
     model = fit.fit(rows.where("not hold"))
+    forget(spark)      # the fit's vectors, as large as a gradient, made the driver's heap grow: it shrinks before documents are scanned
     name, margin = _margin(F.col("rawPrediction"), families)
     held = model.transform(rows.where("hold").select("family", "features")) \
         .select(margin.alias("m"), (name == F.col("family")).cast("double").alias("label"))
